@@ -1,0 +1,4 @@
+"""All registered queries of the network-behaviour operators."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
