@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, quality, sharding, token_counts, warc
+from . import langid, neardup, quality, sharding, token_counts, warc
 from .common import documents, scratch_path
 
 
@@ -15,6 +15,10 @@ def op2_token_counts(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+
+
 def op7_sharding(spark, sf_dir):
     out = sharding.shard_documents(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -34,5 +38,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op7_sharding, op8_language_id, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op7_sharding, op8_language_id, op9_warc, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
