@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, neardup, quality, sharding, token_counts, warc
+from . import decontam, langid, mixing, neardup, quality, sharding, token_counts, warc
 from .common import documents, scratch_path
 
 
@@ -19,6 +19,14 @@ def op3_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
+def op5_mixing(spark, sf_dir):
+    return mixing.mix_sources(documents(spark, sf_dir).select("doc_id", "source"))
+
+
+def op6_decontamination(spark, sf_dir):
+    return decontam.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_sharding(spark, sf_dir):
     out = sharding.shard_documents(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -38,5 +46,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op7_sharding, op8_language_id, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op5_mixing, op6_decontamination, op7_sharding, op8_language_id, op9_warc, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
