@@ -148,27 +148,40 @@ def label_words(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
     return scores.astype(np.float32), usable, first
 
 
+def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a column."""
+    data, offsets = utf8(column)
+    parts = [label_words(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, 2 << 20)] if model["langs"] else []
+    n, langs = len(column), len(model["langs"])
+    votes = np.zeros((n, max(1, langs)), np.int64)
+    if parts:
+        scores, usable = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
+        del parts
+        labels = viterbi(scores, first, SWITCH)
+        np.add.at(votes, (owner(first)[usable], labels[usable]), 1)
+    total = votes.sum(axis=1)
+    letters = np.array([bool(x) and LETTER.search(x) is not None for x in column.to_pylist()], bool)
+    known = (total > 0) & letters
+    best = votes.argmax(axis=1)
+    names = [model["langs"][b] if k else "und" for b, k in zip(best, known, strict=True)]
+    return names, np.where(known, votes[np.arange(n), best] / np.maximum(1, total), 0.0)
+
+
 def _predict(shared):
     def run(batches):
-        model = shared.value
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            parts = [label_words(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, 2 << 20)] if model["langs"] else []
-            n, langs = len(batch), len(model["langs"])
-            votes = np.zeros((n, max(1, langs)), np.int64)
-            if parts:
-                scores, usable = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
-                del parts
-                labels = viterbi(scores, first, SWITCH)
-                np.add.at(votes, (owner(first)[usable], labels[usable]), 1)
-            total = votes.sum(axis=1)
-            letters = np.array([bool(x) and LETTER.search(x) is not None for x in batch.column("text").to_pylist()], bool)
-            known = (total > 0) & letters
-            best = votes.argmax(axis=1)
-            names = [model["langs"][b] if k else "und" for b, k in zip(best, known, strict=True)]
-            share = np.where(known, votes[np.arange(n), best] / np.maximum(1, total), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names if c != "text"] + [pa.array(names, pa.string()), pa.array(share)], [c for c in batch.schema.names if c != "text"] + ["lang_pred", "score"])
+            names, share = predict(shared.value, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(share)], ["doc_id", "held_out", "lang_pred", "score"])
+
+    return run
+
+
+def _keep(shared, least: float):
+    def run(batches):
+        for batch in batches:
+            names, share = predict(shared.value, batch.column("text"))
+            yield batch.filter(pa.array((share >= least) & np.array([x != "und" for x in names], bool)))
 
     return run
 
@@ -191,3 +204,8 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, by its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+    """docs whose language is known with at least this score; all columns as they were."""
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), least), docs.schema)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, quality, sharding, token_counts, warc
+from . import chat, decontam, langid, linededup, mixing, neardup, quality, sharding, token_counts, warc
 from .common import documents, scratch_path
 
 
+def op1_line_dedup(spark, sf_dir):
+    out = linededup.remove_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("clean_md5"))
+
+
 def op2_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -19,6 +24,10 @@ def op3_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
+def op4_chat_formatting(spark, sf_dir):
+    return chat.digests(chat.format_preferences(chat.neighbour_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.mix_sources(documents(spark, sf_dir).select("doc_id", "source"))
 
@@ -46,5 +55,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op5_mixing, op6_decontamination, op7_sharding, op8_language_id, op9_warc, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_near_duplicates, op4_chat_formatting, op5_mixing, op6_decontamination, op7_sharding, op8_language_id, op9_warc, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op4_chat_formatting": chat.SQL}

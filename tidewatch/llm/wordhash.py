@@ -110,7 +110,7 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndar
         if c >= n:
             out[to[d] : to[d + 1]] = rolled[a : a + c - n + 1]
         else:
-            out[to[d]] = mix(ngrams(hashes[a : a + c], c) + U(0x5851F42D4C957F2D) * U(c))[0]
+            out[to[d]] = mix(ngrams(hashes[a : a + c], c) + U(0x5851F42D4C957F2D * int(c) % 2**64))[0]
         out[to[d] : to[d + 1]].sort()
     doc = owner(to)
     new = np.ones(len(out), bool)
