@@ -74,7 +74,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 4 << 20):
+def slices(offsets: np.ndarray, limit: int = 1 << 20):
     """Ranges of documents of about ``limit`` bytes each; a longer document stands alone."""
     n, at = len(offsets) - 1, 0
     while at < n:

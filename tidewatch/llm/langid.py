@@ -28,6 +28,7 @@ from .wordhash import SPACE, owner, word_bounds
 
 BITS, TRAIN_DOCS, FOLDS, SWITCH = 15, 8000, 5, 6.0
 SCRIPT_SHARE = 0.001
+GROUP_BYTES = 6 << 20
 # Scripts by the lead byte of their UTF-8 ranges.
 SCRIPTS = ["none", "latin", "greek", "cyrillic", "semitic", "indic", "kana", "han", "hangul", "other"]
 LEADS = [(0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCA, 1), (0xCD, 0xCF, 2), (0xD0, 0xD4, 3), (0xD6, 0xDF, 4), (0xE0, 0xE0, 5), (0xE1, 0xE2, 9), (0xE3, 0xE3, 6), (0xE4, 0xE9, 7), (0xEA, 0xED, 8), (0xEE, 0xF4, 9)]
@@ -149,9 +150,18 @@ def label_words(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
 
 
 def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text of a column."""
+    """Language and score of each text of a column, some megabytes at a time."""
+    names, shares = [], [np.zeros(0)]
+    for a, b in slices(utf8(column)[1], GROUP_BYTES):
+        found, share = predict_group(model, column.slice(a, b - a))
+        names += found
+        shares.append(share)
+    return names, np.concatenate(shares)
+
+
+def predict_group(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
     data, offsets = utf8(column)
-    parts = [label_words(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, 2 << 20)] if model["langs"] else []
+    parts = [label_words(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)] if model["langs"] else []
     n, langs = len(column), len(model["langs"])
     votes = np.zeros((n, max(1, langs)), np.int64)
     if parts:

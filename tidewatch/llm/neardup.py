@@ -10,11 +10,15 @@ How links are found without all pairs of a bucket:
 1. Documents with equal sets form a class (two 64-bit sums over the set), and only classes go on.
 2. Keys that hold one class are dropped by a partial minimum and maximum. In the others every class is paired with the
    bucket's smallest class. The collision-corrected Jaccard estimate of the sketches drops pairs five standard errors
-   below the limit; for each class the smallest remaining partner is verified on full sets.
-3. Buckets whose classes are still in different components go through rounds: up to HUBS classes (one for each salt, those
-   outside the bucket's first component first) are paired with all classes of other components, checked in the same way,
+   below the limit; for each class the remaining partner of the highest estimate is verified on full sets.
+3. Buckets whose classes are still in different components go through rounds: up to HUBS classes (one for each salt; for
+   half of the salts of the bucket's first component and for half outside it if there are any) are paired with all classes of other components, checked in the same way,
    and leave the bucket. Rounds end when no bucket holds two components, so no candidate between two components is left
-   out, and no bucket ever makes more than HUBS pairs for a row and round.
+   out, and no bucket ever makes more than max(HUBS) pairs for a row and round.
+   Each class carries 2048 marks, one for each shingle's place; marks of one class that another lacks are shingles it
+   lacks, which bounds their similarity from above inside the join, so that only pairs that may reach the limit are rows.
+Full sets are made in a second pass over the texts, only for the classes left in step 2: a bitmap of fixed size lets their
+documents pass (and a few others, the more the more classes there are), so that texts are never shuffled.
 Components come from repeated minimum-neighbour steps with shortcuts over stored tables.
 
 Shingles are compared by 64-bit hashes. Defined results: a null, empty or word-less text has an empty set and is linked
@@ -26,6 +30,9 @@ other columns aren't read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +43,12 @@ from .wordhash import U, mix, owner, shingle_sets, word_bounds, word_hashes
 
 REGISTERS, MANTISSA, BAND_ROWS = 256, 10, 6
 BANDS = REGISTERS // BAND_ROWS
-HUBS = 32
+#: Hubs of a bucket in the first rounds and in all later ones: few while components still grow together.
+HUBS = (16, 64, 256)
+FILTER_BITS = 26
+MARK_BITS = 11
+MARKS = (1 << MARK_BITS) // 64
+MARK_COLUMNS = [f"m{i}" for i in range(MARKS)]
 RANKING = np.random.default_rng(977).permuted(np.tile(np.arange(REGISTERS, dtype=np.int32), (REGISTERS, 1)), axis=1)
 FACTORS = np.random.default_rng(978).integers(1, 2**64, (BANDS, BAND_ROWS), dtype=np.uint64) | U(1)
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"
@@ -100,15 +112,50 @@ def _signatures(size: int):
     return run
 
 
-def _sets(size: int):
+def bitmap(ids: DataFrame, place) -> np.ndarray:
+    """A filter of 2**FILTER_BITS places with those of all rows set; its size doesn't depend on their number."""
+    words = ids.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("v"))
+    found = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()  # 2**(FILTER_BITS - 6) rows at most
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[found["w"].to_numpy()] = found["v"].to_numpy()
+    return out.view(U)
+
+
+def _flag(shared):
+    def run(batches):
+        for batch in batches:
+            place = batch.column("__place").to_numpy(zero_copy_only=False)
+            seen = (shared.value[place >> 6] >> (place & 63).astype(U)) & U(1) == 1
+            yield batch.set_column(batch.schema.get_field_index("__place"), "__place", pa.array(seen.astype(np.int64)))
+
+    return run
+
+
+def without(docs: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """docs without the rows whose doc_id is in ``gone``. Only rows that a fixed-size bitmap lets through meet the join."""
+    place = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(gone, place))
+    placed = docs.withColumn("__place", F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)), F.lit(0).cast("long")))
+    flagged = placed.mapInArrow(_flag(shared), placed.schema)
+    maybe = flagged.where("__place = 1").join(gone.select(F.col(column).alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return flagged.where("__place = 0").union(maybe).drop("__place")
+
+
+def _sets(size: int, shared):
     def run(batches):
         for batch in batches:
+            place = batch.column("place").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((shared.value[place >> 6] >> (place & 63).astype(U)) & U(1) == 1))
             data, offsets = utf8(batch.column("text"))
             for a, b in slices(offsets):
                 x, places = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, _, first = word_bounds(x, places)
                 sets, to = shingle_sets(word_hashes(x, starts, lower=True), first, size)
-                yield pa.RecordBatch.from_arrays([batch.column("cls")[a:b], pa.array([sets[i:j].tobytes() for i, j in zip(to[:-1], to[1:], strict=True)], pa.binary())], ["cls", "items"])
+                bits = np.zeros((b - a, MARKS * 64), np.uint8)
+                bits[owner(to), (sets >> U(64 - MARK_BITS)).astype(np.int64)] = 1
+                marks = np.packbits(bits, axis=1).view(np.int64)
+                items = pa.array([sets[i:j].tobytes() for i, j in zip(to[:-1], to[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("cls")[a:b], pa.array(np.diff(to).astype(np.int64)), items, *(pa.array(marks[:, i].copy()) for i in range(MARKS))], ["cls", "n", "items", *MARK_COLUMNS])
 
     return run
 
@@ -132,7 +179,7 @@ def _likely(percent: int):
             found, used = estimate(a, b, n, m)
             limit = percent / 100
             ok = (found >= limit - 5 * np.sqrt(limit * (1 - limit) / np.maximum(used, 1))) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in (batch.column("a"), batch.column("b"), pa.array(found))], ["a", "b", "about"])
 
     return run
 
@@ -166,6 +213,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links, from those before: the links between components are joined up first."""
+    label = comps.select(F.col("cls").alias("c"), "comp")
+    ends = links.join(label, F.col("a") == F.col("c"), "left").select(F.coalesce("comp", "a").alias("a"), "b")
+    ends = ends.join(label, F.col("b") == F.col("c"), "left").select("a", F.coalesce("comp", "b").alias("b")).where("a <> b").distinct()
+    joined = components(ends).select(F.col("cls").alias("old"), F.col("comp").alias("new"))
+    nodes = comps.union(joined.select("old", "old")).groupBy("cls").agg(F.min("comp").alias("comp"))
+    return stored(nodes.join(joined, F.col("comp") == F.col("old"), "left").select("cls", F.coalesce("new", "comp").alias("comp")), "components")
+
+
 class Search:
     """Stored tables of one run."""
 
@@ -180,14 +237,15 @@ class Search:
         self.members = stored(bands.join(shared, F.col("band") == F.col("key")).select("band", "cls", "hub"), "members")
         searched = stored(self.members.select(F.col("cls").alias("c")).distinct(), "searched")
         self.sketches = stored(self.classes.select("cls", "n", "sketch").join(searched, F.col("cls") == F.col("c"), "left_semi"), "sketches")
-        chosen = read.withColumnRenamed("doc_id", "cls").join(searched, F.col("cls") == F.col("c"), "left_semi")
-        self.sets = stored(chosen.mapInArrow(_sets(words), "cls long, items binary"), "sets")
+        shared = docs.sparkSession.sparkContext.broadcast(bitmap(searched, F.pmod(F.xxhash64("c"), F.lit(1 << FILTER_BITS))))
+        placed = read.where("doc_id is not null").select(F.col("doc_id").alias("cls"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("place"))
+        self.sets = stored(placed.mapInArrow(_sets(words, shared), "cls long, n long, items binary, " + ", ".join(f"{c} long" for c in MARK_COLUMNS)), "sets")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         a = self.sketches.select(F.col("cls").alias("ca"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
         b = self.sketches.select(F.col("cls").alias("cb"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
         both = pairs.join(a, F.col("a") == F.col("ca")).join(b, F.col("b") == F.col("cb"))
-        return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_likely(self.percent), "a long, b long").distinct()
+        return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_likely(self.percent), "a long, b long, about double")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         a = self.sets.select(F.col("cls").alias("ca"), F.col("items").alias("items_a"))
@@ -198,10 +256,11 @@ class Search:
     def run(self) -> DataFrame:
         """(cls, comp) of all classes that have a link."""
         first = self.members.where("cls > hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-        best = stored(self.likely(first).groupBy("b").agg(F.min("a").alias("a")), "candidates")
+        best = stored(self.likely(first).groupBy("b").agg(F.max(F.struct("about", "a")).alias("best")).select("best.a", "b"), "candidates")
         links = stored(self.verified(best), "links")
         comps = components(links)
         alive, left = self.members.select("band", "cls"), 0
+        marks = self.sets.select(F.col("cls").alias("who"), "n", *MARK_COLUMNS)
         while True:
             label = comps.select(F.col("cls").alias("c"), "comp")
             tagged = alive.join(label, F.col("cls") == F.col("c"), "left").select("band", "cls", F.coalesce("comp", "cls").alias("comp"))
@@ -209,16 +268,23 @@ class Search:
             if not mixed.head(1):
                 return comps
             left += 1
-            alive = stored(tagged.join(mixed, F.col("band") == F.col("key")).select("band", "cls", "comp", (F.col("comp") == F.col("low")).alias("main")), "alive")
-            salt = F.pmod(F.xxhash64("cls", F.lit(left)), F.lit(HUBS))
-            hubs = stored(alive.groupBy("band", salt.alias("salt")).agg(F.min(F.struct("main", "cls", "comp")).alias("h")).select(F.col("band").alias("key"), F.col("h.cls").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
-            met = alive.join(hubs, F.col("band") == F.col("key"))
-            pairs = stored(met.where("comp <> hub_comp").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), "pairs")
-            found = stored(self.verified(stored(self.likely(pairs), "likely")), "links")
-            alive = alive.join(hubs, (F.col("band") == F.col("key")) & (F.col("cls") == F.col("hub")), "left_anti").select("band", "cls")
+            alive = tagged.join(mixed, F.col("band") == F.col("key")).withColumn("main", F.col("comp") == F.col("low")).drop("key", "low")
+            alive = stored(alive.join(marks, F.col("cls") == F.col("who")).drop("who"), "alive")
+            salt = F.pmod(F.xxhash64("cls", F.lit(left)), F.lit(HUBS[min(left, len(HUBS)) - 1]))
+            outer = (F.col("main") == (F.col("salt") % 2 == 0)).alias("outer")
+            chosen = alive.withColumn("salt", salt).groupBy("band", "salt").agg(F.min(F.struct(outer, "cls", "comp")).alias("h"))
+            hubs = stored(chosen.select(F.col("band").alias("key"), F.col("h.cls").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
+            known = marks.select(F.col("who").alias("w"), F.col("n").alias("size"), *[F.col(c).alias(f"h_{c}") for c in MARK_COLUMNS])
+            full = hubs.join(known, F.col("hub") == F.col("w")).drop("w")
+            one = reduce(add, (F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(f"h_{c}"))) for c in MARK_COLUMNS))
+            other = reduce(add, (F.bit_count(F.col(f"h_{c}").bitwiseAND(F.bitwise_not(c))) for c in MARK_COLUMNS))
+            most = F.least(F.col("n") - one, F.col("size") - other)  # shingles that the pair can share
+            near = (F.col("band") == F.col("key")) & (F.col("comp") != F.col("hub_comp")) & (100 * most >= self.percent * (F.col("n") + F.col("size") - most))
+            pairs = alive.join(full, near).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+            found = stored(self.verified(stored(self.likely(stored(pairs, "pairs")), "likely").select("a", "b")), "links")
+            alive = alive.join(hubs.select("key", "hub"), (F.col("band") == F.col("key")) & (F.col("cls") == F.col("hub")), "left_anti").select("band", "cls")
             if found.head(1):
-                links = links.union(found)
-                comps = components(links)
+                comps = merged(comps, found)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -16,7 +16,7 @@ LOWERED = VALUES.copy()
 LOWERED[65:91] = VALUES[97:123]
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
-STEP = 2 << 20
+STEP = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
