@@ -11,10 +11,11 @@ How links are found without all pairs of a bucket:
 2. Keys that hold one class are dropped by a partial minimum and maximum. In the others every class is paired with the
    bucket's smallest class. The collision-corrected Jaccard estimate of the sketches drops pairs five standard errors
    below the limit; for each class the remaining partner of the highest estimate is verified on full sets.
-3. Buckets whose classes are still in different components go through rounds: up to HUBS classes (one for each salt; for
-   half of the salts of the bucket's first component and for half outside it if there are any) are paired with all classes of other components, checked in the same way,
-   and leave the bucket. Rounds end when no bucket holds two components, so no candidate between two components is left
-   out, and no bucket ever makes more than max(HUBS) pairs for a row and round.
+3. Buckets whose classes are still in different components go through rounds: some classes of each bucket, one for each
+   salt, are paired with all of its classes of other components, checked in the same way, and leave the bucket. In the
+   first round FIRST_HUBS of them, half from the bucket's first component, join up most of what belongs together; in
+   later rounds up to HUBS from outside it are compared with everything else. Rounds end when no bucket holds two
+   components, so no candidate between two components is left out, and no row ever meets more than HUBS others a round.
    Each class carries 2048 marks, one for each shingle's place; marks of one class that another lacks are shingles it
    lacks, which bounds their similarity from above inside the join, so that only pairs that may reach the limit are rows.
 Full sets are made in a second pass over the texts, only for the classes left in step 2: a bitmap of fixed size lets their
@@ -43,8 +44,8 @@ from .wordhash import U, mix, owner, shingle_sets, word_bounds, word_hashes
 
 REGISTERS, MANTISSA, BAND_ROWS = 256, 10, 6
 BANDS = REGISTERS // BAND_ROWS
-#: Hubs of a bucket in the first rounds and in all later ones: few while components still grow together.
-HUBS = (16, 64, 256)
+#: Hubs of a bucket in the first round, which joins up most components, and in each later one, which rules out the rest.
+FIRST_HUBS, HUBS = 16, 512
 FILTER_BITS = 26
 MARK_BITS = 11
 MARKS = (1 << MARK_BITS) // 64
@@ -270,9 +271,9 @@ class Search:
             left += 1
             alive = tagged.join(mixed, F.col("band") == F.col("key")).withColumn("main", F.col("comp") == F.col("low")).drop("key", "low")
             alive = stored(alive.join(marks, F.col("cls") == F.col("who")).drop("who"), "alive")
-            salt = F.pmod(F.xxhash64("cls", F.lit(left)), F.lit(HUBS[min(left, len(HUBS)) - 1]))
+            salt = F.pmod(F.xxhash64("cls", F.lit(left)), F.lit(FIRST_HUBS if left == 1 else HUBS))
             outer = (F.col("main") == (F.col("salt") % 2 == 0)).alias("outer")
-            chosen = alive.withColumn("salt", salt).groupBy("band", "salt").agg(F.min(F.struct(outer, "cls", "comp")).alias("h"))
+            chosen = (alive if left == 1 else alive.where("not main")).withColumn("salt", salt).groupBy("band", "salt").agg(F.min(F.struct(outer, "cls", "comp")).alias("h"))
             hubs = stored(chosen.select(F.col("band").alias("key"), F.col("h.cls").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
             known = marks.select(F.col("who").alias("w"), F.col("n").alias("size"), *[F.col(c).alias(f"h_{c}") for c in MARK_COLUMNS])
             full = hubs.join(known, F.col("hub") == F.col("w")).drop("w")
@@ -281,7 +282,7 @@ class Search:
             most = F.least(F.col("n") - one, F.col("size") - other)  # shingles that the pair can share
             near = (F.col("band") == F.col("key")) & (F.col("comp") != F.col("hub_comp")) & (100 * most >= self.percent * (F.col("n") + F.col("size") - most))
             pairs = alive.join(full, near).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-            found = stored(self.verified(stored(self.likely(stored(pairs, "pairs")), "likely").select("a", "b")), "links")
+            found = stored(self.verified(stored(self.likely(pairs), "likely").select("a", "b")), "links")
             alive = alive.join(hubs.select("key", "hub"), (F.col("band") == F.col("key")) & (F.col("cls") == F.col("hub")), "left_anti").select("band", "cls")
             if found.head(1):
                 comps = merged(comps, found)
