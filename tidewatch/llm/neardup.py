@@ -12,9 +12,9 @@ How links are found without all pairs of a bucket:
    bucket's smallest class. The collision-corrected Jaccard estimate of the sketches drops pairs five standard errors
    below the limit; for each class the remaining partner of the highest estimate is verified on full sets.
 3. Buckets whose classes are still in different components go through rounds: some classes of each bucket, one for each
-   salt, are paired with all of its classes of other components, checked in the same way, and leave the bucket. In the
+   salt, are paired with all of its classes of other components, checked in the same way. In the
    first round FIRST_HUBS of them, half from the bucket's first component, join up most of what belongs together; in
-   later rounds up to HUBS from outside it are compared with everything else. Rounds end when no bucket holds two
+   later rounds up to HUBS from outside it are compared with everything else and leave the bucket. Rounds end when no bucket holds two
    components, so no candidate between two components is left out, and no row ever meets more than HUBS others a round.
    Each class carries 2048 marks, one for each shingle's place; marks of one class that another lacks are shingles it
    lacks, which bounds their similarity from above inside the join, so that only pairs that may reach the limit are rows.
@@ -283,7 +283,9 @@ class Search:
             near = (F.col("band") == F.col("key")) & (F.col("comp") != F.col("hub_comp")) & (100 * most >= self.percent * (F.col("n") + F.col("size") - most))
             pairs = alive.join(full, near).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
             found = stored(self.verified(stored(self.likely(pairs), "likely").select("a", "b")), "links")
-            alive = alive.join(hubs.select("key", "hub"), (F.col("band") == F.col("key")) & (F.col("cls") == F.col("hub")), "left_anti").select("band", "cls")
+            if left > 1:
+                alive = alive.join(hubs.select("key", "hub"), (F.col("band") == F.col("key")) & (F.col("cls") == F.col("hub")), "left_anti")
+            alive = alive.select("band", "cls")
             if found.head(1):
                 comps = merged(comps, found)
 
