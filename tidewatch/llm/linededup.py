@@ -17,6 +17,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 
@@ -44,7 +45,7 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return stored(sure.union(exact), "boilerplate")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
     def strip(t, r):
         if t is None or r is None or not len(r):
