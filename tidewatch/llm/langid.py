@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import bounded_batches, slices, utf8
 from .wordhash import SPACE, owner, word_bounds
 
 BITS, TRAIN_DOCS, FOLDS, SWITCH = 15, 8000, 5, 6.0
@@ -212,10 +212,12 @@ def spans(model: dict, text: str | None) -> list[tuple[int, int, str]]:
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, by its text alone."""
+    bounded_batches(docs.sparkSession, 2000)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     """docs whose language is known with at least this score; all columns as they were."""
+    bounded_batches(docs.sparkSession, 2000)
     return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), least), docs.schema)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, utf8
+from .common import bounded_batches, slices, stored, utf8
 from .wordhash import U, mix, owner, shingle_sets, word_bounds, word_hashes
 
 REGISTERS, MANTISSA, BAND_ROWS = 256, 10, 6
@@ -228,6 +228,7 @@ class Search:
     """Stored tables of one run."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int) -> None:
+        bounded_batches(docs.sparkSession)
         self.percent = percent
         read = docs.select(F.col("doc_id").cast("long"), "text")
         self.signatures = stored(read.mapInArrow(_signatures(words), SIGNATURE), "signatures")
