@@ -117,3 +117,26 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_batches, SCHEMA)
+
+
+_LENGTHS = [3, *NGRAM_SHARES]
+_FIELDS = ", ".join(f"coalesce(max(CASE WHEN n = {n} THEN c END), 0) AS dup_chars_{n}" for n in NGRAM_SHARES)
+_FINE = " AND ".join(f"dup_chars_{n} <= {share} * word_chars" for n, share in NGRAM_SHARES.items())
+SQL = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+y AS (SELECT doc_id, p, {", ".join("word || ' ' || " + " || ' ' || ".join(f"lead(word, {j}) OVER o" for j in range(1, n)) + f" AS g{n}" for n in _LENGTHS)} FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+i AS ({" UNION ALL ".join(f"SELECT doc_id, p, {n} AS n, g{n} AS gram FROM y WHERE g{n} IS NOT NULL" for n in _LENGTHS)}),
+g AS (SELECT doc_id, n, p, count(*) OVER (PARTITION BY doc_id, n, gram) AS times FROM i),
+m AS (SELECT DISTINCT doc_id, n, unnest(range(p, p + n)) AS p FROM g WHERE times > 1),
+s AS (SELECT m.doc_id, n, sum(length(word)) AS c, count(*) AS words FROM m JOIN x ON m.doc_id = x.doc_id AND m.p = x.p GROUP BY ALL),
+f AS (SELECT doc_id, max(CASE WHEN n = 3 THEN words END) AS n_repeat_words, {_FIELDS} FROM s GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM w),
+r AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS rn FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+t AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) AS dup_line_chars FROM r WHERE rn > 1 GROUP BY doc_id),
+a AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(dup_line_chars, 0) AS BIGINT) AS dup_line_chars, {", ".join(f"CAST(coalesce(dup_chars_{n}, 0) AS BIGINT) AS dup_chars_{n}" for n in NGRAM_SHARES)}
+  FROM w LEFT JOIN f ON w.doc_id = f.doc_id LEFT JOIN t ON w.doc_id = t.doc_id),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND dup_line_chars <= {LINE_SHARE} * word_chars AND {_FINE} AS kept FROM b
+"""

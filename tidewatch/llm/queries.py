@@ -56,4 +56,4 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_near_duplicates, op4_chat_formatting, op5_mixing, op6_decontamination, op7_sharding, op8_language_id, op9_warc, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op4_chat_formatting": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op4_chat_formatting": chat.SQL, "op9_warc": warc.SQL, "op10_quality_rules": quality.SQL}

@@ -172,3 +172,11 @@ def archive_pages(pages: DataFrame) -> DataFrame:
 def export_bundle(row) -> tuple[str, bytes]:
     """File name and bytes of one row of the bundle table."""
     return row["bundle"], bytes(row["content"])
+
+
+SQL = """
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+b AS (SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY x) AS first,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
