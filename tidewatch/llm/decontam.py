@@ -3,9 +3,12 @@
 Words lose case and all bytes but letters and digits; numbers, names (capitalised words inside a sentence) and units
 after a number become typed placeholders. Windows of WINDOW template words are joined by hash with the windows of the
 benchmark items (an item of fewer words is one window of all of them). Joined windows are put together on diagonals
-(item, document place minus item place). On a diagonal each slot value of the item must stand for one value in the
-document and the other way round; a diagonal that breaks this is no match. A document is contaminated when one
-consistent diagonal has at least MATCHED windows, or all windows of a shorter item.
+(item, document place minus item place). A window whose slot values all equal the item's always counts. The changed
+windows count where each slot value of the item stands for one value in the document and the other way round over all
+of them; where they break this, only the equal ones count. Windows are added up on each diagonal, and over every
+stretch of NEAR + 1 diagonals (words put in or left out move the rest of a passage to another diagonal); a window of the
+item counts once. A document is contaminated when one diagonal or stretch has at least MATCHED windows, or all windows
+of a shorter item.
 
 A bitmap of fixed size (2**FILTER_BITS places set by the benchmark's window hashes) is broadcast so that only windows
 that may match become rows; it has no false negatives, and with a large benchmark only lets more rows into the join.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import slices, stored, utf8
 from .wordhash import LOWERED, SPACE, U, mix, ngrams, owner, runs, word_bounds
 
-WINDOW, MATCHED, FILTER_BITS = 8, 6, 24
+WINDOW, MATCHED, NEAR, FILTER_BITS = 8, 6, 4, 24
 # Units that follow a number.
 UNITS = "km m cm mm mi ft in kg g mg lb oz l ml s sec min h hr hour hours minute minutes second seconds day days week weeks month months year years dollars euros usd eur percent mph kmh mile miles meters metres kilometers kilometres grams kilograms pounds liters litres degrees".split()
 DIGIT, UPPER, KEEP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -147,7 +150,7 @@ WINDOWS = "h long, place long, slots array<long>"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, key, item_id, diagonal, windows, of) of each consistent diagonal that contaminates."""
+    """(doc_id, key, item_id, diagonal, windows, of) of each diagonal, or stretch of diagonals, that contaminates."""
     spark = docs.sparkSession
     items = stored(benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("item_id").isNotNull()).mapInArrow(_items, f"item_id long, {WINDOWS}").distinct(), "items")
     places = items.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("p")).distinct().toPandas()["p"].to_numpy()  # 2**FILTER_BITS at most
@@ -160,17 +163,29 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("key"), text.alias("text")).mapInArrow(_documents(shared), f"doc_id long, key string, {WINDOWS}").distinct()
     item = items.select("item_id", F.col("h").alias("ih"), F.col("place").alias("at"), F.col("slots").alias("given"))
     hits = found.join(item, F.col("h") == F.col("ih")).where(F.size("slots") == F.size("given"))
-    diagonal = ["doc_id", "key", "item_id", "diagonal"]
-    hits = stored(hits.select("doc_id", "key", "item_id", (F.col("place") - F.col("at")).alias("diagonal"), "at", F.filter(F.arrays_zip("given", "slots"), lambda p: p["given"] != 0).alias("pairs")), "hits")
-    pairs = hits.select(*diagonal, F.explode("pairs").alias("p")).select(*diagonal, "p.given", "p.slots").distinct()
-    broken = pairs.groupBy(*diagonal).agg(F.count("*").alias("n"), F.count_distinct("given").alias("g"), F.count_distinct("slots").alias("s")).where("n <> g or n <> s")
-    broken = broken.select(*[F.col(c).alias(f"x_{c}") for c in diagonal])
+    hits = hits.select("doc_id", "key", "item_id", (F.col("place") - F.col("at")).alias("diagonal"), "at", (F.col("slots") == F.col("given")).alias("exact"), F.filter(F.arrays_zip("given", "slots"), lambda p: p["given"] != 0).alias("pairs"))
+    hits = stored(hits, "hits")
+    span = ["doc_id", "key", "item_id", "diagonal", "wide"]
+    counted = _spans(hits.select("doc_id", "key", "item_id", "diagonal", "at", "exact")).groupBy(*span, "at").agg(F.max("exact").alias("exact"))
+    counted = counted.groupBy(*span).agg(F.count("*").alias("every"), F.count_if("exact").alias("verbatim"))
+    counted = counted.join(sizes, F.col("item_id") == F.col("sized")).drop("sized").withColumn("least", F.least(F.lit(MATCHED), F.col("of")))
+    counted = stored(counted.where("every >= least"), "counted")
+    pairs = hits.where("not exact").select("doc_id", "key", "item_id", "diagonal", F.explode("pairs").alias("p")).select("doc_id", "key", "item_id", "diagonal", "p.given", "p.slots").distinct()
+    pairs = _spans(pairs).distinct()
+    broken = pairs.groupBy(*span).agg(F.count("*").alias("n"), F.count_distinct("given").alias("g"), F.count_distinct("slots").alias("s")).where("n <> g or n <> s")
+    broken = broken.select(*[F.col(c).alias(f"x_{c}") for c in span])
     same = F.lit(True)
-    for c in diagonal:
+    for c in span:
         same = same & F.col(c).eqNullSafe(F.col(f"x_{c}"))
-    counted = hits.groupBy(*diagonal).agg(F.count_distinct("at").alias("windows")).join(broken, same, "left_anti")
-    full = counted.join(sizes, F.col("item_id") == F.col("sized")).drop("sized")
-    return full.where(F.col("windows") >= F.least(F.lit(MATCHED), F.col("of")))
+    judged = counted.join(broken, same, "left").withColumn("windows", F.when(F.col("x_item_id").isNull(), F.col("every")).otherwise(F.col("verbatim")))
+    return judged.where("windows >= least").select("doc_id", "key", "item_id", "diagonal", "windows", "of")
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """rows once for their own diagonal, and once for each stretch of NEAR + 1 diagonals that theirs lies in (wide, named by its first)."""
+    copies = [F.struct(F.col("diagonal").alias("d"), F.lit(False).alias("w"))] + [F.struct((F.col("diagonal") - i).alias("d"), F.lit(True).alias("w")) for i in range(NEAR + 1)]
+    out = rows.withColumn("span", F.explode(F.array(*copies)))
+    return out.withColumn("diagonal", F.col("span.d")).withColumn("wide", F.col("span.w")).drop("span")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
