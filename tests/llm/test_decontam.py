@@ -27,3 +27,22 @@ def test_windows_add_up_over_near_diagonals(spark):
     more = [*words[:10], "inserted", *words[10:]]
     far = [*words[:10], *[f"other{chr(97 + i)}" for i in range(26)], *words[10:]]
     assert judged(spark, [" ".join(words)], [" ".join(more), " ".join(far)]) == [True, False]
+
+
+def test_placeholders_alone_match_by_value_only(spark):
+    numbers = " ".join(str(100 + 7 * i) for i in range(13))
+    names = " ".join(f"Name{chr(97 + i)}" for i in range(13))
+    texts = [f"so {numbers} it is", "so " + " ".join(str(500 + i) for i in range(13)) + " it is", f"so {names} it is", "so " + " ".join(f"Other{chr(97 + i)}" for i in range(13)) + " it is"]
+    assert judged(spark, [f"x {numbers}", f"x {names}"], texts) == [True, False, True, False]
+
+
+def test_short_items_match_exactly(spark):
+    items = ["What is 5 + 7?", "Answer"]
+    texts = ["and what is 3 4 here", "Now: what is 5 + 7? Well", "the answer is no", "answer", ""]
+    assert judged(spark, items, texts) == [False, True, False, True, False]
+
+
+def test_case_and_punctuation_do_not_hide_a_copy(spark):
+    item = "The train to Oslo left early. Many people from Bergen missed it. Then Anna called her brother in Rome and Paris."
+    assert judged(spark, [item], [item.upper(), item.replace(".", ""), item.lower()]) == [True, True, True]
+    assert judged(spark, ["Run 5 KM in Oslo with Anna and Bob from Rome and then go to Paris"], ["run 5 km in oslo with anna and bob from rome and then go to paris"]) == [True]

@@ -10,6 +10,11 @@ stretch of NEAR + 1 diagonals (words put in or left out move the rest of a passa
 item counts once. A document is contaminated when one diagonal or stretch has at least MATCHED windows, or all windows
 of a shorter item.
 
+A changed window counts only with LITERAL words that aren't slots, so a row of numbers or names matches by its values
+alone. Items of fewer than WINDOW words match only with equal values, and those of fewer than SHORTEST words only a
+document that holds nothing else. Each window with names is looked for in a second form too, in which names are plain
+lower-case words, so that other case or punctuation doesn't hide a copy; numbers may still differ there, names may not.
+
 A bitmap of fixed size (2**FILTER_BITS places set by the benchmark's window hashes) is broadcast so that only windows
 that may match become rows; it has no false negatives, and with a large benchmark only lets more rows into the join.
 
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import slices, stored, utf8
 from .wordhash import LOWERED, SPACE, U, mix, ngrams, owner, runs, word_bounds
 
-WINDOW, MATCHED, NEAR, FILTER_BITS = 8, 6, 4, 24
+WINDOW, MATCHED, NEAR, LITERAL, SHORTEST, FILTER_BITS = 8, 6, 4, 3, 4, 24
 # Units that follow a number.
 UNITS = "km m cm mm mi ft in kg g mg lb oz l ml s sec min h hr hour hours minute minutes second seconds day days week weeks month months year years dollars euros usd eur percent mph kmh mile miles meters metres kilometers kilometres grams kilograms pounds liters litres degrees".split()
 DIGIT, UPPER, KEEP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -52,15 +57,15 @@ def _unit_hashes() -> np.ndarray:
 UNIT_HASHES = _unit_hashes()
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray, inner: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash of each word, its own hash where it is a slot (else 0), the words' starts, and each document's first word.
+def canonical(data: np.ndarray, offsets: np.ndarray, inner: bool = False) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Template hash of each word and its own hash where it is a slot (else 0), the same without names, and each document's first word.
 
     Words without a letter or digit are left out. inner: a text's first word is read as inside a sentence, as it is
     where the text was put after other words.
     """
     starts, ends, first = word_bounds(data, offsets)
     if not len(starts):
-        return np.zeros(0, U), np.zeros(0, U), starts, first
+        return (np.zeros(0, U), np.zeros(0, U)), (np.zeros(0, U), np.zeros(0, U)), first
     kept = np.concatenate(([0], np.cumsum(KEEP[data])))
     solid = kept[ends] > kept[starts]
     doc = owner(first)
@@ -85,7 +90,11 @@ def canonical(data: np.ndarray, offsets: np.ndarray, inner: bool = False) -> tup
     template = np.where(number, mix(np.full(1, NUMBER))[0], np.where(name, mix(np.full(1, NAME))[0], np.where(unit, mix(np.full(1, UNIT))[0], surface)))
     slot = np.where(number | name | unit, surface, U(0))
     count = np.concatenate(([0], np.cumsum(solid)))[first]
-    return template[solid], slot[solid], starts[solid], count
+    # the form without names: the same for any case and punctuation
+    plain_unit = after & np.isin(surface, UNIT_HASHES) & ~number
+    plain = np.where(number, mix(np.full(1, NUMBER))[0], np.where(plain_unit, mix(np.full(1, UNIT))[0], surface))
+    plain_slot = np.where(number | plain_unit, surface, U(0))
+    return (template[solid], slot[solid]), (plain[solid], plain_slot[solid]), count
 
 
 def windows(template: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,14 +129,25 @@ def _emit(ids, hashes, doc, place, length, slot, first):
     )
 
 
+def _differ(plain: np.ndarray, template: np.ndarray, first: np.ndarray, doc: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each window's two forms differ."""
+    other = np.concatenate(([0], np.cumsum(plain != template)))
+    at = first[doc] + place
+    return other[at + length] > other[at]
+
+
 def _items(batches):
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         for inner in (False, True):
-            template, slot, _, first = canonical(data, offsets, inner)
+            (template, slot), (plain, plain_slot), first = canonical(data, offsets, inner)
             found = windows(template, first)
             hashes, doc, place, length = (x[found[2] == 0] for x in found) if inner else found
             yield _emit({"item_id": batch.column("item_id")}, hashes, doc, place, length, slot, first)
+            if not inner:
+                hashes, doc, place, length = windows(plain, first)
+                new = _differ(plain, template, first, doc, place, length)
+                yield _emit({"item_id": batch.column("item_id")}, hashes[new], doc[new], place[new], length[new], plain_slot, first)
 
 
 def _documents(shared):
@@ -136,12 +156,16 @@ def _documents(shared):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in slices(offsets):
-                template, slot, _, first = canonical(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                parts = [x[:4] for x in (windows(template, first), shorter(template, first, lengths))]
-                hashes, doc, place, length = (np.concatenate(x) for x in zip(*parts, strict=True))
-                at = hashes >> U(64 - FILTER_BITS)
-                maybe = np.flatnonzero((bitmap[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1)
-                yield _emit({c: batch.column(c)[a:b] for c in ("doc_id", "key")}, hashes[maybe], doc[maybe], place[maybe], length[maybe], slot, first)
+                (template, slot), (plain, plain_slot), first = canonical(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for form, values in ((template, slot), (plain, plain_slot)):
+                    parts = [x[:4] for x in (windows(form, first), shorter(form, first, lengths))]
+                    hashes, doc, place, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    at = hashes >> U(64 - FILTER_BITS)
+                    maybe = (bitmap[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
+                    if form is plain:
+                        maybe &= _differ(plain, template, first, doc, place, length)
+                    maybe = np.flatnonzero(maybe)
+                    yield _emit({c: batch.column(c)[a:b] for c in ("doc_id", "key")}, hashes[maybe], doc[maybe], place[maybe], length[maybe], values, first)
 
     return run
 
@@ -156,15 +180,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     places = items.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("p")).distinct().toPandas()["p"].to_numpy()  # 2**FILTER_BITS at most
     bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     np.bitwise_or.at(bitmap, places >> 3, (1 << (places & 7)).astype(np.uint8))
-    lengths = sorted(r[0] for r in items.select(F.size("slots").alias("n")).where(f"n < {WINDOW}").distinct().collect())  # below WINDOW of them
+    lengths = sorted(r[0] for r in items.select(F.size("slots").alias("n")).where(f"n >= {SHORTEST} and n < {WINDOW}").distinct().collect())  # below WINDOW of them
     shared = spark.sparkContext.broadcast((bitmap, lengths))
     sizes = items.groupBy(F.col("item_id").alias("sized")).agg(F.count_distinct("place").alias("of"))
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("key"), text.alias("text")).mapInArrow(_documents(shared), f"doc_id long, key string, {WINDOWS}").distinct()
     item = items.select("item_id", F.col("h").alias("ih"), F.col("place").alias("at"), F.col("slots").alias("given"))
     hits = found.join(item, F.col("h") == F.col("ih")).where(F.size("slots") == F.size("given"))
-    hits = hits.select("doc_id", "key", "item_id", (F.col("place") - F.col("at")).alias("diagonal"), "at", (F.col("slots") == F.col("given")).alias("exact"), F.filter(F.arrays_zip("given", "slots"), lambda p: p["given"] != 0).alias("pairs"))
-    hits = stored(hits, "hits")
+    hits = hits.select("doc_id", "key", "item_id", (F.col("place") - F.col("at")).alias("diagonal"), "at", (F.col("slots") == F.col("given")).alias("exact"), F.size("given").alias("n"), F.filter(F.arrays_zip("given", "slots"), lambda p: p["given"] != 0).alias("pairs"))
+    worded = (F.size("pairs") <= WINDOW - LITERAL) & (F.col("n") == WINDOW)
+    hits = stored(hits.where(F.col("exact") | worded).drop("n"), "hits")
     span = ["doc_id", "key", "item_id", "diagonal", "wide"]
     counted = _spans(hits.select("doc_id", "key", "item_id", "diagonal", "at", "exact")).groupBy(*span, "at").agg(F.max("exact").alias("exact"))
     counted = counted.groupBy(*span).agg(F.count("*").alias("every"), F.count_if("exact").alias("verbatim"))
