@@ -23,20 +23,27 @@ def folder(spark) -> str:
 
 
 def stream(spark, sf_dir):
-    """The events table as a stream; a late marker row per scenario closes nothing by itself."""
+    """The events table as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return rows.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 5).alias("scenario"), F.col("value").alias("bytes"), F.expr(FEATURES["failed_auth"]).alias("failed_auth"))
 
 
+def flushed(spark, sf_dir, width: str, stride: str | None = None):
+    """All windows of the events table, the last open ones too."""
+    path = folder(spark)
+    rows = stream(spark, sf_dir)
+    return live.drain(live.windows(live.closable(rows, f"{path}/end"), width, stride), "windows", f"{path}/c", (rows.schema, f"{path}/end"))
+
+
 def closed(hours: int) -> str:
-    """Rows of the windows that the last watermark has closed."""
+    """Rows of the windows that the last event has closed; the queries also have the windows after these."""
     return f"WITH e AS (SELECT user_id % 5 AS scenario, ts, value, CAST(event_type = 'error' AS INT) AS f FROM events), m AS (SELECT max(ts) AS last FROM e)"
 
 
 @(lambda f: QUERIES.setdefault("m1_tumbling_windows", f))
 def m1(spark, sf_dir):
-    out = live.drain(live.windows(stream(spark, sf_dir), "3 hours"), f"m1_{uuid.uuid4().hex}", folder(spark))
+    out = flushed(spark, sf_dir, "3 hours")
     return out.select("scenario", F.unix_micros("start").alias("start_us"), "event_count", F.round("bytes", 6).alias("bytes"), F.round("failed_auth", 6).alias("failed_auth"))
 
 
@@ -45,7 +52,7 @@ ORACLE_SQL["m1_tumbling_windows"] = closed(3) + ", w AS (SELECT scenario, epoch_
 
 @(lambda f: QUERIES.setdefault("m2_sliding_windows", f))
 def m2(spark, sf_dir):
-    out = live.drain(live.windows(stream(spark, sf_dir), "6 hours", "3 hours"), f"m2_{uuid.uuid4().hex}", folder(spark))
+    out = flushed(spark, sf_dir, "6 hours", "3 hours")
     return out.select("scenario", F.unix_micros("start").alias("start_us"), "event_count", F.round("bytes", 6).alias("bytes"))
 
 
@@ -56,10 +63,12 @@ ORACLE_SQL["m2_sliding_windows"] = closed(6) + ", s AS (SELECT scenario, value,
 def m6(spark, sf_dir):
     """Tumbling windows written by one stream, scored by another that keeps the last three of each scenario."""
     path = folder(spark)
-    first = live.windows(stream(spark, sf_dir), "3 hours").writeStream.format("parquet").option("path", f"{path}/states").option("checkpointLocation", f"{path}/c1").trigger(availableNow=True).start()
-    first.awaitTermination()
-    states = spark.readStream.schema("scenario long, start timestamp, end timestamp, event_count long, bytes double, failed_auth double").parquet(f"{path}/states")
-    return live.drain(live.score_history(states), f"m6_{uuid.uuid4().hex}", f"{path}/c2").select("scenario", F.unix_micros("start").alias("start_us"), F.round("z", 6).alias("z"), "held")
+    rows = stream(spark, sf_dir)
+    states = live.windows(live.closable(rows, f"{path}/end"), "3 hours")
+    start = lambda: states.writeStream.format("parquet").option("path", f"{path}/states").option("checkpointLocation", f"{path}/c1").trigger(availableNow=True).start()
+    live.finish(start, (rows.schema, f"{path}/end"))
+    held = spark.readStream.schema("scenario long, start timestamp, end timestamp, event_count long, bytes double, failed_auth double").parquet(f"{path}/states")
+    return live.drain(live.score_history(held), "scores", f"{path}/c2").select("scenario", F.unix_micros("start").alias("start_us"), F.round("z", 6).alias("z"), "held")
 
 
 ORACLE_SQL["m6_history_scoring"] = ORACLE_SQL["m1_tumbling_windows"].replace(" SELECT w.* FROM w, m WHERE", ", c AS (SELECT w.* FROM w, m WHERE") + "), h AS (SELECT *, avg(bytes) OVER p AS mu, stddev_pop(bytes) OVER p AS sd, count(*) OVER p AS held FROM c WINDOW p AS (PARTITION BY scenario ORDER BY start_us ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) SELECT scenario, start_us, round(CASE WHEN held < 3 THEN 0 WHEN sd = 0 THEN 6 ELSE (bytes - mu) / sd END, 6) AS z, CAST(held AS INT) AS held FROM h"

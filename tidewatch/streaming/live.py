@@ -102,11 +102,37 @@ def incidents(alerts: DataFrame, gap: str = "300 seconds", late: str = "0 second
     return rows.agg(F.count("*").alias("findings"), F.max("probability").alias("peak")).select("scenario", F.col("w.start").alias("first_seen"), "findings", "peak")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there now, and return its rows: the flush at the end of a stream."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+#: Event time of the marker that closes a stream; no event is later (pandas ends in 2262).
+END = "2261-12-31 00:00:00"
+
+
+def closable(events: DataFrame, path: str) -> DataFrame:
+    """events and the marker rows that drain() puts into the folder ``path``: rows of nulls but for ts and us."""
+    spark = events.sparkSession
+    spark.createDataFrame([], events.schema).write.mode("append").parquet(path)
+    return events.union(spark.readStream.schema(events.schema).parquet(path))
+
+
+def finish(query_of, marker: tuple | None) -> None:
+    """Run the query that query_of() starts over all that is there now; with a marker (schema, path) run it again behind the stream's end."""
+    query_of().awaitTermination()
+    if marker:
+        schema, path = marker
+        spark = SparkSession.active()
+        at = {"ts": F.lit(END).cast("timestamp"), "us": F.unix_micros(F.lit(END).cast("timestamp"))}
+        spark.range(1).select(*[at.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(path)
+        query_of().awaitTermination()
+
+
+def drain(stream: DataFrame, name: str, checkpoint: str, marker: tuple | None = None) -> DataFrame:
+    """Run a stream over all that is there now, and return its rows from a Parquet folder beside the checkpoint.
+
+    With a marker (schema and folder of closable()), the watermark is then pushed past the last window and the last open
+    flow, which are emitted too: the flush at the end of a stream. Without one, what is still open stays in state.
+    """
+    rows = f"{checkpoint.rstrip('/')}-{name}"
+    finish(lambda: stream.writeStream.format("parquet").option("path", rows).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), marker)
+    return stream.sparkSession.read.schema(stream.schema).parquet(rows)
 
 
 def status(states: DataFrame, threshold: float) -> DataFrame:
