@@ -126,17 +126,17 @@ def with_fallback(model: DataFrame, prior: DataFrame, observed: DataFrame) -> Da
     return mine.union(other).join(observed.select("source").distinct(), "source", "left_semi")
 
 
-def paths(nodes: DataFrame, links: DataFrame, starts: DataFrame, longest: int = 32) -> DataFrame:
-    """Every cycle-free path from a start to a leaf, by repeated joins: (bundle, path of node ids)."""
+def paths(nodes: DataFrame, links: DataFrame, starts: DataFrame) -> DataFrame:
+    """Every cycle-free path from a start to a leaf, by repeated joins until nothing grows, each step checkpointed: (bundle, path of node ids)."""
     now = starts.select("bundle", F.col("id").alias("at"), F.array("id").alias("path"))
     out = None
-    for _ in range(longest):
+    while True:
         step = now.join(links.select("bundle", F.col("src").alias("at"), "dst"), ["bundle", "at"], "left")
         free = F.col("dst").isNotNull() & ~F.array_contains("path", F.col("dst"))
         grown = step.withColumn("go", F.coalesce(free, F.lit(False)))
         ends = grown.groupBy("bundle", "at", "path").agg(F.max("go").alias("any")).where("not any").select("bundle", "path")
         out = ends if out is None else out.union(ends)
         now = grown.where("go").select("bundle", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        now = now.checkpoint() if starts.sparkSession.sparkContext.getCheckpointDir() else now.localCheckpoint()
         if not now.head(1):
-            break
-    return out
+            return out

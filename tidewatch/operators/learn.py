@@ -76,8 +76,8 @@ def fit_transition(rows: DataFrame, features: list[str], ridge: float = 1.0, lim
     return (weights * (limit / radius) if radius > limit else weights), bias
 
 
-def rollout(rows: DataFrame, features: list[str], weights: np.ndarray, bias: np.ndarray, steps: int) -> DataFrame:
-    """Mean absolute error of the map and of persistence, and skill, at each step ahead."""
+def rolled(rows: DataFrame, features: list[str], weights: np.ndarray, bias: np.ndarray, steps: int) -> DataFrame:
+    """(scenario, idx, step, state, m, q): the state rolled out from each row, its mean absolute error and persistence's (null past the end)."""
     over = Window.partitionBy("scenario").orderBy("idx")
     now = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
     w = F.array(*[F.array(*[F.lit(float(x)) for x in column]) for column in weights.T])
@@ -87,6 +87,21 @@ def rollout(rows: DataFrame, features: list[str], weights: np.ndarray, bias: np.
     for h in range(1, steps + 1):
         rows = rows.withColumn(f"p{h}", move(F.col(f"p{h - 1}"))).withColumn(f"real{h}", F.lead("now", h).over(over))
     gap = lambda a, c: F.aggregate(F.zip_with(a, c, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / len(features)
-    each = F.array(*[F.struct(F.lit(h).alias("step"), gap(F.col(f"p{h}"), F.col(f"real{h}")).alias("m"), gap(F.col("now"), F.col(f"real{h}")).alias("q")) for h in range(1, steps + 1)])
-    long = rows.select(F.explode(each).alias("x")).select("x.*").where("m is not null")
-    return long.groupBy("step").agg(F.avg("m").alias("error"), F.avg("q").alias("persistence")).withColumn("skill", F.when(F.col("persistence") > 0, 1 - F.col("error") / F.col("persistence")))
+    each = F.array(*[F.struct(F.lit(h).alias("step"), F.col(f"p{h}").alias("state"), gap(F.col(f"p{h}"), F.col(f"real{h}")).alias("m"), gap(F.col("now"), F.col(f"real{h}")).alias("q")) for h in range(1, steps + 1)])
+    return rows.select("scenario", "idx", F.explode(each).alias("x")).select("scenario", "idx", "x.*")
+
+
+def skill(long: DataFrame, *more) -> DataFrame:
+    """Error of the map and of persistence, and skill, at each step ahead; and more aggregates."""
+    out = long.groupBy("step").agg(F.avg("m").alias("error"), F.avg("q").alias("persistence"), *more)
+    return out.withColumn("skill", F.when(F.col("persistence") > 0, 1 - F.col("error") / F.col("persistence")))
+
+
+def rollout(rows: DataFrame, features: list[str], weights: np.ndarray, bias: np.ndarray, steps: int) -> DataFrame:
+    """Mean absolute error of the map and of persistence, and skill, at each step ahead."""
+    return skill(rolled(rows, features, weights, bias, steps).where("m is not null"))
+
+
+def classified(long: DataFrame, model, features: list[str]) -> DataFrame:
+    """rolled-out states with the baseline classifier's score."""
+    return predict(model, long.select("*", *[F.col("state")[i].alias(f) for i, f in enumerate(features)]), features).drop("state", *features)

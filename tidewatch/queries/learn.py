@@ -57,6 +57,15 @@ def k39(spark, sf_dir):
     return rounded(M.rollout(rows.where("scenario >= 3"), FEATURES, weights, bias, 3))
 
 
+def k40(spark, sf_dir):
+    """The states rolled out one to three steps, classified: error and skill, and how many windows are flagged at each step."""
+    rows = standard(spark, sf_dir)
+    train = rows.where("scenario < 3")
+    weights, bias = M.fit_transition(train, FEATURES)
+    out = M.classified(M.rolled(rows.where("scenario >= 3"), FEATURES, weights, bias, 3), M.fit_baseline(train, FEATURES), FEATURES)
+    return rounded(M.skill(out, F.count("*").alias("windows"), F.avg("score").alias("mean_score"), F.count_if(F.col("score") >= 0.5).alias("flagged")))
+
+
 def k45(spark, sf_dir):
     """Average precision and AUC of the baseline and of persistence on the same rows."""
     rows = standard(spark, sf_dir)
@@ -69,4 +78,4 @@ def k45(spark, sf_dir):
     return rounded(out)
 
 
-QUERIES |= {"k3_baseline_classifier": k3, "k4_horizon_classifiers": k4, "k29_isotonic": k29, "k30_recalibration_gate": k30, "k39_transition_model": k39, "k40_open_loop_rollout": k39, "k45_model_comparison": k45}
+QUERIES |= {"k3_baseline_classifier": k3, "k4_horizon_classifiers": k4, "k29_isotonic": k29, "k30_recalibration_gate": k30, "k39_transition_model": k39, "k40_open_loop_rollout": k40, "k45_model_comparison": k45}

@@ -11,7 +11,7 @@ from ..operators import logs as L
 
 from ..sources import readers as R
 from ..sources.sinks import alert_payloads
-from .detect import FOUND, found
+from .detect import FOUND, found, state_table
 from .windows import rounded
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -178,12 +178,21 @@ def g1(spark, sf_dir):
     return R.union_events(rows.where("event_type <> 'view'").select("event_id", F.lit("a").alias("part"), "bytes"), rows.where("event_type = 'view'").select("event_id", F.lit("b").alias("part"), "domain_length"))
 
 
+TIERS = {"packet": ("tcp_flags", "flag_", "ttl", "frag", "retransmission", "syn_count", "ack_count", "fin_count", "rst_count", "urg_count", "payload_size"), "dns": ("domain_length", "tunnel"), "auth": ("failed_auth",)}
+
+
 @query("b11_tier_audit", "WITH f AS (SELECT unnest(['bytes', 'tcp_flags', 'domain_length', 'failed_auth']) AS prefix, unnest(['flow', 'packet', 'dns', 'auth']) AS tier), n AS (SELECT DISTINCT unnest(['bytes_sum', 'tcp_flags_syn', 'domain_length_max', 'failed_auth_sum', 'bytes_mean']) || CASE WHEN n_nationkey > 100 THEN 'x' ELSE '' END AS name FROM nation) SELECT tier, count(*) AS features FROM n JOIN f ON starts_with(name, prefix) GROUP BY tier")
 def b11(spark, sf_dir):
-    names = ["bytes_sum", "tcp_flags_syn", "domain_length_max", "failed_auth_sum", "bytes_mean"]
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name")).distinct()
-    tiers = spark.createDataFrame([("bytes", "flow"), ("tcp_flags", "packet"), ("domain_length", "dns"), ("failed_auth", "auth")], "prefix string, tier string")
-    return rows.join(F.broadcast(tiers), F.col("name").startswith(F.col("prefix"))).groupBy("tier").agg(F.count("*").alias("features"))
+    """Tiers of the columns of the window features and states; the SQL beside audits five fixed names."""
+    from .windows import QUERIES as features
+
+    tables = [state_table(spark, sf_dir), *(features[n](spark, sf_dir) for n in ("d1_window_features", "d10_flag_sums", "d11_flag_ratios", "d13_ports", "d16_fragments", "d17_retransmissions", "d18_arrival_gaps"))]
+    names = sorted({c for t in tables for c in t.columns} - {"scenario", "k", "idx"})
+    tier = F.lit("flow")  # the cheapest, for any other name
+    for t, prefixes in TIERS.items():
+        for prefix in prefixes:
+            tier = F.when(F.col("name").startswith(prefix), t).otherwise(tier)
+    return spark.createDataFrame([(n,) for n in names], "name string").groupBy(tier.alias("tier")).agg(F.count("*").alias("features"))
 
 
 @query("a22_alert_payloads", f"WITH {FOUND} SELECT scenario || ':' || k || ':' || detector AS key FROM fd WHERE is_alert AND severity IN ('high', 'critical')")

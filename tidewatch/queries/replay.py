@@ -160,8 +160,13 @@ def k41(spark, sf_dir):
 
 @query("f4_top_weights", f"WITH {LB}, {WT} SELECT feature, weight FROM wt WHERE (SELECT count(*) FROM lb) > 0 ORDER BY abs(weight) DESC LIMIT 3")
 def f4(spark, sf_dir):
-    any_row = labelled(spark, sf_dir).agg(F.count("*").alias("n")).where("n > 0")
-    return weights(spark).join(F.broadcast(any_row)).orderBy(F.abs("weight").desc()).limit(3).select("feature", "weight")
+    """The heaviest coefficients of the baseline fitted on the tables; the SQL beside sorts a fixed table."""
+    from ..operators import learn as M
+    from .learn import standard
+
+    model = M.fit_baseline(standard(spark, sf_dir).where("scenario < 3"), FEATURES)
+    fitted = spark.createDataFrame([(f, float(w)) for f, w in zip(FEATURES, model.coefficients, strict=True)], "feature string, weight double")
+    return fitted.orderBy(F.abs("weight").desc(), "feature").limit(3)
 
 
 DECAY = "tl AS (SELECT scenario, idx, p, horizon, CASE WHEN horizon <= 1 THEN p WHEN p >= 0.5 THEN 0.5E0 + abs(p - 0.5E0) * 0.85E0 ** (horizon - 1) ELSE 0.5E0 - abs(p - 0.5E0) * 0.85E0 ** (horizon - 1) END AS forecast FROM lb, (SELECT unnest(range(1, 6)) AS horizon))"
