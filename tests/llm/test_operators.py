@@ -84,6 +84,36 @@ def test_near_copies_chain_across_rounds(spark):
     assert got == label
 
 
+def test_repeated_rows_do_not_multiply(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(f"v{i}x{j}" if (j * 7 + i * 13) % 200 < 2 * (i % 12) else w for j, w in enumerate(base)), "en", "a", 0) for i in range(60)]
+    found = []
+    for table in (rows, rows * 3):
+        search = neardup.Search(spark.createDataFrame(table, SCHEMA), 2, 80)
+        comps = {r["cls"]: r["comp"] for r in search.run().collect()}
+        assert search.sets.count() == search.sets.select("cls").distinct().count()
+        found.append((comps, search.members.count(), search.sets.count()))
+    assert found[0] == found[1]
+
+
+def test_repeated_ids_are_told_apart_by_text(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (None, text("a")), (None, text("c")), (3, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).withColumn("gone", F.lit("mine"))
+    got = Counter((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs, 5).collect())
+    assert got == Counter({(1, 1): 2, (2, 1): 1, (None, 1): 1, (None, None): 1, (3, 3): 2})
+    left = neardup.one_of_each(docs.union(docs), 5)
+    assert left.columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"], r["gone"]) for r in left.collect())
+    assert kept == Counter({(1, text("a"), "mine"): 1, (1, text("b"), "mine"): 1, (None, text("c"), "mine"): 1, (3, None, "mine"): 4})
+
+
+def test_blocks_of_a_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    monkeypatch.setattr(neardup, "FIRST_HUBS", 2)
+    test_near_copies_chain_across_rounds(spark)
+
+
 def test_line_dedup(spark, odd, none):
     rows = [(i, f"Buy now!  \nown line {i}\n\nBuy now!", "en", f"s{i % 6}", 0) for i in range(12)] + [(50, "rare\nrare", "en", "s1", 0), (51, None, "en", "s1", 0)]
     out = {r["doc_id"]: r for r in linededup.remove_boilerplate(spark.createDataFrame(rows, SCHEMA).withColumn("n_lines", F.lit("clash"))).collect()}

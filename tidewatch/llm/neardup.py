@@ -7,30 +7,34 @@ register borrows, for banding only, the one that a fixed random ranking of regis
 so short texts are found as surely as long ones. At a similarity of 0.8 a pair shares no band with a chance of 3e-6.
 
 How links are found without all pairs of a bucket:
-1. Documents with equal sets form a class (two 64-bit sums over the set), and only classes go on.
+1. Documents with equal sets form a class (a 64-bit key of the set), and only classes go on.
 2. Keys that hold one class are dropped by a partial minimum and maximum. In the others every class is paired with the
    bucket's smallest class. The collision-corrected Jaccard estimate of the sketches drops pairs five standard errors
    below the limit; for each class the remaining partner of the highest estimate is verified on full sets.
-3. Buckets whose classes are still in different components go through rounds: some classes of each bucket, one for each
-   salt, are paired with all of its classes of other components, checked in the same way. In the
-   first round FIRST_HUBS of them, half from the bucket's first component, join up most of what belongs together; in
-   later rounds up to HUBS from outside it are compared with everything else and leave the bucket. Rounds end when no bucket holds two
-   components, so no candidate between two components is left out, and no row ever meets more than HUBS others a round.
-   Each class carries 2048 marks, one for each shingle's place; marks of one class that another lacks are shingles it
-   lacks, which bounds their similarity from above inside the join, so that only pairs that may reach the limit are rows.
-Full sets are made in a second pass over the texts, only for the classes left in step 2: a bitmap of fixed size lets their
-documents pass (and a few others, the more the more classes there are), so that texts are never shuffled.
+3. Buckets whose classes are still in different components go through hub rounds: FIRST_HUBS classes of each bucket, half
+   of them from its first component, are paired with all of its classes of other components. Rounds go on while each
+   halves the classes outside their buckets' first components ("outsiders"), so there are at most log2 of them.
+4. One exact pass then pairs every outsider that is left with all classes of its buckets in other components. Before it,
+   shingles that a single remaining class holds are counted: a class can share at most its other ones with any
+   partner, which rules most classes out by numbers alone. Inside the join a pair has to pass that bound and the one of
+   2048 marks, one for each shingle's place: marks of one class that another lacks are shingles it lacks. Only pairs that
+   may reach the limit are rows. Buckets are cut into blocks on both sides, so no key meets in one task.
+   Of two classes of one bucket in different components at least one is an outsider, so no candidate is left out.
+Full sets are made in a second pass over the texts, only for the classes left in step 2: a bitmap lets their documents pass
+(and a few others, which a join removes), so that texts are never shuffled. A hub's sketch or set is sent once for each
+block of BLOCK partners and held while they stream by, never repeated in each pair's row.
 Components come from repeated minimum-neighbour steps with shortcuts over stored tables.
 
-Shingles are compared by 64-bit hashes. Defined results: a null, empty or word-less text has an empty set and is linked
-with nothing; a text of fewer words than a shingle has its whole sequence as its set; repeated rows and ties form one
-class whose component is the smallest doc_id; rows that repeat a doc_id count as one document, linked with each other;
-a row with a null doc_id isn't a link for others, and has its class's component (null if the class has no id);
-other columns aren't read; an empty table gives an empty result.
+Shingles and sets are compared by 64-bit hashes. Defined results: a null, empty or word-less text has an empty set and is
+linked with nothing; a text of fewer words than a shingle has its whole sequence as its set; repeated rows and ties form
+one class; a component is named by its smallest doc_id (null if it has none); rows of one doc_id with different texts are
+told apart by their texts; a row with a null doc_id takes part like any other; other columns aren't read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -44,15 +48,16 @@ from .wordhash import U, mix, owner, shingle_sets, word_bounds, word_hashes
 
 REGISTERS, MANTISSA, BAND_ROWS = 256, 10, 6
 BANDS = REGISTERS // BAND_ROWS
-#: Hubs of a bucket in the first round, which joins up most components, and in each later one, which rules out the rest.
-FIRST_HUBS, HUBS = 16, 512
-FILTER_BITS = 26
+#: Hubs of a bucket in a hub round, and the greatest number of rows of a bucket, or partners of a hub, in one block.
+FIRST_HUBS, BLOCK = 16, 4096
+#: Places of the bitmaps, by the number of rows they stand for: at least eight each up to 2**MOST_BITS places (32 MB).
+LEAST_BITS, MOST_BITS = 20, 28
 MARK_BITS = 11
 MARKS = (1 << MARK_BITS) // 64
 MARK_COLUMNS = [f"m{i}" for i in range(MARKS)]
 RANKING = np.random.default_rng(977).permuted(np.tile(np.arange(REGISTERS, dtype=np.int32), (REGISTERS, 1)), axis=1)
 FACTORS = np.random.default_rng(978).integers(1, 2**64, (BANDS, BAND_ROWS), dtype=np.uint64) | U(1)
-SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"
+SIGNATURE = "doc_id long, key long, n_shingles long, cls long, sketch binary"
 
 
 def registers(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -95,6 +100,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.maximum(0, same - chance) / np.maximum(union, 1), union
 
 
+def class_keys(sets: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each set, from two sums over its shingles."""
+    one, two = (np.diff(np.concatenate((np.zeros(1, U), np.cumsum(mix(sets ^ U(seed)), dtype=U)))[to]) for seed in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
+    return mix(one ^ mix(two + U(0x9B05688C2B3E6C1F))).astype(np.int64)
+
+
 def _signatures(size: int):
     def run(batches):
         for batch in batches:
@@ -103,50 +114,55 @@ def _signatures(size: int):
                 x, places = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, _, first = word_bounds(x, places)
                 sets, to = shingle_sets(word_hashes(x, starts, lower=True), first, size)
-                total = lambda v, to=to: np.diff(np.concatenate((np.zeros(1, U), np.cumsum(v, dtype=U)))[to]).astype(np.int64)
                 rows = registers(sets, to)
+                own = [batch.column(c)[a:b] for c in ("doc_id", "key")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[a:b], pa.array(np.diff(to).astype(np.int64)), pa.array(total(mix(sets ^ U(0x1F83D9ABFB41BD6B)))), pa.array(total(mix(sets ^ U(0x5BE0CD19137E2179)))), pa.array([r.tobytes() for r in rows], pa.binary())],
-                    ["doc_id", "n_shingles", "s1", "s2", "sketch"],
+                    [*own, pa.array(np.diff(to).astype(np.int64)), pa.array(class_keys(sets, to)), pa.array([r.tobytes() for r in rows], pa.binary())],
+                    ["doc_id", "key", "n_shingles", "cls", "sketch"],
                 )
 
     return run
 
 
-def bitmap(ids: DataFrame, place) -> np.ndarray:
-    """A filter of 2**FILTER_BITS places with those of all rows set; its size doesn't depend on their number."""
-    words = ids.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("v"))
-    found = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()  # 2**(FILTER_BITS - 6) rows at most
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[found["w"].to_numpy()] = found["v"].to_numpy()
-    return out.view(U)
+class Places:
+    """A bitmap of row keys, as an expression for a key's place and a broadcast of the places that are set."""
+
+    def __init__(self, keys: DataFrame, column: str) -> None:
+        n = keys.count()
+        self.bits = max(LEAST_BITS, min(MOST_BITS, int(n * 8).bit_length()))
+        place = self.place(F.col(column))
+        words = keys.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("v"))
+        found = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()  # 2**(MOST_BITS - 6) rows at most
+        out = np.zeros(1 << (self.bits - 6), np.int64)
+        out[found["w"].to_numpy()] = found["v"].to_numpy()
+        self.shared = keys.sparkSession.sparkContext.broadcast(out.view(U))
+
+    def place(self, key):
+        return F.pmod(F.xxhash64(key), F.lit(1 << self.bits))
+
+
+def seen(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[place >> 6] >> (place & 63).astype(U)) & U(1) == 1
 
 
 def _flag(shared):
     def run(batches):
         for batch in batches:
-            place = batch.column("__place").to_numpy(zero_copy_only=False)
-            seen = (shared.value[place >> 6] >> (place & 63).astype(U)) & U(1) == 1
-            yield batch.set_column(batch.schema.get_field_index("__place"), "__place", pa.array(seen.astype(np.int64)))
+            hit = seen(shared.value, batch.column("__place").to_numpy(zero_copy_only=False))
+            yield batch.set_column(batch.schema.get_field_index("__place"), "__place", pa.array(hit.astype(np.int64)))
 
     return run
 
 
-def without(docs: DataFrame, gone: DataFrame, column: str) -> DataFrame:
-    """docs without the rows whose doc_id is in ``gone``. Only rows that a fixed-size bitmap lets through meet the join."""
-    place = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(gone, place))
-    placed = docs.withColumn("__place", F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)), F.lit(0).cast("long")))
-    flagged = placed.mapInArrow(_flag(shared), placed.schema)
-    maybe = flagged.where("__place = 1").join(gone.select(F.col(column).alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
-    return flagged.where("__place = 0").union(maybe).drop("__place")
+def row_key(id_column: str = "doc_id"):
+    """A row's identity: equal for rows of the same doc_id and text."""
+    return F.xxhash64(F.col(id_column).cast("long"), F.coalesce(F.col("text"), F.lit("")))
 
 
 def _sets(size: int, shared):
     def run(batches):
         for batch in batches:
-            place = batch.column("place").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((shared.value[place >> 6] >> (place & 63).astype(U)) & U(1) == 1))
+            batch = batch.filter(pa.array(seen(shared.value, batch.column("place").to_numpy(zero_copy_only=False))))
             data, offsets = utf8(batch.column("text"))
             for a, b in slices(offsets):
                 x, places = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -156,7 +172,10 @@ def _sets(size: int, shared):
                 bits[owner(to), (sets >> U(64 - MARK_BITS)).astype(np.int64)] = 1
                 marks = np.packbits(bits, axis=1).view(np.int64)
                 items = pa.array([sets[i:j].tobytes() for i, j in zip(to[:-1], to[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("cls")[a:b], pa.array(np.diff(to).astype(np.int64)), items, *(pa.array(marks[:, i].copy()) for i in range(MARKS))], ["cls", "n", "items", *MARK_COLUMNS])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(class_keys(sets, to)), pa.array(np.diff(to).astype(np.int64)), items, *(pa.array(marks[:, i].copy()) for i in range(MARKS))],
+                    ["cls", "n", "items", *MARK_COLUMNS],
+                )
 
     return run
 
@@ -170,34 +189,58 @@ def _bands(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column("cls").to_numpy(zero_copy_only=False), BANDS))], ["band", "cls"])
 
 
-def _likely(percent: int):
+def _shingles(batches):
+    for batch in batches:
+        for at in range(0, len(batch), 100):
+            part = batch.slice(at, 100)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("items")]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("cls").to_numpy(zero_copy_only=False), [len(x) for x in sets])), pa.array(np.concatenate(sets))], ["cls", "shingle"])
+
+
+def _beside(judge: Callable):
+    """Rows (a, n, b, payload) sorted so that a hub's own row (b null) comes before its partners: judged beside the hub held."""
+
     def run(batches):
+        hub = None
         for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.array([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(c)]) for c in ("sketch_a", "sketch_b"))
-            n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("n_a", "n_b"))
-            found, used = estimate(a, b, n, m)
-            limit = percent / 100
-            ok = (found >= limit - 5 * np.sqrt(limit * (1 - limit) / np.maximum(used, 1))) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in (batch.column("a"), batch.column("b"), pa.array(found))], ["a", "b", "about"])
+            own = batch.column("b").is_null().to_numpy(zero_copy_only=False)
+            cuts = [0, *np.flatnonzero(own).tolist(), len(batch)]
+            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(at, to - at)
+                if len(part) and own[at]:
+                    hub = (part.column("n")[0].as_py(), part.column("payload")[0].as_py())
+                    part = part.slice(1)
+                if len(part):
+                    ok, about = judge(*hub, part.column("n").to_numpy(zero_copy_only=False), part.column("payload"))
+                    yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(about)], ["a", "b", "about"]).filter(pa.array(ok))
 
     return run
 
 
+def _likely(percent: int):
+    limit = percent / 100
+
+    def judge(n, sketch, m, sketches):
+        b = np.array([np.frombuffer(x.as_buffer(), np.uint16) for x in sketches])
+        a, m = np.broadcast_to(np.frombuffer(sketch, np.uint16), b.shape), m.astype(np.float64)
+        found, used = estimate(a, b, np.full(len(b), float(n)), m)
+        return (found >= limit - 5 * np.sqrt(limit * (1 - limit) / np.maximum(used, 1))) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)), found
+
+    return judge
+
+
 def _verify(percent: int):
-    def run(batches):
-        for batch in batches:
-            ok = np.zeros(len(batch), bool)
-            for k, (x, y) in enumerate(zip(batch.column("items_a"), batch.column("items_b"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                ok[k] = shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
+    def judge(n, items, m, payloads):
+        hub, shared = np.frombuffer(items, U), np.zeros(len(m), np.int64)
+        for k, x in enumerate(payloads):
+            x = np.frombuffer(x.as_buffer(), U)
+            at = np.searchsorted(hub, x)
+            shared[k] = int((hub[np.minimum(at, len(hub) - 1)] == x).sum())
+        union = n + m - shared
+        return (shared > 0) & (100 * shared >= percent * union), shared / np.maximum(union, 1)
 
-    return run
+    return judge
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,7 +251,8 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels, F.col("b") == F.col("cls")).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, F.col("cls") == F.col("a"), "left").select("cls", "comp", F.least("comp", "near").alias("now"))
         up = labels.select(F.col("cls").alias("up"), F.col("comp").alias("over"))
-        step = stored(step.join(up, F.col("now") == F.col("up"), "left").select("cls", F.least("now", "over").alias("comp"), (F.least("now", "over") < F.col("comp")).alias("moved")), "labels")
+        now = F.least("now", "over")
+        step = stored(step.join(up, F.col("now") == F.col("up"), "left").select("cls", now.alias("comp"), (now < F.col("comp")).alias("moved")), "labels")
         labels = step.select("cls", "comp")
         if not step.where("moved").head(1):
             return labels
@@ -230,74 +274,169 @@ class Search:
     def __init__(self, docs: DataFrame, words: int, percent: int) -> None:
         bounded_batches(docs.sparkSession)
         self.percent = percent
-        read = docs.select(F.col("doc_id").cast("long"), "text")
+        read = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), "text")
         self.signatures = stored(read.mapInArrow(_signatures(words), SIGNATURE), "signatures")
-        some = self.signatures.where("n_shingles > 0 and doc_id is not null")
-        self.classes = stored(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+        some = self.signatures.where("n_shingles > 0")
+        self.classes = stored(some.groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
         bands = self.classes.select("cls", "sketch").mapInArrow(_bands, "band long, cls long")
-        shared = stored(bands.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top").select(F.col("band").alias("key"), "hub"), "buckets")
-        self.members = stored(bands.join(shared, F.col("band") == F.col("key")).select("band", "cls", "hub"), "members")
-        searched = stored(self.members.select(F.col("cls").alias("c")).distinct(), "searched")
-        self.sketches = stored(self.classes.select("cls", "n", "sketch").join(searched, F.col("cls") == F.col("c"), "left_semi"), "sketches")
-        shared = docs.sparkSession.sparkContext.broadcast(bitmap(searched, F.pmod(F.xxhash64("c"), F.lit(1 << FILTER_BITS))))
-        placed = read.where("doc_id is not null").select(F.col("doc_id").alias("cls"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("place"))
-        self.sets = stored(placed.mapInArrow(_sets(words, shared), "cls long, n long, items binary, " + ", ".join(f"{c} long" for c in MARK_COLUMNS)), "sets")
+        shared = bands.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top")
+        shared = stored(shared.select(F.col("band").alias("shared_band"), "hub"), "buckets")
+        self.members = stored(bands.join(shared, F.col("band") == F.col("shared_band")).select("band", "cls", "hub"), "members")
+        searched = self.members.select(F.col("cls").alias("c")).distinct()
+        self.sketches = stored(self.classes.select("cls", "key", "n", F.col("sketch").alias("payload")).join(searched, F.col("cls") == F.col("c"), "left_semi"), "sketches")
+        places = Places(self.sketches, "key")
+        placed = read.select("text", places.place(F.col("key")).alias("place"))
+        found = placed.mapInArrow(_sets(words, places.shared), "cls long, n long, items binary, " + ", ".join(f"{c} long" for c in MARK_COLUMNS))
+        wanted = self.sketches.select(F.col("cls").alias("c"))
+        self.sets = stored(found.join(wanted, F.col("cls") == F.col("c"), "left_semi").dropDuplicates(["cls"]), "sets")
+
+    def beside(self, pairs: DataFrame, table: DataFrame, judge: Callable) -> DataFrame:
+        """(a, b, about) of the pairs that ``judge`` lets pass. table: cls, n, payload; a is the side with many partners."""
+        blocks = pairs.groupBy(F.col("a").alias("hub")).agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"))
+        blocks = stored(blocks, "hubs")
+        hubs = table.join(blocks, F.col("cls") == F.col("hub"))
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+        hubs = hubs.select(F.col("hub").alias("a"), each, F.lit(None).cast("long").alias("b"), "n", "payload")
+        placed = pairs.join(blocks, F.col("a") == F.col("hub")).select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
+        partners = placed.join(table, F.col("b") == F.col("cls")).select("a", "block", "b", "n", "payload")
+        rows = hubs.union(partners).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+        return rows.select("a", "b", "n", "payload").mapInArrow(_beside(judge), "a long, b long, about double")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        a = self.sketches.select(F.col("cls").alias("ca"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        b = self.sketches.select(F.col("cls").alias("cb"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        both = pairs.join(a, F.col("a") == F.col("ca")).join(b, F.col("b") == F.col("cb"))
-        return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_likely(self.percent), "a long, b long, about double")
+        return self.beside(pairs, self.sketches.select("cls", "n", "payload"), _likely(self.percent))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        a = self.sets.select(F.col("cls").alias("ca"), F.col("items").alias("items_a"))
-        b = self.sets.select(F.col("cls").alias("cb"), F.col("items").alias("items_b"))
-        both = pairs.join(a, F.col("a") == F.col("ca")).join(b, F.col("b") == F.col("cb"))
-        return both.select("a", "b", "items_a", "items_b").mapInArrow(_verify(self.percent), "a long, b long").distinct()
+        return self.beside(pairs, self.sets.select("cls", "n", F.col("items").alias("payload")), _verify(self.percent)).select("a", "b")
+
+    def mixed(self, members: DataFrame, comps: DataFrame) -> DataFrame:
+        """Members of the buckets that hold two components, with their component and whether it's the bucket's first one."""
+        label = comps.select(F.col("cls").alias("c"), "comp")
+        tagged = members.select("band", "cls").join(label, F.col("cls") == F.col("c"), "left").select("band", "cls", F.coalesce("comp", "cls").alias("comp"))
+        return stored(self.still_mixed(tagged), "alive")
+
+    def still_mixed(self, tagged: DataFrame) -> DataFrame:
+        two = tagged.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("band").alias("mixed_band"), "low")
+        return tagged.join(two, F.col("band") == F.col("mixed_band")).withColumn("main", F.col("comp") == F.col("low")).drop("mixed_band", "low")
+
+    def enough(self, most, n, m):
+        """Whether sets of n and m shingles that share at most ``most`` may reach the limit."""
+        return (100 + self.percent) * most >= self.percent * (n + m)
+
+    def marks(self, prefix: str) -> DataFrame:
+        return self.sets.select(F.col("cls").alias(f"{prefix}cls"), F.col("n").alias(f"{prefix}n"), *[F.col(c).alias(f"{prefix}{c}") for c in MARK_COLUMNS])
+
+    def most_shared(self):
+        """The greatest number of shingles that x and y can share, by their marks."""
+        lacks = lambda a, b: reduce(add, (F.bit_count(F.col(f"{a}{c}").bitwiseAND(F.bitwise_not(f"{b}{c}"))) for c in MARK_COLUMNS))
+        return F.least(F.col("x_n") - lacks("x_", "y_"), F.col("y_n") - lacks("y_", "x_"))
+
+    def hub_pairs(self, alive: DataFrame, turn: int) -> DataFrame:
+        """(a, b): FIRST_HUBS classes of each bucket with those of other components that they may be linked with."""
+        outer = (F.col("main") == (F.col("salt") % 2 == 0)).alias("outer")
+        salted = alive.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(FIRST_HUBS)))
+        chosen = salted.groupBy("band", "salt").agg(F.min(F.struct(outer, "cls", "comp")).alias("h"))
+        hubs = stored(chosen.select(F.col("band").alias("x_band"), F.col("h.cls").alias("x"), F.col("h.comp").alias("x_comp")), "hubs")
+        hubs = hubs.join(self.marks("x_"), F.col("x") == F.col("x_cls"))
+        others = alive.select("band", "cls", "comp").join(self.marks("y_"), F.col("cls") == F.col("y_cls"))
+        near = (F.col("band") == F.col("x_band")) & (F.col("comp") != F.col("x_comp")) & self.enough(self.most_shared(), F.col("x_n"), F.col("y_n"))
+        return others.join(hubs, near).select(F.col("x").alias("a"), F.col("cls").alias("b")).distinct()
+
+    def reachable(self, alive: DataFrame) -> DataFrame:
+        """alive with n and most (shingles that some other class of alive has too), without the classes that these rule out."""
+        held = self.sets.select("cls", "n", "items").join(alive.select(F.col("cls").alias("c")).distinct(), F.col("cls") == F.col("c"), "left_semi")
+        held = stored(held, "held")
+        single = held.select("cls", "items").mapInArrow(_shingles, "cls long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("cls").alias("only")).where("k = 1")
+        single = single.groupBy("only").agg(F.count("*").alias("single"))
+        sizes = held.select(F.col("cls").alias("c"), "n").join(single, F.col("c") == F.col("only"), "left")
+        sizes = stored(sizes.select("c", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("most")).where(100 * F.col("most") >= self.percent * F.col("n")), "sizes")
+        rows = self.still_mixed(alive.join(sizes, F.col("cls") == F.col("c")).drop("c", "main"))
+        outside = ~F.col("main")
+        ends = rows.groupBy("band").agg(
+            F.min("n").alias("least"), F.max("most").alias("widest"), F.min(F.when(outside, F.col("n"))).alias("out_least"), F.max(F.when(outside, F.col("most"))).alias("out_widest")
+        )
+        rows = rows.join(ends.withColumnRenamed("band", "ends_band"), F.col("band") == F.col("ends_band"))
+        main_ok = self.enough(F.least("most", "out_widest"), F.col("n"), F.col("out_least"))
+        out_ok = self.enough(F.least("most", "widest"), F.col("n"), F.col("least"))
+        rows = rows.where(F.when(F.col("main"), main_ok).otherwise(out_ok)).select("band", "cls", "comp", "n", "most")
+        return stored(self.still_mixed(rows), "reachable")
+
+    def outsider_pairs(self, alive: DataFrame) -> DataFrame:
+        """(a, b): every outsider with each class of another component in its buckets that it may be linked with."""
+        size = alive.groupBy(F.col("band").alias("sized")).agg((F.floor(F.count("*") / BLOCK) + 1).alias("rows"), (F.floor(F.count_if(~F.col("main")) / BLOCK) + 1).alias("cols"))
+        cut = alive.join(stored(size, "sized"), F.col("band") == F.col("sized"))
+        block = lambda of: F.pmod(F.xxhash64("cls", F.lit("block")), F.col(of))
+        every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+        outs = cut.where("not main").select(F.col("band").alias("x_band"), F.col("cls").alias("x"), F.col("comp").alias("x_comp"), F.col("most").alias("x_most"), block("cols").alias("x_col"), every("rows").alias("x_row"))
+        rest = cut.select("band", "cls", "comp", "main", "most", block("rows").alias("row"), every("cols").alias("col"))
+        outs = outs.join(self.marks("x_"), F.col("x") == F.col("x_cls"))
+        rest = rest.join(self.marks("y_"), F.col("cls") == F.col("y_cls"))
+        meet = (F.col("band") == F.col("x_band")) & (F.col("row") == F.col("x_row")) & (F.col("col") == F.col("x_col"))
+        once = (F.col("comp") != F.col("x_comp")) & (F.col("main") | (F.col("x") < F.col("cls")))
+        near = self.enough(F.least("most", "x_most", self.most_shared()), F.col("x_n"), F.col("y_n"))
+        return rest.join(outs, meet & once & near).select(F.col("x").alias("a"), F.col("cls").alias("b")).distinct()
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        likely = stored(self.likely(stored(pairs, "pairs")), "likely")
+        return stored(self.verified(likely.select("a", "b")), "links")
 
     def run(self) -> DataFrame:
         """(cls, comp) of all classes that have a link."""
-        first = self.members.where("cls > hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+        first = stored(self.members.where("cls > hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "first")
         best = stored(self.likely(first).groupBy("b").agg(F.max(F.struct("about", "a")).alias("best")).select("best.a", "b"), "candidates")
-        links = stored(self.verified(best), "links")
-        comps = components(links)
-        alive, left = self.members.select("band", "cls"), 0
-        marks = self.sets.select(F.col("cls").alias("who"), "n", *MARK_COLUMNS)
+        comps, before, turn = components(stored(self.verified(best), "links")), None, 0
+        alive = self.mixed(self.members, comps)
         while True:
-            label = comps.select(F.col("cls").alias("c"), "comp")
-            tagged = alive.join(label, F.col("cls") == F.col("c"), "left").select("band", "cls", F.coalesce("comp", "cls").alias("comp"))
-            mixed = stored(tagged.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("band").alias("key"), "low"), "mixed")
-            if not mixed.head(1):
+            outside = alive.where("not main").select("cls").distinct().count()
+            if not outside:
                 return comps
-            left += 1
-            alive = tagged.join(mixed, F.col("band") == F.col("key")).withColumn("main", F.col("comp") == F.col("low")).drop("key", "low")
-            alive = stored(alive.join(marks, F.col("cls") == F.col("who")).drop("who"), "alive")
-            salt = F.pmod(F.xxhash64("cls", F.lit(left)), F.lit(FIRST_HUBS if left == 1 else HUBS))
-            outer = (F.col("main") == (F.col("salt") % 2 == 0)).alias("outer")
-            chosen = (alive if left == 1 else alive.where("not main")).withColumn("salt", salt).groupBy("band", "salt").agg(F.min(F.struct(outer, "cls", "comp")).alias("h"))
-            hubs = stored(chosen.select(F.col("band").alias("key"), F.col("h.cls").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
-            known = marks.select(F.col("who").alias("w"), F.col("n").alias("size"), *[F.col(c).alias(f"h_{c}") for c in MARK_COLUMNS])
-            full = hubs.join(known, F.col("hub") == F.col("w")).drop("w")
-            one = reduce(add, (F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(f"h_{c}"))) for c in MARK_COLUMNS))
-            other = reduce(add, (F.bit_count(F.col(f"h_{c}").bitwiseAND(F.bitwise_not(c))) for c in MARK_COLUMNS))
-            most = F.least(F.col("n") - one, F.col("size") - other)  # shingles that the pair can share
-            near = (F.col("band") == F.col("key")) & (F.col("comp") != F.col("hub_comp")) & (100 * most >= self.percent * (F.col("n") + F.col("size") - most))
-            pairs = alive.join(full, near).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-            found = stored(self.verified(stored(self.likely(pairs), "likely").select("a", "b")), "links")
-            if left > 1:
-                alive = alive.join(hubs.select("key", "hub"), (F.col("band") == F.col("key")) & (F.col("cls") == F.col("hub")), "left_anti")
-            alive = alive.select("band", "cls")
-            if found.head(1):
-                comps = merged(comps, found)
+            if before is not None and 2 * outside > before:
+                break
+            before, turn = outside, turn + 1
+            found = self.linked(self.hub_pairs(alive, turn))
+            if not found.head(1):
+                break
+            comps = merged(comps, found)
+            alive = self.mixed(alive, comps)
+        found = self.linked(self.outsider_pairs(self.reachable(alive)))
+        return merged(comps, found) if found.head(1) else comps
+
+
+def labelled(search: Search) -> DataFrame:
+    """(c, group, least_id) of every class with shingles: its component's key and smallest doc_id."""
+    comps = search.run().select(F.col("cls").alias("linked"), "comp")
+    known = search.classes.select("cls", "least_id").join(comps, F.col("cls") == F.col("linked"), "left")
+    known = stored(known.select(F.col("cls").alias("c"), F.coalesce("comp", "cls").alias("group"), "least_id"), "class-components")
+    least = known.groupBy(F.col("group").alias("g")).agg(F.min("least_id").alias("component_id"))
+    return known.drop("least_id").join(least, F.col("group") == F.col("g")).drop("g")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; kept marks the smallest doc_id of a component."""
     search = Search(docs, words, percent)
-    comps = search.run().select(F.col("cls").alias("c"), "comp")
-    known = search.classes.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "cls").join(comps, F.col("cls") == F.col("c"), "left")
-    known = stored(known.select("k1", "k2", F.coalesce("comp", "cls").alias("component_id")), "class-components")
-    rows = search.signatures.select("doc_id", "n_shingles", "s1", "s2")
-    full = rows.join(known, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n_shingles") > 0), "left")
+    known = stored(labelled(search), "labels")
+    rows = search.signatures.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls"))
+    full = rows.join(known, F.col("cls") == F.col("c"), "left")
     found = full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component (that of its smallest doc_id, null last), all columns as they were.
+
+    Rows equal in doc_id and text stay once; rows without words all stay. Only rows that may go meet a shuffle.
+    """
+    search = Search(docs, words, percent)
+    known = labelled(search).select("c", "group")
+    rows = search.signatures.where("n_shingles > 0").groupBy("key", "cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    rows = stored(rows.join(known, F.col("cls") == F.col("c")).select("key", "group", "doc_id", "n"), "rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    stays = rows.groupBy(F.col("group").alias("g")).agg(F.min_by("key", order).alias("stay"), F.count("*").alias("of"))
+    judged = rows.join(stays.where("of > 1"), F.col("group") == F.col("g"), "left").select(F.col("key").alias("__k"), F.coalesce(F.col("key") != F.col("stay"), F.lit(False)).alias("__gone"), (F.col("n") > 1).alias("__again"))
+    judged = stored(judged.where("__gone or __again"), "judged")
+    places = Places(judged, "__k")
+    placed = docs.withColumn("__key", row_key()).withColumn("__place", places.place(F.col("__key")))
+    flagged = placed.mapInArrow(_flag(places.shared), placed.schema)
+    maybe = flagged.where("__place = 1").join(judged, F.col("__key") == F.col("__k"), "left")
+    single = maybe.where("__k is null").drop(*judged.columns)
+    twice = maybe.where("__again and not __gone").drop(*judged.columns).dropDuplicates(["__key"])
+    return flagged.where("__place = 0").union(single).union(twice).drop("__place", "__key")
