@@ -8,14 +8,16 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, from spark.checkpoint.dir; one of its own only where that is unset."""
+    """Folder that driver and executors share, from spark.checkpoint.dir; one of its own only where that is unset on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,26 +45,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def with_rank(df: DataFrame, group: list[str], order: list, name: str, hash_of: list, bucket_rows: int = 20_000) -> DataFrame:
+def with_rank(df: DataFrame, group: list[str], order: list, name: str, hash_of: list, bucket_rows: int = 20_000, along: Column | None = None) -> DataFrame:
     """Gapless 0-based position inside each group, without one task per group.
 
-    Rows are ordered by a 64-bit hash of ``hash_of`` and then by ``order``. The hash range is cut into equal buckets,
-    each bucket is numbered by itself, and running sums over the bucket counts (groups x buckets rows) give the offsets.
-    A group of any size is spread over its buckets. df is read twice, so it should be stored or cheap.
+    Rows are ordered by a 64-bit hash of ``hash_of`` and then by ``order``; with ``along``, a column of distinct values
+    from 0 to about the number of rows, by it instead. Its range is cut into equal buckets, each bucket is numbered by
+    itself, and running sums over the bucket counts (groups x buckets rows) give the offsets. A group of any size is
+    spread over its buckets. df is read twice, so it should be stored or cheap.
     """
-    n = df.count()
-    bits = max(0, int(np.ceil(np.log2(max(1, n / bucket_rows)))))
-    hashed = df.withColumn("__h", F.xxhash64(*hash_of))
-    hashed = hashed.withColumn("__b", F.shiftright(F.col("__h"), 64 - bits) if bits else F.lit(0).cast("long"))
+    n, tasks = df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(n / bucket_rows, min(4 * tasks, n / 500), 1)
+    bits = max(0, int(np.ceil(np.log2(buckets))))
+    if along is None:
+        hashed = df.withColumn("__h", F.xxhash64(*hash_of))
+        hashed = hashed.withColumn("__b", F.shiftright(F.col("__h"), 64 - bits) if bits else F.lit(0).cast("long"))
+    else:
+        hashed = df.withColumn("__h", along.cast("long")).withColumn("__b", F.floor(F.col("__h") / max(1.0, n / buckets)))
     counts = hashed.groupBy(*group, "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__b").alias("__gb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    names = [F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]
+    offsets = counts.select(*names, F.col("__b").alias("__gb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     inside = Window.partitionBy(*group, "__b").orderBy("__h", *order)
     ranked = hashed.withColumn("__r", F.row_number().over(inside) - 1)
     on = F.col("__b").eqNullSafe(F.col("__gb"))
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    return ranked.join(offsets, on).withColumn(name, F.col("__off") + F.col("__r")).drop("__h", "__b", "__r", "__off", "__gb", *[f"__g{i}" for i in range(len(group))])
+    out = ranked.join(offsets, on).withColumn(name, F.col("__off") + F.col("__r"))
+    return out.drop("__h", "__b", "__r", "__off", "__gb", *[f"__g{i}" for i in range(len(group))])
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,56 +1,87 @@
 """Sharding by longest processing time.
 
-Groups of equal texts stay together. Groups are sorted by size and each goes to the least-loaded shard through a heap.
-A group of at least ``1/FINE`` of a shard's fair share is an item of its own, so there are at most shards * FINE of
-them. Smaller groups meet by a hash of their text in one of BUNDLES bundles, each of which is one item; a corpus has
-any number of groups, but the heap sees at most shards * FINE + BUNDLES items, whose placement is broadcast.
+Groups of equal texts stay together. Groups are taken by size, the largest first, and each goes to the least-loaded
+shard through a heap. The driver holds the distinct sizes with the number of groups of each, not the groups: equal
+groups that follow each other go to the shards in turns, so the heap's choices for one size are a few runs (a first rank,
+and the shards in turn), and a group finds its shard by its rank inside its size. Distinct sizes add up to the square of
+their number at least, so there are at most the square root of twice the bytes of them.
 
 Sizes are UTF-8 bytes plus 8. Defined results: a null text counts as an empty one and groups with it; repeated rows are
 kept and stay together; null doc_ids are kept; extra columns stay unless they bear an output name, which is replaced;
-an empty table gives an empty result. Ties in size fall to the smaller item key and the smaller shard number.
+an empty table gives an empty result. Ties in size fall in the order of a hash of the text, and to the smaller shard number.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, with_rank
 
-FINE, BUNDLES = 1000, 1 << 15
 OVERHEAD = 8
+#: Rows of a lookup table that may be broadcast; groups of more than 1/HOT of all rows are looked up by broadcast.
+SMALL, HOT = 100_000, 1000
 
 
-def lpt(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
-    """Shard of each (size, key), largest first, always to the least-loaded shard."""
-    heap, placed = [(0, s) for s in range(shards)], {}
-    for size, key in sorted(items, key=lambda x: (-x[0], x[1])):
-        load, shard = heapq.heappop(heap)
-        placed[key] = shard
-        heapq.heappush(heap, (load + size, shard))
-    return placed
+def lpt_runs(sizes: Iterable[tuple[int, int]], shards: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """(size, runs) for (size, groups) pairs: a run is the rank it begins at and the shards that take the groups from there in turn.
 
+    Largest size first, each group to the least-loaded shard, the smaller number on ties. The heap gives the shards in
+    the order of their loads; those that come before the first one's next turn take turns until a further shard's load
+    is reached, and all these turns are one run.
+    """
+    loads, out = [0] * shards, []
+    for size, groups in sorted(sizes, reverse=True):
+        rank, runs = 0, []
+        while rank < groups:
+            heap = [(load, s) for s, load in enumerate(loads)]
+            heapq.heapify(heap)
+            turn = [heapq.heappop(heap)]
+            while heap and heap[0] < (turn[0][0] + size, turn[0][1]):
+                turn.append(heapq.heappop(heap))
+            rounds = groups
+            if heap:
+                (load, s), (last, t) = heap[0], turn[-1]
+                rounds = (load - last - (t > s)) // size + 1
+            picks = min(rounds * len(turn), groups - rank)
+            whole, rest = divmod(picks, len(turn))
+            runs.append((rank, [s for _, s in turn]))
+            for i, (_, s) in enumerate(turn):
+                loads[s] += (whole + (i < rest)) * size
+            rank += picks
+        out.append((size, runs))
+    return out
 
-def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """docs without text, with size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in a shard) and grown_shard (null)."""
+
+def shard_documents(docs: DataFrame, shards: int = 24, arrange: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """docs without text, with size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in a shard) and grown_shard (null).
+
+    arrange: gives the narrow rows (without text, with its key in __key) a column __order from 0, which slots follow;
+    without it they follow a hash.
+    """
     spark, text = docs.sparkSession, F.coalesce(F.col("text"), F.lit(""))
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    sized = docs.drop(*made).withColumn("size", F.octet_length(text).cast("long") + OVERHEAD).withColumn("text_crc32", F.crc32(text)).withColumn("__d", F.md5(text)).drop("text")
-    sized = stored(sized, "shard-sizes")
-    groups = sized.groupBy("__d").agg(F.sum("size").alias("__s"))
-    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("__d"), F.lit(BUNDLES)).cast("string"))
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    least = max(1, total // (shards * FINE))
-    item = F.when(F.col("__s") >= least, F.col("__d")).otherwise(bundle)
-    groups = stored(groups.withColumn("__item", item), "shard-groups")
-    items = groups.groupBy("__item").agg(F.sum("__s").alias("__s")).collect()  # at most shards * FINE + BUNDLES rows
-    placed = lpt([(r["__s"], r["__item"]) for r in items], shards)
-    large = spark.createDataFrame([(k, s) for k, s in placed.items() if k[0] != "b" or len(k) == 32], "__ld string, __ls int")
-    small = spark.createDataFrame([(k, s) for k, s in placed.items() if not (k[0] != "b" or len(k) == 32)], "__sd string, __ss int")
-    shard = F.coalesce(F.col("__ls"), F.col("__ss"))
-    out = sized.withColumn("__b", bundle)
-    out = out.join(F.broadcast(large), F.col("__d") == F.col("__ld"), "left").join(F.broadcast(small), F.col("__b") == F.col("__sd"), "left")
-    out = out.withColumn("shard", shard).drop("__ld", "__ls", "__sd", "__ss", "__b").withColumn("law", F.lit("bytes"))
-    return with_rank(out, ["shard"], ["doc_id", "__d"], "slot", ["doc_id", "__d"]).drop("__d").withColumn("grown_shard", F.lit(None).cast("int"))
+    sized = docs.withColumn("__size", F.octet_length(text).cast("long") + OVERHEAD).withColumn("__crc", F.crc32(text)).withColumn("__d", F.md5(text)).withColumn("__key", F.xxhash64("doc_id", F.xxhash64("text")))
+    sized = stored(sized.drop("text", *made).withColumnsRenamed({"__size": "size", "__crc": "text_crc32"}), "shard-sizes")
+    if arrange:
+        sized = stored(arrange(sized), "shard-order")
+    groups = stored(sized.groupBy("__d").agg(F.sum("size").alias("__s"), F.count("*").alias("__n")), "shard-groups")
+    counts = groups.groupBy("__s").agg(F.count("*").alias("n")).toPandas()  # a row per distinct size
+    runs = lpt_runs(zip(counts["__s"].tolist(), counts["n"].tolist(), strict=True), shards)
+    table = spark.createDataFrame(runs, "__of long, __runs array<struct<start: long, turn: array<int>>>")
+    ranked = with_rank(groups, ["__s"], ["__d"], "__rank", ["__d"]).join(F.broadcast(table) if len(runs) <= SMALL else table, F.col("__s") == F.col("__of"))
+    run = F.element_at(F.filter("__runs", lambda x: x["start"] <= F.col("__rank")), -1)
+    placed = ranked.withColumn("__run", run).select(F.col("__d").alias("__g"), "__n", F.get(F.col("__run.turn"), ((F.col("__rank") - F.col("__run.start")) % F.size("__run.turn")).cast("int")).alias("shard"))
+    placed = stored(placed, "shard-places")
+    hot = sized.count() // HOT + 1
+    large = placed.where(F.col("__n") > hot).select(F.col("__g").alias("__lg"), F.col("shard").alias("__ls"))  # fewer than HOT rows
+    out = sized.join(F.broadcast(large), F.col("__d") == F.col("__lg"), "left")
+    rest = out.where("__lg is null").drop("__lg", "__ls").join(placed.drop("__n"), F.col("__d") == F.col("__g")).drop("__g")
+    out = rest.unionByName(out.where("__lg is not null").withColumn("shard", F.col("__ls")).drop("__lg", "__ls"))
+    out = stored(out.withColumn("law", F.lit("bytes")), "shard-rows")
+    order = ["doc_id", "__d"]
+    slotted = with_rank(out, ["shard"], order, "slot", order, along=F.col("__order") if arrange else None)
+    return slotted.drop("__d", "__key", "__order").withColumn("grown_shard", F.lit(None).cast("int"))
