@@ -9,8 +9,8 @@ whose text that script was seen; a word's score is the sum of its trigrams' log-
 with a penalty for each switch, labels spans. The label with most letters-bearing words is the document's language and
 its share of such words the score.
 
-Defined results: a text that is null or has no letter, or no word of a script of any learned language, is ``und`` with
-score 0; with no training text at all every text is; ties fall to the first language by name; rows are independent, so
+Defined results: a text that is null or has no letter is ``und`` with score 0; a text with letters but no word of a
+script of any learned language is judged over all languages; with no training text at all every text is ``und``; ties fall to the first language by name; rows are independent, so
 repeated rows repeat their result; a null doc_id counts as held out and is kept; other columns aren't read.
 """
 
@@ -109,11 +109,12 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     All documents go forward together, one word a step, the longest first, so that those still running are a prefix.
     """
     words, labels = scores.shape
+    assert labels < 1 << 15, "labels are 16-bit numbers"
     counts = np.diff(first)
     order = np.argsort(-counts, kind="stable")
     begin, left = first[:-1][order], counts[order]
     running = np.searchsorted(-left, -np.arange(1, (left[0] if len(left) else 0) + 1), side="right")
-    back, state = np.zeros((words, labels), np.int8), np.zeros((len(order), labels), np.float64)
+    back, state = np.zeros((words, labels), np.int16), np.zeros((len(order), labels), np.float64)
     for t, k in enumerate(running):
         at, now = begin[:k] + t, state[:k]
         if t:
@@ -123,7 +124,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
             back[at] = np.where(switch, best[:, None], np.arange(labels))
             now = np.where(switch, jump, now)
         state[:k] = now + scores[at]
-    out = np.zeros(words, np.int8)
+    out = np.zeros(words, np.int16)
     label = state.argmax(axis=1)
     for t in range(len(running) - 1, -1, -1):
         k = running[t]
@@ -133,8 +134,11 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return out
 
 
-def label_words(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores (words x languages), whether a word has a candidate, and the first word of each document."""
+def label_words(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scores (words x languages), whether a word counts, the first word of each document, and how many have a candidate by script.
+
+    In a document without a word of a known script all words count, for all languages.
+    """
     starts, ends, first = word_bounds(data, offsets)
     grams, langs = trigrams(data, offsets), len(model["langs"])
     scores = np.zeros((len(starts), langs), np.float32)
@@ -144,27 +148,33 @@ def label_words(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
         scores[:, k] = total[ends] - total[starts]
     allowed = model["seen"][:, scripts].T if langs else np.zeros((len(starts), 0), bool)
     usable = (scripts > 0) & allowed.any(axis=1)
+    total = np.concatenate(([0], np.cumsum(usable)))
+    known = total[first[1:]] - total[first[:-1]]
+    strange = (known == 0)[owner(first)]
+    allowed, usable = allowed | strange[:, None], usable | strange
     scores = np.where(allowed, scores, -1e4 * usable[:, None])
     scores[~usable] = 0
-    return scores.astype(np.float32), usable, first
+    return scores.astype(np.float32), usable, first, known
 
 
-def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text of a column, some megabytes at a time."""
-    names, shares = [], [np.zeros(0)]
+def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text of a column, and whether it has a word of a learned script, some megabytes at a time."""
+    names, shares, known = [], [np.zeros(0)], [np.zeros(0, bool)]
     for a, b in slices(utf8(column)[1], GROUP_BYTES):
-        found, share = predict_group(model, column.slice(a, b - a))
+        found, share, some = predict_group(model, column.slice(a, b - a))
         names += found
         shares.append(share)
-    return names, np.concatenate(shares)
+        known.append(some)
+    return names, np.concatenate(shares), np.concatenate(known)
 
 
-def predict_group(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
+def predict_group(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     data, offsets = utf8(column)
     parts = [label_words(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)] if model["langs"] else []
     n, langs = len(column), len(model["langs"])
-    votes = np.zeros((n, max(1, langs)), np.int64)
+    votes, familiar = np.zeros((n, max(1, langs)), np.int64), np.zeros(n, bool)
     if parts:
+        familiar = np.concatenate([p[3] for p in parts]) > 0
         scores, usable = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
         del parts
@@ -175,13 +185,13 @@ def predict_group(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]
     known = (total > 0) & letters
     best = votes.argmax(axis=1)
     names = [model["langs"][b] if k else "und" for b, k in zip(best, known, strict=True)]
-    return names, np.where(known, votes[np.arange(n), best] / np.maximum(1, total), 0.0)
+    return names, np.where(known, votes[np.arange(n), best] / np.maximum(1, total), 0.0), familiar
 
 
 def _predict(shared):
     def run(batches):
         for batch in batches:
-            names, share = predict(shared.value, batch.column("text"))
+            names, share, _ = predict(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(share)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -190,8 +200,8 @@ def _predict(shared):
 def _keep(shared, least: float):
     def run(batches):
         for batch in batches:
-            names, share = predict(shared.value, batch.column("text"))
-            yield batch.filter(pa.array((share >= least) & np.array([x != "und" for x in names], bool)))
+            names, share, familiar = predict(shared.value, batch.column("text"))
+            yield batch.filter(pa.array((share >= least) & familiar & np.array([x != "und" for x in names], bool)))
 
     return run
 
@@ -201,7 +211,7 @@ def spans(model: dict, text: str | None) -> list[tuple[int, int, str]]:
     if not text or not LETTER.search(text) or not model["langs"]:
         return []
     data, offsets = utf8(pa.array([text]))
-    scores, usable, first = label_words(model, data, offsets)
+    scores, usable, first, _ = label_words(model, data, offsets)
     if not usable.any():
         return []
     labels = viterbi(scores, first, SWITCH)
@@ -218,6 +228,6 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
-    """docs whose language is known with at least this score; all columns as they were."""
+    """docs with a word of a learned script whose language has at least this score; all columns as they were."""
     bounded_batches(docs.sparkSession, 2000)
     return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), least), docs.schema)
