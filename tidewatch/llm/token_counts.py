@@ -2,7 +2,7 @@
 
 Each text's normalised content (null becomes empty; nothing else, as every byte can change a count) is digested. Digest
 and tokenizer version are joined to the stored counts; only distinct misses are encoded, and their counts are appended
-to the cache, a Parquet table. Whole texts are encoded, without truncation or added special tokens.
+to the cache, a Parquet table. A digest that is stored twice (by runs that overlapped) counts once. Whole texts are encoded, without truncation or added special tokens.
 
 Defined results: null or empty text has the count the tokenizer gives '' (0); repeated rows and ties share one cache
 row; null doc_id is kept as it is; extra columns stay unless they bear an output name, which is replaced; an empty table
@@ -74,6 +74,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 4096)
     misses = distinct.join(known, "content_digest", "left_anti")
     new = misses.mapInArrow(_encode(tokenizer), "content_digest binary, n_tokens long")
     new.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == version).select(F.col("content_digest").alias("__digest"), F.col("n_tokens").alias("__n"))
+    stored_counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == version)
+    counts = stored_counts.groupBy(F.col("content_digest").alias("__digest")).agg(F.min("n_tokens").alias("__n"))
     keyed = docs.drop("n_bytes", "n_tokens", "over_limit").withColumn("n_bytes", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")).withColumn("__key", digest).drop("text")
     return keyed.join(counts, F.col("__key") == F.col("__digest")).drop("__key", "__digest").withColumnRenamed("__n", "n_tokens").withColumn("over_limit", F.col("n_tokens") > limit)
