@@ -14,10 +14,8 @@ empty result.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import stored
 
@@ -45,17 +43,6 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return stored(sure.union(exact), "boilerplate")
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
-    def strip(t, r):
-        if t is None or r is None or not len(r):
-            return t
-        gone = set(r)
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-
-    return pd.Series([strip(t, r) for t, r in zip(text, removed, strict=True)], dtype=object)
-
-
 def remove_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source") -> DataFrame:
     """docs with text cleaned, and n_lines (not blank) and n_removed."""
     lines = stored(lines_of(docs, site), "lines")
@@ -67,7 +54,8 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source"
     joined = keyed.join(gone, (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2")), "left")
     full = F.size(F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
     counted = joined.withColumn("n_lines", full.cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return counted.withColumn("text", F.when(F.col("n_removed") > 0, _without("text", "__gone")).otherwise(F.col("text"))).drop("__k1", "__k2", "__g1", "__g2", "__gone")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    return counted.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))).drop("__k1", "__k2", "__g1", "__g2", "__gone")
 
 
 SQL = f"""
