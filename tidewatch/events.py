@@ -33,6 +33,7 @@ FEATURES = {
     "tunnel": "CASE WHEN event_type = 'view' AND event_id % 17 = 0 THEN 1.0E0 WHEN event_type = 'view' THEN 0.0E0 END",
     "beacon": "CASE WHEN event_type = 'click' THEN CAST(event_id % 100 AS DOUBLE) / 10000 END",
     "execs": "CASE WHEN event_type = 'signup' THEN CAST(event_id % 4 AS DOUBLE) / 100 END",
+    "kind": "CASE event_type WHEN 'error' THEN 'auth' WHEN 'view' THEN 'dns' ELSE 'flow' END",
     "stage": "CASE WHEN event_type = 'error' AND k >= 8 THEN 'Lateral Movement' WHEN event_type = 'error' AND k >= 5 THEN 'Reconnaissance' WHEN event_type = 'purchase' AND k = 9 THEN 'Exfiltration' ELSE 'Benign' END",
 }
 BASE = "event_id, ts, user_id % 5 AS scenario, concat('user-', user_id) AS src, concat('svc-', event_type) AS dst, event_type, user_id, k AS level"

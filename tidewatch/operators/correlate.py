@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import risk_level
+from ..plans.tables import stored
 
 # Weights, orders, advice and prior transition tables.
 CRITICALITY = {"low": 0.25, "medium": 0.50, "high": 0.75, "critical": 1.0}
@@ -127,7 +128,7 @@ def with_fallback(model: DataFrame, prior: DataFrame, observed: DataFrame) -> Da
 
 
 def paths(nodes: DataFrame, links: DataFrame, starts: DataFrame) -> DataFrame:
-    """Every cycle-free path from a start to a leaf, by repeated joins until nothing grows, each step checkpointed: (bundle, path of node ids)."""
+    """Every cycle-free path from a start to a leaf, by repeated joins until nothing grows, each step stored: (bundle, path of node ids)."""
     now = starts.select("bundle", F.col("id").alias("at"), F.array("id").alias("path"))
     out = None
     while True:
@@ -137,6 +138,6 @@ def paths(nodes: DataFrame, links: DataFrame, starts: DataFrame) -> DataFrame:
         ends = grown.groupBy("bundle", "at", "path").agg(F.max("go").alias("any")).where("not any").select("bundle", "path")
         out = ends if out is None else out.union(ends)
         now = grown.where("go").select("bundle", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
-        now = now.checkpoint() if starts.sparkSession.sparkContext.getCheckpointDir() else now.localCheckpoint()
+        now = stored(now, "paths")
         if not now.head(1):
             return out

@@ -77,7 +77,7 @@ def ioc_hits(entity_rows: DataFrame, feed: DataFrame) -> DataFrame:
 def probabilities(states: DataFrame, edges: DataFrame, hits: DataFrame, seconds: float) -> DataFrame:
     """states with one p_<detector> column for each rule, in one pass over the history frame."""
     over, zero = prior(), F.lit(0.0)
-    flows = F.col("event_count").cast("double")
+    flows, every = F.col("flow_count").cast("double"), F.col("event_count").cast("double")
     z_flow, z_byte = z_score(flows / seconds, over), z_score(F.col("bytes") / seconds, over)
     z_total, z_bits = z_score(F.col("bytes"), over), z_score(F.col("edge_entropy"), over)
     rates = known_edge_rates(edges, seconds).select(*KEY, "rate")
@@ -96,7 +96,7 @@ def probabilities(states: DataFrame, edges: DataFrame, hits: DataFrame, seconds:
         "p_exfiltration": F.when(hit, F.greatest(exfil, F.lit(0.9))).otherwise(exfil),
         "p_insider_threat": F.when(cold, F.least(F.lit(FALLBACK_CAP), insider)).otherwise(insider),
         "p_phishing": F.coalesce(F.greatest(band(F.col("domain_length"), 25.0, 45.0), band(F.coalesce(F.col("tunnel"), zero), 0.10, 0.30)), zero),
-        "p_malware_activity": F.coalesce(band(F.col("execs") * flows, 2.0, 5.0), zero),
+        "p_malware_activity": F.coalesce(band(F.col("execs") * every, 2.0, 5.0), zero),
         "p_entropy_anomaly": F.least(F.lit(0.9), F.abs(F.col("z_bits")) / 4.8),
     })
 

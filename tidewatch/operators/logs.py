@@ -49,7 +49,13 @@ def sla_report(cases: DataFrame, now: Column) -> DataFrame:
 def verdict_counts(feedback: DataFrame) -> DataFrame:
     """Counts by verdict, and the share of false positives among all."""
     whole = feedback.agg(F.avg((F.col("verdict") == "false_positive").cast("double")).alias("false_positive_rate"))
-    return feedback.groupBy("verdict").agg(F.count("*").alias("n")).join(F.broadcast(whole))
+    return feedback.groupBy("verdict").agg(F.count("*").alias("n")).join(whole)
+
+
+def feedback_by(feedback: DataFrame, column: str) -> DataFrame:
+    """Verdicts of each value of a column, and the share of false positives among them."""
+    kinds = [F.count_if(F.col("verdict") == v).alias(v) for v in ("true_positive", "false_positive", "needs_review")]
+    return feedback.groupBy(column).agg(F.count("*").alias("n"), *kinds, F.avg((F.col("verdict") == "false_positive").cast("double")).alias("false_positive_rate"))
 
 
 def access_summary(audit: DataFrame) -> DataFrame:
@@ -59,16 +65,46 @@ def access_summary(audit: DataFrame) -> DataFrame:
 
 def allowed(audit: DataFrame, matrix: DataFrame) -> DataFrame:
     """audit with permitted: the role's matrix has a prefix of the path for the method; admin may all."""
-    hits = audit.join(F.broadcast(matrix), (F.col("role") == F.col("m_role")) & (F.col("method") == F.col("m_method")) & F.col("path").startswith(F.col("prefix")), "left_semi").select("request_id").distinct().withColumn("hit", F.lit(True))
+    hits = audit.join(matrix, (F.col("role") == F.col("m_role")) & (F.col("method") == F.col("m_method")) & F.col("path").startswith(F.col("prefix")), "left_semi").select("request_id").distinct().withColumn("hit", F.lit(True))
     return audit.join(hits, "request_id", "left").withColumn("permitted", (F.col("role") == "admin") | F.coalesce("hit", F.lit(False))).drop("hit")
 
 
 def technique_coverage(findings: DataFrame, techniques: DataFrame) -> DataFrame:
-    """Count and greatest probability of every listed technique, score and colour band of an export layer; 0 where unseen."""
-    seen = findings.where("is_alert").groupBy("technique").agg(F.count("*").alias("n"), F.max("probability").alias("p"))
-    rows = F.broadcast(techniques).join(seen, "technique", "left").select("technique", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("p", F.lit(0.0)).alias("max_probability"))
-    score = F.least(F.lit(10), F.col("n"))
-    return rows.withColumns({"score": score.cast("int"), "band": F.when(score >= 7, "red").when(score >= 3, "orange").when(score > 0, "yellow").otherwise("none")})
+    """Count and greatest probability over all findings of every listed technique, and whether it was observed."""
+    seen = findings.groupBy("technique").agg(F.count("*").alias("n"), F.max("probability").alias("p"))
+    rows = techniques.join(seen, "technique", "left").select("technique", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("p", F.lit(0.0)).alias("max_probability"))
+    return rows.withColumn("observed", F.col("max_probability") > 0)
+
+
+# The colours of an export layer by greatest probability.
+COLOURS = [(0.65, "#67000d"), (0.30, "#fb6a4a"), (0.0, "#fff5f0")]
+
+
+def coverage_layer(coverage: DataFrame) -> DataFrame:
+    """(technique, entry): the layer's JSON entry of every observed technique."""
+    p, n = F.col("max_probability"), F.col("n")
+    colour = F.when(p >= COLOURS[0][0], COLOURS[0][1]).when(p >= COLOURS[1][0], COLOURS[1][1]).otherwise(COLOURS[2][1])
+    comment = F.format_string("%d detection(s) | max_prob=%.3f", n, p)
+    entry = F.struct(F.col("technique").alias("techniqueID"), F.least(F.lit(10), n).alias("score"), colour.alias("color"), comment.alias("comment"), F.lit(True).alias("enabled"))
+    return coverage.where("observed").select("technique", F.to_json(entry).alias("entry"))
+
+
+def registry_state(log: DataFrame, key: str, order: str) -> DataFrame:
+    """Status of each registered version from its log of actions (register, approve, rollback), and how many were refused.
+
+    Only a registered version can be approved, and only an approved one rolled back. A version's log is folded in its order.
+    """
+    actions = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "action"))).alias("log"))
+    state = lambda status, refused: F.struct(F.lit(status).alias("status"), refused.alias("refused"))
+    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("refused"))
+
+    def step(now, x):
+        a, s, n = x["action"], now["status"], now["refused"]
+        bad = F.struct(s.alias("status"), (n + 1).alias("refused"))
+        out = F.when((a == "register") & s.isNull(), state("registered", n)).when((a == "approve") & (s == "registered"), state("approved", n))
+        return out.when((a == "rollback") & (s == "approved"), state("rolled_back", n)).otherwise(bad)
+
+    return actions.select(key, F.aggregate("log", start, step).alias("x")).select(key, "x.status", "x.refused")
 
 
 def phase_summary(events: DataFrame) -> DataFrame:

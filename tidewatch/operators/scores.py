@@ -34,19 +34,40 @@ def by_score(rows: DataFrame) -> DataFrame:
     return rows.groupBy("score").agg(F.count("*").alias("n"), F.count_if("truth").alias("pos"))
 
 
+def running(rows: DataFrame, value: str, sums: list[str], group: list[str] | None = None, descending: bool = False) -> DataFrame:
+    """rows with <name>_before for each of ``sums``: its sum over the rows of the group that come before in the order of value.
+
+    Approximate quantiles of the values cut the rows into some hundred buckets; each is summed by itself and the few
+    bucket totals give the offsets, so no task holds a whole group. Rows of equal value have any order.
+    """
+    group = group or []
+    n = min(256, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(rows.agg(F.percentile_approx(value, F.array(*[F.lit((i + 1) / n) for i in range(n - 1)])).alias("c")).first()["c"] or []))
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    placed = rows.withColumn("__place", place)
+    order = lambda c: F.col(c).desc() if descending else F.col(c).asc()
+    totals = placed.groupBy(*group, "__place").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy(order("__place")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__place").alias("__at"), *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums])
+    on = F.col("__place") == F.col("__at")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    inside = Window.partitionBy(*group, "__place").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.select("*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"__i_{s}") for s in sums]).join(offsets, on)
+    return out.select(*rows.columns, *[(F.col(f"__o_{s}") + F.col(f"__i_{s}")).alias(f"{s}_before") for s in sums])
+
+
 def average_precision(rows: DataFrame) -> DataFrame:
     """Step-wise area under precision and recall; null with one class."""
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    steps = by_score(rows).select("pos", "n", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("seen"))
+    steps = running(by_score(rows), "score", ["pos", "n"], descending=True)
+    steps = steps.select("pos", "n", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("n_before") + F.col("n")).alias("seen"))
     return steps.agg(F.when((F.sum("pos") > 0) & (F.sum("pos") < F.sum("n")), F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos")).alias("average_precision"))
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
     """Share of positive-negative pairs in the right order, ties by half; null with one class."""
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    steps = by_score(rows).withColumn("neg", F.col("n") - F.col("pos"))
-    steps = steps.withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0)))
-    return steps.agg(ratio(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
+    steps = running(by_score(rows).withColumn("neg", F.col("n") - F.col("pos")), "score", ["neg"])
+    return steps.agg(ratio(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
 
 
 def threshold_grid(rows: DataFrame, cuts: list[float], group: list[str] | None = None) -> DataFrame:
@@ -70,11 +91,10 @@ def calibrated_threshold(grid: DataFrame, objective: str = "f1") -> DataFrame:
 
 def threshold_at_fpr(rows: DataFrame, target: float) -> DataFrame:
     """The lowest score whose false-positive rate on negatives is at most the target."""
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     counts = by_score(rows).withColumn("neg", F.col("n") - F.col("pos"))
     total = counts.agg(F.sum("neg").alias("all"))
-    steps = counts.withColumn("above", F.sum("neg").over(down)).join(F.broadcast(total))
-    return steps.where(F.col("above") <= target * F.col("all")).agg(F.min("score").alias("threshold"))
+    steps = running(counts, "score", ["neg"], descending=True).join(total)
+    return steps.where(F.col("neg_before") + F.col("neg") <= target * F.col("all")).agg(F.min("score").alias("threshold"))
 
 
 def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
@@ -106,9 +126,11 @@ def conformal_quantile(rows: DataFrame, alpha: float, group: list[str] | None =
     group = group or []
     residual = F.abs(F.col("truth").cast("double") - F.col("score"))
     counts = rows.groupBy(*group, residual.alias("q")).agg(F.count("*").alias("n"))
-    span = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    up = span.orderBy("q").rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.select(*group, "q", F.sum("n").over(up).alias("upto"), F.sum("n").over(span).alias("total"))
+    totals = counts.groupBy(*[F.col(g).alias(f"t_{g}") for g in group]).agg(F.sum("n").alias("total"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"t_{g}"))
+    steps = running(counts, "q", ["n"], group).withColumn("upto", F.col("n_before") + F.col("n")).join(totals, same)
     rank = F.ceil((F.col("total") + 1) * F.lit(1 - alpha) - 1e-9)
     return steps.groupBy(*group).agg(F.min(F.when(F.col("upto") >= rank, F.col("q"))).alias("q"), F.max("total").alias("n")).where(F.col("n") >= least)
 
@@ -155,45 +177,66 @@ def bootstrap(rows: DataFrame, a: Column, b: Column, draws: int, seed: int = 0,
 
 
 def psi_edges(reference: DataFrame, bins: int = 10) -> DataFrame:
-    """(feature, edges): inner bin edges at the reference's order statistics."""
-    order = Window.partitionBy("feature").orderBy("value")
-    ranked = reference.select("feature", "value", (F.row_number().over(order) - 1).alias("r"), F.count("*").over(Window.partitionBy("feature")).alias("n"))
-    cut = F.explode(F.sequence(F.lit(1), F.lit(bins - 1)))
-    picks = ranked.select("feature", "n").distinct().withColumn("i", cut)
-    at = F.greatest(F.lit(0).cast("long"), F.bround(F.col("i") * F.col("n") / bins).cast("long") - 1)
-    picks = picks.select(F.col("feature").alias("f"), "i", at.alias("at"))
-    return ranked.join(picks, (F.col("feature") == F.col("f")) & (F.col("r") == F.col("at"))).groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("edges"))
+    """(feature, edges): inner bin edges at the reference's order statistics, found by running counts of its values."""
+    counts = reference.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("total")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))))
+    at = F.least(F.col("total") - 1, F.greatest(F.lit(0).cast("long"), F.bround(F.col("i") * F.col("total") / bins).cast("long") - 1))
+    picks = totals.select(F.col("feature").alias("f"), "i", at.alias("at"))
+    ranked = running(counts, "value", ["n"], ["feature"])
+    inside = (F.col("feature") == F.col("f")) & (F.col("at") >= F.col("n_before")) & (F.col("at") < F.col("n_before") + F.col("n"))
+    return ranked.join(picks, inside).groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("edges"))
 
 
 def psi(edges: DataFrame, reference: DataFrame, current: DataFrame, keys: list[str], bins: int = 10, least: float = 1e-6) -> DataFrame:
-    """Population stability index of each block of ``current`` (feature and keys) against the reference."""
+    """Population stability index of each block of ``current`` (feature and keys) against the reference; a value's bin is the number of edges below it."""
     def shares(rows: DataFrame, by: list[str]) -> DataFrame:
-        placed = rows.join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
+        placed = rows.join(edges, "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("value"))))
         counts = placed.groupBy(*by, "bin").agg(F.count("*").alias("n"))
         return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
     now = shares(current, ["feature", *keys])
     grid = now.select("feature", *keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     ref = shares(reference, ["feature"]).select("feature", "bin", F.col("p").alias("r"))
-    both = grid.join(now, ["feature", *keys, "bin"], "left").join(F.broadcast(ref), ["feature", "bin"], "left")
+    both = grid.join(now, ["feature", *keys, "bin"], "left").join(ref, ["feature", "bin"], "left")
     c, r = F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(least)), F.greatest(F.coalesce("r", F.lit(0.0)), F.lit(least))
     return both.groupBy("feature", *keys).agg(F.bround(F.sum((c - r) * F.log(c / r)), 6).alias("psi"))
 
 
+def compare_snapshot(snapshot: DataFrame, live: DataFrame, bins: int = 10) -> DataFrame:
+    """Index and counts of every feature that the snapshot and the live rows share."""
+    count = lambda rows, name: rows.groupBy("feature").agg(F.count("*").alias(name))
+    found = psi(psi_edges(snapshot, bins), snapshot, live, [], bins)
+    return found.join(count(snapshot, "reference_count"), "feature").join(count(live, "current_count"), "feature")
+
+
 def null_band(blocks: DataFrame, level: float) -> DataFrame:
-    """(feature, limit): the level quantile, picked by rank, of the index over null blocks."""
+    """(feature, limit): of a feature's sorted null indices the one at place round(level (n - 1)), from 0."""
     order = Window.partitionBy("feature").orderBy("psi")
-    ranked = blocks.select("feature", "psi", F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy("feature")).alias("n"))
-    return ranked.where(F.col("r") == F.least(F.col("n"), F.ceil(F.col("n") * F.lit(level)))).select("feature", F.col("psi").alias("limit"))
+    ranked = blocks.select("feature", "psi", (F.row_number().over(order) - 1).alias("r"), F.count("*").over(Window.partitionBy("feature")).alias("n"))
+    return ranked.where(F.col("r") == F.bround(F.lit(level) * (F.col("n") - 1)).cast("long")).select("feature", F.col("psi").alias("limit"))
+
+
+def banded(blocks: DataFrame, null_blocks: DataFrame, keys: list[str], level: float) -> DataFrame:
+    """blocks with their feature's limit, the share (in percent) of null indices up to theirs, and the band."""
+    nulls = null_blocks.select(F.col("feature").alias("f"), F.col("psi").alias("null_psi"))
+    rows = blocks.join(nulls, F.col("feature") == F.col("f")).groupBy("feature", *keys, "psi").agg(F.round(100 * F.avg((F.col("null_psi") <= F.col("psi")).cast("double")), 1).alias("percentile"))
+    return rows.join(null_band(null_blocks, level), "feature").withColumn("band", F.when(F.col("psi") > F.col("limit"), "exceeds_null").otherwise("within_null"))
 
 
 def monitor(blocks: DataFrame, null_blocks: DataFrame, keys: list[str], level: float = 0.99) -> DataFrame:
-    """Each block's worst feature against the trip point, the level quantile of the null blocks' worst index."""
-    worst = null_blocks.groupBy(*keys).agg(F.max("psi").alias("worst"))
-    ranked = worst.select("worst", F.row_number().over(Window.orderBy("worst")).alias("r"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
-    trip = ranked.where(F.col("r") == F.least(F.col("n"), F.ceil(F.col("n") * F.lit(level)))).select(F.col("worst").alias("trip"))
-    now = blocks.groupBy(*keys).agg(F.max(F.struct("psi", "feature")).alias("w"))
-    return now.join(F.broadcast(trip)).select(*keys, F.col("w.feature").alias("feature"), F.col("w.psi").alias("psi"), "trip", (F.col("w.psi") > F.col("trip")).alias("exceeds"))
+    """Each block's worst feature against the trip point, the interpolated level quantile of the null blocks' worst indices."""
+    trip = null_blocks.groupBy(*keys).agg(F.max("psi").alias("worst")).agg(F.percentile("worst", level).alias("trip"))
+    now = blocks.groupBy(*keys).agg(F.max_by("feature", F.struct("psi", "feature")).alias("feature"), F.max("psi").alias("psi"))
+    return now.join(trip).select(*keys, "feature", "psi", "trip", (F.col("psi") > F.col("trip")).alias("exceeds"))
+
+
+def alarm_rates(blocks: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
+    """(threshold, rate, median_single_feature): how often a block's worst index passes a fixed threshold, and a single feature's does, in the median."""
+    cut = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
+    over = lambda c: F.avg((F.col(c) > F.col("threshold")).cast("double"))
+    worst = blocks.groupBy(*keys).agg(F.max("psi").alias("worst")).select("worst", cut).groupBy("threshold").agg(over("worst").alias("rate"))
+    single = blocks.select("feature", "psi", cut).groupBy("threshold", "feature").agg(over("psi").alias("own"))
+    return worst.join(single.groupBy("threshold").agg(F.median("own").alias("median_single_feature")), "threshold")
 
 
 def kaplan_meier(rows: DataFrame, group: str = "grp") -> DataFrame:
@@ -226,8 +269,8 @@ def log_rank(rows: DataFrame, a: str, b: str, group: str = "grp") -> DataFrame:
     two = rows.where(F.col(group).isin(a, b))
     mine = F.col(group) == a
     counts = two.groupBy("duration").agg(F.count("*").alias("n"), F.count_if(mine).alias("na"), F.count_if("event").alias("d"), F.count_if(mine & F.col("event")).alias("da"))
-    left = Window.orderBy(F.col("duration").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.select("d", "da", F.sum("n").over(left).alias("r"), F.sum("na").over(left).alias("ra")).where("d > 0")
+    steps = running(counts, "duration", ["n", "na"], descending=True)
+    steps = steps.select("d", "da", (F.col("n_before") + F.col("n")).alias("r"), (F.col("na_before") + F.col("na")).alias("ra")).where("d > 0")
     expected = F.col("d") * F.col("ra") / F.col("r")
     variance = F.when(F.col("r") > 1, expected * (1 - F.col("ra") / F.col("r")) * (F.col("r") - F.col("d")) / (F.col("r") - 1)).otherwise(0.0)
     out = steps.agg(F.sum("da").alias("observed"), F.sum(expected).alias("expected"), F.sum(variance).alias("variance"))

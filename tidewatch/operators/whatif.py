@@ -5,36 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def throttled(edges: DataFrame, cap: float, seconds: float) -> DataFrame:
-    """edges with bytes held at cap a window, and what the move costs: the extra windows to send the rest."""
-    return edges.withColumns({"sent": F.least(F.col("bytes"), F.lit(cap * seconds)), "extra_windows": F.greatest(F.lit(0).cast("long"), F.ceil(F.col("bytes") / F.lit(cap * seconds)) - 1)})
-
-
-def spread(edges: DataFrame, factor: int) -> DataFrame:
-    """edges with their bytes split over ``factor`` hops."""
-    hops = edges.withColumn("hop", F.explode(F.sequence(F.lit(1), F.lit(factor))))
-    return hops.withColumns({"dst": F.when(F.col("hop") > 1, F.concat_ws("#", "dst", "hop")).otherwise(F.col("dst")), "sent": F.col("bytes") / factor, "extra_windows": F.lit(0).cast("long")})
-
-
-def move_outcomes(moves: DataFrame, limit: float, seconds: float) -> DataFrame:
-    """Per window and move: the known-edge rate after it, its cost, and whether it is feasible (under the limit) and free."""
-    rows = moves.groupBy("scenario", "k", "move").agg(F.sum(F.when(F.col("known"), F.col("sent")).otherwise(0.0)).alias("known_bytes"), F.sum(F.col("bytes") - F.col("sent")).alias("held_back"), F.max("extra_windows").alias("windows"))
-    rate = F.col("known_bytes") / seconds
-    return rows.withColumns({"rate": rate, "feasible": rate < limit, "free": (rate < limit) & (F.col("windows") == 0)})
-
-
-def cheapest(outcomes: DataFrame) -> DataFrame:
-    """The feasible move of the fewest windows, then the fewest bytes, of each window."""
-    return outcomes.where("feasible").groupBy("scenario", "k").agg(F.min_by("move", F.struct("windows", "held_back", "move")).alias("move"))
+from ..functions.scalars import band
+from .detect import ALERT_AT, MIN_HISTORY
+
+
+# Bands of the rules that moves are aimed at, and the size of a probe.
+RATE_WARN, RATE_ALERT, VOLUME_ALERT, PROBE_BYTES, PROBE_SHARE, SLACK = 750.0, 900.0, 150_000.0, 200.0, 0.30, 0.95
+
+
+def red_team_moves(scored: DataFrame, edges: DataFrame, seconds: float) -> DataFrame:
+    """Each detector's evasions in each window: (scenario, k, detector, move, evades, tampering, cost_bytes, cost_windows).
+
+    A move is applied to the window's edges and the rule is run again on what is left. Throttling caps each edge, so the
+    known-edge rate falls and the rest takes more windows; the volume rule reads the window's total, which a cap on edges
+    leaves as it is. Splitting adds hops beside the edges that stay, so the known bytes don't change. A rule that doesn't
+    alert has nothing to evade.
+    """
+    counts = edges.groupBy("scenario", "k").agg(F.count("*").alias("edges"), F.sum("bytes").alias("window_bytes"), F.sum(F.when(F.col("known"), F.col("bytes")).otherwise(0.0)).alias("known_bytes"))
+    cap = F.greatest(F.lit(1.0), F.lit(RATE_WARN * SLACK) / F.col("edges")) * seconds
+    capped = edges.where("known").join(counts.select("scenario", "k", "edges"), ["scenario", "k"]).groupBy("scenario", "k").agg(F.sum(F.least(F.col("bytes"), cap)).alias("capped_bytes"))
+    rows = scored.join(counts, ["scenario", "k"]).join(capped, ["scenario", "k"], "left")
+    rate, slowed, history = F.col("known_bytes") / seconds, F.coalesce(F.col("capped_bytes"), F.lit(0.0)) / seconds, F.col("idx") >= MIN_HISTORY
+    lateral = lambda r: F.coalesce(F.when(history, band(r, RATE_WARN, RATE_ALERT)), F.lit(0.0)) >= ALERT_AT["lateral_movement"]
+    extra = lambda now, most: F.greatest(F.lit(0.0), now / max(1.0, most * SLACK) - 1)
+    zero, no = F.lit(0.0), F.lit(False)
+
+    def move(name: str, evades, cost_bytes=zero, cost_windows=zero, tampering: bool = False):
+        return F.struct(F.lit(name).alias("move"), evades.alias("evades"), F.lit(tampering).alias("tampering"), cost_bytes.alias("cost_bytes"), cost_windows.alias("cost_windows"))
+
+    share = F.col("probe_share")
+    added = F.greatest(F.lit(1).cast("long"), F.floor(F.col("edges") * F.greatest(zero, 1 - F.lit(PROBE_SHARE) / share)))
+    own = {
+        "lateral_movement": [F.when(rate > RATE_WARN, move("throttle_the_transfer", ~lateral(slowed), cost_windows=extra(rate, RATE_WARN))), move("split_the_transfer_over_more_edges", ~lateral(rate))],
+        "exfiltration": [F.when(F.col("window_bytes") > VOLUME_ALERT, move("throttle_the_transfer", no, cost_windows=extra(F.col("window_bytes"), VOLUME_ALERT)))],
+        "credential_abuse": [F.when(share > 0, move("dilute_share_with_benign_edges", no, cost_bytes=added * PROBE_BYTES * 0.5))],
+    }
+    each = []
+    for detector, at in ALERT_AT.items():
+        fires = lateral(rate) if detector == "lateral_movement" else F.col(f"p_{detector}") >= at
+        moves = F.array_compact(F.array(*own.get(detector, []), move("edit_the_flow_exporter", F.lit(True), tampering=True)))
+        each.append(F.struct(F.lit(detector).alias("detector"), F.when(fires, moves).otherwise(F.array(move("not_firing", no))).alias("moves")))
+    long = rows.select("scenario", "k", F.explode(F.array(*each)).alias("x")).select("scenario", "k", "x.detector", F.explode("x.moves").alias("m"))
+    out = long.select("scenario", "k", "detector", "m.*").withColumn("feasible", F.col("evades") & ~F.col("tampering"))
+    return out.withColumn("free", F.col("feasible") & (F.col("cost_bytes") == 0) & (F.col("cost_windows") == 0))
+
+
+def cheapest(moves: DataFrame) -> DataFrame:
+    """The feasible move of the fewest windows, then the fewest bytes, against each detector in each window."""
+    return moves.where("feasible").groupBy("scenario", "k", "detector").agg(F.min_by("move", F.struct("cost_windows", "cost_bytes", "move")).alias("move"))
 
 
 def counterfactual(parts: DataFrame, keys: list[str], intercept: float, target: float, most: int = 3) -> DataFrame:
-    """How far the greatest positive parts of a logit must go down, at most ``most`` of them, to bring it to target."""
-    rows = parts.groupBy(*keys).agg((F.sum("contribution") + intercept).alias("logit"), F.slice(F.sort_array(F.collect_list(F.when(F.col("contribution") > 0, F.col("contribution"))), asc=False), 1, most).alias("top"))
-    need = F.greatest(F.lit(0.0), F.col("logit") - target)
-    can = F.aggregate("top", F.lit(0.0), lambda s, x: s + x)
-    return rows.select(*keys, "logit", need.alias("needed"), F.least(need, can).alias("reduced"), (can >= need).alias("reached"))
+    """How far the parts of a logit must go toward 0 to bring it to target: the ``most`` of the greatest size, those that help, in turn.
+
+    A part with a positive weight goes down as far as is still needed, one with a negative weight goes to 0.
+    """
+    ranked = F.sort_array(F.collect_list(F.struct(F.round(F.abs("contribution"), 9).alias("size"), "feature", "contribution", "weight")), asc=False)
+    rows = parts.groupBy(*keys).agg((F.sum("contribution") + intercept).alias("logit"), F.slice(ranked, 1, most).alias("top"))
+    gap = F.col("logit") - target
+    step = lambda left, x: F.when((left <= 0) | (x["contribution"] <= 0), left).when(x["weight"] > 0, left - F.least(x["contribution"], left)).otherwise(left - x["contribution"])
+    left = F.aggregate("top", gap, step)
+    return rows.select(*keys, "logit", gap.alias("needed"), (gap - left).alias("reduced"), (left <= 1e-9).alias("reached"))
 
 
 def path_gradient(long: DataFrame, keys: list[str], intercept: float, steps: int = 16) -> DataFrame:
@@ -47,7 +78,7 @@ def path_gradient(long: DataFrame, keys: list[str], intercept: float, steps: int
 
 def feature_cost(features: DataFrame, tiers: DataFrame, keys: list[str]) -> DataFrame:
     """Cost of feature sets: the greatest tier plus the mean tier of their features."""
-    return features.join(F.broadcast(tiers), "feature").groupBy(*keys).agg((F.max("tier") + F.avg("tier")).alias("cost"), F.count("*").alias("n"))
+    return features.join(tiers, "feature").groupBy(*keys).agg((F.max("tier") + F.avg("tier")).alias("cost"), F.count("*").alias("n"))
 
 
 def frontier(points: DataFrame, cost: str, score: str, lower_is_better: bool = True) -> DataFrame:
@@ -73,5 +104,5 @@ def attack_types(rows: DataFrame, table: DataFrame) -> DataFrame:
     """rows (technique) with attack_type by the exact technique, else by its parent."""
     exact = table.select(F.col("id").alias("e"), F.col("attack_type").alias("t1"))
     parent = table.select(F.col("id").alias("q"), F.col("attack_type").alias("t2"))
-    both = rows.join(F.broadcast(exact), F.col("technique") == F.col("e"), "left").join(F.broadcast(parent), parent_technique(F.col("technique")) == F.col("q"), "left")
+    both = rows.join(exact, F.col("technique") == F.col("e"), "left").join(parent, parent_technique(F.col("technique")) == F.col("q"), "left")
     return both.withColumn("attack_type", F.coalesce("t1", "t2")).drop("e", "q", "t1", "t2")

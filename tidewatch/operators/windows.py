@@ -172,7 +172,7 @@ def fallback_features(members: DataFrame, features: str = "features", known: tup
 def states(members: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """The wide table the detectors read: one row for each emitted window, with idx."""
     additive = members.groupBy(*KEY).agg(
-        F.count("*").alias("event_count"), F.sum("bytes").alias("bytes"), F.sum("failed_auth").alias("failed_auth"), F.sum(bit("tcp_flags", 4).cast("double")).alias("rst_count"),
+        F.count("*").alias("event_count"), F.count_if(F.col("kind") == "flow").alias("flow_count"), F.sum("bytes").alias("bytes"), F.sum("failed_auth").alias("failed_auth"), F.sum(bit("tcp_flags", 4).cast("double")).alias("rst_count"),
         F.sum("retransmission").alias("retransmission"), F.sum("domain_length").alias("domain_length"), F.sum("tunnel").alias("tunnel"), F.sum("beacon").alias("beacon"), F.sum("execs").alias("execs"),
     )
     return state_index(additive.join(edge_features(edge_rows), KEY))

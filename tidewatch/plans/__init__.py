@@ -1 +1 @@
-
+"""Plan helpers: intermediate tables that cut lineage."""

@@ -33,7 +33,7 @@ STATES = EDGES + """,
 ef AS (SELECT scenario, k, avg(CAST(events > 0 AND bytes / events < 200 AS DOUBLE)) AS probe_share, count(*) AS edge_count FROM edge GROUP BY scenario, k),
 ff AS (SELECT scenario, k, max(n) AS max_fanout FROM (SELECT scenario, k, src, count(*) AS n FROM edge GROUP BY ALL) GROUP BY scenario, k),
 eb AS (SELECT scenario, k, greatest(0, log2(sum(n)) - sum(n * log2(n)) / sum(n)) AS edge_entropy FROM (SELECT scenario, k, bytes, count(*) AS n FROM edge WHERE bytes > 0 GROUP BY ALL) GROUP BY scenario, k),
-ad AS (SELECT scenario, k, count(*) AS event_count, sum(bytes) AS bytes, sum(failed_auth) AS failed_auth, sum(CAST((tcp_flags & 4) <> 0 AS DOUBLE)) AS rst_count, sum(retransmission) AS retransmission, sum(domain_length) AS domain_length,
+ad AS (SELECT scenario, k, count(*) AS event_count, count(*) FILTER (kind = 'flow') AS flow_count, sum(bytes) AS bytes, sum(failed_auth) AS failed_auth, sum(CAST((tcp_flags & 4) <> 0 AS DOUBLE)) AS rst_count, sum(retransmission) AS retransmission, sum(domain_length) AS domain_length,
  sum(tunnel) AS tunnel, sum(beacon) AS beacon, sum(execs) AS execs, max(origin) AS origin FROM mem GROUP BY scenario, k),
 st AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY k) - 1 AS idx FROM ad JOIN ef USING (scenario, k) JOIN ff USING (scenario, k) LEFT JOIN eb USING (scenario, k)),
 ek AS (SELECT *, coalesce(idx - lag(idx) OVER (PARTITION BY scenario, src, dst ORDER BY idx) <= 5, false) AS known FROM (SELECT edge.*, st.idx FROM edge JOIN st USING (scenario, k))),
@@ -54,12 +54,12 @@ def band_sql(v: str, warn: float, alert: float) -> str:
 
 
 SCORED = STATES + f""",
-z AS (SELECT st.*, rate, matches, {z_sql('event_count / 21600.0E0', 'z_flow')}, {z_sql('bytes / 21600.0E0', 'z_byte')}, {z_sql('bytes', 'z_total')}, {z_sql('edge_entropy', 'z_bits')}
+z AS (SELECT st.*, rate, matches, {z_sql('flow_count / 21600.0E0', 'z_flow')}, {z_sql('bytes / 21600.0E0', 'z_byte')}, {z_sql('bytes', 'z_total')}, {z_sql('edge_entropy', 'z_bits')}
  FROM st LEFT JOIN (SELECT scenario, k, rate FROM kr) USING (scenario, k) LEFT JOIN hit USING (scenario, k) WINDOW h AS (PARTITION BY scenario ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 y AS (SELECT *, least(1, greatest(0, z_total) / 10) AS spike, least(0.9E0, greatest(0, z_total) / 6) AS inside FROM z),
 x AS (SELECT *, CASE WHEN idx < 3 THEN least(0.5E0, greatest(spike, {band_sql('bytes', 75000.0, 150000.0)})) ELSE spike END AS exfil FROM y),
-p AS (SELECT *, least(0.95E0, greatest(0, greatest(z_flow, z_byte)) / 6) AS p_ddos, {band_sql('least(1, rst_count / greatest(1, event_count))', 0.10, 0.30)} AS p_reconnaissance,
- {band_sql('(failed_auth * event_count * 60 / 21600.0E0)', 1.0, 2.0)} AS p_credential_abuse, coalesce({band_sql('rate', 750.0, 900.0)}, 0) AS p_lateral_movement,
+p AS (SELECT *, least(0.95E0, greatest(0, greatest(z_flow, z_byte)) / 6) AS p_ddos, {band_sql('least(1, rst_count / greatest(1, flow_count))', 0.10, 0.30)} AS p_reconnaissance,
+ {band_sql('(failed_auth * flow_count * 60 / 21600.0E0)', 1.0, 2.0)} AS p_credential_abuse, coalesce({band_sql('rate', 750.0, 900.0)}, 0) AS p_lateral_movement,
  CASE WHEN matches IS NOT NULL THEN 0.85E0 ELSE coalesce({band_sql('beacon', 0.30, 0.60)}, 0) END AS p_command_and_control, CASE WHEN matches IS NOT NULL THEN greatest(exfil, 0.9E0) ELSE exfil END AS p_exfiltration,
  CASE WHEN idx < 3 THEN least(0.5E0, inside) ELSE inside END AS p_insider_threat, coalesce(greatest({band_sql('domain_length', 25.0, 45.0)}, {band_sql('coalesce(tunnel, 0)', 0.10, 0.30)}), 0) AS p_phishing,
  coalesce({band_sql('(execs * event_count)', 2.0, 5.0)}, 0) AS p_malware_activity, least(0.9E0, abs(z_bits) / 4.8E0) AS p_entropy_anomaly FROM x)"""
@@ -109,7 +109,7 @@ def state_query(spark, sf_dir):
 @query("e2_history_z_scores", f"WITH {SCORED} SELECT scenario, k, idx, round(z_flow, 6) AS z_flow, round(z_total, 6) AS z_total, round(z_bits, 6) AS z_bits FROM z")
 def e2(spark, sf_dir):
     over = D.prior()
-    return rounded(state_table(spark, sf_dir).select("scenario", "k", "idx", D.z_score(F.col("event_count") / SECONDS, over).alias("z_flow"), D.z_score(F.col("bytes"), over).alias("z_total"), D.z_score(F.col("edge_entropy"), over).alias("z_bits")))
+    return rounded(state_table(spark, sf_dir).select("scenario", "k", "idx", D.z_score(F.col("flow_count") / SECONDS, over).alias("z_flow"), D.z_score(F.col("bytes"), over).alias("z_total"), D.z_score(F.col("edge_entropy"), over).alias("z_bits")))
 
 
 @query("e3_bounded_history", f"WITH {STATES} SELECT scenario, k, idx, count(*) OVER w AS held, round(avg(bytes) OVER w, 6) AS mean_bytes FROM st WINDOW w AS (PARTITION BY scenario ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)")
@@ -254,13 +254,13 @@ def alerts(spark, sf_dir):
     return rows.withColumn("start", F.col("origin") + F.col("k") * STRIDE).withColumn("end", F.col("start") + WIDTH)
 
 
-CHAINS = f"""{FOUND}, {WORST}, al AS (SELECT fd.*, criticality, origin + k * {STRIDE} AS "start", origin + k * {STRIDE} + {WIDTH} AS "end" FROM fd JOIN wa USING (scenario, k) WHERE is_alert AND detector NOT IN ('command_and_control', 'exfiltration', 'phishing', 'malware_activity')),
+CHAINS = f"""{FOUND}, {WORST}, al AS (SELECT fd.*, criticality, origin + k * {STRIDE} AS "start", origin + k * {STRIDE} + {WIDTH} AS "end" FROM fd JOIN wa USING (scenario, k) WHERE is_alert),
 nw AS (SELECT *, CASE WHEN "start" - lag("end") OVER o > {GAP} THEN 1 ELSE 0 END AS isnew FROM al WINDOW o AS (PARTITION BY scenario ORDER BY "start", probability DESC, attack_type)),
 ch AS (SELECT *, CAST(sum(isnew) OVER (PARTITION BY scenario ORDER BY "start", probability DESC, attack_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS chain FROM nw)"""
 
 
 def chained(spark, sf_dir):
-    """All alerts with their chains. The SQL beside leaves four detectors out, so it differs where these raise alerts."""
+    """All alerts with their chains."""
     return C.chains(alerts(spark, sf_dir), GAP)
 
 
@@ -289,7 +289,9 @@ def j1(spark, sf_dir):
     return C.incidents(chained(spark, sf_dir)).withColumn("progression", F.array_join("progression", ">"))
 
 
-QUERIES["j3_incident_risk"], ORACLE_SQL["j3_incident_risk"] = QUERIES["j1_incidents"], ORACLE_SQL["j1_incidents"]
+@query("j3_incident_risk", f"SELECT scenario, chain, types, risk, level FROM ({ORACLE_SQL['j1_incidents']})")
+def j3(spark, sf_dir):
+    return C.incidents(chained(spark, sf_dir)).select("scenario", "chain", "types", "risk", "level")
 
 
 @query("j2_finding_risk", f"""WITH {FOUND}, {WORST}, s AS (SELECT scenario, k, detector, least(1, 0.5E0 * probability + 0.3E0 * coalesce(criticality, 0.5E0) + 0.2E0 * {SEV}) AS score FROM fd JOIN wa USING (scenario, k))

@@ -47,7 +47,15 @@ def l2(spark, sf_dir):
     return L.transitions(conversations(spark, sf_dir), "conv_id", "turn", "role", ROLE_RULES).select("conv_id", "turn", "role", "before", "allowed")
 
 
-QUERIES["l4_registry_states"], ORACLE_SQL["l4_registry_states"] = QUERIES["l2_status_transitions"], ORACLE_SQL["l2_status_transitions"]
+@query("l4_registry_states", """WITH l AS (SELECT l_orderkey AS version, l_linenumber AS line, CASE WHEN l_linenumber = 1 THEN 'register' WHEN l_returnflag = 'R' THEN 'rollback' ELSE 'approve' END AS action FROM lineitem),
+a AS (SELECT version, action, row_number() OVER (PARTITION BY version ORDER BY line, action) AS n FROM l),
+f AS (SELECT version, min(CASE WHEN action = 'register' THEN n END) AS r, min(CASE WHEN action = 'approve' THEN n END) AS a, count(*) AS actions FROM a GROUP BY version), b AS (SELECT f.*, (SELECT min(n) FROM a WHERE a.version = f.version AND action = 'rollback' AND n > f.a) AS k FROM f)
+SELECT version, CASE WHEN k IS NOT NULL THEN 'rolled_back' WHEN a IS NOT NULL THEN 'approved' ELSE 'registered' END AS status, CAST(actions - 1 - CAST(a IS NOT NULL AS INT) - CAST(k IS NOT NULL AS INT) AS INT) AS refused FROM b WHERE r IS NOT NULL""")
+def l4(spark, sf_dir):
+    """Lines of an order as the log of a version: the first registers it, the others ask for approval or rollback."""
+    action = F.when(F.col("l_linenumber") == 1, "register").when(F.col("l_returnflag") == "R", "rollback").otherwise("approve")
+    log = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("version"), "l_linenumber", action.alias("action"))
+    return L.registry_state(log, "version", "l_linenumber").where("status is not null")
 
 
 @query("l1_hash_chain", "WITH a AS (SELECT conv_id, turn, text, sha256(coalesce(CASE WHEN turn % 5 = 3 THEN 'x' END, '') || '|' || text) AS record_hash FROM conversations), b AS (SELECT *, CASE WHEN turn % 5 = 3 THEN 'x' END AS previous_hash, lag(record_hash) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM a) SELECT conv_id, turn, false AS bad_hash, previous_hash IS DISTINCT FROM prev AS bad_link FROM b")
@@ -83,7 +91,13 @@ def d30(spark, sf_dir):
     return rounded(L.verdict_counts(rows))
 
 
-QUERIES["l5_feedback"], ORACLE_SQL["l5_feedback"] = QUERIES["d30_verdicts"], ORACLE_SQL["d30_verdicts"]
+@query("l5_feedback", "WITH v AS (SELECT coalesce(source, '') AS source, CASE WHEN quality = 1 THEN 'true_positive' WHEN toxic = 1 THEN 'needs_review' ELSE 'false_positive' END AS verdict FROM labels JOIN documents USING (doc_id)) SELECT source, count(*) AS n, count(*) FILTER (verdict = 'true_positive') AS true_positive, count(*) FILTER (verdict = 'false_positive') AS false_positive, count(*) FILTER (verdict = 'needs_review') AS needs_review, round(avg(CAST(verdict = 'false_positive' AS DOUBLE)), 6) AS false_positive_rate FROM v GROUP BY source")
+def l5(spark, sf_dir):
+    """Verdicts by what was judged: the source of each labelled document."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.when(F.col("quality") == 1, "true_positive").when(F.col("toxic") == 1, "needs_review").otherwise("false_positive").alias("verdict"))
+    sources = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    return rounded(L.feedback_by(labels.join(sources, "doc_id"), "source"))
+
 
 AUDIT = EV + ", au AS (SELECT event_id AS request_id, src AS key_id, CASE user_id % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'analyst' ELSE 'viewer' END AS role, CASE WHEN level >= 8 THEN 403 WHEN level >= 7 THEN 401 ELSE 200 END AS status, CASE WHEN event_id % 4 = 0 THEN 'POST' ELSE 'GET' END AS method, '/v1/' || event_type || '/' || level AS path, us AS seen_us FROM ev)"
 MATRIX = [("analyst", "GET", "/v1/"), ("analyst", "POST", "/v1/click"), ("viewer", "GET", "/v1/view")]
@@ -113,12 +127,21 @@ def b12(spark, sf_dir):
 LISTED = ["T1498", "T1046", "T1110", "T1021", "T1071", "T1048", "T1078", "T1566", "T1059", "T1190"]
 
 
-@query("d27_technique_coverage", f"WITH {FOUND}, t AS (SELECT unnest({LISTED}) AS technique), s AS (SELECT technique, count(*) AS n, max(probability) AS p FROM fd WHERE is_alert GROUP BY technique), j AS (SELECT t.technique, coalesce(n, 0) AS n, coalesce(p, 0) AS max_probability FROM t LEFT JOIN s USING (technique)) SELECT technique, n, max_probability, CAST(least(10, n) AS INT) AS score, CASE WHEN n >= 7 THEN 'red' WHEN n >= 3 THEN 'orange' WHEN n > 0 THEN 'yellow' ELSE 'none' END AS band FROM j")
-def d27(spark, sf_dir):
+COVERED = f"{FOUND}, t AS (SELECT unnest({LISTED}) AS technique), s AS (SELECT technique, count(*) AS n, max(probability) AS p FROM fd GROUP BY technique), cv AS (SELECT t.technique, coalesce(n, 0) AS n, coalesce(p, 0) AS max_probability FROM t LEFT JOIN s USING (technique))"
+
+
+def covered(spark, sf_dir):
     return L.technique_coverage(found(spark, sf_dir), spark.createDataFrame([(t,) for t in LISTED], "technique string"))
 
 
-QUERIES["d28_coverage_layer"], ORACLE_SQL["d28_coverage_layer"] = QUERIES["d27_technique_coverage"], ORACLE_SQL["d27_technique_coverage"]
+@query("d27_technique_coverage", f"WITH {COVERED} SELECT technique, n, max_probability, max_probability > 0 AS observed FROM cv")
+def d27(spark, sf_dir):
+    return covered(spark, sf_dir)
+
+
+@query("d28_coverage_layer", f"""WITH {COVERED} SELECT technique, '{{"techniqueID":"' || technique || '","score":' || least(10, n) || ',"color":"' || CASE WHEN max_probability >= 0.65 THEN '#67000d' WHEN max_probability >= 0.3 THEN '#fb6a4a' ELSE '#fff5f0' END || '","comment":"' || n || ' detection(s) | max_prob=' || format('{{:.3f}}', max_probability) || '","enabled":true}}' AS entry FROM cv WHERE max_probability > 0""")
+def d28(spark, sf_dir):
+    return L.coverage_layer(covered(spark, sf_dir))
 
 
 @query("d29_phase_summary", EV + ", p AS (SELECT *, CASE WHEN day(ts) <= 10 THEN 'early' WHEN day(ts) <= 20 THEN 'middle' ELSE 'late' END AS phase FROM ev), t AS (SELECT phase, event_type, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT phase, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS types FROM t GROUP BY phase) SELECT phase, count(*) AS events, round(sum(bytes), 2) AS bytes, count(DISTINCT dst) AS endpoints, any_value(types) AS types FROM p JOIN s USING (phase) GROUP BY phase")
@@ -181,9 +204,9 @@ def g1(spark, sf_dir):
 TIERS = {"packet": ("tcp_flags", "flag_", "ttl", "frag", "retransmission", "syn_count", "ack_count", "fin_count", "rst_count", "urg_count", "payload_size"), "dns": ("domain_length", "tunnel"), "auth": ("failed_auth",)}
 
 
-@query("b11_tier_audit", "WITH f AS (SELECT unnest(['bytes', 'tcp_flags', 'domain_length', 'failed_auth']) AS prefix, unnest(['flow', 'packet', 'dns', 'auth']) AS tier), n AS (SELECT DISTINCT unnest(['bytes_sum', 'tcp_flags_syn', 'domain_length_max', 'failed_auth_sum', 'bytes_mean']) || CASE WHEN n_nationkey > 100 THEN 'x' ELSE '' END AS name FROM nation) SELECT tier, count(*) AS features FROM n JOIN f ON starts_with(name, prefix) GROUP BY tier")
+@query("b11_tier_audit")
 def b11(spark, sf_dir):
-    """Tiers of the columns of the window features and states; the SQL beside audits five fixed names."""
+    """Tiers of the columns of the window features and states;"""
     from .windows import QUERIES as features
 
     tables = [state_table(spark, sf_dir), *(features[n](spark, sf_dir) for n in ("d1_window_features", "d10_flag_sums", "d11_flag_ratios", "d13_ports", "d16_fragments", "d17_retransmissions", "d18_arrival_gaps"))]
@@ -195,9 +218,9 @@ def b11(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in names], "name string").groupBy(tier.alias("tier")).agg(F.count("*").alias("features"))
 
 
-@query("a22_alert_payloads", f"WITH {FOUND} SELECT scenario || ':' || k || ':' || detector AS key FROM fd WHERE is_alert AND severity IN ('high', 'critical')")
+@query("a22_alert_payloads", f"""WITH {FOUND} SELECT scenario || ':' || k || ':' || detector AS key, '{{"scenario":' || scenario || ',"k":' || k || ',"detector":"' || detector || '","attack_type":"' || attack_type || '","probability":' || probability || ',"severity":"' || severity || '"}}' AS payload FROM fd WHERE is_alert AND severity IN ('high', 'critical')""")
 def a22(spark, sf_dir):
-    return alert_payloads(found(spark, sf_dir)).select("key")
+    return alert_payloads(found(spark, sf_dir)).select("key", "payload")
 
 
 @query("a15_retransmissions", EV + " SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY src, dst, dport, protocol ORDER BY event_id) > 1 THEN 1.0E0 ELSE 0.0E0 END AS retransmission FROM ev")

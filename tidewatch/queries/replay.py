@@ -51,10 +51,10 @@ def e6(spark, sf_dir):
     return R.stage_sequences(labelled(spark, sf_dir), 4, ["Benign", "Reconnaissance", "Lateral Movement"]).withColumn("stages", F.array_join("stages", ">"))
 
 
-REPLAY = """rp AS (SELECT *, p >= 0.5 AS crossed, coalesce(max(infiltration) OVER a, false) AS realized, lead(stage, 3) OVER o AS realized_stage, min(CASE WHEN infiltration THEN idx END) OVER (PARTITION BY scenario) AS onset,
- min(CASE WHEN p >= 0.5 THEN idx END) OVER (PARTITION BY scenario ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_crossing, count(*) OVER a AS observed, min(CASE WHEN infiltration THEN idx END) OVER a AS first
- FROM lb WINDOW o AS (PARTITION BY scenario ORDER BY idx), a AS (PARTITION BY scenario ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
-rr AS (SELECT *, CASE WHEN onset IS NULL THEN 'NO_ATTACK' WHEN idx < onset THEN 'PRE_ONSET' WHEN idx <= onset + 3 THEN 'DURING_ATTACK' ELSE 'POST_ATTACK' END AS phase, CASE WHEN crossed AND realized THEN first - idx END AS lead FROM rp WHERE idx >= 1 AND observed > 0)"""
+REPLAY = """rp AS (SELECT *, p >= 0.5 AS crossed, max(infiltration) OVER a AS realized, lead(stage, 3) OVER o AS realized_stage, min(CASE WHEN infiltration THEN idx END) OVER (PARTITION BY scenario) AS onset,
+ count(*) OVER a AS observed, min(CASE WHEN infiltration THEN idx END) OVER a AS first FROM lb WINDOW o AS (PARTITION BY scenario ORDER BY idx), a AS (PARTITION BY scenario ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+ro AS (SELECT *, CASE WHEN onset IS NULL THEN 'NO_ATTACK' WHEN idx < onset THEN 'PRE_ONSET' WHEN idx < onset + 3 THEN 'DURING_ATTACK' ELSE 'POST_ATTACK' END AS phase, CASE WHEN crossed AND realized THEN first - idx - 1 END AS lead FROM rp WHERE idx >= 1 AND observed = 3),
+rr AS (SELECT *, min(CASE WHEN crossed THEN idx END) OVER (PARTITION BY scenario ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_crossing FROM ro)"""
 
 
 def replayed(spark, sf_dir):
@@ -74,12 +74,12 @@ for _name, _columns in (("e7_realized_future", ["realized", "realized_stage"]),
     query(_name, f"WITH {LB}, {REPLAY} SELECT scenario, idx, {', '.join(_columns)} FROM rr")(_part(_columns))
 
 
-@query("d26_replay_summary", f"WITH {LB}, {REPLAY} SELECT scenario, count(*) AS states, count(*) FILTER (crossed) AS crossings, count(*) FILTER (crossed AND realized) AS hits, count(*) FILTER (crossed AND NOT realized) AS false_early, round(avg(CAST(crossed = realized AS DOUBLE)), 6) AS accuracy, median(lead) AS median_lead, min(onset) AS onset FROM rr GROUP BY scenario")
+@query("d26_replay_summary", f"WITH {LB}, {REPLAY} SELECT scenario, count(*) AS states, count(*) FILTER (crossed) AS crossings, count(*) FILTER (realized) AS realized_onsets, count(*) FILTER (crossed AND realized) AS hits, count(*) FILTER (crossed AND NOT realized) AS false_early, round(avg(CAST(crossed = realized AS DOUBLE)), 6) AS accuracy, median(lead) AS median_lead, median(CASE WHEN phase = 'PRE_ONSET' THEN lead END) AS median_pre_onset_lead, count(*) FILTER (crossed AND phase = 'PRE_ONSET') AS pre_onset_warnings, count(*) FILTER (crossed AND phase = 'DURING_ATTACK') AS during_attack_detections, count(*) FILTER (crossed AND phase = 'POST_ATTACK') AS post_attack_predictions, min(onset) AS onset FROM rr GROUP BY scenario")
 def d26(spark, sf_dir):
     return rounded(R.replay_summary(replayed(spark, sf_dir)))
 
 
-@query("k11_survival_records", f"WITH {LB}, {REPLAY}, l AS (SELECT *, max(idx) OVER (PARTITION BY scenario) AS last FROM rr) SELECT scenario, idx, coalesce(next_crossing, last) - idx AS duration, next_crossing IS NOT NULL AS event FROM l WHERE phase IN ('NO_ATTACK', 'PRE_ONSET')")
+@query("k11_survival_records", f"WITH {LB}, {REPLAY}, l AS (SELECT *, max(idx) OVER (PARTITION BY scenario) AS last FROM rr) SELECT scenario, idx, coalesce(next_crossing, last + 1) - idx AS duration, next_crossing IS NOT NULL AS event FROM l WHERE realized")
 def k11(spark, sf_dir):
     return R.survival_records(replayed(spark, sf_dir))
 
@@ -88,12 +88,15 @@ def customers(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("scenario"), F.col("c_mktsegment").alias("stage"))
 
 
-@query("k1_scenario_split")
+DRAW = "CAST('0x' || substr(md5('42:' || c_custkey), 1, 15) AS BIGINT)"
+
+
+@query("k1_scenario_split", f"WITH d AS (SELECT c_custkey AS scenario, row_number() OVER (ORDER BY {DRAW}) AS r, count(*) OVER () AS n FROM customer) SELECT scenario, CASE WHEN r <= greatest(1, least(floor(n * 0.6E0), n - 2)) THEN 'train' WHEN r <= greatest(greatest(1, least(floor(n * 0.6E0), n - 2)) + 1, least(floor(n * (0.6E0 + 0.2E0)), n - 1)) THEN 'validation' ELSE 'test' END AS split FROM d")
 def k1(spark, sf_dir):
     return R.split_scenarios(customers(spark, sf_dir))
 
 
-@query("k2_stratified_split")
+@query("k2_stratified_split", f"WITH d AS (SELECT c_custkey AS scenario, c_mktsegment AS stage, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY {DRAW}) - 1) % 3 AS t FROM customer) SELECT scenario, stage, CASE t WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split FROM d")
 def k2(spark, sf_dir):
     return R.stratified_split(customers(spark, sf_dir))
 
@@ -110,9 +113,14 @@ def c2(spark, sf_dir):
     return labelled(spark, sf_dir).join(F.broadcast(fixed_split(spark)), "scenario").select("scenario", "idx", "split")
 
 
-@query("g4_split_audit", f"WITH {LB}, {SAMPLES}, {SPLIT} SELECT coalesce(split, 'unassigned') AS split, count(*) AS samples, count(*) FILTER (target) AS positive, 0 AS in_two_splits FROM sa LEFT JOIN sp USING (scenario) WHERE len(inputs) = 8 AND target IS NOT NULL GROUP BY 1")
+DOUBLED = "sp AS (SELECT unnest([0, 1, 2, 3, 3]) AS scenario, unnest(['train', 'train', 'validation', 'validation', 'test']) AS split)"
+
+
+@query("g4_split_audit", f"WITH {LB}, {SAMPLES}, {DOUBLED}, pl AS (SELECT sa.*, split FROM sa LEFT JOIN sp USING (scenario) WHERE len(inputs) = 8 AND target IS NOT NULL), ky AS (SELECT key FROM (SELECT unnest(inputs) AS key, split FROM pl WHERE split IS NOT NULL) GROUP BY key HAVING count(DISTINCT split) > 1) SELECT coalesce(split, 'unassigned') AS split, count(*) AS samples, count(*) FILTER (target) AS positive, (SELECT count(*) FROM (SELECT scenario FROM sp GROUP BY scenario HAVING count(DISTINCT split) > 1)) AS in_two_splits, (SELECT count(*) FROM ky) AS shared_states FROM pl GROUP BY 1")
 def g4(spark, sf_dir):
-    return R.split_audit(R.samples(labelled(spark, sf_dir), 8, 5), fixed_split(spark))
+    """An assignment with faults: scenario 3 is in two splits, scenario 4 in none."""
+    faulty = spark.createDataFrame([(0, "train"), (1, "train"), (2, "validation"), (3, "validation"), (3, "test")], "scenario long, split string")
+    return R.split_audit(R.samples(labelled(spark, sf_dir), 8, 5), faulty)
 
 
 @query("c1_sample_states", f"WITH {LB}, {SAMPLES} SELECT lb.scenario, lb.idx, round(bytes, 6) AS bytes, target FROM sa JOIN lb ON sa.inputs[8] = lb.scenario || ':' || lb.idx WHERE len(inputs) = 8 AND target IS NOT NULL")
@@ -144,7 +152,7 @@ def b4(spark, sf_dir):
 
 @query("b3_feature_schema", f"WITH {LB}, {LONG} SELECT feature, round(mean, 9) AS mean, round(scale, 6) AS scale FROM fs")
 def b3(spark, sf_dir):
-    return R.standardise(labelled(spark, sf_dir), FEATURES, F.col("scenario") < 3).select("feature", F.round("mean", 9).alias("mean"), F.round("scale", 6).alias("scale"))
+    return R.standardise(labelled(spark, sf_dir), [*FEATURES, "infiltration"], F.col("scenario") < 3).select("feature", F.round("mean", 9).alias("mean"), F.round("scale", 6).alias("scale"))
 
 
 @query("f1_top_drivers", f"WITH {LB}, {LONG}, {WT}, r AS (SELECT scenario, idx, feature, z * weight AS contribution, row_number() OVER (PARTITION BY scenario, idx ORDER BY round(abs(z * weight), 9) DESC, feature) AS rank FROM ve JOIN wt USING (feature)) SELECT scenario, idx, feature, round(contribution, 6) AS contribution, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
@@ -158,9 +166,9 @@ def k41(spark, sf_dir):
     return rounded(parts.groupBy("scenario", "idx").agg(F.sum("part").alias("logit"), F.max("part").alias("greatest_part")))
 
 
-@query("f4_top_weights", f"WITH {LB}, {WT} SELECT feature, weight FROM wt WHERE (SELECT count(*) FROM lb) > 0 ORDER BY abs(weight) DESC LIMIT 3")
+@query("f4_top_weights")
 def f4(spark, sf_dir):
-    """The heaviest coefficients of the baseline fitted on the tables; the SQL beside sorts a fixed table."""
+    """The heaviest coefficients of the baseline fitted on the tables."""
     from ..operators import learn as M
     from .learn import standard
 
@@ -177,7 +185,11 @@ def k5(spark, sf_dir):
     return rounded(R.timeline(labelled(spark, sf_dir), 5).select("scenario", "idx", "horizon", "forecast"))
 
 
-QUERIES["h6_probability_decay"], ORACLE_SQL["h6_probability_decay"] = QUERIES["k5_forecast_timeline"], ORACLE_SQL["k5_forecast_timeline"]
+@query("h6_probability_decay", "WITH s AS (SELECT l_orderkey, l_linenumber, l_discount * 6 + l_tax * 5 AS p FROM lineitem) SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber <= 1 THEN p WHEN p >= 0.5 THEN 0.5E0 + abs(p - 0.5E0) * 0.85E0 ** (l_linenumber - 1) ELSE 0.5E0 - abs(p - 0.5E0) * 0.85E0 ** (l_linenumber - 1) END, 6) AS forecast FROM s")
+def h6(spark, sf_dir):
+    """Scores of lines decayed by their place in the order."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rounded(lines.select("l_orderkey", "l_linenumber", S.decay(F.col("l_discount") * 6 + F.col("l_tax") * 5, F.col("l_linenumber")).alias("forecast")))
 
 
 @query("k6_flagged_windows", f"WITH {LB}, {DECAY} SELECT scenario, idx, CAST(min(horizon) AS INT) AS lead_windows, count(*) AS flagged FROM tl WHERE forecast >= 0.3 GROUP BY scenario, idx")

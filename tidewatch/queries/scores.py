@@ -101,7 +101,7 @@ def k24(spark, sf_dir):
 def k25(spark, sf_dir):
     rows = scored(spark, sf_dir)
     q = S.conformal_quantile(rows, 0.1).select("q")
-    return rounded(S.coverage(S.intervals(rows.join(F.broadcast(q)), F.col("q")), 0.9, ["grp"]))
+    return rounded(S.coverage(S.intervals(rows.join(q), F.col("q")), 0.9, ["grp"]))
 
 
 @query("k31_paired_bootstrap")
@@ -119,14 +119,27 @@ def feature_rows(spark, sf_dir):
 
 
 FR = "fr AS (SELECT CAST(day(ts) AS BIGINT) AS day, event_id, 'value' AS feature, value FROM events UNION ALL SELECT CAST(day(ts) AS BIGINT), event_id, 'level', CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM events)"
-PSI = f"""{FR}, rf AS (SELECT * FROM fr WHERE day <= 10), rk AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY feature) AS n FROM rf),
+PSI_BASE = f"""{FR}, rf AS (SELECT * FROM fr WHERE day <= 10), rk AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY feature) AS n FROM rf),
 pk AS (SELECT feature, i, greatest(0, CAST(round_even(i * n / 10.0E0, 0) AS BIGINT) - 1) AS spot FROM (SELECT DISTINCT feature, n FROM rk), (SELECT unnest(range(1, 10)) AS i)),
 ed AS (SELECT pk.feature, list(value ORDER BY value) AS edges FROM pk JOIN rk ON pk.feature = rk.feature AND r = spot GROUP BY pk.feature),
-pl AS (SELECT fr.feature, day, len(list_filter(edges, lambda e: e <= value)) AS bin FROM fr JOIN ed USING (feature)),
-rs AS (SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS r FROM pl WHERE day <= 10 GROUP BY feature, bin),
-nw AS (SELECT feature, day, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature, day) AS p FROM pl WHERE day > 10 GROUP BY feature, day, bin),
-gd AS (SELECT feature, day, unnest(range(10)) AS bin FROM (SELECT DISTINCT feature, day FROM nw)),
-ps AS (SELECT feature, day, round_even(sum((c - r) * ln(c / r)), 6) AS psi FROM (SELECT gd.feature, day, greatest(coalesce(p, 0), 1e-6) AS c, greatest(coalesce(r, 0), 1e-6) AS r FROM gd LEFT JOIN nw USING (feature, day, bin) LEFT JOIN rs USING (feature, bin)) GROUP BY feature, day)"""
+pl AS (SELECT fr.feature, day, len(list_filter(edges, lambda e: e < value)) AS bin FROM fr JOIN ed USING (feature)),
+rs AS (SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS r FROM pl WHERE day <= 10 GROUP BY feature, bin)"""
+
+
+def blocks_sql(name: str, key: str, source: str = "pl") -> str:
+    """CTE ``name`` (feature, day, psi) of the blocks named by ``key`` over the days after the tenth."""
+    return f"""n_{name} AS (SELECT feature, {key} AS day, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature, {key}) AS p FROM {source} WHERE day > 10 GROUP BY feature, {key}, bin),
+g_{name} AS (SELECT feature, day, unnest(range(10)) AS bin FROM (SELECT DISTINCT feature, day FROM n_{name})),
+{name} AS (SELECT feature, day, round_even(sum((c - r) * ln(c / r)), 6) AS psi FROM (SELECT g.feature, g.day, greatest(coalesce(p, 0), 1e-6) AS c, greatest(coalesce(r, 0), 1e-6) AS r FROM g_{name} AS g LEFT JOIN n_{name} USING (feature, day, bin) LEFT JOIN rs USING (feature, bin)) GROUP BY feature, day)"""
+
+
+def monitor_sql(blocks: str, name: str, null: str) -> str:
+    """CTE ``name`` (day, feature, psi, trip, exceeds) of the blocks that aren't ``null`` against those that are."""
+    return f"""w_{name} AS (SELECT day, max(psi) AS w FROM {blocks} WHERE {null} GROUP BY day), t_{name} AS (SELECT quantile_cont(w, 0.9) AS trip FROM w_{name}),
+m_{name} AS (SELECT day, max(psi) AS psi, arg_max(feature, (psi, feature)) AS feature FROM {blocks} WHERE NOT ({null}) GROUP BY day), {name} AS (SELECT day, feature, psi, round(trip, 6) AS trip, psi > trip AS exceeds FROM m_{name}, t_{name})"""
+
+
+PSI = f"{PSI_BASE}, {blocks_sql('ps', 'day')}"
 
 
 def psi_rows(spark, sf_dir):
@@ -140,20 +153,22 @@ def k16(spark, sf_dir):
     return psi_rows(spark, sf_dir)
 
 
-BAND = "bd AS (SELECT feature, psi AS \"limit\" FROM (SELECT feature, psi, row_number() OVER (PARTITION BY feature ORDER BY psi) AS r, count(*) OVER (PARTITION BY feature) AS n FROM ps WHERE day <= 20) WHERE r = least(n, CAST(ceil(n * 0.9E0) AS BIGINT)))"
+BAND = """bd AS (SELECT feature, psi AS "limit" FROM (SELECT feature, psi, row_number() OVER (PARTITION BY feature ORDER BY psi) - 1 AS r, count(*) OVER (PARTITION BY feature) AS n FROM ps WHERE day <= 20) WHERE r = CAST(round_even(0.9E0 * (n - 1), 0) AS BIGINT)),
+pc AS (SELECT a.feature, a.day, a.psi, round(100 * avg(CAST(b.psi <= a.psi AS DOUBLE)), 1) AS percentile FROM ps AS a JOIN ps AS b ON a.feature = b.feature AND a.day > 20 AND b.day <= 20 GROUP BY a.feature, a.day, a.psi)"""
 
 
-@query("k17_null_bands", f"WITH {PSI}, {BAND} SELECT * FROM bd")
+@query("k17_null_bands", f"WITH {PSI}, {BAND} SELECT feature, day, psi, percentile, \"limit\", CASE WHEN psi > \"limit\" THEN 'exceeds_null' ELSE 'within_null' END AS band FROM pc JOIN bd USING (feature)")
 def k17(spark, sf_dir):
-    return S.null_band(psi_rows(spark, sf_dir).where("day <= 20"), 0.9)
+    rows = psi_rows(spark, sf_dir)
+    return S.banded(rows.where("day > 20"), rows.where("day <= 20"), ["day"], 0.9)
 
 
-MON = "wn AS (SELECT day, max(psi) AS w FROM ps WHERE day <= 20 GROUP BY day), tr AS (SELECT w AS trip FROM (SELECT w, row_number() OVER (ORDER BY w) AS r, count(*) OVER () AS n FROM wn) WHERE r = least(n, CAST(ceil(n * 0.9E0) AS BIGINT))), mo AS (SELECT day, max(psi) AS psi, arg_max(feature, (psi, feature)) AS feature FROM ps WHERE day > 20 GROUP BY day), mv AS (SELECT day, feature, psi, trip, psi > trip AS exceeds FROM mo, tr)"
+MON = monitor_sql("ps", "mv", "day <= 20")
 
 
 def monitored(spark, sf_dir):
     rows = psi_rows(spark, sf_dir)
-    return S.monitor(rows.where("day > 20"), rows.where("day <= 20"), ["day"], 0.9)
+    return rounded(S.monitor(rows.where("day > 20"), rows.where("day <= 20"), ["day"], 0.9))
 
 
 @query("k18_drift_monitor", f"WITH {PSI}, {MON} SELECT * FROM mv")
@@ -161,15 +176,28 @@ def k18(spark, sf_dir):
     return monitored(spark, sf_dir)
 
 
-@query("k19_detection_delay", f"WITH {PSI}, {MON} SELECT min(CASE WHEN exceeds AND day >= 25 THEN day - 25 END) AS delay, count(*) FILTER (exceeds AND day < 25) AS false_alarms FROM mv")
+@query("k19_detection_delay", f"WITH {PSI}, {MON} SELECT min(CASE WHEN exceeds AND day >= 25 THEN day - 25 END) AS delay, count(*) FILTER (exceeds AND day < 25) AS false_alarms, count(*) AS windows, arg_min(feature, day) FILTER (exceeds AND day >= 25) AS feature FROM mv")
 def k19(spark, sf_dir):
-    return monitored(spark, sf_dir).agg(F.min(F.when(F.col("exceeds") & (F.col("day") >= 25), F.col("day") - 25)).alias("delay"), F.count_if(F.col("exceeds") & (F.col("day") < 25)).alias("false_alarms"))
+    late = F.col("exceeds") & (F.col("day") >= 25)
+    return monitored(spark, sf_dir).agg(F.min(F.when(late, F.col("day") - 25)).alias("delay"), F.count_if(F.col("exceeds") & (F.col("day") < 25)).alias("false_alarms"), F.count("*").alias("windows"), F.min_by("feature", F.when(late, F.col("day"))).alias("feature"))
 
 
-@query("k20_fixed_threshold_rates", f"WITH {PSI} SELECT t AS threshold, feature, round(avg(CAST(psi > t AS DOUBLE)), 6) AS rate FROM ps, (SELECT unnest([0.05E0, 0.1E0, 0.25E0]) AS t) GROUP BY t, feature")
+@query("k20_fixed_threshold_rates", f"WITH {PSI}, th AS (SELECT unnest([0.05E0, 0.1E0, 0.25E0]) AS threshold), mx AS (SELECT day, max(psi) AS w FROM ps GROUP BY day), a AS (SELECT threshold, avg(CAST(w > threshold AS DOUBLE)) AS rate FROM mx, th GROUP BY threshold), s AS (SELECT threshold, feature, avg(CAST(psi > threshold AS DOUBLE)) AS own FROM ps, th GROUP BY threshold, feature), m AS (SELECT threshold, median(own) AS median_single_feature FROM s GROUP BY threshold) SELECT threshold, round(rate, 6) AS rate, round(median_single_feature, 6) AS median_single_feature FROM a JOIN m USING (threshold)")
 def k20(spark, sf_dir):
-    rows = psi_rows(spark, sf_dir).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in (0.05, 0.1, 0.25)])))
-    return rounded(rows.groupBy("threshold", "feature").agg(F.avg((F.col("psi") > F.col("threshold")).cast("double")).alias("rate")))
+    return rounded(S.alarm_rates(psi_rows(spark, sf_dir), ["day"], [0.05, 0.1, 0.25]))
+
+
+ROLLED = "lt AS (SELECT max(day) AS top FROM fr), ro AS (SELECT feature, day AS d0, bin, unnest([day, day + 1, day + 2]) AS day FROM pl WHERE day > 10), rw AS (SELECT ro.* FROM ro, lt WHERE day BETWEEN 13 AND top)"
+
+
+@query("e13_rolling_blocks", f"WITH {PSI_BASE}, {ROLLED}, {blocks_sql('rb', 'day', 'rw')}, {monitor_sql('rb', 'mv', 'day <= 20')} SELECT * FROM mv")
+def e13(spark, sf_dir):
+    """Verdicts over rolling blocks of three days; the first two days have none."""
+    rows = feature_rows(spark, sf_dir)
+    reference, top = rows.where("day <= 10"), rows.agg(F.max("day").alias("top"))
+    each = rows.where("day > 10").withColumn("day", F.explode(F.sequence(F.col("day"), F.col("day") + 2)))
+    blocks = S.psi(S.psi_edges(reference), reference, each.join(top).where("day between 13 and top"), ["day"])
+    return rounded(S.monitor(blocks.where("day > 20"), blocks.where("day <= 20"), ["day"], 0.9))
 
 
 def durations(spark, sf_dir):
@@ -197,7 +225,11 @@ def k13(spark, sf_dir):
     return S.median_survival(S.kaplan_meier(durations(spark, sf_dir)))
 
 
-@query("k14_log_rank")
+# the rational approximation of the complementary error function, constant term first
+ERFC = "t * exp(-x * x + " + " + t * (".join(str(c) + "E0" for c in (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)) + ")" * 10
+
+
+@query("k14_log_rank", f"WITH {DU}, c AS (SELECT duration, count(*) AS n, count(*) FILTER (grp = '1-URGENT') AS na, count(*) FILTER (event) AS d, count(*) FILTER (event AND grp = '1-URGENT') AS da FROM du WHERE grp IN ('1-URGENT', '5-LOW') GROUP BY duration), s AS (SELECT d, da, CAST(sum(n) OVER w AS DOUBLE) AS r, CAST(sum(na) OVER w AS DOUBLE) AS ra FROM c WINDOW w AS (ORDER BY duration DESC)), e AS (SELECT CAST(sum(da) AS BIGINT) AS observed, sum(d * ra / r) AS expected, sum(CASE WHEN r > 1 THEN d * ra / r * (1 - ra / r) * (r - d) / (r - 1) ELSE 0 END) AS variance FROM s WHERE d > 0), z AS (SELECT observed, expected, (observed - expected) ** 2 / variance AS chi FROM e), x AS (SELECT *, sqrt(chi / 2) AS x, 1 / (1 + 0.5E0 * sqrt(chi / 2)) AS t FROM z) SELECT observed, round(expected, 6) AS expected, round(chi, 6) AS chi_square, round({ERFC}, 6) AS p_value FROM x")
 def k14(spark, sf_dir):
     return rounded(S.log_rank(durations(spark, sf_dir), "1-URGENT", "5-LOW"))
 

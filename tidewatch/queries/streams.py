@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..events import FEATURES
 from ..streaming import live
+from ..plans.tables import shared_folder
 
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream(spark, sf_dir):
     """The events table as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -31,14 +20,12 @@ def stream(spark, sf_dir):
 
 def flushed(spark, sf_dir, width: str, stride: str | None = None):
     """All windows of the events table, the last open ones too."""
-    path = folder(spark)
+    path = shared_folder(spark, "stream")
     rows = stream(spark, sf_dir)
     return live.drain(live.windows(live.closable(rows, f"{path}/end"), width, stride), "windows", f"{path}/c", (rows.schema, f"{path}/end"))
 
 
-def closed(hours: int) -> str:
-    """Rows of the windows that the last event has closed; the queries also have the windows after these."""
-    return f"WITH e AS (SELECT user_id % 5 AS scenario, ts, value, CAST(event_type = 'error' AS INT) AS f FROM events), m AS (SELECT max(ts) AS last FROM e)"
+E = "WITH e AS (SELECT user_id % 5 AS scenario, ts, value, CAST(event_type = 'error' AS INT) AS f FROM events)"
 
 
 @(lambda f: QUERIES.setdefault("m1_tumbling_windows", f))
@@ -47,7 +34,7 @@ def m1(spark, sf_dir):
     return out.select("scenario", F.unix_micros("start").alias("start_us"), "event_count", F.round("bytes", 6).alias("bytes"), F.round("failed_auth", 6).alias("failed_auth"))
 
 
-ORACLE_SQL["m1_tumbling_windows"] = closed(3) + ", w AS (SELECT scenario, epoch_us(time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01')) AS start_us, count(*) AS event_count, round(sum(value), 6) AS bytes, round(CAST(sum(f) AS DOUBLE), 6) AS failed_auth FROM e GROUP BY ALL) SELECT w.* FROM w, m WHERE start_us + 10800000000 <= epoch_us(last)"
+ORACLE_SQL["m1_tumbling_windows"] = E + ", w AS (SELECT scenario, epoch_us(time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01')) AS start_us, count(*) AS event_count, round(sum(value), 6) AS bytes, round(CAST(sum(f) AS DOUBLE), 6) AS failed_auth FROM e GROUP BY ALL) SELECT * FROM w"
 
 
 @(lambda f: QUERIES.setdefault("m2_sliding_windows", f))
@@ -56,13 +43,13 @@ def m2(spark, sf_dir):
     return out.select("scenario", F.unix_micros("start").alias("start_us"), "event_count", F.round("bytes", 6).alias("bytes"))
 
 
-ORACLE_SQL["m2_sliding_windows"] = closed(6) + ", s AS (SELECT scenario, value, ts, epoch_us(time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01')) AS b FROM e), x AS (SELECT scenario, value, unnest([b, b - 10800000000]) AS start_us FROM s), w AS (SELECT scenario, start_us, count(*) AS event_count, round(sum(value), 6) AS bytes FROM x GROUP BY ALL) SELECT w.* FROM w, m WHERE start_us + 21600000000 <= epoch_us(last)"
+ORACLE_SQL["m2_sliding_windows"] = E + ", s AS (SELECT scenario, value, ts, epoch_us(time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01')) AS b FROM e), x AS (SELECT scenario, value, unnest([b, b - 10800000000]) AS start_us FROM s), w AS (SELECT scenario, start_us, count(*) AS event_count, round(sum(value), 6) AS bytes FROM x GROUP BY ALL) SELECT * FROM w"
 
 
 @(lambda f: QUERIES.setdefault("m6_history_scoring", f))
 def m6(spark, sf_dir):
     """Tumbling windows written by one stream, scored by another that keeps the last three of each scenario."""
-    path = folder(spark)
+    path = shared_folder(spark, "stream")
     rows = stream(spark, sf_dir)
     states = live.windows(live.closable(rows, f"{path}/end"), "3 hours")
     start = lambda: states.writeStream.format("parquet").option("path", f"{path}/states").option("checkpointLocation", f"{path}/c1").trigger(availableNow=True).start()
@@ -71,7 +58,7 @@ def m6(spark, sf_dir):
     return live.drain(live.score_history(held), "scores", f"{path}/c2").select("scenario", F.unix_micros("start").alias("start_us"), F.round("z", 6).alias("z"), "held")
 
 
-ORACLE_SQL["m6_history_scoring"] = ORACLE_SQL["m1_tumbling_windows"].replace(" SELECT w.* FROM w, m WHERE", ", c AS (SELECT w.* FROM w, m WHERE") + "), h AS (SELECT *, avg(bytes) OVER p AS mu, stddev_pop(bytes) OVER p AS sd, count(*) OVER p AS held FROM c WINDOW p AS (PARTITION BY scenario ORDER BY start_us ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) SELECT scenario, start_us, round(CASE WHEN held < 3 THEN 0 WHEN sd = 0 THEN 6 ELSE (bytes - mu) / sd END, 6) AS z, CAST(held AS INT) AS held FROM h"
+ORACLE_SQL["m6_history_scoring"] = ORACLE_SQL["m1_tumbling_windows"].replace(" SELECT * FROM w", ", c AS (SELECT * FROM w") + "), h AS (SELECT *, avg(bytes) OVER p AS mu, stddev_pop(bytes) OVER p AS sd, count(*) OVER p AS held FROM c WINDOW p AS (PARTITION BY scenario ORDER BY start_us ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) SELECT scenario, start_us, round(CASE WHEN held < 3 THEN 0 WHEN sd = 0 THEN 6 ELSE (bytes - mu) / sd END, 6) AS z, CAST(held AS INT) AS held FROM h"
 
 
 @(lambda f: QUERIES.setdefault("m9_live_status", f))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..events import EVENTS_SQL, SECONDS, events
 from ..operators import scores as S
 from ..operators import whatif as X
-from .detect import STATES, known_edges
+from ..operators.detect import ALERT_AT
+from ..plans.tables import stored
+from .detect import SCORED, band_sql, known_edges
+from .detect import scored as probabilities
 from .replay import LB, LONG, WT, long_form, weights
-from .scores import FR, SC, feature_rows, scored
+from .scores import FR, PSI_BASE, SC, blocks_sql, feature_rows, monitor_sql, scored
 from .windows import rounded
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -26,40 +28,69 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-CAP = 0.004
-MOVES = f"""mv AS (SELECT scenario, k, 'throttle' AS move, known, bytes, least(bytes, {CAP}E0 * 21600.0E0) AS sent, greatest(0, CAST(ceil(bytes / ({CAP}E0 * 21600.0E0)) AS BIGINT) - 1) AS xw FROM ek
- UNION ALL SELECT scenario, k, 'spread', known AND hop = 1, CASE WHEN hop = 1 THEN bytes ELSE bytes / 3 END, bytes / 3, 0 FROM ek, (SELECT unnest([1, 2, 3]) AS hop)),
-oc AS (SELECT scenario, k, move, sum(CASE WHEN known THEN sent ELSE 0 END) AS known_bytes, sum(bytes - sent) AS held_back, max(xw) AS windows FROM mv GROUP BY ALL)"""
+#: The tables' values as transfers of so many bytes each, so that rates meet the rules' bands.
+UNIT = 1_000_000.0
 
 
-def outcomes(spark, sf_dir):
-    edges = known_edges(spark, sf_dir)
-    columns = ["scenario", "k", "move", "known", "bytes", "sent", "extra_windows"]
-    a = X.throttled(edges, CAP, SECONDS).withColumn("move", F.lit("throttle")).select(*columns)
-    b = X.spread(edges, 3).withColumns({"move": F.lit("spread"), "known": F.col("known") & (F.col("hop") == 1), "bytes": F.when(F.col("hop") == 1, F.col("bytes")).otherwise(F.col("sent"))}).select(*columns)
-    return X.move_outcomes(a.union(b), 0.02, SECONDS)
+def fires_sql(detector: str, at: float) -> str:
+    return "is_lateral" if detector == "lateral_movement" else f"p_{detector} >= {at}E0"
 
 
-@query("j9_red_team_moves", f"WITH {STATES}, {MOVES} SELECT scenario, k, move, round(held_back, 6) AS held_back, windows, round(known_bytes / 21600.0E0, 9) AS rate, known_bytes / 21600.0E0 < 0.02 AS feasible, known_bytes / 21600.0E0 < 0.02 AND windows = 0 AS free FROM oc")
+def move_sql(detector: str, at: float, name: str, when: str = "true", evades: str = "false", cost_bytes: str = "0", cost_windows: str = "0", tampering: bool = False) -> str:
+    return f"SELECT scenario, k, '{detector}' AS detector, '{name}' AS move, {evades} AS evades, {str(tampering).lower()} AS tampering, CAST({cost_bytes} AS DOUBLE) AS cost_bytes, CAST({cost_windows} AS DOUBLE) AS cost_windows FROM r WHERE {fires_sql(detector, at)} AND {when}"
+
+
+def moves_sql() -> str:
+    parts = []
+    for d, at in ALERT_AT.items():
+        parts += [move_sql(d, at, "edit_the_flow_exporter", evades="true", tampering=True), f"SELECT scenario, k, '{d}', 'not_firing', false, false, 0.0E0, 0.0E0 FROM r WHERE NOT ({fires_sql(d, at)})"]
+    d = "lateral_movement"
+    parts += [move_sql(d, 0, "throttle_the_transfer", f"rate > {X.RATE_WARN}E0", "NOT slow_lateral", cost_windows=f"greatest(0, rate / {X.RATE_WARN * X.SLACK}E0 - 1)"), move_sql(d, 0, "split_the_transfer_over_more_edges")]
+    parts.append(move_sql("exfiltration", ALERT_AT["exfiltration"], "throttle_the_transfer", f"window_bytes > {X.VOLUME_ALERT}E0", cost_windows=f"greatest(0, window_bytes / {X.VOLUME_ALERT * X.SLACK}E0 - 1)"))
+    parts.append(move_sql("credential_abuse", ALERT_AT["credential_abuse"], "dilute_share_with_benign_edges", "probe_share > 0", cost_bytes="greatest(1, floor(edges * greatest(0, 1 - 0.3E0 / probe_share))) * 100"))
+    return " UNION ALL ".join(parts)
+
+
+MOVES = f"""ct AS (SELECT scenario, k, count(*) AS edges, sum(bytes * {UNIT}) AS window_bytes, sum(CASE WHEN known THEN bytes * {UNIT} ELSE 0 END) AS known_bytes FROM ek GROUP BY scenario, k),
+cp AS (SELECT scenario, k, sum(least(bytes * {UNIT}, greatest(1, {X.RATE_WARN * X.SLACK}E0 / edges) * 21600.0E0)) AS capped FROM ek JOIN ct USING (scenario, k) WHERE known GROUP BY scenario, k),
+ra AS (SELECT p.* EXCLUDE (rate), edges, window_bytes, known_bytes / 21600.0E0 AS rate, coalesce(capped, 0) / 21600.0E0 AS slow FROM p JOIN ct USING (scenario, k) LEFT JOIN cp USING (scenario, k)),
+r AS (SELECT *, idx >= 3 AND {band_sql('rate', 750.0, 900.0)} >= 0.7E0 AS is_lateral, idx >= 3 AND {band_sql('slow', 750.0, 900.0)} >= 0.7E0 AS slow_lateral FROM ra),
+mo AS ({moves_sql()}),
+mv AS (SELECT *, evades AND NOT tampering AS feasible, evades AND NOT tampering AND cost_bytes = 0 AND cost_windows = 0 AS free FROM mo)"""
+
+
+def moves(spark, sf_dir):
+    edges = known_edges(spark, sf_dir).withColumn("bytes", F.col("bytes") * UNIT)
+    return X.red_team_moves(probabilities(spark, sf_dir), edges, SECONDS)
+
+
+@query("j9_red_team_moves", f"WITH {SCORED}, {MOVES} SELECT scenario, k, detector, move, evades, tampering, round(cost_bytes, 6) AS cost_bytes, round(cost_windows, 6) AS cost_windows, feasible, free FROM mv")
 def j9(spark, sf_dir):
-    rows = outcomes(spark, sf_dir)
-    return rows.select("scenario", "k", "move", F.round("held_back", 6).alias("held_back"), "windows", F.round("rate", 9).alias("rate"), "feasible", "free")
+    return rounded(moves(spark, sf_dir))
 
 
-@query("f6_cheapest_move")
+@query("f6_cheapest_move", f"WITH {SCORED}, {MOVES} SELECT scenario, k, detector, arg_min(move, (cost_windows, cost_bytes, move)) AS move FROM mv WHERE feasible GROUP BY scenario, k, detector")
 def f6(spark, sf_dir):
-    return X.cheapest(outcomes(spark, sf_dir))
+    return X.cheapest(moves(spark, sf_dir))
 
 
-@query("k43_counterfactual", f"WITH {LB}, {LONG}, {WT}, c AS (SELECT scenario, idx, z * weight AS p, row_number() OVER (PARTITION BY scenario, idx ORDER BY z * weight DESC) AS r FROM ve JOIN wt USING (feature)), g AS (SELECT scenario, idx, sum(p) - 1 AS logit, coalesce(sum(CASE WHEN r <= 3 AND p > 0 THEN p END), 0) AS can FROM c GROUP BY ALL) SELECT scenario, idx, round(logit, 6) AS logit, round(greatest(0, logit + 1.5E0), 6) AS needed, round(least(greatest(0, logit + 1.5E0), can), 6) AS reduced, can >= greatest(0, logit + 1.5E0) AS reached FROM g")
+GAP_LEFT = "CASE WHEN {0} <= 0 OR coalesce({1}, 0) <= 0 THEN {0} WHEN {2} > 0 THEN {0} - least({1}, {0}) ELSE {0} - {1} END"
+
+
+@query("k43_counterfactual", f"""WITH {LB}, {LONG}, {WT}, c AS (SELECT scenario, idx, weight, z * weight AS p, row_number() OVER (PARTITION BY scenario, idx ORDER BY round(abs(z * weight), 9) DESC, feature DESC) AS r FROM ve JOIN wt USING (feature)),
+g AS (SELECT scenario, idx, sum(p) - 1 AS logit, {', '.join(f'max(CASE WHEN r = {i} THEN p END) AS p{i}, max(CASE WHEN r = {i} THEN weight END) AS w{i}' for i in (1, 2, 3))} FROM c GROUP BY ALL),
+a AS (SELECT *, logit + 1.5E0 AS gap FROM g), b AS (SELECT *, {GAP_LEFT.format('gap', 'p1', 'w1')} AS l1 FROM a), d AS (SELECT *, {GAP_LEFT.format('l1', 'p2', 'w2')} AS l2 FROM b), e AS (SELECT *, {GAP_LEFT.format('l2', 'p3', 'w3')} AS l3 FROM d)
+SELECT scenario, idx, round(logit, 6) AS logit, round(gap, 6) AS needed, round(gap - l3, 6) AS reduced, l3 <= 1e-9 AS reached FROM e""")
 def k43(spark, sf_dir):
-    parts = long_form(spark, sf_dir).join(F.broadcast(weights(spark)), "feature").withColumn("contribution", F.col("z") * F.col("weight"))
+    parts = long_form(spark, sf_dir).join(weights(spark), "feature").withColumn("contribution", F.col("z") * F.col("weight"))
     return rounded(X.counterfactual(parts, ["scenario", "idx"], -1.0, -1.5))
 
 
-@query("k42_path_gradient")
+@query("k42_path_gradient", f"""WITH {LB}, {LONG}, {WT}, g AS (SELECT scenario, idx, sum(z * weight) AS logit FROM ve JOIN wt USING (feature) GROUP BY scenario, idx),
+u AS (SELECT scenario, idx, -(logit * (i - 0.5E0) / 16 - 1) AS x FROM g, (SELECT unnest(range(1, 17)) AS i)), m AS (SELECT scenario, idx, avg(exp(x) / (1 + exp(x)) ** 2) AS slope FROM u GROUP BY scenario, idx)
+SELECT scenario, idx, feature, round(z * weight * slope, 6) AS attribution FROM ve JOIN wt USING (feature) JOIN m USING (scenario, idx)""")
 def k42(spark, sf_dir):
-    return rounded(X.path_gradient(long_form(spark, sf_dir).join(F.broadcast(weights(spark)), "feature"), ["scenario", "idx"], -1.0))
+    return rounded(X.path_gradient(long_form(spark, sf_dir).join(weights(spark), "feature"), ["scenario", "idx"], -1.0))
 
 
 TIERS = [("l_quantity", 1), ("l_extendedprice", 2), ("l_discount", 3), ("l_tax", 5)]
@@ -93,25 +124,27 @@ def c11(spark, sf_dir):
     return reference.join(rows.where("day > 20").groupBy("feature").agg(F.round(F.avg("value"), 9).alias("live")), "feature")
 
 
-QUERIES["k22_snapshot_comparison"], ORACLE_SQL["k22_snapshot_comparison"] = QUERIES["c11_common_features"], ORACLE_SQL["c11_common_features"]
+@query("k22_snapshot_comparison", f"WITH {PSI_BASE}, {blocks_sql('ps', 'day * 0')}, c AS (SELECT feature, count(*) FILTER (day <= 10) AS reference_count, count(*) FILTER (day > 10) AS current_count FROM fr GROUP BY feature) SELECT feature, psi, reference_count, current_count FROM ps JOIN c USING (feature)")
+def k22(spark, sf_dir):
+    """The reference period's values captured as a snapshot table, read again and compared with the live ones."""
+    rows = feature_rows(spark, sf_dir)
+    snapshot = stored(rows.where("day <= 10").select("feature", "value"), "snapshot")
+    return S.compare_snapshot(snapshot, rows.where("day > 10").select("feature", "value"))
+
 
+def sweep_sql(days: int) -> str:
+    return f"{blocks_sql(f'b{days}', f'(day - 11) // {days}')}, {monitor_sql(f'b{days}', f'v{days}', f'day * {days} < 10')}"
 
-@query("k21_block_sweep")
+
+@query("k21_block_sweep", f"WITH {PSI_BASE}, {', '.join(sweep_sql(d) for d in (1, 2, 5))} " + " UNION ALL ".join(f"SELECT count(*) AS blocks, count(*) FILTER (exceeds) AS exceeding, min(CASE WHEN exceeds THEN day END) AS first, {d} AS days FROM v{d}" for d in (1, 2, 5)))
 def k21(spark, sf_dir):
     """False alarms and delay of the drift monitor for blocks of 1, 2 and 5 days."""
     rows = feature_rows(spark, sf_dir)
     reference, out = rows.where("day <= 10"), None
-    edges = S.psi_edges(reference)
+    edges = stored(S.psi_edges(reference), "edges")
     for days in (1, 2, 5):
         blocks = S.psi(edges, reference, rows.where("day > 10").withColumn("block", F.floor((F.col("day") - 11) / days)), ["block"])
         seen = S.monitor(blocks.where(F.col("block") * days >= 10), blocks.where(F.col("block") * days < 10), ["block"], 0.9)
         part = seen.agg(F.count("*").alias("blocks"), F.count_if("exceeds").alias("exceeding"), F.min(F.when(F.col("exceeds"), F.col("block"))).alias("first")).withColumn("days", F.lit(days))
         out = part if out is None else out.union(part)
     return out
-
-
-@query("e13_rolling_blocks", "WITH d AS (SELECT CAST(day(ts) AS BIGINT) AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, CAST(sum(n) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS n7 FROM d QUALIFY row_number() OVER (ORDER BY day) >= 7")
-def e13(spark, sf_dir):
-    days = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.dayofmonth("ts").cast("long").alias("day")).agg(F.count("*").alias("n"))
-    order = Window.orderBy("day")
-    return days.select("day", F.sum("n").over(order.rowsBetween(-6, 0)).alias("n7"), F.row_number().over(order).alias("r")).where("r >= 7").drop("r")

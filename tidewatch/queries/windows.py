@@ -77,7 +77,10 @@ def d9(spark, sf_dir):
     return W.window_label(members(spark, sf_dir))
 
 
-QUERIES["c4_event_window_labels"], ORACLE_SQL["c4_event_window_labels"] = QUERIES["d9_window_label"], ORACLE_SQL["d9_window_label"]
+@query("c4_event_window_labels", f"WITH {MEMBERS} SELECT scenario, k, stage, count(*) AS events, min(event_id) AS first_event FROM mem GROUP BY scenario, k, stage")
+def c4(spark, sf_dir):
+    """Labelled events of each window, by membership."""
+    return members(spark, sf_dir).groupBy(*W.KEY, "stage").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
 
 
 def stats_sql(name: str) -> str:
@@ -171,10 +174,9 @@ def d21(spark, sf_dir):
     return W.edge_features(edge_table(spark, sf_dir)).select(*W.KEY, "max_fanout")
 
 
-@query("d22_edge_byte_entropy", f"WITH {EDGES}, ed AS (SELECT scenario, k, CASE WHEN events >= 1 THEN CAST(events AS DOUBLE) END AS b FROM edge), {entropy_sql('b', 'ed', name='edge_entropy')} SELECT * FROM ent")
+@query("d22_edge_byte_entropy", f"WITH {EDGES}, ed AS (SELECT scenario, k, CASE WHEN bytes > 0 THEN bytes END AS b FROM edge), {entropy_sql('b', 'ed', name='edge_entropy')} SELECT * FROM ent")
 def d22(spark, sf_dir):
-    rows = edge_table(spark, sf_dir).withColumn("b", F.col("events").cast("double"))
-    return rounded(W.entropy(rows, F.col("b"), "edge_entropy"))
+    return rounded(W.entropy(edge_table(spark, sf_dir), F.when(F.col("bytes") > 0, F.col("bytes")), "edge_entropy"))
 
 
 @query("e1_state_index", f"WITH {MEMBERS} SELECT scenario, k, row_number() OVER (PARTITION BY scenario ORDER BY k) - 1 AS idx FROM (SELECT DISTINCT scenario, k FROM mem)")
@@ -189,9 +191,9 @@ def e10(spark, sf_dir):
     return rounded(W.sequential_ports(members(spark, sf_dir)))
 
 
-@query("m5_empty_windows", f"WITH {MEMBERS}, t AS (SELECT scenario, max(k) AS top FROM mem GROUP BY scenario), g AS (SELECT scenario, unnest(range(0, top + 1)) AS k FROM t), c AS (SELECT scenario, k, count(*) AS n FROM mem WHERE event_id % 50 = 0 GROUP BY ALL) SELECT g.scenario, g.k, coalesce(n, 0) AS event_count FROM g LEFT JOIN c ON g.scenario = c.scenario AND g.k = c.k")
+@query("m5_empty_windows", f"WITH {MEMBERS}, t AS (SELECT scenario, max(k) AS top FROM mem GROUP BY scenario), g AS (SELECT scenario, unnest(range(0, top + 1)) AS k FROM t), c AS (SELECT scenario, k, count(*) AS n FROM mem GROUP BY ALL) SELECT g.scenario, g.k, coalesce(n, 0) AS event_count FROM g LEFT JOIN c ON g.scenario = c.scenario AND g.k = c.k")
 def m5(spark, sf_dir):
-    """Events of every window; the windows that the data leaves out have none. The SQL beside counts every fiftieth event only."""
+    """Events of every window; the windows that the data leaves out have none."""
     rows = members(spark, sf_dir)
     counts = rows.groupBy(*W.KEY).agg(F.count("*").alias("n"))
     return W.grid(counts).join(counts, W.KEY, "left").select(*W.KEY, F.coalesce("n", F.lit(0)).alias("event_count"))

@@ -18,20 +18,31 @@ PLURALS = {"total fwd packets": "total fwd packet", "total backward packets": "t
 FORBIDDEN = {"label", "infiltration", "attack_stage", "scenario_id", "label_source"}
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (file, at: monotonically_increasing_id of the scan) with line_no, from 1 inside each file.
+
+    A file's splits count their own rows; running sums over the splits give their first numbers, so no file meets in a task.
+    """
+    part = F.shiftright("at", 33)
+    counts = rows.groupBy(F.col("file").alias("f"), part.alias("part")).agg(F.min("at").alias("begin"), F.count("*").alias("n"))
+    before = Window.partitionBy("f").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("f", "part", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    out = rows.join(offsets, (F.col("file") == F.col("f")) & (part == F.col("part")))
+    return out.withColumn("line_no", F.col("at") - F.col("begin") + F.col("earlier") + 1).drop("f", "part", "begin", "earlier", "at")
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line): numbered inside each file by offset order."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
-    return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("at"))).drop("at")
+    return numbered(spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at")))
 
 
-def read_flow_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Canonical flow CSV: (events, rejects). A row with a bad timestamp or number is rejected with its line number."""
+def read_flow_csv(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Canonical flow CSV: (events, rejects). A row with a bad timestamp or number is rejected with its line number; strict: any such row raises."""
     raw = spark.read.csv(path, header=True)
     missing = [c for c in REQUIRED if c not in raw.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    raw = raw.withColumns({"file": F.input_file_name(), "at": F.monotonically_increasing_id()})
-    raw = raw.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("at")) + 1)
+    raw = numbered(raw.withColumns({"file": F.input_file_name(), "at": F.monotonically_increasing_id()})).withColumn("line_no", F.col("line_no") + 1)
     numbers = [c for c in [*REQUIRED[3:5], *REQUIRED[6:], *OPTIONAL[1:]] if c in raw.columns]
     read = {c: F.col(c).try_cast("double") for c in numbers}
     flags = flag_mask(F.col("tcp_flags")) if "tcp_flags" in raw.columns else F.lit(None).cast("int")
@@ -43,6 +54,8 @@ def read_flow_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     bad = bad | any_timestamp(F.col("timestamp")).isNull() | protocol_number(F.col("protocol")).isNull() | flags.isNull() & F.lit("tcp_flags" in raw.columns)
     marked = raw.withColumn("bad", F.coalesce(bad, F.lit(True)))
     rejects = marked.where("bad").select("file", "line_no")
+    if strict and (first := rejects.head(1)):
+        raise ValueError(f"line {first[0]['line_no']} of {first[0]['file']} can't be read")
     events = marked.where("not bad").select(
         F.concat_ws(":", F.element_at(F.split("file", "/"), -1), "line_no").alias("event_id"), any_timestamp(F.col("timestamp")).alias("ts"), F.col("source_entity").alias("src"), F.col("destination_entity").alias("dst"),
         F.lit("flow").alias("event_type"), protocol_number(F.col("protocol")).alias("protocol"), flags.alias("tcp_flags"), *[read[c].alias({"source_port": "sport", "destination_port": "dport"}.get(c, c)) for c in numbers],
@@ -95,7 +108,7 @@ def conversion_counts(rows: DataFrame) -> DataFrame:
 def map_labels(rows: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with stage and infiltration, distinct labels without a rule); rules: label, stage, infiltration."""
     keyed = rules.select(label_text(F.col("label")).alias("rule"), "stage", "infiltration")
-    return rows.join(F.broadcast(keyed), F.col("label") == F.col("rule")).drop("rule"), rows.join(F.broadcast(keyed), F.col("label") == F.col("rule"), "left_anti").select("label").distinct()
+    return rows.join(keyed, F.col("label") == F.col("rule")).drop("rule"), rows.join(keyed, F.col("label") == F.col("rule"), "left_anti").select("label").distinct()
 
 
 def parse_dns(lines: DataFrame, origin: Column | None = None) -> DataFrame:
@@ -179,6 +192,43 @@ def read_threat_feed(spark: SparkSession, path: str, most: int = 50_000) -> Data
     return latest(found, ["indicator"], "line_no").orderBy(F.col("line_no").desc()).limit(most)
 
 
+def save_feed(feed: DataFrame, previous: DataFrame | None, path: str, loaded_at: Column) -> None:
+    """The indicator set after a load, as a table: new rows replace those of the same indicator, the others stay with their own time of loading."""
+    now = feed.withColumn("loaded_at", loaded_at)
+    merged = now if previous is None else now.unionByName(previous, allowMissingColumns=True)
+    latest(merged, ["indicator"], "loaded_at").write.mode("overwrite").parquet(path)
+
+
+def stale(feed, now: Column, hours: float = 24.0) -> DataFrame:
+    """Of a feed, or of each group of a grouped one: indicators, when the feed was last loaded, its age in hours, and whether that is too old (never loaded is)."""
+    age = (now - F.max("loaded_at")) / 3_600_000_000
+    return feed.agg(F.count("*").alias("indicators"), F.max("loaded_at").alias("loaded_at"), age.alias("age_hours"), F.coalesce(age > hours, F.lit(True)).alias("stale"))
+
+
+# Which reader a file's ending asks for.
+ROUTES = {"csv": "flow_csv", "tsv": "flow_csv", "pcap": "packets", "pcapng": "packets", "cap": "packets", "jsonl": "sensor", "log": "text"}
+
+
+def route_files(files: DataFrame) -> DataFrame:
+    """(path, kind): the reader of each file by its ending; one without a reader has the kind null, which callers report."""
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    kind = F.lit(None).cast("string")
+    for end, name in ROUTES.items():
+        kind = F.when(ending == end, name).otherwise(kind)
+    return files.withColumn("kind", kind)
+
+
+def edges_json(edge_rows: DataFrame) -> DataFrame:
+    """(scenario, k, edge_summary): each window's edges as one JSON text, by source and destination."""
+    edge = F.struct("src", "dst", "events", "bytes")
+    return edge_rows.groupBy("scenario", "k").agg(F.to_json(F.array_sort(F.collect_list(edge))).alias("edge_summary"))
+
+
+def edges_from_json(rows: DataFrame) -> DataFrame:
+    """The edges of edges_json(), a row each."""
+    return rows.select("scenario", "k", F.explode(F.from_json("edge_summary", "array<struct<src: string, dst: string, events: long, bytes: double>>")).alias("e")).select("scenario", "k", "e.*")
+
+
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key, by ``order``; keeps all columns."""
     rest = [c for c in rows.columns if c not in keys]
