@@ -150,7 +150,7 @@ def next_techniques(alerts: DataFrame, transitions: DataFrame) -> DataFrame:
 
     alerts has an ``at`` column, the place of a finding from the last one back (0 is the last).
     """
-    voted = alerts.join(F.broadcast(transitions), F.col("attack_type") == F.col("current")).groupBy(*KEY, "next").agg(F.sum(F.col("p") / (F.col("at") + 1)).alias("votes"))
+    voted = alerts.join(transitions, F.col("attack_type") == F.col("current")).groupBy(*KEY, "next").agg(F.sum(F.col("p") / (F.col("at") + 1)).alias("votes"))
     several = alerts.groupBy(*KEY).agg(F.count("*").alias("n")).where("n >= 2")
     top = F.max("votes").over(Window.partitionBy(*KEY))
     return voted.join(several, KEY).select(*KEY, "next", (F.col("votes") / top).alias("probability"))

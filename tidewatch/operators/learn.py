@@ -10,6 +10,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scores
 
 def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
     filled = rows.fillna(0.0, subset=features)
@@ -40,18 +41,35 @@ def fit_isotonic(rows: DataFrame, least: int = 20):
     return IsotonicRegression(featuresCol="x", labelCol="y").fit(data)
 
 
+CELLS = 1024
+
+
 def recalibrated(model, rows: DataFrame) -> DataFrame:
-    """rows with calibrated: the step of the greatest boundary at or below the score."""
+    """rows with calibrated: the step of the greatest boundary at or below the score, the first one's below all, 1 above all.
+
+    The steps are a table of CELLS + 1 rows, one for each cell of the score, with the steps that begin in it and the one before.
+    """
     steps = [(float(b), float(p)) for b, p in zip(model.boundaries, model.predictions, strict=True)]
-    table = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(p).alias("p")) for b, p in steps])
-    below = F.filter(table, lambda s: s["b"] <= F.col("score"))
-    return rows.withColumn("calibrated", F.coalesce(F.try_element_at(below, F.lit(-1))["p"], F.lit(steps[0][1])))
+    cells: list[list[tuple[float, float]]] = [[] for _ in range(CELLS + 1)]
+    for b, p in steps:
+        cells[min(CELLS, max(0, int(b * CELLS)))].append((b, p))
+    last, table = (float("-inf"), steps[0][1]), []
+    for cell, own in enumerate(cells):
+        table.append((cell, [last, *own]))
+        last = own[-1] if own else last
+    known = rows.sparkSession.createDataFrame(table, "cell int, steps array<struct<b: double, p: double>>")
+    placed = rows.withColumn("at", F.least(F.lit(CELLS), F.greatest(F.lit(0), F.floor(F.col("score") * CELLS))).cast("int"))
+    found = placed.join(known, F.col("at") == F.col("cell"))
+    value = F.element_at(F.filter("steps", lambda s: s["b"] <= F.col("score")), -1)["p"]
+    return found.withColumn("calibrated", F.when(F.col("score") >= steps[-1][0] + 1e-9, 1.0).otherwise(value)).drop("at", "cell", "steps")
 
 
 def gate(rows: DataFrame) -> DataFrame:
-    """Brier score and bias before and after; ship only if the Brier score went down."""
+    """Brier score, bias and calibration error before and after; ship only if the Brier score went down."""
     y = F.col("truth").cast("double")
     out = rows.agg(F.avg(F.pow(F.col("score") - y, 2)).alias("before"), F.avg(F.pow(F.col("calibrated") - y, 2)).alias("after"), F.avg(F.col("score") - y).alias("bias_before"), F.avg(F.col("calibrated") - y).alias("bias_after"))
+    error = lambda column: scores.calibration_error(scores.reliability(rows.select(F.col(column).alias("score"), "truth")))
+    out = out.join(error("score").withColumnRenamed("ece", "ece_before")).join(error("calibrated").withColumnRenamed("ece", "ece_after"))
     return out.withColumn("ship", F.col("after") < F.col("before"))
 
 

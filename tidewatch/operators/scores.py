@@ -30,8 +30,8 @@ def confusion(rows: DataFrame, threshold: Column, group: list[str] | None = None
     return out.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "fpr": ratio(fp, fp + tn)})
 
 
-def by_score(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("score").agg(F.count("*").alias("n"), F.count_if("truth").alias("pos"))
+def by_score(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
+    return rows.groupBy(*(group or []), "score").agg(F.count("*").alias("n"), F.count_if("truth").alias("pos"))
 
 
 def running(rows: DataFrame, value: str, sums: list[str], group: list[str] | None = None, descending: bool = False) -> DataFrame:
@@ -64,10 +64,10 @@ def average_precision(rows: DataFrame) -> DataFrame:
     return steps.agg(F.when((F.sum("pos") > 0) & (F.sum("pos") < F.sum("n")), F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos")).alias("average_precision"))
 
 
-def roc_auc(rows: DataFrame) -> DataFrame:
-    """Share of positive-negative pairs in the right order, ties by half; null with one class."""
-    steps = running(by_score(rows).withColumn("neg", F.col("n") - F.col("pos")), "score", ["neg"])
-    return steps.agg(ratio(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
+def roc_auc(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Share of positive-negative pairs in the right order, ties by half, of each group; null with one class."""
+    steps = running(by_score(rows, group).withColumn("neg", F.col("n") - F.col("pos")), "score", ["neg"], group)
+    return steps.groupBy(*(group or [])).agg(ratio(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
 
 
 def threshold_grid(rows: DataFrame, cuts: list[float], group: list[str] | None = None) -> DataFrame:

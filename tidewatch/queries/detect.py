@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..events import SECONDS, STRIDE, WIDTH
+from ..events import SECONDS, STRIDE, WIDTH, events
 from ..functions import scalars as S
 from ..operators import correlate as C
 from ..operators import detect as D
 from ..operators import windows as W
+from ..plans.tables import stored
 from .windows import EDGES, edge_table, members, rounded
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -71,9 +72,8 @@ fd AS (SELECT scenario, k, idx, origin, detector, attack_type, technique, round_
  CASE WHEN p >= 0.85 THEN 'high' WHEN p >= 0.5 THEN 'medium' ELSE 'low' END AS confidence, p >= lim AS is_alert FROM fi)"""
 
 
-def state_table(spark, sf_dir):
-    rows = members(spark, sf_dir)
-    return W.states(rows, W.edges(rows))
+def state_table(spark, sf_dir, edges=None):
+    return W.states(members(spark, sf_dir), edge_table(spark, sf_dir) if edges is None else edges)
 
 
 def feed_table(spark, sf_dir):
@@ -81,19 +81,27 @@ def feed_table(spark, sf_dir):
 
 
 def known_edges(spark, sf_dir):
-    return D.seen_edges(edge_table(spark, sf_dir), state_table(spark, sf_dir))
+    edges = stored_edges(spark, sf_dir)
+    return D.seen_edges(edges, state_table(spark, sf_dir, edges))
 
 
-def hits_table(spark, sf_dir):
-    return D.ioc_hits(W.entities(edge_table(spark, sf_dir)), feed_table(spark, sf_dir))
+def stored_edges(spark, sf_dir):
+    """The edges of all windows, written once: states, known edges, entities and hits all come from them."""
+    return stored(edge_table(spark, sf_dir), "edges")
 
 
-def scored(spark, sf_dir):
-    return D.probabilities(state_table(spark, sf_dir), known_edges(spark, sf_dir), hits_table(spark, sf_dir), SECONDS)
+def hits_table(spark, sf_dir, edges=None):
+    return D.ioc_hits(W.entities(edge_table(spark, sf_dir) if edges is None else edges), feed_table(spark, sf_dir))
 
 
-def found(spark, sf_dir):
-    return D.findings(scored(spark, sf_dir))
+def scored(spark, sf_dir, edges=None):
+    edges = stored_edges(spark, sf_dir) if edges is None else edges
+    states = stored(state_table(spark, sf_dir, edges), "states")
+    return D.probabilities(states, D.seen_edges(edges, states), hits_table(spark, sf_dir, edges), SECONDS)
+
+
+def found(spark, sf_dir, edges=None):
+    return D.findings(scored(spark, sf_dir, edges))
 
 
 @query("flagship_window_states", f"WITH {SCORED} SELECT scenario, k, idx, event_count, round(bytes, 6) AS bytes, edge_count, max_fanout, round(z_total, 6) AS z_total, round(p_ddos, 6) AS p_ddos, round(p_exfiltration, 6) AS p_exfiltration FROM p")
@@ -144,8 +152,8 @@ ASSETS = "asset AS (SELECT 'user-' || c_custkey AS asset_id, CASE c_mktsegment W
 WORST = f"{ASSETS}, wa AS (SELECT scenario, k, max(weight) AS criticality, count(asset_id) AS registered FROM en LEFT JOIN asset ON entity = asset_id GROUP BY scenario, k)"
 
 
-def worst_assets(spark, sf_dir):
-    rows = W.entities(edge_table(spark, sf_dir)).join(assets(spark, sf_dir), F.col("entity") == F.col("asset_id"), "left")
+def worst_assets(spark, sf_dir, edges=None):
+    rows = W.entities(edge_table(spark, sf_dir) if edges is None else edges).join(assets(spark, sf_dir), F.col("entity") == F.col("asset_id"), "left")
     return rows.groupBy("scenario", "k").agg(F.max(C.weight(F.col("criticality"), C.CRITICALITY)).alias("criticality"), F.count("asset_id").alias("registered"))
 
 
@@ -249,8 +257,9 @@ def i16(spark, sf_dir):
 
 def alerts(spark, sf_dir):
     """Alerts with the bounds of their windows in micros, and the window's worst asset."""
-    origin = members(spark, sf_dir).groupBy("scenario").agg(F.min("origin").alias("origin"))
-    rows = found(spark, sf_dir).where("is_alert").join(origin, "scenario").join(worst_assets(spark, sf_dir).select("scenario", "k", "criticality"), ["scenario", "k"])
+    edges = stored_edges(spark, sf_dir)
+    origin = events(spark, sf_dir).groupBy("scenario").agg(F.min("us").alias("origin"))
+    rows = found(spark, sf_dir, edges).where("is_alert").join(origin, "scenario").join(worst_assets(spark, sf_dir, edges).select("scenario", "k", "criticality"), ["scenario", "k"])
     return rows.withColumn("start", F.col("origin") + F.col("k") * STRIDE).withColumn("end", F.col("start") + WIDTH)
 
 
@@ -297,7 +306,8 @@ def j3(spark, sf_dir):
 @query("j2_finding_risk", f"""WITH {FOUND}, {WORST}, s AS (SELECT scenario, k, detector, least(1, 0.5E0 * probability + 0.3E0 * coalesce(criticality, 0.5E0) + 0.2E0 * {SEV}) AS score FROM fd JOIN wa USING (scenario, k))
 SELECT scenario, k, detector, round(score, 6) AS score, {LEVEL.format('score')} AS level FROM s""")
 def j2(spark, sf_dir):
-    rows = found(spark, sf_dir).join(worst_assets(spark, sf_dir), ["scenario", "k"])
+    edges = stored_edges(spark, sf_dir)
+    rows = found(spark, sf_dir, edges).join(worst_assets(spark, sf_dir, edges), ["scenario", "k"])
     score = C.fused_risk(F.col("probability"), F.col("severity"), F.col("criticality"))
     return rounded(rows.select("scenario", "k", "detector", score.alias("score"), S.risk_level(score).alias("level")))
 
@@ -324,8 +334,6 @@ NEXT = f"pa AS (SELECT event_type AS source, lead(event_type) OVER (PARTITION BY
 def model(spark, sf_dir):
     from pyspark.sql import Window
 
-    from ..events import events
-
     pairs = events(spark, sf_dir).select(F.col("event_type").alias("source"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("us", "event_id")).alias("target"))
     return C.transition_model(pairs.where("target is not null"))
 

@@ -1,12 +1,14 @@
-"""Learned models over labelled states: K3, K4, K29, K30, K39, K40, K45."""
+"""Learned models over labelled states: K3, K4, K29, K30, K32, K34 to K40, K45."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import experiments as X
 from ..operators import learn as M
 from ..operators import replay as R
 from ..operators import scores as S
+from ..plans.tables import stored
 from .replay import FEATURES, labelled
 from .scores import scored as scored_lines
 from .windows import rounded
@@ -16,11 +18,11 @@ QUERIES: dict = {}
 
 def standard(spark, sf_dir):
     """Labelled states with standardised features and the label three states on."""
-    rows = labelled(spark, sf_dir)
+    rows = stored(labelled(spark, sf_dir), "labelled")
     schema = R.standardise(rows, FEATURES, F.col("scenario") < 3)
     facts = {r["feature"]: (r["mean"], r["scale"]) for r in schema.collect()}  # a row per feature
     z = rows.select("scenario", "idx", "infiltration", *[((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - facts[f][0]) / facts[f][1]).alias(f) for f in FEATURES])
-    return z.join(R.future_label(rows, 3).select("scenario", "idx", F.col("target").alias("label")), ["scenario", "idx"]).persist()
+    return stored(z.join(R.future_label(rows, 3).select("scenario", "idx", F.col("target").alias("label")), ["scenario", "idx"]), "standard")
 
 
 def k3(spark, sf_dir):
@@ -31,7 +33,7 @@ def k3(spark, sf_dir):
 
 def k4(spark, sf_dir):
     """One model for each horizon from 1 to 3."""
-    rows, out = labelled(spark, sf_dir).persist(), None
+    rows, out = stored(labelled(spark, sf_dir), "labelled"), None
     for h in (1, 2, 3):
         target = R.future_label(rows, h).select("scenario", "idx", F.col("target").alias("label"))
         data = rows.select("scenario", "idx", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in FEATURES]).join(target, ["scenario", "idx"])
@@ -78,4 +80,58 @@ def k45(spark, sf_dir):
     return rounded(out)
 
 
+def experiment_rows(spark, sf_dir):
+    """Standardised labelled states with their stage; the label is the state's own infiltration."""
+    z = standard(spark, sf_dir).drop("label", "infiltration")
+    facts = labelled(spark, sf_dir).select("scenario", "idx", "stage", F.col("infiltration").alias("label"))
+    return stored(z.join(facts, ["scenario", "idx"]).withColumn("id", F.concat_ws(":", "scenario", "idx")), "experiment")
+
+
+def k36(spark, sf_dir):
+    """Each attack stage scored by a model that never saw it."""
+    rows = experiment_rows(spark, sf_dir)
+    stages = sorted(r["stage"] for r in rows.where("label").select("stage").distinct().collect())  # a row per stage
+    folds = X.leave_one_stage_out(stages, F.col("scenario") < 3, F.col("scenario") >= 3)
+    return rounded(X.fold_metrics(X.scored_folds(rows, FEATURES, folds)))
+
+
+def k37(spark, sf_dir):
+    """Later states scored by models of earlier ones, at three origins."""
+    rows = standard(spark, sf_dir).withColumn("id", F.concat_ws(":", "scenario", "idx"))
+    last = rows.agg(F.max("idx")).first()[0]
+    return rounded(X.fold_metrics(X.scored_folds(rows, FEATURES, X.rolling_origin([last * i // 4 for i in (1, 2, 3)], last // 4, 3))))
+
+
+def k38(spark, sf_dir):
+    """Each third of the time scored by a model of each other third."""
+    rows = experiment_rows(spark, sf_dir)
+    last = rows.agg(F.max("idx")).first()[0] + 1
+    period = F.element_at(F.array(F.lit("early"), F.lit("middle"), F.lit("late")), (F.floor(F.col("idx") * 3 / last) + 1).cast("int"))
+    return rounded(X.fold_metrics(X.scored_folds(rows, FEATURES, X.cross_periods(period, ["early", "middle", "late"]))))
+
+
+def k35(spark, sf_dir):
+    """Models of one, two and all three training scenarios, nested, scored on the same rows."""
+    rows = experiment_rows(spark, sf_dir)
+    folds = [(str(b), F.col("scenario") < b, F.col("scenario") >= 3) for b in (1, 2, 3)]
+    sizes = None
+    for b in (1, 2, 3):
+        part = rows.where(F.col("scenario") < b).agg(F.count("*").alias("samples")).withColumn("fold", F.lit(str(b)))
+        sizes = part if sizes is None else sizes.union(part)
+    return rounded(X.label_efficiency(X.scored_folds(rows, FEATURES, folds), sizes, "3"))
+
+
+def products(spark, sf_dir):
+    return X.Products(experiment_rows(spark, sf_dir), FEATURES, F.col("scenario") < 3)
+
+
+def k34(spark, sf_dir):
+    return rounded(spark.createDataFrame(X.forward_selection(products(spark, sf_dir), 4), "step int, feature string, brier double"))
+
+
+def k32(spark, sf_dir):
+    return rounded(spark.createDataFrame(X.ablation_curve(products(spark, sf_dir)), "feature string, brier double, loss double, advice string"))
+
+
+QUERIES |= {"k32_ablation_curve": k32, "k34_forward_selection": k34, "k35_label_efficiency": k35, "k36_leave_one_stage_out": k36, "k37_rolling_origin": k37, "k38_cross_period": k38}
 QUERIES |= {"k3_baseline_classifier": k3, "k4_horizon_classifiers": k4, "k29_isotonic": k29, "k30_recalibration_gate": k30, "k39_transition_model": k39, "k40_open_loop_rollout": k40, "k45_model_comparison": k45}
