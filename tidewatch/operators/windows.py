@@ -169,6 +169,18 @@ def fallback_features(members: DataFrame, features: str = "features", known: tup
     return rows.where(~F.col("name").isin(list(known)) if known else F.lit(True)).groupBy(*KEY, "name").agg(F.sum("value").alias("total"))
 
 
+def feature_names(rows: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, windows): the union of the feature names of all windows, and how many windows have each; a null is an absent one."""
+    present = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in features]))
+    return rows.select(F.explode(present).alias("feature")).groupBy("feature").agg(F.count("*").alias("windows"))
+
+
+def schema_mismatch(names: DataFrame, expected: DataFrame) -> DataFrame:
+    """(feature, status): the features that a model expects and no window has ('missing'), and the other way round ('unexpected')."""
+    missing = expected.join(names, "feature", "left_anti").select("feature", F.lit("missing").alias("status"))
+    return missing.union(names.join(expected, "feature", "left_anti").select("feature", F.lit("unexpected").alias("status")))
+
+
 def states(members: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """The wide table the detectors read: one row for each emitted window, with idx."""
     additive = members.groupBy(*KEY).agg(

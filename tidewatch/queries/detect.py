@@ -109,6 +109,25 @@ def flagship(spark, sf_dir):
     return rounded(scored(spark, sf_dir).select("scenario", "k", "idx", "event_count", "bytes", "edge_count", "max_fanout", "z_total", "p_ddos", "p_exfiltration"))
 
 
+NAMED = ["bytes", "domain_length", "tunnel", "beacon", "execs", "edge_entropy"]
+NAMES = "nm AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS windows FROM st WHERE {f} IS NOT NULL HAVING count(*) > 0" for f in NAMED) + ")"
+
+
+def names(spark, sf_dir):
+    return W.feature_names(state_table(spark, sf_dir), NAMED)
+
+
+@query("g2_feature_names", f"WITH {STATES}, {NAMES} SELECT * FROM nm")
+def g2(spark, sf_dir):
+    return names(spark, sf_dir)
+
+
+@query("g5_feature_mismatch", f"WITH {STATES}, {NAMES}, x AS (SELECT unnest(['bytes', 'tunnel', 'beacon', 'edge_entropy', 'payload']) AS feature) SELECT feature, 'missing' AS status FROM x WHERE feature NOT IN (SELECT feature FROM nm) UNION ALL SELECT feature, 'unexpected' FROM nm WHERE feature NOT IN (SELECT feature FROM x)")
+def g5(spark, sf_dir):
+    expected = spark.createDataFrame([(f,) for f in ("bytes", "tunnel", "beacon", "edge_entropy", "payload")], "feature string")
+    return W.schema_mismatch(names(spark, sf_dir), expected)
+
+
 @query("d1_state_table", f"WITH {STATES} SELECT scenario, k, idx, event_count, round(bytes, 6) AS bytes, round(failed_auth, 6) AS failed_auth, round(rst_count, 6) AS rst_count, round(retransmission, 6) AS retransmission, round(probe_share, 6) AS probe_share, max_fanout, round(edge_entropy, 6) AS edge_entropy FROM st")
 def state_query(spark, sf_dir):
     return rounded(state_table(spark, sf_dir).select("scenario", "k", "idx", "event_count", "bytes", "failed_auth", "rst_count", "retransmission", "probe_share", "max_fanout", "edge_entropy"))
