@@ -211,17 +211,23 @@ def test_language(spark, odd, none):
 def test_archives(spark):
     rows = [(1, "http://a/", "same"), (2, "http://b/", "same"), (3, None, None), (4, "http://c/\nx", ""), (5, "http://d/", "é" * 400_000), (5, "http://d/", "é" * 400_000), (None, "http://e/", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    bundles = warc.write_archives(pages, scratch_path(spark, "warc"))
-    out = warc.read_archives(bundles).toPandas()
+    path = scratch_path(spark, "warc")
+    bundles = warc.write_archives(pages, path)
+    out = warc.read_archives(path, bundles).toPandas()
     assert len(out) == len(rows) and out[out.page_id == 2].iloc[0].record_type == "revisit" and out[out.page_id == 2].iloc[0].refers_to == 1
     assert out[out.page_id == 4].iloc[0].refers_to == 3 and set(out[out.page_id == 5].record_type) == {"response"} and out[out.page_id == 5].payload_bytes.tolist() == [800_000] * 2
     import zstandard
 
+    store, folder = warc.opened(f"{path}/archives")
     for row in bundles.collect():
-        content = bytes(row["content"])
-        frames = warc.seek_table(content)
+        with store.open_input_file(f"{folder}/{row['bundle']}") as source:
+            frames, content = warc.seek_table(source), source.read_at(source.size(), 0)
         plain = zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True).read()
-        assert len(plain) == sum(f[2] for f in frames) and plain.count(b"WARC/1.1\r\n") == row["n_records"]
+        assert len(content) == row["n_bytes"] and len(plain) == sum(f[2] for f in frames) and plain.count(b"WARC/1.1\r\n") == row["n_records"]
+    ((_, fields, body),) = warc.find_records(path, bundles, [1])
+    assert fields["WARC-Type"] == "response" and body.decode() == next(h for p, _, h, *_ in rows if p == 1)
+    ((_, fields, body),) = warc.find_records(path, bundles, [2])
+    assert body == b"" and fields["WARC-Refers-To"].startswith("<urn:page:1:") and warc.find_records(path, bundles, [999]) == []
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
