@@ -68,6 +68,12 @@ def progression(rows: DataFrame, key: list[str]) -> DataFrame:
     return first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "attack_type"))), lambda x: x["attack_type"]).alias("progression"))
 
 
+def incident_assets(chained: DataFrame, affected: DataFrame) -> DataFrame:
+    """(scenario, chain, asset, critical): the affected assets of the windows of an incident's alerts, each once."""
+    spans = chained.select("scenario", "chain", "k").distinct()
+    return spans.join(affected, ["scenario", "k"]).groupBy("scenario", "chain", "asset").agg(F.max("critical").alias("critical"))
+
+
 def incidents(chained: DataFrame, key: str = "scenario") -> DataFrame:
     """A row per chain: bounds, findings, types, progression, risk and its level."""
     ids = [key, "chain"]

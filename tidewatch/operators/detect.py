@@ -80,7 +80,7 @@ def probabilities(states: DataFrame, edges: DataFrame, hits: DataFrame, seconds:
     flows, every = F.col("flow_count").cast("double"), F.col("event_count").cast("double")
     z_flow, z_byte = z_score(flows / seconds, over), z_score(F.col("bytes") / seconds, over)
     z_total, z_bits = z_score(F.col("bytes"), over), z_score(F.col("edge_entropy"), over)
-    rates = known_edge_rates(edges, seconds).select(*KEY, "rate")
+    rates = known_edge_rates(edges, seconds).drop("idx")
     rows = states.join(rates, KEY, "left").join(hits, KEY, "left").withColumns({"z_rate": F.greatest(z_flow, z_byte), "z_total": z_total, "z_bits": z_bits})
     cold, hit = F.col("idx") < MIN_HISTORY, F.col("matches").isNotNull()
     floor = band(F.col("bytes"), 75_000.0, 150_000.0)
@@ -110,6 +110,99 @@ def findings(scored: DataFrame) -> DataFrame:
     return rows.select(*KEY, "idx", F.col("x.attack_type").alias("detector"), kind, "x.technique", F.bround(p, 3).alias("probability"), severity(p).alias("severity"), confidence(p).alias("confidence"), (p >= F.col("x.at")).alias("is_alert"))
 
 
+def near(value: Column, digits: int) -> Column:
+    """Half-even rounding, after noise beyond six digits is taken off."""
+    return F.bround(F.round(value.cast("double"), 6), digits)
+
+
+def evidence(scored: DataFrame, seconds: float) -> DataFrame:
+    """(scenario, k, idx, detector, name, observed): what each finding rests on, at most four rows a finding.
+
+    ``scored`` comes from probabilities, with ``start``, the window's start in micros. A rule whose telemetry is absent
+    has no row; the deviation rows appear only where they say something.
+    """
+    zero = F.lit(0.0)
+    flows, hit, hour = F.col("flow_count").cast("double"), F.col("matches").isNotNull(), F.floor(F.col("start") / 3_600_000_000) % 24
+    held = {
+        "ddos": [("flows_per_second", near(flows / seconds, 2), None), ("bytes_per_second", near(F.col("bytes") / seconds, 0), F.col("z_rate") >= Z_SCALE / 2)],
+        "reconnaissance": [
+            ("rst_probe_ratio", near(F.least(F.lit(1.0), F.coalesce(F.col("rst_count"), zero) / F.greatest(F.lit(1.0), flows)), 3), None),
+            ("low_byte_probes", near(F.col("probe_share"), 3), None), ("max_source_fanout", F.col("max_fanout"), None),
+        ],
+        "credential_abuse": [("failed_auth_per_min", near(F.coalesce(F.col("failed_auth"), zero) * flows * 60 / seconds, 2), None)],
+        "lateral_movement": [
+            ("known_internal_edges", F.col("known_edges"), None), ("known_edge_bytes", near(F.col("known_bytes"), 0), None),
+            ("known_edge_bytes_per_sec", near(F.col("known_bytes") / seconds, 1), None), ("new_internal_edges", F.col("new_edges"), None),
+        ],
+        "command_and_control": [("intel_matches", F.col("matches"), hit), ("c2_beacon_score", near(F.col("beacon"), 3), ~hit & F.col("beacon").isNotNull())],
+        "exfiltration": [("window_bytes", near(F.col("bytes"), 0), None), ("bytes_zscore", near(F.col("z_total"), 2), F.abs("z_total") > 1e-9), ("intel_matches", F.col("matches"), hit)],
+        "insider_threat": [("bytes_zscore", near(F.col("z_total"), 2), None), ("window_hour_utc", hour, None)],
+        "phishing": [(name, near(F.coalesce(F.col(c), zero), digits), F.col("domain_length").isNotNull() | F.col("tunnel").isNotNull()) for name, c, digits in (("mean_domain_length", "domain_length", 1), ("tunnel_marker_share", "tunnel", 3))],
+        "malware_activity": [("process_executions", near(F.col("execs") * F.col("event_count"), 0), F.col("execs").isNotNull())],
+        "entropy_anomaly": [("byte_entropy", near(F.coalesce(F.col("edge_entropy"), zero), 3), None), ("entropy_deviation", near(F.col("z_bits"), 2), F.abs("z_bits") > 1.5)],
+    }
+    each = []
+    for detector, items in held.items():
+        for name, value, when in items:
+            item = F.struct(F.lit(detector).alias("detector"), F.lit(name).alias("name"), value.cast("double").alias("observed"))
+            each.append(item if when is None else F.when(when, item))
+    return scored.select(*KEY, "idx", F.explode(F.array_compact(F.array(*each))).alias("x")).select(*KEY, "idx", "x.*")
+
+
+#: What each warning says about a finding.
+WARNINGS = {
+    "short_history": "fewer earlier windows than a baseline needs; scored with care", "flood_kind_unknown": "flow rates don't tell which kind of flood it is",
+    "flood_unvalidated": "no flood occurs in the validation data", "window_too_long": "windows over ten seconds blur floods", "failures_not_by_edge": "failed logins are known in total only",
+    "no_known_edges": "too little history to know edges; scored zero", "no_deployment_baseline": "no reference period fitted; the absolute band is used", "volume_floor": "absolute volume used, score held under the alert",
+    "listed_host": "raised because a listed host takes part", "list_only": "a list entry isn't proof of beaconing", "feed_stale": "the feed is older than a day", "needs_identity_data": "confirm with identity and access data",
+    "no_dns_data": "no DNS features; rule is off", "dns_only": "confirm with mail data", "no_beacon_data": "no DNS or TLS metadata; rule is off", "sensor_score": "the score is the sensor's own",
+    "no_process_data": "no endpoint data; rule is off", "burst_only": "confirm with file reputation",
+}
+
+
+def warnings(scored: DataFrame, seconds: float, baseline: bool = False, stale: bool = False) -> DataFrame:
+    """(scenario, k, idx, detector, warning): the reservations of each finding, as keys of WARNINGS.
+
+    ``baseline`` says whether the deployment's reference is fitted, ``stale`` whether the feed is older than a day.
+    """
+    cold, hit, yes = F.col("idx") < MIN_HISTORY, F.col("matches").isNotNull(), F.lit(True)
+    dns = F.col("domain_length").isNotNull() | F.col("tunnel").isNotNull()
+    held = {
+        "ddos": {"flood_kind_unknown": F.col("p_ddos") > 1e-9, "flood_unvalidated": F.col("p_ddos") >= ALERT_AT["ddos"], "window_too_long": F.lit(seconds > 10)},
+        "reconnaissance": {}, "entropy_anomaly": {},
+        "credential_abuse": {"failures_not_by_edge": F.coalesce(F.col("failed_auth") * F.col("flow_count") > 0, F.lit(False))},
+        "lateral_movement": {"no_known_edges": cold, "no_deployment_baseline": ~cold & F.lit(not baseline)},
+        "command_and_control": {"list_only": hit, "feed_stale": hit & F.lit(stale), "no_beacon_data": ~hit & F.col("beacon").isNull(), "sensor_score": ~hit & F.col("beacon").isNotNull()},
+        "exfiltration": {"volume_floor": cold, "listed_host": hit, "feed_stale": hit & F.lit(stale)},
+        "insider_threat": {"needs_identity_data": yes}, "phishing": {"no_dns_data": ~dns, "dns_only": dns},
+        "malware_activity": {"no_process_data": F.col("execs").isNull(), "burst_only": F.col("execs").isNotNull()},
+    }
+    each = [F.when(when, F.struct(F.lit(d).alias("detector"), F.lit(w).alias("warning"))) for d, items in held.items() for w, when in {**items, "short_history": cold}.items()]
+    return scored.select(*KEY, "idx", F.explode(F.array_compact(F.array(*each))).alias("x")).select(*KEY, "idx", "x.*")
+
+
+def affected_assets(fresh: DataFrame, registry: DataFrame) -> DataFrame:
+    """(scenario, k, asset, fresh, critical): entities new in a window, and registered critical ones that take part.
+
+    A row an asset, never a list, so a window with many new hosts stays spread. ``fresh`` comes from fresh_entities;
+    an asset registered twice counts once.
+    """
+    named = registry.where("criticality = 'critical'").select("asset_id").distinct()
+    rows = fresh.join(named, F.col("entity") == F.col("asset_id"), "left").withColumn("critical", F.col("asset_id").isNotNull())
+    return rows.where(F.col("fresh") | F.col("critical")).select(*KEY, F.col("entity").alias("asset"), "fresh", "critical")
+
+
+def lateral_by_baseline(rates: DataFrame, fitted: DataFrame) -> DataFrame:
+    """The lateral-movement finding where the deployment's reference is fitted; ``fitted`` is one row, from fit_baseline.
+
+    Short history scores zero without a sigma; so does a reference without samples.
+    """
+    rows = rates.join(F.broadcast(fitted))
+    sigma = F.when(F.col("mad") <= 0, F.when(F.col("rate") <= F.col("median"), 0.0).otherwise(6.0)).otherwise(0.6745 * (F.col("rate") - F.col("median")) / F.col("mad"))
+    p = F.coalesce(baseline_score(F.col("rate"), F.col("median"), F.col("mad")), F.lit(0.0))
+    return rows.select(*KEY, "idx", F.bround(p, 3).alias("probability"), severity(p).alias("severity"), confidence(p).alias("confidence"), (p >= ALERT_AT["lateral_movement"]).alias("is_alert"), near(sigma, 2).alias("sigma"))
+
+
 def scorecard(found: DataFrame, labels: DataFrame, stage_of: dict[str, str]) -> DataFrame:
     """Counts, precision, recall and F1 of each rule against the window's stage; null for rules whose stage never occurs."""
     pairs = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s")) for t, s in stage_of.items()])

@@ -24,7 +24,7 @@ def red_team_moves(scored: DataFrame, edges: DataFrame, seconds: float) -> DataF
     counts = edges.groupBy("scenario", "k").agg(F.count("*").alias("edges"), F.sum("bytes").alias("window_bytes"), F.sum(F.when(F.col("known"), F.col("bytes")).otherwise(0.0)).alias("known_bytes"))
     cap = F.greatest(F.lit(1.0), F.lit(RATE_WARN * SLACK) / F.col("edges")) * seconds
     capped = edges.where("known").join(counts.select("scenario", "k", "edges"), ["scenario", "k"]).groupBy("scenario", "k").agg(F.sum(F.least(F.col("bytes"), cap)).alias("capped_bytes"))
-    rows = scored.join(counts, ["scenario", "k"]).join(capped, ["scenario", "k"], "left")
+    rows = scored.drop("known_bytes").join(counts, ["scenario", "k"]).join(capped, ["scenario", "k"], "left")
     rate, slowed, history = F.col("known_bytes") / seconds, F.coalesce(F.col("capped_bytes"), F.lit(0.0)) / seconds, F.col("idx") >= MIN_HISTORY
     lateral = lambda r: F.coalesce(F.when(history, band(r, RATE_WARN, RATE_ALERT)), F.lit(0.0)) >= ALERT_AT["lateral_movement"]
     extra = lambda now, most: F.greatest(F.lit(0.0), now / max(1.0, most * SLACK) - 1)

@@ -240,6 +240,75 @@ def i13(spark, sf_dir):
     return found(spark, sf_dir)
 
 
+STARTED = f"ts AS (SELECT p.*, kr.known_edges, kr.known_bytes, kr.new_edges, greatest(z_flow, z_byte) AS z_rate, p.origin + p.k * {STRIDE} AS start_us, domain_length IS NOT NULL OR tunnel IS NOT NULL AS dns FROM p JOIN kr USING (scenario, k))"
+
+
+def started(spark, sf_dir, edges=None):
+    """Scored windows with their starts in micros."""
+    origin = events(spark, sf_dir).groupBy("scenario").agg(F.min("us").alias("origin"))
+    return scored(spark, sf_dir, edges).join(origin, "scenario").withColumn("start", F.col("origin") + F.col("k") * STRIDE)
+
+
+def near_sql(value: str, digits: int) -> str:
+    return f"round_even(round(CAST({value} AS DOUBLE), 6), {digits})"
+
+
+SHOWN = [
+    ("ddos", "flows_per_second", near_sql("flow_count / 21600.0E0", 2), "true"), ("ddos", "bytes_per_second", near_sql("bytes / 21600.0E0", 0), "z_rate >= 3"),
+    ("reconnaissance", "rst_probe_ratio", near_sql("least(1, coalesce(rst_count, 0) / greatest(1, flow_count))", 3), "true"), ("reconnaissance", "low_byte_probes", near_sql("probe_share", 3), "true"),
+    ("reconnaissance", "max_source_fanout", "max_fanout", "true"), ("credential_abuse", "failed_auth_per_min", near_sql("coalesce(failed_auth, 0) * flow_count * 60 / 21600.0E0", 2), "true"),
+    ("lateral_movement", "known_internal_edges", "known_edges", "true"), ("lateral_movement", "known_edge_bytes", near_sql("known_bytes", 0), "true"),
+    ("lateral_movement", "known_edge_bytes_per_sec", near_sql("known_bytes / 21600.0E0", 1), "true"), ("lateral_movement", "new_internal_edges", "new_edges", "true"),
+    ("command_and_control", "intel_matches", "matches", "matches IS NOT NULL"), ("command_and_control", "c2_beacon_score", near_sql("beacon", 3), "matches IS NULL AND beacon IS NOT NULL"),
+    ("exfiltration", "window_bytes", near_sql("bytes", 0), "true"), ("exfiltration", "bytes_zscore", near_sql("z_total", 2), "abs(z_total) > 1e-9"), ("exfiltration", "intel_matches", "matches", "matches IS NOT NULL"),
+    ("insider_threat", "bytes_zscore", near_sql("z_total", 2), "true"), ("insider_threat", "window_hour_utc", "(start_us // 3600000000) % 24", "true"),
+    ("phishing", "mean_domain_length", near_sql("coalesce(domain_length, 0)", 1), "dns"), ("phishing", "tunnel_marker_share", near_sql("coalesce(tunnel, 0)", 3), "dns"),
+    ("malware_activity", "process_executions", near_sql("execs * event_count", 0), "execs IS NOT NULL"), ("entropy_anomaly", "byte_entropy", near_sql("coalesce(edge_entropy, 0)", 3), "true"),
+    ("entropy_anomaly", "entropy_deviation", near_sql("z_bits", 2), "abs(z_bits) > 1.5"),
+]
+
+
+@query("i13_finding_evidence", f"WITH {SCORED}, {STARTED} " + " UNION ALL ".join(f"SELECT scenario, k, idx, '{d}' AS detector, '{n}' AS name, CAST({v} AS DOUBLE) AS observed FROM ts WHERE {w}" for d, n, v, w in SHOWN))
+def i13_evidence(spark, sf_dir):
+    return D.evidence(started(spark, sf_dir), SECONDS)
+
+
+WARNED = [
+    ("ddos", "flood_kind_unknown", "p_ddos > 1e-9"), ("ddos", "flood_unvalidated", "p_ddos >= 0.8"), ("ddos", "window_too_long", "true"), ("credential_abuse", "failures_not_by_edge", "failed_auth * flow_count > 0"),
+    ("lateral_movement", "no_known_edges", "idx < 3"), ("lateral_movement", "no_deployment_baseline", "idx >= 3"), ("command_and_control", "list_only", "matches IS NOT NULL"),
+    ("command_and_control", "no_beacon_data", "matches IS NULL AND beacon IS NULL"), ("command_and_control", "sensor_score", "matches IS NULL AND beacon IS NOT NULL"),
+    ("exfiltration", "volume_floor", "idx < 3"), ("exfiltration", "listed_host", "matches IS NOT NULL"), ("insider_threat", "needs_identity_data", "true"), ("phishing", "no_dns_data", "NOT dns"), ("phishing", "dns_only", "dns"),
+    ("malware_activity", "no_process_data", "execs IS NULL"), ("malware_activity", "burst_only", "execs IS NOT NULL"), *((d, "short_history", "idx < 3") for d in D.ALERT_AT),
+]
+
+
+@query("i13_finding_warnings", f"WITH {SCORED}, {STARTED} " + " UNION ALL ".join(f"SELECT scenario, k, idx, '{d}' AS detector, '{n}' AS warning FROM ts WHERE {w}" for d, n, w in WARNED))
+def i13_warnings(spark, sf_dir):
+    return D.warnings(scored(spark, sf_dir), SECONDS)
+
+
+AFFECTED = """fe AS (SELECT scenario, k, entity, lag(idx) OVER (PARTITION BY scenario, entity ORDER BY idx) IS NULL AS fresh FROM (SELECT en.*, idx FROM en JOIN st USING (scenario, k))),
+aa AS (SELECT scenario, k, entity AS asset, fresh, weight IS NOT NULL AS critical FROM fe LEFT JOIN (SELECT asset_id, weight FROM asset WHERE weight = 1) ON entity = asset_id WHERE fresh OR weight IS NOT NULL)"""
+
+
+def affected(spark, sf_dir, edges=None):
+    edges = stored_edges(spark, sf_dir) if edges is None else edges
+    return D.affected_assets(D.fresh_entities(W.entities(edges), state_table(spark, sf_dir, edges)), assets(spark, sf_dir))
+
+
+@query("i13_affected_assets", f"WITH {STATES}, {ASSETS}, {AFFECTED} SELECT * FROM aa")
+def i13_assets(spark, sf_dir):
+    return affected(spark, sf_dir)
+
+
+@query("i4_lateral_baseline", f"""WITH {STATES}, {BASELINE}, sg AS (SELECT scenario, k, idx, {SIGMA} AS sigma FROM kr, bl), lp AS (SELECT *, coalesce({band_sql('sigma', 3.0, 6.0)}, 0) AS p FROM sg)
+SELECT scenario, k, idx, round_even(p, 3) AS probability, CASE WHEN p >= 0.85 THEN 'critical' WHEN p >= 0.65 THEN 'high' WHEN p >= 0.40 THEN 'medium' ELSE 'low' END AS severity,
+ CASE WHEN p >= 0.85 THEN 'high' WHEN p >= 0.5 THEN 'medium' ELSE 'low' END AS confidence, p >= 0.7 AS is_alert, CASE WHEN idx >= 3 THEN {near_sql('sigma', 2)} END AS sigma FROM lp""")
+def i4_baseline(spark, sf_dir):
+    rates = stored(D.known_edge_rates(known_edges(spark, sf_dir), SECONDS), "rates")
+    return D.lateral_by_baseline(rates, D.fit_baseline(rates.where("idx < 72")))
+
+
 EXTERNAL = "xt AS (SELECT scenario, k, count(*) FILTER (entity LIKE 'user-1%') AS external_count FROM en GROUP BY scenario, k)"
 
 
@@ -274,9 +343,9 @@ def i16(spark, sf_dir):
     return rounded(D.scorecard(found(spark, sf_dir), W.window_label(members(spark, sf_dir)), STAGE_OF))
 
 
-def alerts(spark, sf_dir):
+def alerts(spark, sf_dir, edges=None):
     """Alerts with the bounds of their windows in micros, and the window's worst asset."""
-    edges = stored_edges(spark, sf_dir)
+    edges = stored_edges(spark, sf_dir) if edges is None else edges
     origin = events(spark, sf_dir).groupBy("scenario").agg(F.min("us").alias("origin"))
     rows = found(spark, sf_dir, edges).where("is_alert").join(origin, "scenario").join(worst_assets(spark, sf_dir, edges).select("scenario", "k", "criticality"), ["scenario", "k"])
     return rows.withColumn("start", F.col("origin") + F.col("k") * STRIDE).withColumn("end", F.col("start") + WIDTH)
@@ -317,6 +386,12 @@ def j1(spark, sf_dir):
     return C.incidents(chained(spark, sf_dir)).withColumn("progression", F.array_join("progression", ">"))
 
 
+@query("j1_incident_assets", f"WITH {CHAINS}, {AFFECTED} SELECT scenario, chain, asset, max(critical) AS critical FROM (SELECT DISTINCT scenario, chain, k FROM ch) JOIN aa USING (scenario, k) GROUP BY ALL")
+def j1_assets(spark, sf_dir):
+    edges = stored_edges(spark, sf_dir)
+    return C.incident_assets(C.chains(alerts(spark, sf_dir, edges), GAP), affected(spark, sf_dir, edges))
+
+
 @query("j3_incident_risk", f"SELECT scenario, chain, types, risk, level FROM ({ORACLE_SQL['j1_incidents']})")
 def j3(spark, sf_dir):
     return C.incidents(chained(spark, sf_dir)).select("scenario", "chain", "types", "risk", "level")
