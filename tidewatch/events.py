@@ -36,6 +36,17 @@ FEATURES = {
     "kind": "CASE event_type WHEN 'error' THEN 'auth' WHEN 'view' THEN 'dns' ELSE 'flow' END",
     "stage": "CASE WHEN event_type = 'error' AND k >= 8 THEN 'Lateral Movement' WHEN event_type = 'error' AND k >= 5 THEN 'Reconnaissance' WHEN event_type = 'purchase' AND k = 9 THEN 'Exfiltration' ELSE 'Benign' END",
 }
+#: Packet-level columns, added only where a query reads them; sensors of even scenarios write ip_flags instead of fragment_flags.
+PACKET_FEATURES = {
+    "tcp_window_size": "CASE WHEN event_id % 10 < 6 THEN CAST(1024 + (event_id * 37) % 4096 AS DOUBLE) END",
+    "iat_variance": "CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 89 AS DOUBLE) / 4 END",
+    "iat_max": "CAST(event_id % 97 AS DOUBLE) / 5",
+    "bidirectional_ratio": "CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 21 AS DOUBLE) / 20 END",
+    **{f"{n}_count": f"CASE WHEN (event_id & {b}) <> 0 THEN 1.0E0 ELSE 0.0E0 END" for n, b in (("syn", 2), ("ack", 16), ("fin", 1), ("rst", 4), ("urg", 32))},
+    "auth_attempt": "CASE WHEN event_type IN ('error', 'signup') THEN 1.0E0 END",
+    "header_flags": "CASE WHEN scenario % 2 = 1 THEN fragment_flags END",
+    "ip_flags": "CASE event_id % 5 WHEN 0 THEN 16384 WHEN 1 THEN 8192 ELSE 0 END",
+}
 BASE = "event_id, ts, user_id % 5 AS scenario, concat('user-', user_id) AS src, concat('svc-', event_type) AS dst, event_type, user_id, k AS level"
 
 _columns = ", ".join(f"{v} AS {k}" for k, v in FEATURES.items())
@@ -49,6 +60,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.selectExpr(*[x.strip() for x in ("event_id", "ts", "user_id % 5 AS scenario", "concat('user-', user_id) AS src", "concat('svc-', event_type) AS dst", "event_type", "user_id", "k AS level")], "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS us", *[f"{v} AS {k}" for k, v in FEATURES.items()])
 
 
+def with_packets(rows: DataFrame) -> DataFrame:
+    """rows of the event contract with the packet-level columns."""
+    return rows.selectExpr("*", *[f"{v} AS {k}" for k, v in PACKET_FEATURES.items()])
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as flows at scale: supplier to part, day-sized windows."""
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(

@@ -247,3 +247,24 @@ def next_techniques(alerts: DataFrame, transitions: DataFrame) -> DataFrame:
     several = alerts.groupBy(*KEY).agg(F.count("*").alias("n")).where("n >= 2")
     top = F.max("votes").over(Window.partitionBy(*KEY))
     return voted.join(several, KEY).select(*KEY, "next", (F.col("votes") / top).alias("probability"))
+
+
+def alert_places(found: DataFrame) -> DataFrame:
+    """Alerts with ``at``, their place from the last rule back in each window (0 is the last); the rules stand in ALERT_AT's order."""
+    place = F.array_position(F.array(*[F.lit(d) for d in ALERT_AT]), F.col("detector"))
+    return found.where("is_alert").withColumn("at", F.row_number().over(Window.partitionBy(*KEY).orderBy(place.desc())) - 1)
+
+
+def sequence_findings(placed: DataFrame, transitions: DataFrame) -> DataFrame:
+    """The finding of the next technique in windows with two alerts or more, as findings are, plus ``transition``.
+
+    ``placed`` comes from alert_places; transitions are (current, next, p, place), place their order. Of techniques with
+    equal votes that named first counts, from the last alert back. The greatest vote is the unit, so the chosen one has
+    probability 1. transition is the chance of the step from the last alert, 0 if that step isn't known.
+    """
+    voted = placed.join(transitions, F.col("attack_type") == F.col("current"))
+    sums = voted.groupBy(*KEY, "idx", "next").agg(F.round(F.sum(F.col("p") / (F.col("at") + 1)), 9).alias("votes"), F.min(F.struct("at", "place")).alias("first"), F.max(F.when(F.col("at") == 0, F.col("p"))).alias("last_p"))
+    best = F.max_by(F.struct("next", "last_p"), F.struct("votes", -F.col("first.at"), -F.col("first.place")))
+    several = placed.groupBy(*KEY).agg(F.count("*").alias("n")).where("n >= 2").select(*KEY)
+    rows = sums.groupBy(*KEY, "idx").agg(best.alias("b")).join(several, KEY)
+    return rows.select(*KEY, "idx", F.lit("sequence_prediction").alias("detector"), F.col("b.next").alias("attack_type"), F.lit("sequence-prediction").alias("technique"), F.lit(1.0).alias("probability"), F.lit("critical").alias("severity"), F.lit("high").alias("confidence"), F.lit(True).alias("is_alert"), F.coalesce("b.last_p", F.lit(0.0)).alias("transition"))

@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 from ..functions.scalars import FLAG_BITS, bit, share
 
 KEY = ["scenario", "k"]
+#: The aggregates of each feature of a window.
+POLICY = {
+    "bytes": "sum mean std max p90", "packets": "sum mean max", "duration": "mean std max", "payload_size": "sum mean std p50 p90 entropy",
+    "ttl": "mean std var min max nunique", "tcp_window_size": "mean std min max", "iat_mean": "mean var max min p90", "iat_variance": "mean max", "iat_max": "mean max",
+    "retransmission": "sum mean", "bidirectional_ratio": "mean std", "syn_count": "sum mean", "ack_count": "sum mean", "fin_count": "sum mean", "rst_count": "sum mean", "urg_count": "sum mean",
+    "failed_auth": "sum", "auth_attempt": "sum", "source_port": "nunique", "destination_port": "nunique", "protocol": "nunique", "tcp_flags": "nunique",
+}
+#: Flat names that stand for one aggregate.
+ALIASES = {
+    "bytes": "bytes_sum", "packets": "packets_sum", "duration": "duration_mean", "payload_size": "payload_size_sum", "iat_mean": "iat_mean_mean", "failed_auth": "failed_auth_sum", "auth_attempt": "auth_attempt_sum",
+    "syn_count": "syn_count_sum", "ack_count": "ack_count_sum", "fin_count": "fin_count_sum", "rst_count": "rst_count_sum", "urg_count": "urg_count_sum",
+}
 # Kill-chain order of the window label's precedence.
 STAGE_RANK = {"Benign": 0, "Reconnaissance": 1, "Initial Access": 2, "Credential Access": 3, "Command and Control": 4, "Exfiltration": 5, "Lateral Movement": 6}
 
@@ -61,6 +73,34 @@ def entropy(members: DataFrame, value: Column, name: str, least: int = 1) -> Dat
     return counts.groupBy(*KEY).agg(F.when(total >= least, bits).alias(name))
 
 
+def policy_features(members: DataFrame, policy: dict[str, str] = POLICY) -> DataFrame:
+    """The aggregates of each feature by window, named feature_aggregate; null where a window lacks the feature.
+
+    Spread, percentiles and entropy need two values. All but distinct counts and entropies are one aggregate with
+    map-side partials; those are two-level aggregates joined by window.
+    """
+    made = []
+    for name, kinds in policy.items():
+        two = lambda c, name=name: F.when(F.count(name) >= 2, c)
+        each = {
+            "sum": F.sum(name), "mean": F.avg(name), "max": F.max(name), "min": F.min(name), "std": two(F.stddev_samp(name)), "var": two(F.var_samp(name)),
+            **{f"p{p}": two(F.percentile(name, p / 100)) for p in (50, 90, 99) if f"p{p}" in kinds.split()},
+        }
+        made += [each[k].cast("double").alias(f"{name}_{k}") for k in kinds.split() if k in each]
+    out = members.groupBy(*KEY).agg(*made)
+    for name, kinds in policy.items():
+        if "nunique" in kinds.split():
+            out = out.join(distinct_count(members, [name], f"{name}_nunique"), KEY, "left")
+        if "entropy" in kinds.split():
+            out = out.join(entropy(members, F.col(name).cast("long"), f"{name}_entropy", least=2), KEY, "left")
+    return out
+
+
+def with_aliases(features: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
+    """features with the flat names of those aggregates that it has."""
+    return features.withColumns({flat: F.col(full) for flat, full in aliases.items() if full in features.columns and flat not in features.columns})
+
+
 def distinct_count(members: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Distinct non-null combinations in each window, by two levels of grouping."""
     rows = members.dropna(subset=columns).groupBy(*KEY, *columns).agg(F.lit(1).alias("one"))
@@ -124,6 +164,14 @@ def fragment_shares() -> list[Column]:
     return [share(bit("fragment_flags", 0x4000)).alias("frag_df_share"), share(bit("fragment_flags", 0x2000)).alias("frag_mf_share")]
 
 
+def fragments(members: DataFrame, first: str = "header_flags", other: str = "ip_flags") -> DataFrame:
+    """Shares of don't-fragment and more-fragments: of ``first`` where a window has any, else of ``other``; 0 with neither."""
+    def shares(mask: int) -> Column:
+        return F.coalesce(*[F.avg((F.col(c).cast("int").bitwiseAND(F.lit(mask)) != 0).cast("double")) for c in (first, other)], F.lit(0.0))
+
+    return members.groupBy(*KEY).agg(shares(0x4000).alias("frag_df_share"), shares(0x2000).alias("frag_mf_share"))
+
+
 def retransmissions() -> list[Column]:
     hit = F.coalesce(F.col("retransmission") != 0, F.lit(False))
     return [F.count_if(hit).alias("retransmission_count"), F.avg(hit.cast("double")).alias("retransmission_rate")]

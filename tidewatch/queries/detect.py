@@ -454,13 +454,29 @@ def c13(spark, sf_dir):
     return alerts(spark, sf_dir).join(F.broadcast(moves), F.col("attack_type") == F.col("cur")).select("scenario", "k", "attack_type", "nxt", "p").distinct()
 
 
-@query("i11_next_technique", f"""WITH {FOUND}, mv AS (SELECT * FROM {values_sql(C.NEXT_TRANSITIONS)} AS t(cur, nxt, p1)),
-a AS (SELECT scenario, k, attack_type, row_number() OVER (PARTITION BY scenario, k ORDER BY detector DESC) - 1 AS back FROM fd WHERE is_alert),
-s AS (SELECT scenario, k FROM a GROUP BY ALL HAVING count(*) >= 2), v AS (SELECT a.scenario, a.k, nxt, sum(p1 / (back + 1)) AS votes FROM a JOIN mv ON attack_type = cur GROUP BY ALL)
-SELECT scenario, k, nxt AS next, round(votes / max(votes) OVER (PARTITION BY scenario, k), 6) AS probability FROM v JOIN s USING (scenario, k)""")
-def i11(spark, sf_dir):
-    from pyspark.sql import Window
+ORDER = "CASE detector " + " ".join(f"WHEN '{d}' THEN {i}" for i, d in enumerate(D.ALERT_AT)) + " END"
+PLACED = f"mv AS (SELECT * FROM {values_sql([(*t, i) for i, t in enumerate(C.NEXT_TRANSITIONS)])} AS t(cur, nxt, p1, place)), a AS (SELECT scenario, k, idx, attack_type, row_number() OVER (PARTITION BY scenario, k ORDER BY {ORDER} DESC) - 1 AS back FROM fd WHERE is_alert), s AS (SELECT scenario, k FROM a GROUP BY ALL HAVING count(*) >= 2)"
+SEQUENCE = f"""{PLACED}, sv AS (SELECT scenario, k, idx, nxt, round(sum(p1 / (back + 1)), 9) AS votes, min(back * 1000 + place) AS first_named, max(CASE WHEN back = 0 THEN p1 END) AS last_p FROM a JOIN mv ON attack_type = cur GROUP BY ALL),
+sq AS (SELECT scenario, k, idx, nxt AS attack_type, coalesce(last_p, 0) AS transition FROM sv JOIN s USING (scenario, k) QUALIFY row_number() OVER (PARTITION BY scenario, k ORDER BY votes DESC, first_named) = 1)"""
+
+
+def moves_table(spark):
+    return spark.createDataFrame([(*t, i) for i, t in enumerate(C.NEXT_TRANSITIONS)], "current string, next string, p double, place int")
+
 
-    at = F.row_number().over(Window.partitionBy("scenario", "k").orderBy(F.col("detector").desc())) - 1
-    rows = found(spark, sf_dir).where("is_alert").withColumn("at", at)
-    return rounded(D.next_techniques(rows, spark.createDataFrame(C.NEXT_TRANSITIONS, "current string, next string, p double")))
+@query("i11_sequence_findings", f"WITH {FOUND}, {SEQUENCE} SELECT scenario, k, idx, attack_type, round(transition, 6) AS transition FROM sq")
+def i11_findings(spark, sf_dir):
+    return D.sequence_findings(D.alert_places(found(spark, sf_dir)), moves_table(spark)).select("scenario", "k", "idx", "attack_type", "transition")
+
+
+@query("i13_run_all", f"""WITH {FOUND}, {SEQUENCE} SELECT scenario, k, idx, detector, attack_type, technique, probability, severity, confidence, is_alert FROM fd
+UNION ALL SELECT scenario, k, idx, 'sequence_prediction', attack_type, 'sequence-prediction', 1.0E0, 'critical', 'high', true FROM sq""")
+def i13_run_all(spark, sf_dir):
+    rows = stored(found(spark, sf_dir), "findings")
+    return rows.unionByName(D.sequence_findings(D.alert_places(rows), moves_table(spark)).drop("transition"))
+
+
+@query("i11_next_technique", f"""WITH {FOUND}, {PLACED}, v AS (SELECT a.scenario, a.k, nxt, sum(p1 / (back + 1)) AS votes FROM a JOIN s USING (scenario, k) JOIN mv ON attack_type = cur GROUP BY ALL)
+SELECT scenario, k, nxt AS next, round(votes / max(votes) OVER (PARTITION BY scenario, k), 6) AS probability FROM v""")
+def i11(spark, sf_dir):
+    return rounded(D.next_techniques(D.alert_places(found(spark, sf_dir)), moves_table(spark)))

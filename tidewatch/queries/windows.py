@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..events import EVENTS_SQL, FLOWS_SQL, HOUR, STRIDE, WIDTH, events, flows
+from ..events import EVENTS_SQL, FLOWS_SQL, HOUR, PACKET_FEATURES, STRIDE, WIDTH, events, flows, with_packets
 from ..operators import windows as W
 
 DAY = 24 * HOUR
@@ -107,6 +107,45 @@ def entropy_sql(value: str, table: str = "mem", least: int = 1, name: str = "bit
 ent AS (SELECT scenario, k, CASE WHEN sum(n) >= {least} THEN round(greatest(0, log2(sum(n)) - sum(n * log2(n)) / sum(n)), 6) END AS {name} FROM cnt GROUP BY scenario, k)"""
 
 
+PACKETS = MEMBERS + ", pk AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in PACKET_FEATURES.items()) + ", sport AS source_port, dport AS destination_port FROM mem)"
+
+
+def packet_members(spark, sf_dir):
+    return W.assign(with_packets(events(spark, sf_dir)).withColumns({"source_port": F.col("sport"), "destination_port": F.col("dport")}), WIDTH, STRIDE)
+
+
+def policy_sql() -> list[str]:
+    how = {"sum": "sum({0})", "mean": "avg({0})", "max": "max({0})", "min": "min({0})", "std": "stddev_samp({0})", "var": "var_samp({0})", "p50": "quantile_cont({0}, 0.5)", "p90": "quantile_cont({0}, 0.9)", "nunique": "nullif(count(DISTINCT {0}), 0)"}
+    return [
+        f"{how[k].format(n)} AS {n}_{k}" if k == "nunique" else f"round(CAST({how[k].format(n)} AS DOUBLE), {9 if k == 'mean' else 6}) AS {n}_{k}" if k in ("sum", "mean", "max", "min") else f"round(CASE WHEN count({n}) >= 2 THEN {how[k].format(n)} END, 6) AS {n}_{k}"
+        for n, kinds in W.POLICY.items() for k in kinds.split() if k != "entropy"
+    ]
+
+
+POLICY_SQL = f"{PACKETS}, {entropy_sql('CAST(trunc(payload_size) AS BIGINT)', 'pk', 2, 'payload_size_entropy')}, po AS (SELECT scenario, k, {', '.join(policy_sql())} FROM pk GROUP BY scenario, k), pf AS (SELECT * FROM po LEFT JOIN ent USING (scenario, k))"
+
+
+@query("d1_policy_features", f"WITH {POLICY_SQL} SELECT * FROM pf")
+def d1_policy(spark, sf_dir):
+    return rounded(W.policy_features(packet_members(spark, sf_dir)))
+
+
+@query("b9_flat_names", f"WITH {POLICY_SQL} SELECT scenario, k, " + ", ".join(f"round({full}, 6) AS {flat}" for flat, full in W.ALIASES.items()) + " FROM pf")
+def b9(spark, sf_dir):
+    wanted = {n: " ".join(k for k in kinds.split() if f"{n}_{k}" == W.ALIASES.get(n)) for n, kinds in W.POLICY.items() if n in W.ALIASES}
+    rows = W.with_aliases(W.policy_features(packet_members(spark, sf_dir), wanted))
+    return rows.select("scenario", "k", *[F.round(c, 6).alias(c) for c in W.ALIASES])
+
+
+def share_sql(mask: int) -> str:
+    return "coalesce(" + ", ".join(f"avg(CAST(({c} & {mask}) <> 0 AS DOUBLE))" for c in ("header_flags", "ip_flags")) + ", 0)"
+
+
+@query("d16_fragments_by_either", f"WITH {PACKETS} SELECT scenario, k, round({share_sql(16384)}, 6) AS frag_df_share, round({share_sql(8192)}, 6) AS frag_mf_share FROM pk GROUP BY scenario, k")
+def d16_either(spark, sf_dir):
+    return rounded(W.fragments(packet_members(spark, sf_dir)))
+
+
 @query("d4_value_entropy", f"WITH {MEMBERS}, {entropy_sql('CAST(trunc(bytes) AS BIGINT)', name='bytes_entropy')} SELECT * FROM ent")
 def d4(spark, sf_dir):
     return rounded(W.entropy(members(spark, sf_dir), F.col("bytes").cast("long"), "bytes_entropy"))
