@@ -119,3 +119,32 @@ def test_transition_equals_ridge(spark):
     solved = np.linalg.solve(z.T @ z + np.diag([1, 1, 1e-9]), z.T @ x[1:])
     radius = max(abs(np.linalg.eigvals(solved[:2])))
     assert np.allclose(weights, solved[:2] * min(1, 0.98 / radius)) and np.allclose(bias, solved[2])
+
+
+def test_pooled_fallback_and_bands(spark):
+    from tidewatch.operators import scores, whatif
+
+    # group a: 19 residuals 0.01 to 0.19, rank 18; b has 3 rows, c has 8 rows, whose rank 9 is over 8
+    rows = [("a", i / 100) for i in range(1, 20)] + [("b", 0.9)] * 3 + [("c", 0.5)] * 8
+    data = spark.createDataFrame([(g, s, 0.0) for g, s in rows], "g string, score double, truth double")
+    got = {r["g"]: (r["q"], r["n"], r["method"]) for r in scores.calibrated_groups(data, 0.1, "g").collect()}
+    assert got == {"a": (0.18, 19, "own"), "b": (0.9, 30, "pooled"), "c": (0.9, 30, "pooled")}
+    few = {r["g"]: r["q"] for r in scores.calibrated_groups(data.where("g = 'b'"), 0.1, "g").collect()}
+    assert few == {"b": None}
+    fit = spark.createDataFrame([(0.05, y / 10) for y in range(3, 8)], "score double, truth double")
+    cal = spark.createDataFrame([(0.05, y / 20) for y in range(1, 20)], "score double, truth double")
+    out = whatif.conformalised_bands(fit, cal, 0.5).first()
+    low, high = np.percentile([0.3, 0.4, 0.5, 0.6, 0.7], [25, 75])
+    tau = sorted(max(low - y / 20, y / 20 - high) for y in range(1, 20))[9]
+    assert out["tau"] == pytest.approx(tau) and out["low"] == pytest.approx(low - tau) and out["high"] == pytest.approx(high + tau)
+
+
+def test_permuted(spark):
+    from tidewatch.operators import whatif
+
+    long = spark.createDataFrame([(1, "a", 2.0, 1.0), (1, "b", 0.0, 5.0)], "id long, feature string, z double, weight double")
+    reference = spark.createDataFrame([(0, "a", 0.0), (1, "a", 0.0), (0, "b", 0.0), (1, "b", 0.0)], "place int, feature string, other double")
+    got = {r["feature"]: r["attribution"] for r in whatif.permuted(long, reference, ["id"], -1.0).collect()}
+    s = lambda x: 1 / (1 + np.exp(-x))
+    assert got == {"a": pytest.approx(s(1.0) - s(-1.0)), "b": pytest.approx(0.0)}
+    assert whatif.permuted(long, reference.limit(0), ["id"], -1.0).count() == 0

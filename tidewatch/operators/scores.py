@@ -118,14 +118,13 @@ def brier_parts(rows: DataFrame, bins: int = 10) -> DataFrame:
     return out.withColumn("skill", F.when(F.col("uncertainty") > 0, 1 - F.col("brier") / F.col("uncertainty")))
 
 
-def conformal_quantile(rows: DataFrame, alpha: float, group: list[str] | None = None, least: int = 0) -> DataFrame:
-    """The ceil((n+1)(1-alpha))-th smallest |truth - score| of each group; null where n is too small for it.
+def order_statistic(rows: DataFrame, value: Column, alpha: float, group: list[str] | None = None, least: int = 0) -> DataFrame:
+    """(group, q, n): the ceil((n+1)(1-alpha))-th smallest value of each group of ``least`` rows or more; q is null where n is too small for it.
 
-    Residuals are counted by value and placed by running counts. Groups of under ``least`` rows are left out.
+    Values are counted first and placed by running counts, so no task holds a group.
     """
     group = group or []
-    residual = F.abs(F.col("truth").cast("double") - F.col("score"))
-    counts = rows.groupBy(*group, residual.alias("q")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(*group, value.alias("q")).agg(F.count("*").alias("n"))
     totals = counts.groupBy(*[F.col(g).alias(f"t_{g}") for g in group]).agg(F.sum("n").alias("total"))
     same = F.lit(True)
     for g in group:
@@ -135,6 +134,22 @@ def conformal_quantile(rows: DataFrame, alpha: float, group: list[str] | None =
     return steps.groupBy(*group).agg(F.min(F.when(F.col("upto") >= rank, F.col("q"))).alias("q"), F.max("total").alias("n")).where(F.col("n") >= least)
 
 
+def conformal_quantile(rows: DataFrame, alpha: float, group: list[str] | None = None, least: int = 0) -> DataFrame:
+    """The order statistic of |truth - score| that covers 1 - alpha, for each group."""
+    return order_statistic(rows, F.abs(F.col("truth").cast("double") - F.col("score")), alpha, group, least)
+
+
+def calibrated_groups(rows: DataFrame, alpha: float, group: str, least: int = 8) -> DataFrame:
+    """(group, q, n, method): each group's own half-width, or that of all rows where the group has too few rows for it.
+
+    n is the number of rows behind q. With too few rows even in all, q is null: no interval is promised.
+    """
+    own = conformal_quantile(rows, alpha, [group])
+    pooled = conformal_quantile(rows, alpha).select(F.col("q").alias("all_q"), F.col("n").alias("all_n"))
+    q, kept = F.when(F.col("n") >= least, F.col("q")), F.lit("own")
+    return own.join(F.broadcast(pooled)).select(group, F.coalesce(q, "all_q").alias("q"), F.when(q.isNotNull(), F.col("n")).otherwise(F.col("all_n")).alias("n"), F.when(q.isNotNull(), kept).otherwise("pooled").alias("method"))
+
+
 def intervals(rows: DataFrame, q: Column) -> DataFrame:
     return rows.withColumns({"low": F.greatest(F.lit(0.0), F.col("score") - q), "high": F.least(F.lit(1.0), F.col("score") + q)})
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import band
 from .detect import ALERT_AT, MIN_HISTORY
+from .scores import order_statistic
 
 
 # Bands of the rules that moves are aimed at, and the size of a probe.
@@ -96,6 +97,39 @@ def quantile_bands(rows: DataFrame, coverage: float, bins: int = 10) -> DataFram
     return rows.groupBy(place.alias("bin")).agg(F.percentile(y, tail).alias("low"), F.percentile(y, 1 - tail).alias("high"), F.count("*").alias("n"))
 
 
+def conformalised_bands(fit: DataFrame, calibration: DataFrame, coverage: float, bins: int = 10) -> DataFrame:
+    """quantile_bands of ``fit``, widened (or narrowed) by one tau so that they cover ``coverage`` of ``calibration``; clipped to 0 and 1.
+
+    tau is the covering order statistic of how far each truth falls outside its band, negative inside. A bin without rows
+    in ``fit`` has the band from 0 to 1. With too few calibration rows tau and the bands are null.
+    """
+    place = F.least(F.lit(bins - 1), F.floor(F.col("score") * bins))
+    bands = quantile_bands(fit, coverage, bins).drop("n")
+    y = F.col("truth").cast("double")
+    outside = F.greatest(F.coalesce("low", F.lit(0.0)) - y, y - F.coalesce("high", F.lit(1.0)))
+    tau = order_statistic(calibration.withColumn("bin", place).join(bands, "bin", "left"), outside, 1 - coverage).select(F.col("q").alias("tau"))
+    low, high = F.col("low") - F.col("tau"), F.col("high") + F.col("tau")
+    bounded = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+    return bands.join(F.broadcast(tau)).select("bin", bounded(low).alias("low"), bounded(high).alias("high"), "tau")
+
+
+def permuted(long: DataFrame, reference: DataFrame, keys: list[str], intercept: float, draws: int = 3, pick=None) -> DataFrame:
+    """Mean drop of a logistic score when one feature takes the value of another observation, over ``draws`` partners.
+
+    ``long`` has a feature's z and weight by row, ``reference`` (place, feature, other) a population placed from 0 on.
+    ``pick`` makes the partner's place from the draw and the population's size; by default a hash of row, feature and draw.
+    An empty population gives no rows.
+    """
+    n = reference.agg(F.max("place")).first()[0]
+    size = F.lit(0 if n is None else n + 1)
+    pick = pick or (lambda draw, size: F.pmod(F.xxhash64(*keys, "feature", draw), size))
+    total = long.groupBy(*keys).agg(F.sum(F.col("z") * F.col("weight")).alias("logit"))
+    drawn = long.join(total, keys).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("place", pick(F.col("draw"), size))
+    score = lambda logit: 1 / (1 + F.exp(-(logit + intercept)))
+    drop = score(F.col("logit")) - score(F.col("logit") + (F.col("other") - F.col("z")) * F.col("weight"))
+    return drawn.join(reference, ["feature", "place"]).groupBy(*keys, "feature").agg(F.avg(drop).alias("attribution"))
+
+
 def parent_technique(technique: Column) -> Column:
     return F.substring_index(technique, ".", 1)
 

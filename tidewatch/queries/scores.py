@@ -97,6 +97,16 @@ def k24(spark, sf_dir):
     return rounded(S.conformal_quantile(scored(spark, sf_dir), 0.1, ["grp"], 8))
 
 
+@query("k24_pooled_fallback", """WITH sc AS (SELECT l_shipdate AS day, abs(CAST(l_returnflag = 'R' AS DOUBLE) - round(l_discount * 6 + l_tax * 5, 2)) AS x FROM lineitem),
+o AS (SELECT day, x, row_number() OVER (PARTITION BY day ORDER BY x) AS r, count(*) OVER (PARTITION BY day) AS n FROM sc), w AS (SELECT day, max(n) AS n, max(CASE WHEN r = CAST(ceil((n + 1) * 0.9E0 - 1e-9) AS BIGINT) AND n >= 8 THEN x END) AS q FROM o GROUP BY day),
+a AS (SELECT x, row_number() OVER (ORDER BY x) AS r, count(*) OVER () AS n FROM sc), p AS (SELECT x AS q, n FROM a WHERE r = CAST(ceil((n + 1) * 0.9E0 - 1e-9) AS BIGINT))
+SELECT w.day, round(coalesce(w.q, p.q), 6) AS q, CASE WHEN w.q IS NULL THEN p.n ELSE w.n END AS n, CASE WHEN w.q IS NULL THEN 'pooled' ELSE 'own' END AS method FROM w, p""")
+def k24_fallback(spark, sf_dir):
+    """Groups are days: many have too few rows for a half-width of their own."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_shipdate").alias("day"), F.round(F.col("l_discount") * 6 + F.col("l_tax") * 5, 2).alias("score"), (F.col("l_returnflag") == "R").alias("truth"))
+    return rounded(S.calibrated_groups(rows, 0.1, "day"))
+
+
 @query("k25_coverage", f"WITH {SC}, {quantile_sql('')}, iv AS (SELECT sc.*, greatest(0, score - q) AS low, least(1, score + q) AS high FROM sc, cq), a AS (SELECT grp, count(*) AS n, avg(CAST(CAST(truth AS DOUBLE) BETWEEN low AND high AS DOUBLE)) AS coverage, avg(high - low) AS width, count(*) FILTER (high - low <= 0 OR high - low >= 1) AS degenerate FROM iv GROUP BY grp) SELECT grp, n, round(coverage, 6) AS coverage, round(width, 6) AS width, degenerate, coverage >= 0.9 - 3 * sqrt(0.09E0 / n) AS ok FROM a")
 def k25(spark, sf_dir):
     rows = scored(spark, sf_dir)

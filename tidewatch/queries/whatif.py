@@ -93,6 +93,18 @@ def k42(spark, sf_dir):
     return rounded(X.path_gradient(long_form(spark, sf_dir).join(weights(spark), "feature"), ["scenario", "idx"], -1.0))
 
 
+@query("k42_permutation", f"""WITH {LB}, {LONG}, {WT}, g AS (SELECT scenario, idx, sum(z * weight) AS logit FROM ve JOIN wt USING (feature) GROUP BY scenario, idx),
+ref AS (SELECT idx AS place, feature, z AS other FROM ve WHERE scenario = 0), sz AS (SELECT max(place) + 1 AS size FROM ref),
+dr AS (SELECT scenario, idx, feature, z, weight, logit, (idx * 7 + scenario * 3 + length(feature) * 5 + draw * 11) % size AS place FROM ve JOIN wt USING (feature) JOIN g USING (scenario, idx), sz, (SELECT unnest(range(3)) AS draw))
+SELECT scenario, idx, feature, round(avg(1 / (1 + exp(-(logit - 1))) - 1 / (1 + exp(-(logit + (other - z) * weight - 1)))), 6) AS attribution FROM dr JOIN ref USING (feature, place) GROUP BY ALL""")
+def k42_permutation(spark, sf_dir):
+    """Scenario 0 is the population; partners come from arithmetic that SQL has too."""
+    long = stored(long_form(spark, sf_dir), "vectors")
+    reference = long.where("scenario = 0").select(F.col("idx").alias("place"), "feature", F.col("z").alias("other"))
+    pick = lambda draw, size: (F.col("idx") * 7 + F.col("scenario") * 3 + F.length("feature") * 5 + draw * 11) % size
+    return rounded(X.permuted(long.join(weights(spark), "feature"), reference, ["scenario", "idx"], -1.0, pick=pick))
+
+
 TIERS = [("l_quantity", 1), ("l_extendedprice", 2), ("l_discount", 3), ("l_tax", 5)]
 
 
@@ -110,6 +122,19 @@ def k26(spark, sf_dir):
     return rounded(X.quantile_bands(scored(spark, sf_dir), 0.9))
 
 
+SIZED = "sq AS (SELECT l_linenumber AS line, least(9, CAST(floor(round(l_discount * 6 + l_tax * 5, 2) * 10) AS BIGINT)) AS bin, l_quantity / 50 AS y FROM lineitem)"
+
+
+@query("k26_conformalised_bands", f"""WITH {SIZED}, b AS (SELECT bin, quantile_cont(y, 0.05) AS low, quantile_cont(y, 0.95) AS high FROM sq WHERE line % 2 = 1 GROUP BY bin),
+o AS (SELECT greatest(coalesce(low, 0) - y, y - coalesce(high, 1)) AS x FROM sq LEFT JOIN b USING (bin) WHERE line % 2 = 0), r AS (SELECT x, row_number() OVER (ORDER BY x) AS r, count(*) OVER () AS n FROM o),
+t AS (SELECT x AS tau FROM r WHERE r = CAST(ceil((n + 1) * 0.9E0 - 1e-9) AS BIGINT))
+SELECT bin, round(greatest(0, least(1, low - tau)), 6) AS low, round(greatest(0, least(1, high + tau)), 6) AS high, round(tau, 6) AS tau FROM b, t""")
+def k26_conformalised(spark, sf_dir):
+    """Bands of the quantity, fitted on lines of odd numbers and widened on the others."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", F.round(F.col("l_discount") * 6 + F.col("l_tax") * 5, 2).alias("score"), (F.col("l_quantity") / 50).alias("truth"))
+    return rounded(X.conformalised_bands(rows.where("l_linenumber % 2 = 1"), rows.where("l_linenumber % 2 = 0"), 0.9))
+
+
 @query("c10_technique_types", f"WITH {EVENTS_SQL}, t AS (SELECT event_id, CASE level % 3 WHEN 0 THEN 'T1566.001' WHEN 1 THEN 'T1046' ELSE 'T9999.2' END AS technique FROM ev) SELECT event_id, technique, CASE WHEN technique LIKE 'T1566%' THEN 'phishing' WHEN technique = 'T1046' THEN 'reconnaissance' END AS attack_type FROM t")
 def c10(spark, sf_dir):
     table = spark.createDataFrame([("T1566", "phishing"), ("T1046", "reconnaissance")], "id string, attack_type string")
