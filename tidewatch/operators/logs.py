@@ -112,3 +112,19 @@ def phase_summary(events: DataFrame) -> DataFrame:
     kinds = events.groupBy("phase", "event_type").agg(F.count("*").alias("n"))
     spread = kinds.groupBy("phase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_type", "n"))), lambda x: F.concat_ws("=", x["event_type"], x["n"])), ",").alias("types"))
     return events.groupBy("phase").agg(F.count("*").alias("events"), F.sum("bytes").alias("bytes"), F.count_distinct("dst").alias("endpoints")).join(spread, "phase")
+
+
+def phase_traffic(events: DataFrame) -> DataFrame:
+    """By phase: bytes sent and received (null counts as 0), and a histogram of HTTP statuses, an absent one as 0.
+
+    The histogram is counted by status first, so the text that is put together is as long as there are statuses.
+    """
+    code = F.coalesce(F.col("http_status").cast("int"), F.lit(0))
+    counts = events.groupBy("phase", code.alias("code")).agg(F.count("*").alias("n"), F.sum(F.coalesce("bytes_sent", F.lit(0.0))).alias("sent"), F.sum(F.coalesce("bytes_received", F.lit(0.0))).alias("received"))
+    pairs = F.array_sort(F.collect_list(F.struct("code", "n")))
+    return counts.groupBy("phase").agg(F.sum("n").alias("events"), F.sum("sent").alias("bytes_sent"), F.sum("received").alias("bytes_received"), F.array_join(F.transform(pairs, lambda x: F.concat_ws("=", x["code"], x["n"])), ",").alias("statuses"))
+
+
+def request_latency(requests: DataFrame) -> DataFrame:
+    """By status code: requests, and the sum and count of their latencies in ms; requests without one aren't in the latter."""
+    return requests.groupBy("status").agg(F.count("*").alias("requests"), F.sum("latency_ms").alias("latency_ms_sum"), F.count("latency_ms").alias("latency_ms_count"))

@@ -131,6 +131,13 @@ def external(entity: Column, prefixes=("external", "1.2.3.4")) -> Column:
     return out
 
 
+def event_kinds(members: DataFrame, kind: str, prefixes=("external", "1.2.3.4")) -> DataFrame:
+    """Events, flows and packets of each window, and its distinct outside entities."""
+    counts = members.groupBy(*KEY).agg(F.count("*").alias("event_count"), F.count_if(F.col(kind) == "flow").alias("flow_event_count"), F.count_if(F.col(kind) == "packet").alias("packet_event_count"))
+    outside = entities(members.select(*KEY, "src", "dst").distinct()).groupBy(*KEY).agg(F.count_if(external(F.col("entity"), prefixes)).alias("external_destination_count"))
+    return counts.join(outside, KEY)
+
+
 def flag_sums() -> list[Column]:
     """Sum and mean of each single flag."""
     out = []

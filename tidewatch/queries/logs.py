@@ -150,6 +150,22 @@ def d29(spark, sf_dir):
     return L.phase_summary(events(spark, sf_dir).withColumn("phase", phase)).withColumn("bytes", F.round("bytes", 2))
 
 
+@query("d29_phase_traffic", EV + """, p AS (SELECT CASE WHEN day(ts) <= 10 THEN 'early' WHEN day(ts) <= 20 THEN 'middle' ELSE 'late' END AS phase, CASE event_type WHEN 'error' THEN 500 WHEN 'view' THEN 200 WHEN 'click' THEN 302 ELSE 0 END AS code, bytes, coalesce(payload_size, 0) AS received FROM ev),
+c AS (SELECT phase, code, count(*) AS n, sum(bytes) AS sent, sum(received) AS received FROM p GROUP BY ALL)
+SELECT phase, CAST(sum(n) AS BIGINT) AS events, round(sum(sent), 2) AS bytes_sent, round(sum(received), 2) AS bytes_received, string_agg(code || '=' || n, ',' ORDER BY code) AS statuses FROM c GROUP BY phase""")
+def d29_traffic(spark, sf_dir):
+    phase = F.when(F.dayofmonth("ts") <= 10, "early").when(F.dayofmonth("ts") <= 20, "middle").otherwise("late")
+    status = F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 302)
+    rows = events(spark, sf_dir).select(phase.alias("phase"), status.alias("http_status"), F.col("bytes").alias("bytes_sent"), F.col("payload_size").alias("bytes_received"))
+    return L.phase_traffic(rows).withColumns({c: F.round(c, 2) for c in ("bytes_sent", "bytes_received")})
+
+
+@query("d31_request_latency", AUDIT + ", la AS (SELECT status, CASE WHEN request_id % 9 <> 0 THEN (request_id * 37 % 4000) / 10.0E0 END AS ms FROM au) SELECT status, count(*) AS requests, round(sum(ms), 3) AS latency_ms_sum, count(ms) AS latency_ms_count FROM la GROUP BY status")
+def d31_latency(spark, sf_dir):
+    rows = audit(spark, sf_dir).withColumn("latency_ms", F.when(F.col("request_id") % 9 != 0, F.col("request_id") * 37 % 4000 / 10))
+    return L.request_latency(rows).withColumn("latency_ms_sum", F.round("latency_ms_sum", 3))
+
+
 @query("c14_phase_boundaries", EV + " SELECT event_id, CASE WHEN day(ts) > 20 THEN 'Lateral Movement' WHEN day(ts) > 10 THEN 'Reconnaissance' ELSE 'Benign' END AS stage FROM ev")
 def c14(spark, sf_dir):
     bounds = spark.createDataFrame([("Benign", 0), ("Reconnaissance", 10), ("Lateral Movement", 20)], "stage string, after int")

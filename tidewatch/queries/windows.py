@@ -92,6 +92,14 @@ simple("d1_window_features", lambda: [c for n in POLICY for c in W.value_stats(n
 simple("d2_sample_spread", lambda: [F.when(F.count("bytes") >= 2, F.stddev_samp("bytes")).alias("bytes_std"), F.when(F.count("bytes") >= 2, F.var_samp("bytes")).alias("bytes_var")], r("CASE WHEN count(bytes) >= 2 THEN stddev_samp(bytes) END", "bytes_std") + ", " + r("CASE WHEN count(bytes) >= 2 THEN var_samp(bytes) END", "bytes_var"))
 simple("d3_percentiles", lambda: W.percentiles("bytes") + W.percentiles("duration"), ", ".join(r(f"CASE WHEN count({n}) >= 2 THEN quantile_cont({n}, {p}) END", f"{n}_p{int(p * 100)}") for n in ("bytes", "duration") for p in (0.5, 0.9, 0.99)))
 simple("d6_counts_and_coverage", lambda: [F.count("*").alias("event_count"), F.count_if(F.col("event_type") == "error").alias("auth_count"), (F.count_if(F.col("event_type") == "view") > 0).alias("has_dns"), F.count("payload_size").alias("with_payload")], "count(*) AS event_count, count(*) FILTER (event_type = 'error') AS auth_count, count(*) FILTER (event_type = 'view') > 0 AS has_dns, count(payload_size) AS with_payload")
+KIND = "CASE WHEN event_type = 'error' THEN 'auth' WHEN event_type = 'view' THEN 'dns' WHEN event_id % 3 = 0 THEN 'packet' ELSE 'flow' END"
+
+
+@query("d6_event_kinds", f"WITH {MEMBERS}, y AS (SELECT scenario, k, {KIND} AS sort, src, dst FROM mem), n AS (SELECT scenario, k, count(*) AS event_count, count(*) FILTER (sort = 'flow') AS flow_event_count, count(*) FILTER (sort = 'packet') AS packet_event_count FROM y GROUP BY scenario, k), x AS (SELECT scenario, k, count(DISTINCT e) FILTER (e LIKE 'user-1%') AS external_destination_count FROM (SELECT scenario, k, unnest([src, dst]) AS e FROM y) GROUP BY scenario, k) SELECT * FROM n JOIN x USING (scenario, k)")
+def d6_kinds(spark, sf_dir):
+    return W.event_kinds(members(spark, sf_dir).withColumn("sort", F.expr(KIND)), "sort", ("user-1",))
+
+
 FLAG = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16, "urg": 32}
 simple("d10_flag_sums", W.flag_sums, ", ".join(r(f"sum(CAST((tcp_flags & {FLAG[n]}) <> 0 AS DOUBLE))", f"{n}_count_sum") + ", " + r(f"avg(CAST((tcp_flags & {FLAG[n]}) <> 0 AS DOUBLE))", f"{n}_count_mean") for n in ("syn", "ack", "fin", "rst", "urg")))
 simple("d11_flag_ratios", W.flag_ratios, ", ".join(r(f"avg(CAST((tcp_flags & {FLAG[n]}) <> 0 AS DOUBLE))", f"flag_{n}_ratio") for n in ("syn", "ack", "fin", "rst", "psh", "urg")) + ", " + r("count(*) FILTER ((tcp_flags & 2) <> 0) / CAST(greatest(count(*) FILTER ((tcp_flags & 16) <> 0), 1) AS DOUBLE)", "flag_syn_ack_ratio") + ", " + r("avg(CAST((tcp_flags & 2) <> 0 AND (tcp_flags & 16) = 0 AS DOUBLE))", "flag_syn_no_ack_share") + ", " + r("avg(CAST((tcp_flags & 41) = 41 AS DOUBLE))", "flag_xmas_share"))
