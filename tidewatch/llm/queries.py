@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, mixing, neardup, phrases, quality, repair, sharding, token_counts, warc
+from . import chat, decontam, langid, linededup, mixing, neardup, phrases, quality, repair, secretscan, sharding, token_counts, warc
 from .common import documents, scratch_path
 
 
@@ -59,9 +59,14 @@ def op11_phrases(spark, sf_dir):
     return phrases.collocations(documents(spark, sf_dir))
 
 
+def op12_secret_scan(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return secretscan.digests(secretscan.scan(docs, secretscan.train(docs)))
+
+
 def op13_repair(spark, sf_dir):
     return repair.repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_near_duplicates, op4_chat_formatting, op5_mixing, op6_decontamination, op7_sharding, op8_language_id, op9_warc, op10_quality_rules, op11_phrases, op13_repair)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_near_duplicates, op4_chat_formatting, op5_mixing, op6_decontamination, op7_sharding, op8_language_id, op9_warc, op10_quality_rules, op11_phrases, op12_secret_scan, op13_repair)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op4_chat_formatting": chat.SQL, "op9_warc": warc.SQL, "op10_quality_rules": quality.SQL, "op11_phrases": phrases.SQL}
