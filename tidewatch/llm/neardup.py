@@ -39,6 +39,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,6 +141,12 @@ class Places:
     def place(self, key):
         return F.pmod(F.xxhash64(key), F.lit(1 << self.bits))
 
+    def flagged(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """df with whether a row's key may be one of the bitmap's; only the key's place goes to Python."""
+        shared = self.shared
+        hit = F.pandas_udf(lambda place: pd.Series(seen(shared.value, place.to_numpy(np.int64))), "boolean")
+        return df.withColumn(name, hit(self.place(F.col(key))))
+
 
 def seen(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 6] >> (place & 63).astype(U)) & U(1) == 1
