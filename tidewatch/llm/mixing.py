@@ -9,11 +9,12 @@ runs out, the others go on with their own weights as the next phase, so every do
 
 The driver holds the schedule, a row for each source of each phase: quadratic in the number of sources, which is
 therefore bounded by MOST_SOURCES; a corpus with more of them raises, and its rare sources have to be named alike first.
+A period has as many slots as the weights add up to; MOST_SLOTS bounds them, and weights are whole numbers from 1 on.
 
 mixed_order() places narrow rows (source and a 64-bit key) and finds the first key of each source in each output part;
 these cuts say for every document which part it goes to, so its text is shuffled once, and is numbered inside the part.
 
-Defined results: a null source is a source of its own, written as ''; a null or empty text is placed like any other;
+Defined results: a null source is a source of its own (its target has the key None), beside the empty one; a null or empty text is placed like any other;
 repeated rows each have a place; null doc_ids are kept; extra columns stay (mix_sources replaces those that bear an output
 name, mixed_order keeps all); an empty table gives an empty result. A source without a target has the weight 1. Rows equal
 in doc_id and text can't be cut, so they stay in one part of mixed_order, where they follow each other in slot order.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import stored, with_rank
 
 BLOCK = 16
-MOST_SOURCES, MOST_CUTS = 512, 1 << 17
+MOST_SOURCES, MOST_CUTS, MOST_SLOTS = 512, 1 << 17, 1 << 16
 #: Production targets: the share of each source, all others 1.
 TARGETS = {"src0": 4, "src1": 3, "src2": 2, "src3": 2}
 
@@ -57,6 +58,19 @@ def pattern(weights: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+def source_name(column: str = "source") -> Column:
+    """A source's name after '=', so that a null source (an empty string) differs from an empty one."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit(""))
+
+
+def target(targets: dict, name: str) -> int:
+    """The weight of a source by its source_name()."""
+    weight = targets.get(name[1:] if name else None, 1)
+    if not isinstance(weight, int) or isinstance(weight, bool) or weight < 1:
+        raise ValueError(f"the weight of source {name[1:] if name else None!r} is {weight!r}; weights are whole numbers from 1 on")
+    return weight
+
+
 def phases(blocks: dict[str, int], targets: dict[str, int]) -> list[tuple]:
     """(source, from block, to block, weight, first slot, period, phase): the stretch of blocks that each source has in each phase.
 
@@ -64,10 +78,12 @@ def phases(blocks: dict[str, int], targets: dict[str, int]) -> list[tuple]:
     """
     left, done, slot, out, phase = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, [], 0
     while left:
-        raw = {s: targets.get(s, 1) for s in left}
+        raw = {s: target(targets, s) for s in left}
         g = reduce(gcd, raw.values())
         weights = {s: w // g for s, w in raw.items()}
         total = sum(weights.values())
+        if total > MOST_SLOTS:
+            raise ValueError(f"the weights add up to {total} slots, more than {MOST_SLOTS}: give smaller whole numbers")
         table = pattern(weights)
         at = {(s, j): k for s, j, k, _, _ in table}
         end = min((left[s] - 1) // weights[s] * total + at[s, (left[s] - 1) % weights[s]] for s in left) + 1
@@ -92,7 +108,7 @@ def content_key(docs: DataFrame) -> Column:
 
 def counted(docs: DataFrame, block: int) -> dict[str, int]:
     """Blocks of each source; raises beyond MOST_SOURCES."""
-    rows = docs.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("s")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    rows = docs.groupBy(source_name().alias("s")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: give rare ones a common name first")
     return {r["s"]: -(-r["n"] // block) for r in rows}
@@ -106,7 +122,7 @@ def scheduled(ranked: DataFrame, blocks: dict[str, int], targets: dict[str, int]
     slots = [(phase, s, j, k, release, due) for phase in sorted({x[6] for x in stretches}) for s, j, k, release, due in pattern({x[0]: x[3] for x in stretches if x[6] == phase})]
     pieces = spark.createDataFrame(slots, "__phase int, __qs string, __j long, __k long, __release long, __due long")
     ranked = ranked.withColumn("block", F.floor(F.col("__pos") / block)).withColumn("place", F.col("__pos") % block)
-    # both tables are bounded by MOST_SOURCES: sources x phases, and sources x phases x weights rows
+    # both tables are bounded: MOST_SOURCES x phases, and phases x MOST_SLOTS rows
     out = ranked.join(F.broadcast(table), (F.col("__s") == F.col("__ps")) & (F.col("block") >= F.col("__from")) & (F.col("block") < F.col("__to")))
     out = out.withColumn("__o", F.col("block") - F.col("__from")).withColumn("__m", F.col("__o") % F.col("__w")).withColumn("__t", F.floor(F.col("__o") / F.col("__w")) * F.col("__period") + F.col("__base"))
     out = out.join(F.broadcast(pieces), (F.col("phase") == F.col("__phase")) & (F.col("__s") == F.col("__qs")) & (F.col("__m") == F.col("__j")))
@@ -121,7 +137,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, int] | None = None, block: i
     """
     made = ["block", "phase", "release", "deadline", "slot", "place"]
     kept = [c for c in docs.columns if c not in made]
-    keyed = docs.select(*own_names(kept), F.coalesce(F.col("source"), F.lit("")).alias("__s"), (content_key(docs) if key is None else key).alias("__key"))
+    keyed = docs.select(*own_names(kept), source_name().alias("__s"), (content_key(docs) if key is None else key).alias("__key"))
     ranked = with_rank(keyed, ["__s"], ["__key"], "__pos", ["__key"])
     out = scheduled(ranked, counted(docs, block), targets, block)
     return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)], *made)
@@ -139,7 +155,7 @@ def cell(h: Column, parts: int) -> Column:
 
 def cuts(docs: DataFrame, blocks: dict[str, int], targets: dict[str, int] | None, block: int, parts: int) -> DataFrame:
     """(__cs, __cell, __cut): for each source and cell of the hash range the cuts (first hash, part, rank) that reach into it."""
-    source = F.coalesce(F.col("source"), F.lit("")).alias("__s")
+    source = source_name().alias("__s")
     narrow = stored(docs.select(source, content_key(docs).alias("__key")), "mix-keys")
     ranked = with_rank(narrow, ["__s"], ["__key"], "__pos", ["__key"])
     placed = stored(scheduled(ranked, blocks, targets, block).select("__s", F.xxhash64("__key").alias("h"), "__pos", "slot"), "mix-slots")
@@ -157,7 +173,7 @@ def mixed_order(docs: DataFrame, targets: dict[str, int] | None = None, block: i
     blocks = counted(docs, block)
     parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_CUTS // max(1, len(blocks))))
     table = cuts(docs, blocks, targets, block, parts)
-    keyed = docs.select(*own_names(docs.columns), F.coalesce(F.col("source"), F.lit("")).alias("__s"), F.xxhash64(content_key(docs)).alias("__h"))
+    keyed = docs.select(*own_names(docs.columns), source_name().alias("__s"), F.xxhash64(content_key(docs)).alias("__h"))
     # MOST_CUTS times about five rows at most
     on = (F.col("__s") == F.col("__cs")) & (cell(F.col("__h"), parts) == F.col("__cell"))
     placed = keyed.join(F.broadcast(table), on).withColumn("__at", F.element_at(F.filter("__cut", lambda x: x["h"] <= F.col("__h")), -1)).drop("__cut", "__cs", "__cell")
