@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored, utf8
@@ -173,6 +173,24 @@ def _documents(shared):
 WINDOWS = "h long, place long, slots array<long>"
 
 
+def _worded(slots: str):
+    """Whether a window has the literal words that it needs to match with other values in its slots."""
+    return (F.size(F.filter(slots, lambda x: x != 0)) <= WINDOW - LITERAL) & (F.size(slots) == WINDOW)
+
+
+def met(found: DataFrame, items: DataFrame) -> tuple[DataFrame, Column]:
+    """Windows of documents with the item windows they may match, and which of those may differ in their slots.
+
+    Windows of few literal words match by equal values alone, so they meet by their values too: the windows of number
+    tables, which all have one template, don't meet in one key.
+    """
+    key = lambda slots: F.when(_worded(slots), F.lit(0)).otherwise(F.xxhash64(slots))
+    item = items.select("item_id", F.col("h").alias("ih"), F.col("place").alias("at"), F.col("slots").alias("given"), key("slots").alias("iv"))
+    hits = found.withColumn("v", key("slots")).join(item, (F.col("h") == F.col("ih")) & (F.col("v") == F.col("iv"))).where(F.size("slots") == F.size("given"))
+    hits = hits.select("doc_id", "key", "item_id", (F.col("place") - F.col("at")).alias("diagonal"), "at", (F.col("slots") == F.col("given")).alias("exact"), F.size("given").alias("n"), F.filter(F.arrays_zip("given", "slots"), lambda p: p["given"] != 0).alias("pairs"))
+    return hits, (F.size("pairs") <= WINDOW - LITERAL) & (F.col("n") == WINDOW)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, key, item_id, diagonal, windows, of) of each diagonal, or stretch of diagonals, that contaminates."""
     spark = docs.sparkSession
@@ -185,10 +203,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = items.groupBy(F.col("item_id").alias("sized")).agg(F.count_distinct("place").alias("of"))
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("key"), text.alias("text")).mapInArrow(_documents(shared), f"doc_id long, key string, {WINDOWS}").distinct()
-    item = items.select("item_id", F.col("h").alias("ih"), F.col("place").alias("at"), F.col("slots").alias("given"))
-    hits = found.join(item, F.col("h") == F.col("ih")).where(F.size("slots") == F.size("given"))
-    hits = hits.select("doc_id", "key", "item_id", (F.col("place") - F.col("at")).alias("diagonal"), "at", (F.col("slots") == F.col("given")).alias("exact"), F.size("given").alias("n"), F.filter(F.arrays_zip("given", "slots"), lambda p: p["given"] != 0).alias("pairs"))
-    worded = (F.size("pairs") <= WINDOW - LITERAL) & (F.col("n") == WINDOW)
+    hits, worded = met(found, items)
     hits = stored(hits.where(F.col("exact") | worded).drop("n"), "hits")
     span = ["doc_id", "key", "item_id", "diagonal", "wide"]
     counted = _spans(hits.select("doc_id", "key", "item_id", "diagonal", "at", "exact")).groupBy(*span, "at").agg(F.max("exact").alias("exact"))
