@@ -227,7 +227,10 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
-    """docs with a word of a learned script whose language has at least this score; all columns as they were."""
+def keep_identified(docs: DataFrame, model: dict, least: float = 0.0) -> DataFrame:
+    """docs with a familiar word and a language; all columns as they were.
+
+    least: the least share of words of the winning language; by default texts of several languages are kept too.
+    """
     bounded_batches(docs.sparkSession, 2000)
     return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), least), docs.schema)
