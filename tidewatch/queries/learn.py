@@ -1,4 +1,4 @@
-"""Learned models over labelled states: K3, K4, K29, K30, K32, K34 to K40, K45."""
+"""Learned models over labelled states: K3, K29, K30, K32, K34, K35, K45."""
 
 from __future__ import annotations
 
@@ -31,17 +31,6 @@ def k3(spark, sf_dir):
     return rounded(M.predict(model, rows.where("scenario >= 3"), FEATURES).select("scenario", "idx", "label", "score"))
 
 
-def k4(spark, sf_dir):
-    """One model for each horizon from 1 to 3."""
-    rows, out = stored(labelled(spark, sf_dir), "labelled"), None
-    for h in (1, 2, 3):
-        target = R.future_label(rows, h).select("scenario", "idx", F.col("target").alias("label"))
-        data = rows.select("scenario", "idx", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in FEATURES]).join(target, ["scenario", "idx"])
-        part = M.predict(M.fit_baseline(data.where("scenario < 3"), FEATURES), data.where("scenario >= 3"), FEATURES).select("scenario", "idx", F.lit(h).alias("horizon"), "score")
-        out = part if out is None else out.union(part)
-    return rounded(out)
-
-
 def k29(spark, sf_dir):
     rows = scored_lines(spark, sf_dir)
     return rounded(M.recalibrated(M.fit_isotonic(rows.where("id % 5 <> 0")), rows.where("id % 5 = 0")).select("id", "score", "calibrated"))
@@ -52,22 +41,6 @@ def k30(spark, sf_dir):
     return rounded(M.gate(M.recalibrated(M.fit_isotonic(rows.where("id % 5 <> 0")), rows.where("id % 5 = 0"))))
 
 
-def k39(spark, sf_dir):
-    """Open-loop error of the linear map against persistence, one to three steps ahead."""
-    rows = standard(spark, sf_dir)
-    weights, bias = M.fit_transition(rows.where("scenario < 3"), FEATURES)
-    return rounded(M.rollout(rows.where("scenario >= 3"), FEATURES, weights, bias, 3))
-
-
-def k40(spark, sf_dir):
-    """The states rolled out one to three steps, classified: error and skill, and how many windows are flagged at each step."""
-    rows = standard(spark, sf_dir)
-    train = rows.where("scenario < 3")
-    weights, bias = M.fit_transition(train, FEATURES)
-    out = M.classified(M.rolled(rows.where("scenario >= 3"), FEATURES, weights, bias, 3), M.fit_baseline(train, FEATURES), FEATURES)
-    return rounded(M.skill(out, F.count("*").alias("windows"), F.avg("score").alias("mean_score"), F.count_if(F.col("score") >= 0.5).alias("flagged")))
-
-
 def k45(spark, sf_dir):
     """Average precision and AUC of the baseline and of persistence on the same rows."""
     rows = standard(spark, sf_dir)
@@ -87,29 +60,6 @@ def experiment_rows(spark, sf_dir):
     return stored(z.join(facts, ["scenario", "idx"]).withColumn("id", F.concat_ws(":", "scenario", "idx")), "experiment")
 
 
-def k36(spark, sf_dir):
-    """Each attack stage scored by a model that never saw it."""
-    rows = experiment_rows(spark, sf_dir)
-    stages = sorted(r["stage"] for r in rows.where("label").select("stage").distinct().collect())  # a row per stage
-    folds = X.leave_one_stage_out(stages, F.col("scenario") < 3, F.col("scenario") >= 3)
-    return rounded(X.fold_metrics(X.scored_folds(rows, FEATURES, folds)))
-
-
-def k37(spark, sf_dir):
-    """Later states scored by models of earlier ones, at three origins."""
-    rows = standard(spark, sf_dir).withColumn("id", F.concat_ws(":", "scenario", "idx"))
-    last = rows.agg(F.max("idx")).first()[0]
-    return rounded(X.fold_metrics(X.scored_folds(rows, FEATURES, X.rolling_origin([last * i // 4 for i in (1, 2, 3)], last // 4, 3))))
-
-
-def k38(spark, sf_dir):
-    """Each third of the time scored by a model of each other third."""
-    rows = experiment_rows(spark, sf_dir)
-    last = rows.agg(F.max("idx")).first()[0] + 1
-    period = F.element_at(F.array(F.lit("early"), F.lit("middle"), F.lit("late")), (F.floor(F.col("idx") * 3 / last) + 1).cast("int"))
-    return rounded(X.fold_metrics(X.scored_folds(rows, FEATURES, X.cross_periods(period, ["early", "middle", "late"]))))
-
-
 def k35(spark, sf_dir):
     """Models of one, two and all three training scenarios, nested, scored on the same rows."""
     rows = experiment_rows(spark, sf_dir)
@@ -133,5 +83,5 @@ def k32(spark, sf_dir):
     return rounded(spark.createDataFrame(X.ablation_curve(products(spark, sf_dir)), "feature string, brier double, loss double, advice string"))
 
 
-QUERIES |= {"k32_ablation_curve": k32, "k34_forward_selection": k34, "k35_label_efficiency": k35, "k36_leave_one_stage_out": k36, "k37_rolling_origin": k37, "k38_cross_period": k38}
-QUERIES |= {"k3_baseline_classifier": k3, "k4_horizon_classifiers": k4, "k29_isotonic": k29, "k30_recalibration_gate": k30, "k39_transition_model": k39, "k40_open_loop_rollout": k40, "k45_model_comparison": k45}
+QUERIES |= {"k32_ablation_curve": k32, "k34_forward_selection": k34, "k35_label_efficiency": k35}
+QUERIES |= {"k3_baseline_classifier": k3, "k29_isotonic": k29, "k30_recalibration_gate": k30, "k45_model_comparison": k45}
