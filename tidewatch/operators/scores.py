@@ -202,21 +202,43 @@ def psi_edges(reference: DataFrame, bins: int = 10) -> DataFrame:
     return ranked.join(picks, inside).groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("edges"))
 
 
-def psi(edges: DataFrame, reference: DataFrame, current: DataFrame, keys: list[str], bins: int = 10, least: float = 1e-6) -> DataFrame:
-    """Population stability index of each block of ``current`` (feature and keys) against the reference; a value's bin is the number of edges below it."""
-    def shares(rows: DataFrame, by: list[str]) -> DataFrame:
-        placed = rows.join(edges, "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("value"))))
-        counts = placed.groupBy(*by, "bin").agg(F.count("*").alias("n"))
-        return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+def bin_counts(edges: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, bin, n): rows in each bin; a value's bin is the number of edges below it."""
+    placed = rows.join(edges, "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("value"))))
+    return placed.groupBy(*by, "bin").agg(F.count("*").alias("n"))
+
 
-    now = shares(current, ["feature", *keys])
+def psi_of_counts(now: DataFrame, reference: DataFrame, keys: list[str], bins: int = 10, least: float = 1e-6) -> DataFrame:
+    """Population stability index of each block's bin counts against the reference's."""
+    share = lambda counts, by: counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
     grid = now.select("feature", *keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    ref = shares(reference, ["feature"]).select("feature", "bin", F.col("p").alias("r"))
-    both = grid.join(now, ["feature", *keys, "bin"], "left").join(ref, ["feature", "bin"], "left")
+    ref = share(reference, ["feature"]).select("feature", "bin", F.col("p").alias("r"))
+    both = grid.join(share(now, ["feature", *keys]), ["feature", *keys, "bin"], "left").join(ref, ["feature", "bin"], "left")
     c, r = F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(least)), F.greatest(F.coalesce("r", F.lit(0.0)), F.lit(least))
     return both.groupBy("feature", *keys).agg(F.bround(F.sum((c - r) * F.log(c / r)), 6).alias("psi"))
 
 
+def psi(edges: DataFrame, reference: DataFrame, current: DataFrame, keys: list[str], bins: int = 10, least: float = 1e-6) -> DataFrame:
+    """Population stability index of each block of ``current`` (feature and keys) against the reference; a value's bin is the number of edges below it."""
+    return psi_of_counts(bin_counts(edges, current, ["feature", *keys]), bin_counts(edges, reference, ["feature"]), keys, bins, least)
+
+
+def rolling_psi(edges: DataFrame, reference: DataFrame, current: DataFrame, width: int, bins: int = 10) -> DataFrame:
+    """(feature, day, psi) of the blocks of ``width`` days that end at each day; the first ``width`` - 1 days have none.
+
+    Rows are counted once, by feature, day and bin; blocks are running sums of these counts, a row for each feature, day
+    and bin. Days without rows count as none.
+    """
+    counts = bin_counts(edges, current, ["feature", "day"])
+    span = counts.groupBy("feature").agg(F.min("day").alias("low"), F.max("day").alias("high"))
+    days = span.withColumn("day", F.explode(F.sequence("low", "high"))).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    over = Window.partitionBy("feature", "bin").orderBy("day").rowsBetween(-(width - 1), 0)
+    sums = days.join(counts, ["feature", "day", "bin"], "left").withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(over))
+    blocks = sums.where(F.col("day") >= F.col("low") + width - 1).select("feature", "day", "bin", "n")
+    full = blocks.withColumn("all", F.sum("n").over(Window.partitionBy("feature", "day"))).where("all > 0").drop("all")
+    return psi_of_counts(full, bin_counts(edges, reference, ["feature"]), ["day"], bins)
+
+
 def compare_snapshot(snapshot: DataFrame, live: DataFrame, bins: int = 10) -> DataFrame:
     """Index and counts of every feature that the snapshot and the live rows share."""
     count = lambda rows, name: rows.groupBy("feature").agg(F.count("*").alias(name))

@@ -251,7 +251,17 @@ f AS (SELECT *, sum(isnew) OVER (PARTITION BY lo, hi, protocol ORDER BY us, even
 SELECT lo, hi, protocol, CAST(flow AS BIGINT) AS flow, min(us) AS "start", max(us) AS "end", count(*) AS packets, round(sum(bytes), 6) AS bytes, bit_or(tcp_flags) AS tcp_flags FROM f GROUP BY lo, hi, protocol, flow""")
 def a16(spark, sf_dir):
     rows = events(spark, sf_dir).select("us", "src", "dst", F.lit(0).alias("sport"), "dport", "protocol", "bytes", "tcp_flags", F.col("event_id").alias("packet_no"))
-    return rounded(R.assemble_flows(rows, 86_400_000_000).select("lo", "hi", "protocol", "flow", "start", "end", "packets", "bytes", "tcp_flags"))
+    return rounded(R.assemble_flows(rows, 86_400_000_000, None).select("lo", "hi", "protocol", "flow", "start", "end", "packets", "bytes", "tcp_flags"))
+
+
+@query("a16_age_limited_flows", "WITH RECURSIVE" + EV.removeprefix("WITH") + """, n AS (SELECT scenario, protocol, us, bytes, row_number() OVER w AS r, CASE WHEN lag(us) OVER w IS NULL OR ((tcp_flags & 2) <> 0 AND (tcp_flags & 16) = 0) OR (lag(tcp_flags) OVER w & 5) <> 0 OR us - lag(us) OVER w > 7200000000 THEN 1 ELSE 0 END AS isnew FROM ev WINDOW w AS (PARTITION BY scenario, protocol ORDER BY us, event_id)),
+f AS (SELECT scenario, protocol, r, us, bytes, 1 AS flow, us AS began FROM n WHERE r = 1
+ UNION ALL SELECT n.scenario, n.protocol, n.r, n.us, n.bytes, f.flow + CASE WHEN isnew = 1 OR n.us - began > 10800000000 THEN 1 ELSE 0 END, CASE WHEN isnew = 1 OR n.us - began > 10800000000 THEN n.us ELSE began END FROM f JOIN n ON n.scenario = f.scenario AND n.protocol = f.protocol AND n.r = f.r + 1)
+SELECT 'd:0' AS lo, 's' || scenario || ':0' AS hi, protocol, CAST(flow AS BIGINT) AS flow, min(us) AS "start", max(us) AS "end", count(*) AS packets, round(sum(bytes), 6) AS bytes FROM f GROUP BY scenario, protocol, flow""")
+def a16_age(spark, sf_dir):
+    """All events of a scenario and protocol as one flow key: two silent hours end a flow, and three hours of age."""
+    rows = events(spark, sf_dir).select("us", F.concat(F.lit("s"), "scenario").alias("src"), F.lit("d").alias("dst"), F.lit(0).alias("sport"), F.lit(0).alias("dport"), "protocol", "bytes", "tcp_flags", F.col("event_id").alias("packet_no"))
+    return rounded(R.assemble_flows(rows, 7_200_000_000, 10_800_000_000).select("lo", "hi", "protocol", "flow", "start", "end", "packets", "bytes"))
 
 
 @query("f2_supporting_entities", EV + ", d AS (SELECT scenario, src, min(event_id) AS first FROM ev GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY first) AS rn FROM d) SELECT scenario, string_agg(src, ',' ORDER BY first) AS entities FROM r WHERE rn <= 10 GROUP BY scenario")

@@ -204,9 +204,8 @@ ROLLED = "lt AS (SELECT max(day) AS top FROM fr), ro AS (SELECT feature, day AS
 def e13(spark, sf_dir):
     """Verdicts over rolling blocks of three days; the first two days have none."""
     rows = feature_rows(spark, sf_dir)
-    reference, top = rows.where("day <= 10"), rows.agg(F.max("day").alias("top"))
-    each = rows.where("day > 10").withColumn("day", F.explode(F.sequence(F.col("day"), F.col("day") + 2)))
-    blocks = S.psi(S.psi_edges(reference), reference, each.join(top).where("day between 13 and top"), ["day"])
+    reference = rows.where("day <= 10")
+    blocks = S.rolling_psi(S.psi_edges(reference), reference, rows.where("day > 10"), 3)
     return rounded(S.monitor(blocks.where("day > 20"), blocks.where("day <= 20"), ["day"], 0.9))
 
 

@@ -63,8 +63,13 @@ ORACLE_SQL["m6_history_scoring"] = ORACLE_SQL["m1_tumbling_windows"].replace(" S
 
 @(lambda f: QUERIES.setdefault("m9_live_status", f))
 def m9(spark, sf_dir):
-    scored = m6(spark, sf_dir)
-    return live.status(scored, 6.0).select("scenario", "windows", F.round("peak", 6).alias("peak"), "alert")
+    """Windows, peak and alert of each scenario, those beyond the newest 100, and the rows that the streams read and dropped as late."""
+    with live.counting(spark) as counts:
+        scored = m6(spark, sf_dir)
+    markers, windows = 1, scored.count()  # the closing row, and the second stream's input
+    seen, dropped = sum(counts.seen.values()) - markers - windows, sum(counts.dropped.values())
+    out = live.status(scored, 6.0, 100).select("scenario", "windows", F.round("peak", 6).alias("peak"), "alert", "evicted")
+    return out.withColumns({"events_seen": F.lit(seen).cast("long"), "late_dropped": F.lit(dropped).cast("long")})
 
 
-ORACLE_SQL["m9_live_status"] = "SELECT scenario, count(*) AS windows, max(z) AS peak, max(z) >= 6 AS alert FROM (" + ORACLE_SQL["m6_history_scoring"] + ") GROUP BY scenario"
+ORACLE_SQL["m9_live_status"] = "SELECT scenario, count(*) AS windows, max(z) AS peak, max(z) >= 6 AS alert, greatest(count(*) - 100, 0) AS evicted, (SELECT count(*) FROM events) AS events_seen, CAST(0 AS BIGINT) AS late_dropped FROM (" + ORACLE_SQL["m6_history_scoring"] + ") GROUP BY scenario"

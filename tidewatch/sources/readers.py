@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,20 +166,63 @@ def mark_retransmissions(packets: DataFrame) -> DataFrame:
     return packets.withColumn("retransmission", (F.row_number().over(order) > 1).cast("double"))
 
 
-def assemble_flows(packets: DataFrame, idle: int = 15_000_000) -> DataFrame:
-    """Packets (us, src, dst, sport, dport, protocol, bytes, tcp_flags) to two-way flows.
+NUMBERED = "lo string, hi string, protocol int, us long, bytes double, tcp_flags int, forward boolean, gap long, new int, flow long"
 
-    Both directions share one key. A flow begins at a SYN without ACK, after FIN or RST, or after ``idle`` micros of
-    silence; the age limit belongs to the streaming form. A key's packets are numbered in one frame.
+
+def _numbered(age: int | None):
+    """Flow numbers of packets that stream by sorted by key and time: a flow ends before a packet marked new, or at the age limit.
+
+    Only the open flow's key, number and start are kept from batch to batch, so a key of any length needs no memory. Inside
+    a batch each flow is one search for the first packet beyond its age, not a step for each packet.
+    """
+
+    def run(batches):
+        key, flow, start = None, 0, 0
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            us, new = batch.column("us").to_numpy(), batch.column("new").to_numpy().astype(bool)
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "protocol")), strict=True))
+            other = np.array([keys[0] != key, *(a != b for a, b in zip(keys[1:], keys[:-1], strict=True))])
+            bounds = np.append(np.flatnonzero(new | other), n)
+            flows, firsts = np.empty(n, np.int64), np.zeros(n, np.int32)
+            i = 0
+            while i < n:
+                if other[i]:
+                    flow = 0
+                if other[i] or new[i] or age is not None and us[i] > start + age:
+                    flow, start, firsts[i] = flow + 1, int(us[i]), 1
+                end = int(bounds[np.searchsorted(bounds, i, side="right")])
+                stop = end if age is None else i + max(1, int(np.searchsorted(us[i:end], start + age, side="right")))
+                flows[i:stop] = flow
+                i = stop
+            key = keys[-1]
+            columns = [batch.column(c) for c in batch.schema.names if c != "new"]
+            names = [c for c in batch.schema.names if c != "new"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(firsts), pa.array(flows)], [*names, "new", "flow"])
+
+    return run
+
+
+def assemble_flows(packets: DataFrame, idle: int = 15_000_000, age: int | None = 60_000_000) -> DataFrame:
+    """Packets (us, src, dst, sport, dport, protocol, bytes, tcp_flags, packet_no) to two-way flows.
+
+    Both directions share one key. A flow begins at a SYN without ACK, after FIN or RST, after ``idle`` micros of silence,
+    or with the first packet more than ``age`` micros after its start (no limit: None). Where a flow ends by age depends
+    on where it began, so a key's packets stream by in order; nothing of them is held but the open flow's start.
     """
     a, b = F.concat_ws(":", "src", "sport"), F.concat_ws(":", "dst", "dport")
-    keyed = packets.withColumns({"lo": F.least(a, b), "hi": F.greatest(a, b), "forward": a <= b})
+    keyed = packets.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.col("protocol").cast("int").alias("protocol"), F.col("us").cast("long").alias("us"), "packet_no", F.col("bytes").cast("double").alias("bytes"), F.col("tcp_flags").cast("int").alias("tcp_flags"), (a <= b).alias("forward"))
     order = Window.partitionBy("lo", "hi", "protocol").orderBy("us", "packet_no")
     last = F.lag(F.struct("us", "tcp_flags")).over(order)
     opens = bit("tcp_flags", 2) & ~bit("tcp_flags", 16)
     closed = last["tcp_flags"].bitwiseAND(F.lit(5)) != 0
     new = F.coalesce((opens | closed | (F.col("us") - last["us"] > idle)).cast("int"), F.lit(1))
-    numbered = keyed.withColumns({"gap": F.col("us") - last["us"], "new": new}).withColumn("flow", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = keyed.withColumns({"gap": F.col("us") - last["us"], "new": new})
+    # the frame above has the rows in this order already, so this sorts nothing again
+    ordered = marked.sortWithinPartitions("lo", "hi", "protocol", "us", "packet_no").drop("packet_no")
+    numbered = ordered.mapInArrow(_numbered(age), NUMBERED)
     gap = F.when(F.col("new") == 0, F.col("gap") / 1000)
     return numbered.groupBy("lo", "hi", "protocol", "flow").agg(F.min("us").alias("start"), F.max("us").alias("end"), F.count("*").alias("packets"), F.sum("bytes").alias("bytes"), F.sum(F.when(~F.col("forward"), F.col("bytes")).otherwise(0.0)).alias("reverse_bytes"), F.bit_or("tcp_flags").alias("tcp_flags"), F.avg(gap).alias("iat_mean"))
 

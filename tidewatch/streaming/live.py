@@ -5,11 +5,15 @@ Windows are aligned to a configured start and not to the first event; the waterm
 
 from __future__ import annotations
 
+import contextlib
+import math
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..functions.scalars import bit
 from ..sources.readers import SENSOR, sensor_rows
@@ -40,23 +44,54 @@ def windows(events: DataFrame, width: str, stride: str | None = None, late: str
 SCORED = "scenario long, start timestamp, bytes double, z double, held int"
 
 
-def score_history(states: DataFrame, keep: int = 3) -> DataFrame:
-    """Each new window's byte score against the scenario's last ``keep`` windows, held as state."""
+def history_score(value: float, held: list[float], keep: int) -> float:
+    """z of a value against the last ``keep`` ones; 0 until there are so many, 6 where they don't vary and the value differs."""
+    if len(held) < keep:
+        return 0.0
+    mean = sum(held) / len(held)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in held) / len(held))
+    return (value - mean) / spread if spread else 0.0 if value == mean else 6.0
+
+
+class HistoryScorer(StatefulProcessor):
+    """The last windows' bytes of each scenario as list state, which expires ``ttl`` milliseconds of event time after the newest."""
+
+    def __init__(self, keep: int, ttl: int) -> None:
+        self.keep, self.ttl = keep, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getListState("held", "bytes double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held = [x[0] for x in self.held.get()] if self.held.exists() else []
+        newest = 0
+        for r in sorted(rows, key=lambda x: x["start"]):  # the windows that one trigger closed
+            newest = int(r["start"].timestamp() * 1000)
+            yield Row(scenario=key[0], start=r["start"], bytes=r["bytes"], z=history_score(r["bytes"], held, self.keep), held=len(held))
+            held = [*held, r["bytes"]][-self.keep :]
+        self.held.put([(x,) for x in held])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(newest + self.ttl)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values("start")
-        out = []
-        for r in rows.itertuples():
-            spread = float(pd.Series(held).std(ddof=0)) if len(held) >= keep else 0.0
-            mean = sum(held) / len(held) if held else 0.0
-            z = 0.0 if len(held) < keep else (r.bytes - mean) / spread if spread else (0.0 if r.bytes == mean else 6.0)
-            out.append((key[0], r.start, r.bytes, z, len(held)))
-            held = (held + [float(r.bytes)])[-keep:]
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["scenario", "start", "bytes", "z", "held"])
 
-    return states.groupBy("scenario").applyInPandasWithState(step, SCORED, "held array<double>", "append", "NoTimeout")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def score_history(states: DataFrame, keep: int = 3, ttl_days: int = 30, late: str = "0 seconds") -> DataFrame:
+    """Each new window's byte score against the scenario's last ``keep`` windows, held as state until ``ttl_days`` without one.
+
+    Sets the state store that list state needs, for queries of this session that start from now on.
+    """
+    states.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return states.withWatermark("start", late).groupBy("scenario").transformWithState(HistoryScorer(keep, ttl_days * 86_400_000), SCORED, "Append", "EventTime")
 
 
 FLOW = "lo string, hi string, protocol int, start long, end long, packets long, bytes double"
@@ -135,6 +170,49 @@ def drain(stream: DataFrame, name: str, checkpoint: str, marker: tuple | None =
     return stream.sparkSession.read.schema(stream.schema).parquet(rows)
 
 
-def status(states: DataFrame, threshold: float) -> DataFrame:
-    """Snapshot of a sink of scored windows: windows, events, peak and whether any is over the threshold."""
-    return states.groupBy("scenario").agg(F.count("*").alias("windows"), F.max("z").alias("peak"), (F.max("z") >= threshold).alias("alert"))
+class Counts(StreamingQueryListener):
+    """Rows that the session's queries have read, and groups of late rows that the watermark dropped, by query.
+
+    A late row is dropped after the partial aggregation of its trigger, so rows of one window and scenario that come late
+    together count once.
+    """
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.dropped: dict[str, int] = {}
+        self.running: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.running.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p, name = event.progress, str(event.progress.id)
+        self.seen[name] = self.seen.get(name, 0) + p.numInputRows
+        self.dropped[name] = self.dropped.get(name, 0) + sum(x.numRowsDroppedByWatermark for x in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.running.discard(str(event.runId))
+
+
+@contextlib.contextmanager
+def counting(spark: SparkSession, patience: float = 30.0):
+    """Counts of the queries that run inside; complete when the block has ended."""
+    counts = Counts()
+    spark.streams.addListener(counts)
+    try:
+        yield counts
+        end = time.time() + patience
+        while counts.running and time.time() < end:  # events of the listener come a little later
+            time.sleep(0.05)
+    finally:
+        spark.streams.removeListener(counts)
+
+
+def status(states: DataFrame, threshold: float, kept: int | None = None) -> DataFrame:
+    """Snapshot of a sink of scored windows: windows, events, peak, whether any is over the threshold, and the windows beyond the ``kept`` newest."""
+    n = F.count("*")
+    evicted = F.greatest(n - kept, F.lit(0)) if kept is not None else F.lit(0)
+    return states.groupBy("scenario").agg(n.alias("windows"), F.max("z").alias("peak"), (F.max("z") >= threshold).alias("alert"), evicted.cast("long").alias("evicted"))
