@@ -59,26 +59,44 @@ def test_folds_equal_numpy(table):
         assert got[name]["roc_auc"] == pytest.approx(area(score, y[test]), abs=5e-3)
 
 
-def test_feature_budgets_equal_least_squares(table):
+def test_feature_budgets_equal_least_squares(spark, table):
+    from tidewatch.operators import scores
+
     rows, x, y = table
     train = np.arange(400) % 4 < 3
     products = experiments.Products(rows, FEATURES, F.col("scenario") < 3)
 
-    def brier(chosen):
+    def errors(chosen):
         z = np.column_stack((x[:, chosen], np.ones(400)))
         beta = np.linalg.solve(z[train].T @ z[train] + np.diag([*[1.0] * len(chosen), 1e-9]), z[train].T @ y[train])
-        return ((z[~train] @ beta - y[~train]) ** 2).mean()
+        return (z @ beta - y) ** 2
 
-    assert products.brier(FEATURES) == pytest.approx(brier([0, 1, 2]))
-    steps = experiments.forward_selection(products, 3)
+    assert products.brier(FEATURES) == pytest.approx(errors([0, 1, 2])[~train].mean())
     chosen = []
-    for step, feature, value in steps:
-        options = {FEATURES[i]: brier([*chosen, i]) for i in range(3) if i not in chosen}
+    for _, feature, value in experiments.forward_selection(products, 3):  # ranked on the training rows alone
+        options = {FEATURES[i]: errors([*chosen, i])[train].mean() for i in range(3) if i not in chosen}
         assert feature == min(options, key=options.get) and value == pytest.approx(options[feature])
         chosen.append(FEATURES.index(feature))
-    for feature, value, loss, advice in experiments.ablation_curve(products):
-        i = FEATURES.index(feature)
-        assert value == pytest.approx(brier([j for j in range(3) if j != i])) and (advice == "keep") == (loss > 1e-4)
+    subsets = {"one": ["a"], "two": ["a", "b"], "all": FEATURES}
+    numbered = rows.withColumn("id", F.col("idx"))
+    got = {r["subset"]: r for r in experiments.ablation_curve(numbered, products, subsets, F.col("scenario") >= 3, draws=300).collect()}
+    held = np.flatnonzero(~train)
+    weights = scores.poisson_weights(held, 300)
+    for name, features in subsets.items():
+        d = (errors([FEATURES.index(f) for f in features]) - errors([0, 1, 2]))[held]
+        means = (weights * d[:, None]).sum(axis=0) / weights.sum(axis=0)
+        low, high = np.quantile(means, [0.025, 0.975])
+        r = got[name]
+        assert (r["low"], r["high"], r["loss_from_full"]) == pytest.approx((low, high, d.mean()), abs=1e-9)
+        assert r["indistinguishable"] == (low <= 1e-12 and high >= -1e-12) and r["n_features"] == len(features) and r["cost"] == 2.0
+    fine = [n for n in ("one", "two", "all") if got[n]["indistinguishable"]]
+    assert [n for n in got if got[n]["recommended"]] == fine[:1]
+
+
+def test_tiers_and_costs(spark):
+    rows = [("s", f) for f in ("bytes_mean", "iat_mean", "ttl_mean")] + [("t", "bytes_sum"), ("u", "dst_port_count"), ("u", "total_bytes")]
+    got = {r["subset"]: (r["n_features"], r["cost"], r["tiers"]) for r in experiments.subset_costs(spark.createDataFrame(rows, "subset string, feature string")).collect()}
+    assert got == {"s": (3, 5.0, "flow_window,flow_per_flow,packet"), "t": (1, 2.0, "flow_window"), "u": (2, 3.5, "flow_window,flow_per_flow")}
 
 
 def test_label_budgets(spark, table):

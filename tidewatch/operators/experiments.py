@@ -91,30 +91,74 @@ class Products:
             gram = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])
             self.sums[part] = (gram, np.array([r[f"t{i}"] for i in range(size)]), r["yy"], r["n"])
 
-    def brier(self, chosen: list[str]) -> float:
-        """Held-out Brier score of the ridge fit on the chosen features."""
-        at = [self.features.index(f) for f in chosen] + [len(self.features)]
+    def fit(self, chosen: list[str]) -> np.ndarray:
+        """Weights of the chosen features and the constant, by the training rows."""
+        at = self.places(chosen)
         gram, target, _, _ = self.sums[True]
-        weights = np.linalg.solve(gram[np.ix_(at, at)] + self.ridge * np.diag([*[1.0] * len(chosen), 1e-9]), target[at])
-        gram, target, yy, n = self.sums[False]
+        return np.linalg.solve(gram[np.ix_(at, at)] + self.ridge * np.diag([*[1.0] * len(chosen), 1e-9]), target[at])
+
+    def places(self, chosen: list[str]) -> list[int]:
+        return [self.features.index(f) for f in chosen] + [len(self.features)]
+
+    def brier(self, chosen: list[str], training: bool = False) -> float:
+        """Brier score of the ridge fit on the chosen features, of the held-out or the training rows."""
+        at, weights = self.places(chosen), self.fit(chosen)
+        gram, target, yy, n = self.sums[training]
         return float((yy - 2 * weights @ target[at] + weights @ gram[np.ix_(at, at)] @ weights) / n)
 
 
 def forward_selection(products: Products, most: int) -> list[tuple[int, str, float]]:
-    """(step, feature, brier): the feature that lowers the held-out score most is taken next, the first by name on ties."""
+    """(step, feature, brier): the feature that lowers the training rows' score most is taken next, the first in the features' order on ties.
+
+    The held-out rows take no part, so that they can judge the subsets later.
+    """
     chosen, out = [], []
-    for step in range(1, most + 1):
-        best = min((round(products.brier([*chosen, f]), 12), f) for f in sorted(set(products.features) - set(chosen)))
-        chosen.append(best[1])
-        out.append((step, best[1], best[0]))
+    for step in range(1, min(most, len(products.features)) + 1):
+        best = min((round(products.brier([*chosen, f], training=True), 12), i, f) for i, f in enumerate(products.features) if f not in chosen)
+        chosen.append(best[2])
+        out.append((step, best[2], best[0]))
     return out
 
 
-def ablation_curve(products: Products, tolerance: float = 1e-4) -> list[tuple[str, float, float, str]]:
-    """(feature, brier, loss, advice): the score without each feature, what that costs, and whether to keep it."""
+#: Collection tiers from the cheapest on, and the prefixes of the features that need more than the first.
+TIERS = ("flow_window", "flow_per_flow", "packet")
+PACKET_PREFIXES = ("ttl", "frag", "retransmission", "syn_count", "ack_count", "rst_count", "tcp_flags", "payload_size", "window_size", "ip_flags")
+PER_FLOW_PREFIXES = ("iat", "src_port", "dst_port", "flow_duration", "bidirectional", "flow_event", "source_port")
+
+
+def tier(name: Column) -> Column:
+    """The collection tier that a feature of this name needs; the cheapest for a name with no known prefix."""
+    begins = lambda prefixes: F.lower(name).rlike("^(" + "|".join(prefixes) + ")")
+    return F.when(begins(PACKET_PREFIXES), "packet").when(begins(PER_FLOW_PREFIXES), "flow_per_flow").otherwise("flow_window")
+
+
+def subset_costs(subsets: DataFrame) -> DataFrame:
+    """(subset, n_features, cost, tiers) of rows (subset, feature): the highest tier plus the mean one, counted from 1."""
+    rank = F.array_position(F.array(*[F.lit(t) for t in TIERS]), tier(F.col("feature")))
+    out = subsets.groupBy("subset").agg(F.count("*").alias("n_features"), (F.max(rank) + F.avg(rank)).alias("cost"), F.array_sort(F.collect_set(rank)).alias("ranks"))
+    return out.select("subset", "n_features", "cost", F.array_join(F.transform("ranks", lambda r: F.element_at(F.array(*[F.lit(t) for t in TIERS]), r.cast("int"))), ",").alias("tiers"))
+
+
+def ablation_curve(rows: DataFrame, products: Products, subsets: dict[str, list[str]], held: Column, draws: int = 2000) -> DataFrame:
+    """Per subset: its size, cost, held-out Brier score, loss from the full set with a paired interval, and whether it is the one to recommend.
+
+    A subset is indistinguishable where the interval holds 0; of these the one of the fewest features, then the least cost,
+    is recommended, and none where there is none. rows: id (a number), label and features. All subsets are judged in one
+    pass on the same replicates.
+    """
+    spark = rows.sparkSession
+    value = lambda f: F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+
+    def error(chosen: list[str]) -> Column:
+        weights = products.fit(chosen).tolist()
+        fitted = sum((value(f) * w for f, w in zip(chosen, weights, strict=False)), F.lit(weights[-1]))
+        return F.pow(fitted - F.col("label").cast("double"), 2)
+
+    bounds = scores.paired_bootstraps(rows.where(held), {n: error(c) for n, c in subsets.items()}, error(products.features), draws)
     full = products.brier(products.features)
-    out = []
-    for f in products.features:
-        without = products.brier([x for x in products.features if x != f])
-        out.append((f, without, without - full, "keep" if without - full > tolerance else "drop"))
-    return out
+    known = spark.createDataFrame([(n, products.brier(c), products.brier(c) - full) for n, c in subsets.items()], "subset string, brier double, loss_from_full double")
+    costs = subset_costs(spark.createDataFrame([(n, f) for n, c in subsets.items() for f in c], "subset string, feature string"))
+    out = known.join(costs, "subset").join(bounds.withColumnRenamed("name", "subset"), "subset")
+    out = out.withColumn("indistinguishable", (F.col("low") <= 0) & (F.col("high") >= 0))
+    best = out.where("indistinguishable").agg(F.min_by("subset", F.struct("n_features", "cost", "subset")).alias("best"))  # one row
+    return out.crossJoin(F.broadcast(best)).withColumn("recommended", F.coalesce(F.col("subset") == F.col("best"), F.lit(False))).drop("best")

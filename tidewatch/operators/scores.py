@@ -163,15 +163,20 @@ def coverage(rows: DataFrame, nominal: float, group: list[str]) -> DataFrame:
     return out.withColumn("ok", F.col("coverage") >= nominal - slack)
 
 
+def poisson_weights(ids: np.ndarray, draws: int, seed: int = 0) -> np.ndarray:
+    """rows x draws: a hash-drawn Poisson(1) weight of each row in each replicate."""
+    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(draws, dtype=np.uint64) + np.uint64(seed * draws + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(POISSON, (x >> np.uint64(40)) / 2.0**24, side="right")
+
+
 def _replicates(draws: int, seed: int):
     def run(batches):
         total, weights = np.zeros(draws), np.zeros(draws)
         for batch in batches:
             ids, d = batch.column("id").to_numpy(), batch.column("d").to_numpy()
             for at in range(0, len(ids), 4096):
-                x = ids[at : at + 4096].astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(draws, dtype=np.uint64) + np.uint64(seed * draws + 1)) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                w = np.searchsorted(POISSON, (x >> np.uint64(40)) / 2.0**24, side="right")
+                w = poisson_weights(ids[at : at + 4096], draws, seed)
                 total += d[at : at + 4096] @ w
                 weights += w.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(total), pa.array(weights)], ["j", "t", "w"])
@@ -179,6 +184,34 @@ def _replicates(draws: int, seed: int):
     return run
 
 
+def _many_replicates(names: list[str], draws: int, seed: int):
+    def run(batches):
+        total, weights = np.zeros((draws, len(names))), np.zeros(draws)
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            d = np.stack([batch.column(f"d{i}").to_numpy() for i in range(len(names))], axis=1) if len(ids) else np.zeros((0, len(names)))
+            for at in range(0, len(ids), 512):
+                w = poisson_weights(ids[at : at + 512], draws, seed)
+                total += w.T @ d[at : at + 512]
+                weights += w.sum(axis=0)
+        for i, name in enumerate(names):
+            yield pa.RecordBatch.from_arrays([pa.array([name] * draws), pa.array(np.arange(draws)), pa.array(total[:, i].copy()), pa.array(weights)], ["name", "j", "t", "w"])
+
+    return run
+
+
+def paired_bootstraps(rows: DataFrame, losses: dict[str, Column], reference: Column, draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(name, low, high): bounds of the mean of each loss less the reference's, on the same replicates of the same rows; rows: id (a number).
+
+    One pass: each task folds its rows into names x draws sums, which are all that is exchanged.
+    """
+    names = list(losses)
+    each = rows.select(F.col("id").cast("long").alias("id"), *[(losses[n] - reference).cast("double").alias(f"d{i}") for i, n in enumerate(names)])
+    means = each.mapInArrow(_many_replicates(names, draws, seed), "name string, j long, t double, w double").groupBy("name", "j").agg((F.sum("t") / F.sum("w")).alias("m"))
+    tail = (1 - level) / 2
+    return means.groupBy("name").agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
+
+
 def bootstrap(rows: DataFrame, a: Column, b: Column, draws: int, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Confidence bounds of the mean paired difference by Poisson-weighted resampling.
 

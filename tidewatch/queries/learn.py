@@ -76,11 +76,17 @@ def products(spark, sf_dir):
 
 
 def k34(spark, sf_dir):
+    """Features in the order in which they lower the training rows' score."""
     return rounded(spark.createDataFrame(X.forward_selection(products(spark, sf_dir), 4), "step int, feature string, brier double"))
 
 
 def k32(spark, sf_dir):
-    return rounded(spark.createDataFrame(X.ablation_curve(products(spark, sf_dir)), "feature string, brier double, loss double, advice string"))
+    """The nested subsets of the forward selection against all features, with intervals and the recommended one."""
+    rows = experiment_rows(spark, sf_dir).withColumn("id", F.col("scenario") * (1 << 32) + F.col("idx"))
+    known = X.Products(rows, FEATURES, F.col("scenario") < 3)
+    order = [f for _, f, _ in X.forward_selection(known, len(FEATURES) - 1)]
+    subsets = {f"first_{n}": order[:n] for n in range(1, len(order) + 1)}
+    return rounded(X.ablation_curve(rows, known, subsets, F.col("scenario") >= 3))
 
 
 QUERIES |= {"k32_ablation_curve": k32, "k34_forward_selection": k34, "k35_label_efficiency": k35}

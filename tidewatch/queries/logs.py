@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..events import EVENTS_SQL, events
 from ..functions import scalars as S
+from ..operators.experiments import PACKET_PREFIXES, PER_FLOW_PREFIXES, tier
 from ..operators import logs as L
 
 from ..sources import readers as R
@@ -217,21 +218,18 @@ def g1(spark, sf_dir):
     return R.union_events(rows.where("event_type <> 'view'").select("event_id", F.lit("a").alias("part"), "bytes"), rows.where("event_type = 'view'").select("event_id", F.lit("b").alias("part"), "domain_length"))
 
 
-TIERS = {"packet": ("tcp_flags", "flag_", "ttl", "frag", "retransmission", "syn_count", "ack_count", "fin_count", "rst_count", "urg_count", "payload_size"), "dns": ("domain_length", "tunnel"), "auth": ("failed_auth",)}
+TIER_SQL = "CASE WHEN regexp_matches(lower(name), '^(" + "|".join(PACKET_PREFIXES) + ")') THEN 'packet' WHEN regexp_matches(lower(name), '^(" + "|".join(PER_FLOW_PREFIXES) + ")') THEN 'flow_per_flow' ELSE 'flow_window' END"
 
 
-@query("b11_tier_audit")
+@query("b11_tier_audit", EV + f""", t AS (SELECT unnest(['bytes', 'duration', 'ttl', 'payload_size', 'retransmission', 'failed_auth', 'dport']) AS field, unnest(['bytes_mean', 'flow_duration_mean', 'ttl_mean', 'payload_size_mean', 'retransmission_rate', 'failed_auth_count', 'dst_port_count']) AS name),
+v AS (SELECT scenario, unnest([bytes::DOUBLE, duration::DOUBLE, ttl::DOUBLE, payload_size::DOUBLE, retransmission::DOUBLE, failed_auth::DOUBLE, dport::DOUBLE]) AS value, unnest(['bytes', 'duration', 'ttl', 'payload_size', 'retransmission', 'failed_auth', 'dport']) AS field FROM ev),
+c AS (SELECT scenario, {TIER_SQL} AS tier, count(DISTINCT name) AS features, count(*) AS "values" FROM v JOIN t USING (field) WHERE value IS NOT NULL GROUP BY ALL) SELECT * FROM c""")
 def b11(spark, sf_dir):
-    """Tiers of the columns of the window features and states;"""
-    from .windows import QUERIES as features
-
-    tables = [state_table(spark, sf_dir), *(features[n](spark, sf_dir) for n in ("d1_window_features", "d10_flag_sums", "d11_flag_ratios", "d13_ports", "d16_fragments", "d17_retransmissions", "d18_arrival_gaps"))]
-    names = sorted({c for t in tables for c in t.columns} - {"scenario", "k", "idx"})
-    tier = F.lit("flow")  # the cheapest, for any other name
-    for t, prefixes in TIERS.items():
-        for prefix in prefixes:
-            tier = F.when(F.col("name").startswith(prefix), t).otherwise(tier)
-    return spark.createDataFrame([(n,) for n in names], "name string").groupBy(tier.alias("tier")).agg(F.count("*").alias("features"))
+    """Features and values of each collection tier that each scenario's events hold."""
+    names = {"bytes": "bytes_mean", "duration": "flow_duration_mean", "ttl": "ttl_mean", "payload_size": "payload_size_mean", "retransmission": "retransmission_rate", "failed_auth": "failed_auth_count", "dport": "dst_port_count"}
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f).cast("double").alias("value")) for f, n in names.items()])
+    long = events(spark, sf_dir).select("scenario", F.explode(each).alias("x")).where("x.value IS NOT NULL")
+    return long.groupBy("scenario", tier(F.col("x.name")).alias("tier")).agg(F.count_distinct("x.name").alias("features"), F.count("*").alias("values"))
 
 
 @query("a22_alert_payloads", f"""WITH {FOUND} SELECT scenario || ':' || k || ':' || detector AS key, '{{"scenario":' || scenario || ',"k":' || k || ',"detector":"' || detector || '","attack_type":"' || attack_type || '","probability":' || probability || ',"severity":"' || severity || '"}}' AS payload FROM fd WHERE is_alert AND severity IN ('high', 'critical')""")

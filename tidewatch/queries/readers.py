@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..events import EVENTS_SQL, events
@@ -277,6 +278,27 @@ def j6(spark, sf_dir):
     return C.paths(nodes, links, nodes.where("id = '1'")).select("bundle", F.array_join("path", ">").alias("path"))
 
 
+@query("j6_bundle_paths", """WITH RECURSIVE n AS (SELECT l_orderkey AS bundle, l_linenumber AS id, max(CASE WHEN l_returnflag <> 'R' THEN 'T' || l_partkey % 50 END) AS technique, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem GROUP BY l_orderkey, l_linenumber),
+w AS (SELECT bundle, id, m, coalesce(technique, '') AS path FROM n WHERE id = 1 UNION ALL SELECT w.bundle, n.id, n.m, w.path || CASE WHEN w.path <> '' AND n.technique IS NOT NULL THEN '>' ELSE '' END || coalesce(n.technique, '') FROM w JOIN n ON n.bundle = w.bundle AND n.id IN (w.id + 1, w.id + 2))
+SELECT bundle, path, count(*) AS ways FROM w WHERE id = m AND path <> '' GROUP BY bundle, path""")
+def j6_bundles(spark, sf_dir):
+    """Orders as flow bundles: a line is an action (returned ones without a technique), behind it a condition that leads to the next line or past it, or back to the first."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("bundle"), F.col("l_linenumber").alias("n")).agg(F.max(F.when(F.col("l_returnflag") != "R", F.concat(F.lit("T"), F.col("l_partkey") % 50))).alias("technique"))
+    lines = lines.withColumn("m", F.max("n").over(Window.partitionBy("bundle")))
+    name = lambda kind, k: F.concat(F.lit(kind), k.cast("string"))
+    n, none = F.col("n"), F.array().cast("array<string>")
+    refs = lambda **r: [r.get(k, F.lit(None).cast("array<string>")).alias(k) for k in C.REFS]
+    node = lambda i, kind, technique, **r: F.struct(i.alias("id"), F.lit(kind).alias("type"), technique.alias("technique_id"), *refs(**r))
+    empty = F.lit(None).cast("string")
+    last = n >= F.col("m")
+    action = node(name("a", n), "attack-action", F.col("technique"), effect_refs=F.when(last, none).otherwise(F.array(name("c", n))))
+    condition = node(name("c", n), "attack-condition", empty, on_true_refs=F.array(name("a", n + 1)), on_false_refs=F.array(name("a", n + 2), F.lit("a1")))
+    flow = node(F.lit("f"), "attack-flow", empty, start_refs=F.array(F.lit("a1")))
+    objects = lines.groupBy("bundle").agg(F.flatten(F.collect_list(F.array(action, condition))).alias("o"))
+    bundles = objects.select("bundle", F.to_json(F.struct(F.concat(F.array(flow), "o").alias("objects"))).alias("json"))
+    return C.technique_paths(bundles).groupBy("bundle", F.array_join("techniques", ">").alias("path")).agg(F.count("*").alias("ways"))
+
+
 @query("m8_flow_stream", EV + """, k AS (SELECT *, least(src || ':0', dst || ':' || dport) AS lo, greatest(src || ':0', dst || ':' || dport) AS hi FROM ev),
 n AS (SELECT *, CASE WHEN lag(us) OVER w IS NULL OR ((tcp_flags & 2) <> 0 AND (tcp_flags & 16) = 0) OR (lag(tcp_flags) OVER w & 5) <> 0 OR us - lag(us) OVER w > 86400000000 THEN 1 ELSE 0 END AS isnew FROM k WINDOW w AS (PARTITION BY lo, hi, protocol ORDER BY us)),
 f AS (SELECT *, sum(isnew) OVER (PARTITION BY lo, hi, protocol ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS flow FROM n)
