@@ -119,6 +119,39 @@ def label_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(dashed, r"\s*-\s*", " - "), r"\s+", " ")
 
 
-def canonical_digest(*columns: str) -> Column:
-    """SHA-256 of the JSON text of the columns in name order."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+# Characters that JSON writes in a short form.
+SHORT = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string in ASCII: other characters as \\u and four lower-case digits, two of them beyond 16 bits; null as null."""
+
+    def one(c: Column) -> Column:
+        units = F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        out = F.when(c.between(" ", "~"), c).otherwise(units)
+        for plain, short in SHORT.items():
+            out = F.when(c == plain, F.lit(short)).otherwise(out)
+        return out
+
+    # most texts hold plain characters only and are taken as they are
+    odd = text.rlike(r'[^ -~]|["\\]')
+    body = F.when(odd, F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), body, F.lit('"')))
+
+
+def canonical_json(fields: dict[str, tuple[Column, str]]) -> Column:
+    """The JSON object of named (column, type) values with sorted names and no blanks; nulls are written.
+
+    Types: string, or number and boolean, which are written as Spark prints them (whole numbers and booleans as JSON has them).
+    """
+    parts = []
+    for name in sorted(fields):
+        column, kind = fields[name]
+        value = json_string(column) if kind == "string" else F.coalesce(column.cast("string"), F.lit("null"))
+        parts += [F.lit(("," if parts else "{") + f'"{name}":'), value]
+    return F.concat(*parts, F.lit("}"))
+
+
+def canonical_digest(fields: dict[str, tuple[Column, str]]) -> Column:
+    """SHA-256 of the canonical JSON of named values."""
+    return F.sha2(canonical_json(fields), 256)

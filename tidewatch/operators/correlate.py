@@ -83,7 +83,13 @@ def incidents(chained: DataFrame, key: str = "scenario") -> DataFrame:
     bonus = F.when(F.col("findings") > 1, F.least(F.lit(0.15), 0.03 * (F.col("types") - 1))).otherwise(0.0)
     score = F.least(F.lit(1.0), F.bround(base, 3) + bonus)
     rows = rows.withColumn("risk", F.bround(score, 3)).withColumn("level", risk_level(score)).drop("peak", "worst")
-    return rows.join(progression(chained, ids), ids)
+    return rows.join(progression(chained, ids), ids).withColumn("incident_id", incident_id(F.col("first_seen"), key))
+
+
+def incident_id(first_seen: Column, key: str, prefix: str = "INC") -> Column:
+    """The name of a chain: its place among the key's chains in time, from 1, with three digits at least."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(first_seen, "chain")).cast("string")
+    return F.concat(F.lit(prefix + "-"), F.when(F.length(place) < 3, F.lpad(place, 3, "0")).otherwise(place))
 
 
 def fused_risk(probability: Column, severity: Column, criticality: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import canonical_digest
+
 # Which status may follow which, and hours to resolve by risk.
 NEXT_STATUS = {"open": ["in_progress", "closed"], "in_progress": ["resolved", "open"], "resolved": ["closed", "open"], "closed": []}
 DUE_HOURS = {"critical": 4, "high": 24, "medium": 72, "low": 168}
@@ -24,16 +26,39 @@ def transitions(rows: DataFrame, key: str, order: str, status: str, rules: dict[
     return rows.withColumn("before", before).withColumn("allowed", F.col("before").isNull() | ok)
 
 
-def record_hash(previous: Column, payload: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.coalesce(previous, F.lit("")), payload), 256)
+#: Fixed value: the previous hash of a log's first record.
+GENESIS = "0" * 64
+
+
+def record_hash(fields: dict[str, tuple[Column, str]]) -> Column:
+    """The digest of a record: of all its fields, the previous record's hash among them, as canonical JSON."""
+    return canonical_digest(fields)
 
 
-def verify_chain(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """rows (payload, previous_hash, record_hash) with the faults of each record; links are checked by a lag in each log."""
+def verify_chain(rows: DataFrame, key: str, order: str, fields: dict[str, tuple[Column, str]]) -> DataFrame:
+    """rows (the fields, previous_hash and record_hash) with their place in the log (from 1) and the faults of each record.
+
+    A record's link is to the hash that its predecessor bears, so one altered record makes one bad hash and, if its hash was
+    altered too, one bad link.
+    """
     over = Window.partitionBy(key).orderBy(order)
-    linked = F.col("previous_hash").eqNullSafe(F.lag("record_hash").over(over))
-    sound = F.col("record_hash") == record_hash(F.col("previous_hash"), F.col("payload"))
-    return rows.withColumns({"bad_hash": ~F.coalesce(sound, F.lit(False)), "bad_link": ~linked})
+    sound = F.col("record_hash") == record_hash(fields)
+    expected = F.coalesce(F.lag("record_hash").over(over), F.when(F.row_number().over(over) == 1, F.lit(GENESIS)))
+    linked = F.col("previous_hash").eqNullSafe(expected)
+    return rows.withColumns({"place": F.row_number().over(over).cast("long"), "bad_hash": ~F.coalesce(sound, F.lit(False)), "bad_link": ~linked})
+
+
+def ledger_errors(verified: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, place, error): a row for each fault of a verified log; ``name`` is the column that names a record."""
+    text = lambda what: F.concat(F.lit("record "), F.col("place").cast("string"), F.lit(" ("), F.col(name).cast("string"), F.lit("): " + what))
+    faults = F.array_compact(F.array(F.when(F.col("bad_hash"), text("record hash mismatch")), F.when(F.col("bad_link"), text("broken previous-hash link"))))
+    return verified.select(key, "place", F.explode(faults).alias("error"))
+
+
+def ledger_summary(verified: DataFrame, key: str) -> DataFrame:
+    """Per log: records checked, errors, and whether it is valid."""
+    errors = F.count_if("bad_hash") + F.count_if("bad_link")
+    return verified.groupBy(key).agg(F.count("*").alias("records_checked"), errors.alias("errors"), (errors == 0).alias("valid"))
 
 
 def sla_report(cases: DataFrame, now: Column) -> DataFrame:

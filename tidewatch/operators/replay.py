@@ -154,3 +154,18 @@ def timeline(rows: DataFrame, horizons: int) -> DataFrame:
 
     long = rows.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizons))))
     return long.withColumn("forecast", decay(F.col("p"), F.col("horizon")))
+
+
+def supporting(states: DataFrame, entities: DataFrame, back: int = 3, most: int = 10) -> DataFrame:
+    """states (scenario, idx) with the first ``most`` distinct entities of the last ``back`` states, by state, then name.
+
+    Of each state at most back x most entities can matter (those of the earlier states come first, and may be its own too), so
+    arrays are bounded however many hosts a window has.
+    """
+    order = Window.partitionBy("scenario", "idx").orderBy("entity")
+    own = entities.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= back * most)
+    own = own.groupBy("scenario", "idx").agg(F.array_sort(F.collect_list("entity")).alias("own"))
+    over = by_state().rowsBetween(-(back - 1), 0)
+    none = F.array().cast("array<string>")
+    rows = states.join(own, ["scenario", "idx"], "left").withColumn("own", F.coalesce("own", none))
+    return rows.select("scenario", "idx", F.slice(F.array_distinct(F.flatten(F.collect_list("own").over(over))), 1, most).alias("entities"))

@@ -381,7 +381,7 @@ LEVEL = "CASE WHEN {0} >= 0.8 THEN 'critical' WHEN {0} >= 0.6 THEN 'high' WHEN {
 @query("j1_incidents", f"""WITH {CHAINS}, {PROGRESS}, g AS (SELECT scenario, chain, min("start") AS first_seen, max("end") AS last_seen, count(*) AS findings, count(DISTINCT attack_type) AS types, max(criticality) AS worst FROM ch GROUP BY scenario, chain),
 pk AS (SELECT scenario, chain, probability, severity FROM (SELECT *, row_number() OVER (PARTITION BY scenario, chain ORDER BY probability DESC, attack_type DESC) AS rn FROM ch) WHERE rn = 1),
 sc AS (SELECT g.*, least(1, round_even(least(1, 0.5E0 * probability + 0.3E0 * coalesce(worst, 0.5E0) + 0.2E0 * {SEV}), 3) + CASE WHEN findings > 1 THEN least(0.15E0, 0.03E0 * (types - 1)) ELSE 0 END) AS score FROM g JOIN pk USING (scenario, chain))
-SELECT scenario, chain, first_seen, last_seen, findings, types, round_even(score, 3) AS risk, {LEVEL.format('score')} AS level, array_to_string(progression, '>') AS progression FROM sc JOIN pg USING (scenario, chain)""")
+SELECT scenario, chain, first_seen, last_seen, findings, types, round_even(score, 3) AS risk, {LEVEL.format('score')} AS level, array_to_string(progression, '>') AS progression, 'INC-' || printf('%03d', row_number() OVER (PARTITION BY scenario ORDER BY first_seen, chain)) AS incident_id FROM sc JOIN pg USING (scenario, chain)""")
 def j1(spark, sf_dir):
     return C.incidents(chained(spark, sf_dir)).withColumn("progression", F.array_join("progression", ">"))
 

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..events import EVENTS_SQL, events
 from ..functions import scalars as S
+from ..operators import replay as R2
+from ..operators import windows as W
 from ..operators.experiments import PACKET_PREFIXES, PER_FLOW_PREFIXES, tier
 from ..operators import logs as L
 
 from ..sources import readers as R
 from ..sources.sinks import alert_payloads
 from .detect import FOUND, found, state_table
-from .windows import rounded
+from .windows import EDGES, edge_table, members, rounded
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -59,12 +61,39 @@ def l4(spark, sf_dir):
     return L.registry_state(log, "version", "l_linenumber").where("status is not null")
 
 
-@query("l1_hash_chain", "WITH a AS (SELECT conv_id, turn, text, sha256(coalesce(CASE WHEN turn % 5 = 3 THEN 'x' END, '') || '|' || text) AS record_hash FROM conversations), b AS (SELECT *, CASE WHEN turn % 5 = 3 THEN 'x' END AS previous_hash, lag(record_hash) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM a) SELECT conv_id, turn, false AS bad_hash, previous_hash IS DISTINCT FROM prev AS bad_link FROM b")
+JSON_CHAR = "CASE c WHEN '\"' THEN '\\\\\"' WHEN '\\\\' THEN '\\\\\\\\' WHEN chr(10) THEN '\\\\n' WHEN chr(13) THEN '\\\\r' WHEN chr(9) THEN '\\\\t' ELSE CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN c ELSE printf('\\\\u%04x', unicode(c)) END END".replace("\\\\", "\\")
+JSON_TEXT = f"CASE WHEN {{0}} IS NULL THEN 'null' ELSE '\"' || coalesce(array_to_string(list_transform(string_split({{0}}, ''), lambda c: {JSON_CHAR}), ''), '') || '\"' END"
+#: Conversations as logs: every fifth turn's record was altered behind its hash, every seventh has another link.
+LEDGER = f"""WITH a AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, CASE WHEN turn % 7 = 6 THEN 'x' ELSE coalesce('h' || lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), repeat('0', 64)) END AS previous_hash, 'h' || turn AS own,
+  CASE WHEN turn % 5 = 4 THEN NULL ELSE role END AS seen_role FROM conversations),
+b AS (SELECT *, sha256('{{"previous_hash":"' || previous_hash || '","role":' || {JSON_TEXT.format('role')} || ',"text":' || {JSON_TEXT.format('text')} || ',"turn":' || turn || '}}') AS digest,
+  sha256('{{"previous_hash":"' || previous_hash || '","role":' || {JSON_TEXT.format('seen_role')} || ',"text":' || {JSON_TEXT.format('text')} || ',"turn":' || turn || '}}') AS again FROM a)"""
+
+
+def ledger(spark, sf_dir):
+    """The logs with their faults; record_hash is the digest of the record before it was altered."""
+    over = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.when(F.col("turn") % 7 == 6, F.lit("x")).otherwise(F.coalesce(F.concat(F.lit("h"), F.lag("turn").over(over).cast("string")), F.lit(L.GENESIS)))
+    rows = conversations(spark, sf_dir).select("conv_id", "turn", "role", "text").withColumn("previous_hash", before)
+    fields = lambda role: {"turn": (F.col("turn"), "number"), "role": (role, "string"), "text": (F.col("text"), "string"), "previous_hash": (F.col("previous_hash"), "string")}
+    rows = rows.withColumn("record_hash", L.record_hash(fields(F.col("role"))))
+    altered = rows.withColumn("role", F.when(F.col("turn") % 5 != 4, F.col("role")))
+    return L.verify_chain(altered, "conv_id", "turn", fields(F.col("role")))
+
+
+@query("l1_hash_chain", LEDGER + " SELECT conv_id, turn, place, digest AS record_hash, again <> digest AS bad_hash, previous_hash IS DISTINCT FROM coalesce(lag(digest) OVER (PARTITION BY conv_id ORDER BY turn), CASE WHEN place = 1 THEN repeat('0', 64) END) AS bad_link FROM b")
 def l1(spark, sf_dir):
-    previous = F.when(F.col("turn") % 5 == 3, F.lit("x"))
-    rows = conversations(spark, sf_dir).select("conv_id", "turn", F.col("text").alias("payload"), previous.alias("previous_hash"))
-    rows = rows.withColumn("record_hash", L.record_hash(F.col("previous_hash"), F.col("payload")))
-    return L.verify_chain(rows, "conv_id", "turn").select("conv_id", "turn", "bad_hash", "bad_link")
+    return ledger(spark, sf_dir).select("conv_id", "turn", "place", "record_hash", "bad_hash", "bad_link")
+
+
+@query("l1_ledger_errors", f"SELECT conv_id, place, 'record ' || place || ' (' || turn || '): ' || what AS error FROM ({ORACLE_SQL['l1_hash_chain']}), (SELECT unnest(['record hash mismatch', 'broken previous-hash link']) AS what) WHERE what LIKE 'record%' AND bad_hash OR what LIKE 'broken%' AND bad_link")
+def l1_errors(spark, sf_dir):
+    return L.ledger_errors(ledger(spark, sf_dir), "conv_id", "turn")
+
+
+@query("l1_ledger_summary", f"SELECT conv_id, count(*) AS records_checked, sum(bad_hash::INT + bad_link::INT)::BIGINT AS errors, NOT bool_or(bad_hash OR bad_link) AS valid FROM ({ORACLE_SQL['l1_hash_chain']}) GROUP BY conv_id")
+def l1_summary(spark, sf_dir):
+    return L.ledger_summary(ledger(spark, sf_dir), "conv_id")
 
 
 @query("e15_chain_links", "SELECT conv_id, turn, lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_hash FROM conversations")
@@ -72,9 +101,11 @@ def e15(spark, sf_dir):
     return conversations(spark, sf_dir).select("conv_id", "turn", F.lag(F.sha2("text", 256)).over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous_hash"))
 
 
-@query("h8_canonical_digest", "SELECT o_orderkey, sha256('{\"o_custkey\":' || o_custkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}') AS digest FROM orders")
+@query("h8_canonical_digest", f"WITH o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus || CASE WHEN o_orderkey % 3 = 1 THEN ' é\"' ELSE '' END END AS s FROM orders) SELECT o_orderkey, sha256('{{\"o_custkey\":' || o_custkey || ',\"o_orderstatus\":' || {JSON_TEXT.format('s')} || '}}') AS digest FROM o")
 def h8(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", S.canonical_digest("o_orderstatus", "o_custkey").alias("digest"))
+    """Digests of orders, with nulls and characters that JSON escapes."""
+    status = F.when(F.col("o_orderkey") % 3 == 0, None).otherwise(F.concat("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 1, F.lit(' é"')).otherwise(F.lit(""))))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", S.canonical_digest({"o_orderstatus": (status, "string"), "o_custkey": (F.col("o_custkey"), "number")}).alias("digest"))
 
 
 @query("l3_sla_report", EV + ", c AS (SELECT us AS opened, CASE level % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN event_id % 3 = 0 THEN 'resolved' ELSE 'open' END AS status FROM ev), n AS (SELECT max(opened) AS now FROM c), s AS (SELECT risk, CASE WHEN status = 'resolved' THEN 'resolved' WHEN opened + CASE risk WHEN 'critical' THEN 4 WHEN 'high' THEN 24 WHEN 'medium' THEN 72 ELSE 168 END * 3600000000 < now THEN 'breached' ELSE 'on_track' END AS state FROM c, n) SELECT risk, count(*) FILTER (state = 'on_track') AS on_track, count(*) FILTER (state = 'breached') AS breached, count(*) FILTER (state = 'resolved') AS resolved FROM s GROUP BY risk")
@@ -262,11 +293,14 @@ def a16_age(spark, sf_dir):
     return rounded(R.assemble_flows(rows, 7_200_000_000, 10_800_000_000).select("lo", "hi", "protocol", "flow", "start", "end", "packets", "bytes"))
 
 
-@query("f2_supporting_entities", EV + ", d AS (SELECT scenario, src, min(event_id) AS first FROM ev GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY first) AS rn FROM d) SELECT scenario, string_agg(src, ',' ORDER BY first) AS entities FROM r WHERE rn <= 10 GROUP BY scenario")
+@query("f2_supporting_entities", f"""WITH {EDGES}, en AS (SELECT DISTINCT scenario, k, unnest([src, dst]) AS entity FROM edge), ix AS (SELECT scenario, k, row_number() OVER (PARTITION BY scenario ORDER BY k) - 1 AS idx FROM (SELECT DISTINCT scenario, k FROM mem)),
+e AS (SELECT scenario, idx, entity FROM en JOIN ix USING (scenario, k)), p AS (SELECT a.scenario, a.idx, e.entity, min(e.idx) AS seen FROM ix a JOIN e ON e.scenario = a.scenario AND e.idx BETWEEN a.idx - 2 AND a.idx GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY scenario, idx ORDER BY seen, entity) AS rn FROM p) SELECT scenario, idx, string_agg(entity, ',' ORDER BY seen, entity) AS entities FROM r WHERE rn <= 10 GROUP BY scenario, idx""")
 def f2(spark, sf_dir):
-    firsts = events(spark, sf_dir).groupBy("scenario", "src").agg(F.min("event_id").alias("first"))
-    ranked = firsts.withColumn("rn", F.row_number().over(Window.partitionBy("scenario").orderBy("first"))).where("rn <= 10")
-    return ranked.groupBy("scenario").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "src"))), lambda x: x["src"]), ",").alias("entities"))
+    """The first ten entities of each state's last three states."""
+    states = W.state_index(members(spark, sf_dir).select("scenario", "k").distinct())
+    entities = W.entities(edge_table(spark, sf_dir)).join(states, ["scenario", "k"]).select("scenario", "idx", "entity")
+    return R2.supporting(states.select("scenario", "idx"), entities).select("scenario", "idx", F.array_join("entities", ",").alias("entities"))
 
 
 @query("k44_scaling_exponent", "WITH t AS (SELECT l_linenumber AS n, ln(l_linenumber) AS x, ln(sum(l_quantity)) AS y FROM lineitem GROUP BY l_linenumber) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_r2(y, x), 6) AS r2 FROM t")
