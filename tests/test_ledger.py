@@ -64,3 +64,48 @@ def test_supporting_entities(spark):
     for i in names:
         want = list(dict.fromkeys(e for j in range(max(0, i - 2), i + 1) for e in names[j]))[:10]
         assert got[i] == want
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    from tidewatch.functions.scalars import normal_quantile
+
+    ps = [0.0001, 0.02, 0.02425, 0.1, 0.5, 0.8, 0.975, 0.98, 0.9999]
+    got = {r["p"]: r["z"] for r in spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0]], "p double").select("p", normal_quantile(F.col("p")).alias("z")).collect()}
+    assert all(abs(got[p] - NormalDist().inv_cdf(p)) < 3e-9 * max(1, abs(got[p])) for p in ps) and got[0.0] is None and got[1.0] is None
+
+
+def test_next_techniques(spark):
+    from tidewatch.operators import correlate as C
+
+    model = spark.createDataFrame([("a", "b", 0.7), ("a", "c", 0.2), ("a", "d", 0.1), ("x", "b", 1.0)], "source string, target string, probability double")
+    prior = spark.createDataFrame([("p", "q", 0.4), ("a", "z", 0.9)], "source string, target string, probability double")
+    starts = C.start_model(spark.createDataFrame([(["a", "b"],), (["a"],), (["x"],), ([],)], "techniques array<string>"))
+    observed = spark.createDataFrame([(1, "a"), (2, None), (3, "p"), (4, "unknown")], "id int, last string")
+    got = {(r["id"], r["rank"]): (r["target"], round(r["probability"], 6), r["origin"]) for r in C.next_techniques(model, starts, prior, observed, "id", 2).collect()}
+    assert got == {(1, 1): ("b", 0.7, "model"), (1, 2): ("c", 0.2, "model"), (2, 1): ("a", 0.666667, "start"), (2, 2): ("x", 0.333333, "start"), (3, 1): ("q", 0.4, "prior")}
+
+
+def test_recalibration_gate_checks_the_order(spark):
+    from tidewatch.operators import learn
+
+    rows = [(i / 100, i / 100 * 0.9, i % 3 == 0) for i in range(101)]
+    frame = lambda r: spark.createDataFrame(r, "score double, calibrated double, truth boolean")
+    assert learn.order_kept(frame(rows)).first()[0]
+    for at in (50, 51):
+        fallen = [(s, c - (0.05 if k == at else 0), t) for k, (s, c, t) in enumerate(rows)]
+        assert not learn.order_kept(frame(fallen)).first()[0] and not learn.gate(frame(fallen)).first()["ship"]
+    close = [(0.5 + i / 1e5, 0.4 - i / 1e5, True) for i in range(5)]  # inside one cell
+    assert not learn.order_kept(frame(close)).first()[0]
+
+
+def test_running_sums_with_many_cuts(spark):
+    from tidewatch.operators import scores
+
+    cuts = [i / 1000 for i in range(700)]
+    frame = spark.createDataFrame([(-1.0,), (0.0,), (0.0005,), (0.2561,), (0.5, ), (0.699,), (0.9,)], "v double")
+    got = {r["v"]: r["n"] for r in frame.select("v", scores.below(cuts, F.col("v")).alias("n")).collect()}
+    assert got == {v: sum(c < v for c in cuts) for v in got}
+    few = {r["v"]: r["n"] for r in frame.select("v", scores.below(cuts[:3], F.col("v")).alias("n")).collect()}
+    assert few == {v: sum(c < v for c in cuts[:3]) for v in few} and frame.select(scores.below([], F.col("v")).alias("n")).agg(F.max("n")).first()[0] == 0

@@ -155,3 +155,25 @@ def canonical_json(fields: dict[str, tuple[Column, str]]) -> Column:
 def canonical_digest(fields: dict[str, tuple[Column, str]]) -> Column:
     """SHA-256 of the canonical JSON of named values."""
     return F.sha2(canonical_json(fields), 256)
+
+
+# A rational approximation of the inverse normal distribution, numerators and denominators from the highest power down.
+CENTRE = ((-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00), (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0))
+TAIL = ((-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00), (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0))
+TAIL_FROM = 0.02425
+
+
+def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile of a probability strictly between 0 and 1, else null; within 1.2e-9."""
+    q = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = _polynomial(TAIL[0], q) / _polynomial(TAIL[1], q)
+    r = p - 0.5
+    centre = _polynomial(CENTRE[0], r * r) * r / _polynomial(CENTRE[1], r * r)
+    return F.when((p > 0) & (p < 1), F.when(p < TAIL_FROM, tail).when(p > 1 - TAIL_FROM, -tail).otherwise(centre))

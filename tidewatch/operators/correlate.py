@@ -155,6 +155,25 @@ def paths(nodes: DataFrame, links: DataFrame, starts: DataFrame) -> DataFrame:
             return out
 
 
+def start_model(sequences: DataFrame) -> DataFrame:
+    """(target, probability) of the first techniques of sequences (array column ``techniques``)."""
+    first = sequences.where(F.size("techniques") > 0).groupBy(F.col("techniques")[0].alias("target")).agg(F.count("*").alias("n"))
+    return first.join(first.agg(F.sum("n").alias("all"))).select("target", (F.col("n") / F.col("all")).alias("probability"))
+
+
+def next_techniques(model: DataFrame, starts: DataFrame, prior: DataFrame, observed: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """(key, target, probability, origin, rank): the k most probable next techniques of each key, ties by name.
+
+    observed: key and last, the last technique seen, null where nothing was: then the start probabilities count. A last
+    technique that the model doesn't know has the prior table's row, and one that neither knows has none.
+    """
+    begun = observed.where("last IS NULL").select(key).join(starts.select("target", "probability", F.lit("start").alias("origin")))
+    seen = observed.where("last IS NOT NULL").select(key, F.col("last").alias("source"))
+    later = seen.join(with_fallback(model, prior, seen), "source").select(key, "target", "probability", "origin")
+    order = Window.partitionBy(key).orderBy(F.col("probability").desc(), "target")
+    return begun.unionByName(later).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 REFS = ("start_refs", "effect_refs", "on_true_refs", "on_false_refs")
 BUNDLE = "objects array<struct<id: string, type: string, technique_id: string, " + ", ".join(f"{r}: array<string>" for r in REFS) + ">>"
 

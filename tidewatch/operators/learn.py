@@ -64,13 +64,30 @@ def recalibrated(model, rows: DataFrame) -> DataFrame:
     return found.withColumn("calibrated", F.when(F.col("score") >= steps[-1][0] + 1e-9, 1.0).otherwise(value)).drop("at", "cell", "steps")
 
 
+def order_kept(rows: DataFrame) -> DataFrame:
+    """(ranking_unchanged): whether calibrated never falls as the score rises.
+
+    Scores are checked in CELLS cells, and the cells' ends against each other (CELLS + 1 rows), so no task sorts all rows.
+    """
+    each = rows.groupBy("score").agg(F.min("calibrated").alias("low"), F.max("calibrated").alias("high"))
+    placed = each.withColumn("cell", F.least(F.lit(CELLS), F.greatest(F.lit(0), F.floor(F.col("score") * CELLS))))
+    over = Window.partitionBy("cell").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumn("before", F.max("high").over(over))
+    cells = inside.groupBy("cell").agg(F.count_if(F.col("low") < F.col("before") - 1e-12).alias("falls"), F.min("low").alias("low"), F.max("high").alias("high"))
+    upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # of CELLS + 1 rows at most
+    return cells.withColumn("before", F.max("high").over(upto)).agg((F.count_if((F.col("falls") > 0) | (F.col("low") < F.col("before") - 1e-12)) == 0).alias("ranking_unchanged"))
+
+
 def gate(rows: DataFrame) -> DataFrame:
-    """Brier score, bias and calibration error before and after; ship only if the Brier score went down."""
+    """Brier score, bias and calibration error before and after, the mean shift, and whether the order of scores is kept; ship only if it is and the Brier score went down."""
     y = F.col("truth").cast("double")
-    out = rows.agg(F.avg(F.pow(F.col("score") - y, 2)).alias("before"), F.avg(F.pow(F.col("calibrated") - y, 2)).alias("after"), F.avg(F.col("score") - y).alias("bias_before"), F.avg(F.col("calibrated") - y).alias("bias_after"))
+    out = rows.agg(
+        F.avg(F.pow(F.col("score") - y, 2)).alias("before"), F.avg(F.pow(F.col("calibrated") - y, 2)).alias("after"), F.avg(F.col("score") - y).alias("bias_before"),
+        F.avg(F.col("calibrated") - y).alias("bias_after"), F.avg(F.abs(F.col("calibrated") - F.col("score"))).alias("mean_shift"),
+    )
     error = lambda column: scores.calibration_error(scores.reliability(rows.select(F.col(column).alias("score"), "truth")))
-    out = out.join(error("score").withColumnRenamed("ece", "ece_before")).join(error("calibrated").withColumnRenamed("ece", "ece_after"))
-    return out.withColumn("ship", F.col("after") < F.col("before"))
+    out = out.join(error("score").withColumnRenamed("ece", "ece_before")).join(error("calibrated").withColumnRenamed("ece", "ece_after")).join(order_kept(rows))
+    return out.withColumn("ship", (F.col("after") < F.col("before")) & F.col("ranking_unchanged"))
 
 
 def fit_transition(rows: DataFrame, features: list[str], ridge: float = 1.0, limit: float = 0.98) -> tuple[np.ndarray, np.ndarray]:

@@ -6,6 +6,8 @@ values after grouping, which bounds what a frame holds by the number of distinct
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,16 +36,43 @@ def by_score(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
     return rows.groupBy(*(group or []), "score").agg(F.count("*").alias("n"), F.count_if("truth").alias("pos"))
 
 
+BUCKET_ROWS, MOST_BUCKETS = 2_000_000, 8192
+
+
+def below(cuts: list, value: Column) -> Column:
+    """How many of the sorted cuts are below a value: a search over nested halves, so a thousand cuts take ten comparisons."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.lit(cuts[middle]) < value, search(middle + 1, high)).otherwise(search(low, middle))
+
+    if len(cuts) <= 256:
+        return search(0, len(cuts))
+    step = -(-len(cuts) // 256)  # too many for one expression: first the stretch, then the place in it
+    stretches = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
+    at = search_stretch(cuts[step - 1 :: step], value)
+    inside = F.size(F.filter(F.get(stretches, at), lambda c: c < value))
+    return at * step + F.coalesce(inside, F.lit(0))
+
+
+def search_stretch(ends: list, value: Column) -> Column:
+    return below(ends[:255], value) if len(ends) <= 256 else below(ends, value)
+
+
 def running(rows: DataFrame, value: str, sums: list[str], group: list[str] | None = None, descending: bool = False) -> DataFrame:
     """rows with <name>_before for each of ``sums``: its sum over the rows of the group that come before in the order of value.
 
-    Approximate quantiles of the values cut the rows into some hundred buckets; each is summed by itself and the few
-    bucket totals give the offsets, so no task holds a whole group. Rows of equal value have any order.
+    Approximate quantiles of the values cut the rows into buckets of about BUCKET_ROWS rows (MOST_BUCKETS at most, four a
+    shuffle partition at least); each is summed by itself and the bucket totals give the offsets, so no task holds a whole
+    group. Rows of equal value have any order. The rows are read three times, so they should be stored or cheap.
     """
     group = group or []
-    n = min(256, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    count = rows.count()
+    n = max(2, min(MOST_BUCKETS, max(-(-count // BUCKET_ROWS), min(256, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count))))
     cuts = sorted(set(rows.agg(F.percentile_approx(value, F.array(*[F.lit((i + 1) / n) for i in range(n - 1)])).alias("c")).first()["c"] or []))
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    place = below(cuts, F.col(value))
     placed = rows.withColumn("__place", place)
     order = lambda c: F.col(c).desc() if descending else F.col(c).asc()
     totals = placed.groupBy(*group, "__place").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
@@ -334,6 +363,21 @@ def median_survival(curve: DataFrame, group: str = "grp", z: float = 1.959964, l
     return curve.groupBy(group).agg(first(s).alias("median"), first(low).alias("median_low"), first(high).alias("median_high"), (F.sum("events") >= least_events).alias("usable"))
 
 
+def survival_table(rows: DataFrame, group: str = "grp", level: float = 0.95) -> DataFrame:
+    """Per group: rows, events, censored ones, the share detected, the median with its bounds (null without a crossing), whether there are events enough, and the median of the detected ones alone."""
+    curve = kaplan_meier(rows, group)
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    known = median_survival(curve, group, z)
+    crossed = F.col("median").isNotNull()
+    event = F.col("event")
+    counts = rows.groupBy(group).agg(
+        F.count("*").alias("n"), F.count_if(event).alias("events"), F.count_if(~event).alias("censored"), F.avg(event.cast("double")).alias("detected_fraction"),
+        F.median(F.when(event, F.col("duration"))).alias("naive_median"),
+    )
+    out = counts.join(known, group, "left")
+    return out.select(*counts.columns, "median", *[F.when(crossed, F.col(c)).alias(c) for c in ("median_low", "median_high")], F.coalesce("usable", F.lit(False)).alias("usable"))
+
+
 def log_rank(rows: DataFrame, a: str, b: str, group: str = "grp") -> DataFrame:
     """Chi-square and p value of the log-rank test of two groups."""
     two = rows.where(F.col(group).isin(a, b))

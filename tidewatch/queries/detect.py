@@ -448,6 +448,21 @@ def j8(spark, sf_dir):
     return rounded(C.with_fallback(rows.where("source < 'p'"), rows.where("n > 50").withColumn("probability", F.lit(0.5)), rows))
 
 
+@query("j8_next_techniques", f"""WITH {EDGES}, {NEXT}, ob AS (SELECT user_id, max(CASE WHEN user_id % 3 > 0 THEN event_type END) AS last FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS r FROM ev) WHERE r = 1 GROUP BY user_id),
+fi AS (SELECT event_type FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS r FROM ev) WHERE r = 1), st AS (SELECT event_type AS target, count(*) * 1E0 / (SELECT count(*) FROM fi) AS probability FROM fi GROUP BY event_type),
+mo AS (SELECT source, target, probability FROM tm WHERE source < 'p'), al AS (SELECT user_id, target, probability, 'start' AS origin FROM ob, st WHERE last IS NULL UNION ALL SELECT user_id, target, probability, 'model' FROM ob JOIN mo ON last = source
+ UNION ALL SELECT user_id, target, 1E0 / n, 'prior' FROM ob JOIN tm ON last = source WHERE source >= 'p' AND source NOT IN (SELECT source FROM mo))
+SELECT user_id, target, round(probability, 6) AS probability, origin, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY probability DESC, target) AS rank FROM al) WHERE rank <= 3""")
+def j8_next(spark, sf_dir):
+    """What follows each user's last event type: the model for some types, a prior for the others, the first types for users of whom nothing is known."""
+    rows, known = events(spark, sf_dir), model(spark, sf_dir)
+    last = rows.groupBy("user_id").agg(F.max_by("event_type", F.struct("us", "event_id")).alias("t"))
+    observed = last.select("user_id", F.when(F.col("user_id") % 3 > 0, F.col("t")).alias("last"))
+    starts = C.start_model(rows.groupBy("user_id").agg(F.array(F.min_by("event_type", F.struct("us", "event_id"))).alias("techniques")))
+    prior = known.where("source >= 'p'").withColumn("probability", 1 / F.col("n"))
+    return rounded(C.next_techniques(known.where("source < 'p'"), starts, prior, observed, "user_id"))
+
+
 @query("c13_transition_lookup", f"WITH {CHAINS}, mv AS (SELECT * FROM {values_sql(C.NEXT_TRANSITIONS)} AS t(cur, nxt, p1)) SELECT DISTINCT scenario, k, attack_type, nxt, p1 AS p FROM al JOIN mv ON attack_type = cur")
 def c13(spark, sf_dir):
     moves = spark.createDataFrame(C.NEXT_TRANSITIONS, "cur string, nxt string, p double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import CENTRE, TAIL, TAIL_FROM, normal_quantile
 from ..operators import scores as S
 from .windows import rounded
 
@@ -243,6 +244,21 @@ def k14(spark, sf_dir):
     return rounded(S.log_rank(durations(spark, sf_dir), "1-URGENT", "5-LOW"))
 
 
-@query("k15_survival_table", f"WITH {DU} SELECT grp, count(*) AS n, count(*) FILTER (event) AS events, median(CASE WHEN event THEN duration END) AS naive_median FROM du GROUP BY grp")
+@query("k15_survival_table", f"WITH {KM}, {MS}, md AS (SELECT grp, min(CASE WHEN survival <= 0.5 THEN time END) AS median, min(CASE WHEN lo <= 0.5 THEN time END) AS low, min(CASE WHEN hi <= 0.5 THEN time END) AS high, sum(events) >= 5 AS usable FROM bb GROUP BY grp) SELECT grp, count(*) AS n, count(*) FILTER (event) AS events, count(*) FILTER (NOT event) AS censored, round(avg(event::INT), 6) AS detected_fraction, median(CASE WHEN event THEN duration END) AS naive_median, max(md.median) AS median, max(CASE WHEN md.median IS NOT NULL THEN low END) AS median_low, max(CASE WHEN md.median IS NOT NULL THEN high END) AS median_high, coalesce(bool_or(usable), false) AS usable FROM du LEFT JOIN md USING (grp) GROUP BY grp")
 def k15(spark, sf_dir):
-    return durations(spark, sf_dir).groupBy("grp").agg(F.count("*").alias("n"), F.count_if("event").alias("events"), F.median(F.when(F.col("event"), F.col("duration"))).alias("naive_median"))
+    return rounded(S.survival_table(durations(spark, sf_dir)))
+
+
+def _horner(coefficients, x):
+    out = f"({coefficients[0]!r}::DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r}::DOUBLE))"
+    return out
+
+
+@query("h5_normal_quantile", f"WITH p AS (SELECT l_orderkey, l_linenumber, l_extendedprice / (l_extendedprice + 1000 * l_quantity) AS p FROM lineitem), x AS (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS q, p - 0.5E0 AS c FROM p), y AS (SELECT *, {_horner(TAIL[0], 'q')} / {_horner(TAIL[1], 'q')} AS tail, {_horner(CENTRE[0], '(c * c)')} * c / {_horner(CENTRE[1], '(c * c)')} AS centre FROM x) SELECT l_orderkey, l_linenumber, round(CASE WHEN p < {TAIL_FROM} THEN tail WHEN p > 1 - {TAIL_FROM} THEN -tail ELSE centre END, 6) AS z FROM y")
+def h5(spark, sf_dir):
+    """Normal quantiles of a share of each line."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    share = F.col("l_extendedprice") / (F.col("l_extendedprice") + 1000 * F.col("l_quantity"))
+    return lines.select("l_orderkey", "l_linenumber", F.round(normal_quantile(share), 6).alias("z"))
