@@ -134,9 +134,17 @@ def test_token_counts(spark, odd, docs, none):
     before = spark.read.parquet(cache).count()
     token_counts.count_tokens(odd, path, cache)
     assert spark.read.parquet(cache).count() == before == len({r[1] or "" for r in ODD})
+    token_counts.compacted(spark, cache, f"{cache}-compact")
+    assert spark.read.parquet(f"{cache}-compact").count() == before
     some = token_counts.count_tokens(docs, path, cache).toPandas().set_index("doc_id")["n_tokens"].to_dict()
     assert some == {r.doc_id: len(model.encode(r.text)) for r in docs.toPandas().itertuples()}
     assert token_counts.count_tokens(none, path, cache).count() == 0
+    # with a warm cache no text is sent to the tokenizer, nor any row of its text to another task
+    known = spark.read.parquet(cache).count()
+    missing = docs.select(F.unhex(F.sha2("text", 256)).alias("content_digest")).distinct().join(spark.read.parquet(cache), "content_digest", "left_anti")
+    assert missing.count() == 0 and not neardup.Places(missing, "content_digest").flagged(docs, "text", "maybe").where("maybe").head(1)
+    token_counts.count_tokens(docs, path, cache)
+    assert spark.read.parquet(cache).count() == known
 
 
 def test_preferences(spark):
