@@ -75,7 +75,7 @@ def test_runs_equal_the_plain_loop(seed):
     items = [draw.choice([1, 2, 3, 9, 50, 700]) if seed % 2 else int(draw.paretovariate(0.7)) + 8 for _ in range(30_000 if seed < 2 else 400)]
     counts = {s: items.count(s) for s in set(items)} if len(set(items)) < 50 else dict(zip(*np.unique(items, return_counts=True), strict=True))
     got = []
-    for size, runs in sharding.lpt_runs([(int(s), int(n)) for s, n in counts.items()], 24):
+    for size, runs in sharding.lpt_runs(sorted(((int(s), int(n)) for s, n in counts.items()), reverse=True), 24):
         ends = [r[0] for r in runs[1:]] + [int(counts[size])]
         got += [(size, s) for (start, turn), end in zip(runs, ends, strict=True) for s in itertools.islice(itertools.cycle(turn), end - start)]
     assert got == plain_lpt([int(x) for x in items], 24)
@@ -139,3 +139,12 @@ def test_a_digest_stored_twice_counts_once(spark):
     spark.read.parquet(cache).write.mode("append").parquet(f"{cache}-copy")
     spark.read.parquet(f"{cache}-copy").write.mode("append").parquet(cache)
     assert sorted(token_counts.count_tokens(docs, path, cache).collect()) == once and len(once) == 3
+
+
+def test_sizes_pass_the_driver_in_pieces(spark, monkeypatch):
+    rows = [(i, "x" * (i % 37) + str(i % 5), "en", "s", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    shown = lambda: sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_documents(docs, 5).collect())
+    whole = shown()
+    monkeypatch.setattr(sharding, "PIECE", 3)
+    assert shown() == whole

@@ -1,10 +1,10 @@
 """Sharding by longest processing time.
 
 Groups of equal texts stay together. Groups are taken by size, the largest first, and each goes to the least-loaded
-shard through a heap. The driver holds the distinct sizes with the number of groups of each, not the groups: equal
-groups that follow each other go to the shards in turns, so the heap's choices for one size are a few runs (a first rank,
-and the shards in turn), and a group finds its shard by its rank inside its size. Distinct sizes add up to the square of
-their number at least, so there are at most the square root of twice the bytes of them.
+shard through a heap. Equal groups that follow each other go to the shards in turns, so the heap's choices for one size
+are a few runs (a first rank, and the shards in turn), and a group finds its shard by its rank inside its size. The distinct
+sizes, with the number of groups of each, pass the driver in order, a part at a time; it holds the loads of the shards and
+at most PIECE sizes, whose runs it appends to a table.
 
 Sizes are UTF-8 bytes plus 8. Defined results: a null text counts as an empty one and groups with it; repeated rows are
 kept and stay together; null doc_ids are kept; extra columns stay unless they bear an output name, which is replaced;
@@ -14,27 +14,30 @@ an empty table gives an empty result. Ties in size fall in the order of a hash o
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_rank
+from .common import scratch_path, stored, with_rank
 
 OVERHEAD = 8
 #: Rows of a lookup table that may be broadcast; groups of more than 1/HOT of all rows are looked up by broadcast.
 SMALL, HOT = 100_000, 1000
+#: Distinct sizes whose runs are written at a time.
+PIECE = 20_000
 
 
-def lpt_runs(sizes: Iterable[tuple[int, int]], shards: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
-    """(size, runs) for (size, groups) pairs: a run is the rank it begins at and the shards that take the groups from there in turn.
+def lpt_runs(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[tuple[int, list[int]]]]]:
+    """(size, runs) for (size, groups) pairs, the largest first: a run is the rank it begins at and the shards that take the groups from there in turn.
 
-    Largest size first, each group to the least-loaded shard, the smaller number on ties. The heap gives the shards in
+    Each group goes to the least-loaded shard, the smaller number on ties. The heap gives the shards in
     the order of their loads; those that come before the first one's next turn take turns until a further shard's load
     is reached, and all these turns are one run.
     """
-    loads, out = [0] * shards, []
-    for size, groups in sorted(sizes, reverse=True):
+    loads = [0] * shards
+    for size, groups in sizes:
         rank, runs = 0, []
         while rank < groups:
             heap = [(load, s) for s, load in enumerate(loads)]
@@ -52,8 +55,7 @@ def lpt_runs(sizes: Iterable[tuple[int, int]], shards: int) -> list[tuple[int, l
             for i, (_, s) in enumerate(turn):
                 loads[s] += (whole + (i < rest)) * size
             rank += picks
-        out.append((size, runs))
-    return out
+        yield size, runs
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, arrange: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -69,10 +71,15 @@ def shard_documents(docs: DataFrame, shards: int = 24, arrange: Callable[[DataFr
     if arrange:
         sized = stored(arrange(sized), "shard-order")
     groups = stored(sized.groupBy("__d").agg(F.sum("size").alias("__s"), F.count("*").alias("__n")), "shard-groups")
-    counts = groups.groupBy("__s").agg(F.count("*").alias("n")).toPandas()  # a row per distinct size
-    runs = lpt_runs(zip(counts["__s"].tolist(), counts["n"].tolist(), strict=True), shards)
-    table = spark.createDataFrame(runs, "__of long, __runs array<struct<start: long, turn: array<int>>>")
-    ranked = with_rank(groups, ["__s"], ["__d"], "__rank", ["__d"]).join(F.broadcast(table) if len(runs) <= SMALL else table, F.col("__s") == F.col("__of"))
+    counts = stored(groups.groupBy("__s").agg(F.count("*").alias("n")), "shard-counts")
+    n_sizes, path = counts.count(), scratch_path(spark, "shard-runs")
+    ordered = ((r["__s"], r["n"]) for r in counts.orderBy(F.desc("__s")).toLocalIterator())  # one partition of them at a time
+    runs, schema = lpt_runs(ordered, shards), "__of long, __runs array<struct<start: long, turn: array<int>>>"
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    while piece := list(islice(runs, PIECE)):
+        spark.createDataFrame(piece, schema).write.mode("append").parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    ranked = with_rank(groups, ["__s"], ["__d"], "__rank", ["__d"]).join(F.broadcast(table) if n_sizes <= SMALL else table, F.col("__s") == F.col("__of"))
     run = F.element_at(F.filter("__runs", lambda x: x["start"] <= F.col("__rank")), -1)
     placed = ranked.withColumn("__run", run).select(F.col("__d").alias("__g"), "__n", F.get(F.col("__run.turn"), ((F.col("__rank") - F.col("__run.start")) % F.size("__run.turn")).cast("int")).alias("shard"))
     placed = stored(placed, "shard-places")
