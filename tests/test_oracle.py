@@ -18,7 +18,7 @@ def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None
     if isinstance(v, (float, decimal.Decimal)):
-        return round(float(v), 6) + 0.0
+        return round(float(v), 5) + 0.0  # queries round to six digits; a tie at the sixth may fall either way
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None)
     if isinstance(v, (list, tuple)):
