@@ -1,7 +1,8 @@
 """Queries whose results have to depend on all of the data."""
 
 from tidewatch.operators import correlate as C
-from tidewatch.queries import learn, logs, replay, windows
+from tidewatch.events import events
+from tidewatch.queries import backtests, logs, replay, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,12 +21,19 @@ def test_long_paths(spark):
 
 
 def test_rollout_is_classified(spark):
-    rows = learn.QUERIES["k40_open_loop_rollout"](spark, SF).collect()
+    rows = backtests.QUERIES["k40_open_loop_rollout"](spark, SF).collect()
     assert sorted(r["step"] for r in rows) == [1, 2, 3] and all(0 <= r["flagged"] <= r["windows"] and 0 < r["mean_score"] < 1 for r in rows)
 
 
 def test_audit_and_weights_follow_the_tables(spark):
-    tiers = {r["tier"]: r["features"] for r in logs.b11(spark, SF).collect()}
-    assert sum(tiers.values()) > 50 and set(tiers) == {"flow", "packet", "dns", "auth"}
+    fields = {"flow_window": ["bytes", "failed_auth"], "flow_per_flow": ["duration", "dport"], "packet": ["ttl", "payload_size", "retransmission"]}
+    want = {}
+    for r in events(spark, SF).collect():
+        for tier, names in fields.items():
+            for f in names:
+                if r[f] is not None:
+                    seen, n = want.get((r["scenario"], tier), (set(), 0))
+                    want[r["scenario"], tier] = (seen | {f}, n + 1)
+    assert {(r["scenario"], r["tier"]): (r["features"], r["values"]) for r in logs.b11(spark, SF).collect()} == {k: (len(seen), n) for k, (seen, n) in want.items()}
     top = [(r["feature"], r["weight"]) for r in replay.f4(spark, SF).collect()]
     assert len(top) == 3 and set(top).isdisjoint(replay.WEIGHTS.items()) and [abs(w) for _, w in top] == sorted((abs(w) for _, w in top), reverse=True)
