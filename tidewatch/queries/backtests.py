@@ -77,7 +77,7 @@ def k36(spark, sf_dir):
     return rounded(B.leave_one_stage_out(rows, FEATURES, stages, FPR))
 
 
-K36 = f"""WITH {LB}, hs AS (SELECT unnest({ATTACKS}) AS fold), al AS (SELECT *, idx * {SCENARIOS} + scenario AS o FROM lb),
+K36 = f"""WITH {LB}, hs AS (SELECT unnest({ATTACKS}) AS fold), al AS (SELECT * REPLACE (round(p, 9) AS p), idx * {SCENARIOS} + scenario AS o FROM lb),
 ot AS (SELECT fold, p, infiltration, row_number() OVER (PARTITION BY fold ORDER BY o) - 1 AS r, count(*) OVER (PARTITION BY fold) AS n FROM al JOIN hs ON stage <> fold),
 pa AS (SELECT fold, 'calibration' AS part, p, infiltration FROM ot WHERE r >= floor(n * 0.7E0) UNION ALL SELECT fold, 'benign', p, infiltration FROM al, hs WHERE stage = 'Benign' UNION ALL SELECT fold, 'held', p, infiltration FROM al JOIN hs ON stage = fold),
 ng AS (SELECT fold, part, p, row_number() OVER (PARTITION BY fold, part ORDER BY p DESC) AS r, floor(count(*) OVER (PARTITION BY fold, part) * {FPR}E0) AS allowed, max(p) OVER (PARTITION BY fold, part) AS top FROM pa WHERE part = 'benign' OR part = 'calibration' AND NOT infiltration),
@@ -93,7 +93,7 @@ def k36_cuts(spark, sf_dir):
     """The same report with the rules' score instead of a model's."""
     placed, _, parts = B.stage_roles(in_time(labelled(spark, sf_dir)), ATTACKS)
     each = F.array(*[F.when(parts[s].isNotNull(), F.struct(F.lit(s).alias("fold"), parts[s].alias("parts"))) for s in ATTACKS])
-    scored = placed.select("p", "infiltration", F.explode(F.array_compact(each)).alias("x")).select("x.fold", F.explode("x.parts").alias("part"), F.col("p").alias("score"), F.col("infiltration").alias("truth"))
+    scored = placed.select("p", "infiltration", F.explode(F.array_compact(each)).alias("x")).select("x.fold", F.explode("x.parts").alias("part"), F.round("p", 9).alias("score"), F.col("infiltration").alias("truth"))  # equal scores stay equal however they were summed
     return rounded(B.cut_report(stored(scored, "stage-cuts"), FPR))
 
 
