@@ -14,11 +14,16 @@ How links are found without all pairs of a bucket:
 3. Buckets whose classes are still in different components go through hub rounds: FIRST_HUBS classes of each bucket, half
    of them from its first component, are paired with all of its classes of other components. Rounds go on while each
    halves the classes outside their buckets' first components ("outsiders"), so there are at most log2 of them.
-4. One exact pass then pairs every outsider that is left with all classes of its buckets in other components. Before it,
+4. One exact pass then pairs the outsiders that are left with classes of other components in their buckets. Before it,
    shingles that a single remaining class holds are counted: a class can share at most its other ones with any
-   partner, which rules most classes out by numbers alone. Inside the join a pair has to pass that bound and the one of
-   2048 marks, one for each shingle's place: marks of one class that another lacks are shingles it lacks. Only pairs that
-   may reach the limit are rows. Buckets are cut into blocks on both sides, so no key meets in one task.
+   partner, which rules most classes out by numbers alone.
+   In a bucket of at most FEW classes an outsider meets all others; a pair has to pass that bound and the one of
+   2048 marks, one for each shingle's place: marks of one class that another lacks are shingles it lacks.
+   In a larger bucket prefix filtering decides who meets: a set's shingles are put in order from the rarest among these
+   classes, and two sets that reach the limit have their first common shingle so early in both that what follows it
+   can still hold the shingles they must share. So only such early shingles are join keys, beside the bucket, and only
+   pairs that pass this at a common one are rows: the pages of one template meet by what few of them share.
+   Hot keys are cut into blocks on both sides, so no key meets in one task.
    Of two classes of one bucket in different components at least one is an outsider, so no candidate is left out.
 Full sets are made in a second pass over the texts, only for the classes left in step 2: a bitmap lets their documents pass
 (and a few others, which a join removes), so that texts are never shuffled. A hub's sketch or set is sent once for each
@@ -36,12 +41,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, slices, stored, utf8
@@ -51,6 +56,8 @@ REGISTERS, MANTISSA, BAND_ROWS = 256, 10, 6
 BANDS = REGISTERS // BAND_ROWS
 #: Hubs of a bucket in a hub round, and the greatest number of rows of a bucket, or partners of a hub, in one block.
 FIRST_HUBS, BLOCK = 16, 4096
+#: Classes of a bucket that the exact pass compares without prefix filtering: at most so many rows for each.
+FEW = 64
 #: Places of the bitmaps, by the number of rows they stand for: at least eight each up to 2**MOST_BITS places (32 MB).
 LEAST_BITS, MOST_BITS = 20, 28
 MARK_BITS = 11
@@ -332,10 +339,10 @@ class Search:
     def marks(self, prefix: str) -> DataFrame:
         return self.sets.select(F.col("cls").alias(f"{prefix}cls"), F.col("n").alias(f"{prefix}n"), *[F.col(c).alias(f"{prefix}{c}") for c in MARK_COLUMNS])
 
-    def most_shared(self):
-        """The greatest number of shingles that x and y can share, by their marks."""
+    def most_shared(self, x: str, y: str):
+        """The greatest number of shingles that the sets of prefixes x and y can share, by their marks."""
         lacks = lambda a, b: reduce(add, (F.bit_count(F.col(f"{a}{c}").bitwiseAND(F.bitwise_not(f"{b}{c}"))) for c in MARK_COLUMNS))
-        return F.least(F.col("x_n") - lacks("x_", "y_"), F.col("y_n") - lacks("y_", "x_"))
+        return F.least(F.col(f"{x}n") - lacks(x, y), F.col(f"{y}n") - lacks(y, x))
 
     def hub_pairs(self, alive: DataFrame, turn: int) -> DataFrame:
         """(a, b): FIRST_HUBS classes of each bucket with those of other components that they may be linked with."""
@@ -345,7 +352,7 @@ class Search:
         hubs = stored(chosen.select(F.col("band").alias("x_band"), F.col("h.cls").alias("x"), F.col("h.comp").alias("x_comp")), "hubs")
         hubs = hubs.join(self.marks("x_"), F.col("x") == F.col("x_cls"))
         others = alive.select("band", "cls", "comp").join(self.marks("y_"), F.col("cls") == F.col("y_cls"))
-        near = (F.col("band") == F.col("x_band")) & (F.col("comp") != F.col("x_comp")) & self.enough(self.most_shared(), F.col("x_n"), F.col("y_n"))
+        near = (F.col("band") == F.col("x_band")) & (F.col("comp") != F.col("x_comp")) & self.enough(self.most_shared("x_", "y_"), F.col("x_n"), F.col("y_n"))
         return others.join(hubs, near).select(F.col("x").alias("a"), F.col("cls").alias("b")).distinct()
 
     def reachable(self, alive: DataFrame) -> DataFrame:
@@ -367,20 +374,48 @@ class Search:
         rows = rows.where(F.when(F.col("main"), main_ok).otherwise(out_ok)).select("band", "cls", "comp", "n", "most")
         return stored(self.still_mixed(rows), "reachable")
 
-    def outsider_pairs(self, alive: DataFrame) -> DataFrame:
-        """(a, b): every outsider with each class of another component in its buckets that it may be linked with."""
-        size = alive.groupBy(F.col("band").alias("sized")).agg((F.floor(F.count("*") / BLOCK) + 1).alias("rows"), (F.floor(F.count_if(~F.col("main")) / BLOCK) + 1).alias("cols"))
-        cut = alive.join(stored(size, "sized"), F.col("band") == F.col("sized"))
+    def meeting(self, rows: DataFrame, key: list[str], near) -> DataFrame:
+        """(a, b): outsiders x of rows with the rows of other components that have the same key and pass ``near``.
+
+        rows: key, cls, comp, main and what ``near`` reads, which finds it under an x_ for the outsider.
+        """
+        named = [F.col(c).alias(f"s_{c}") for c in key]
+        size = rows.groupBy(*key).agg((F.floor(F.count("*") / BLOCK) + 1).alias("rows"), (F.floor(F.count_if(~F.col("main")) / BLOCK) + 1).alias("cols"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        size = stored(size.where("low < high").select(*named, "rows", "cols"), "sized")
+        cut = rows.join(size, reduce(and_, (F.col(c) == F.col(f"s_{c}") for c in key))).drop(*[f"s_{c}" for c in key])
         block = lambda of: F.pmod(F.xxhash64("cls", F.lit("block")), F.col(of))
         every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
-        outs = cut.where("not main").select(F.col("band").alias("x_band"), F.col("cls").alias("x"), F.col("comp").alias("x_comp"), F.col("most").alias("x_most"), block("cols").alias("x_col"), every("rows").alias("x_row"))
-        rest = cut.select("band", "cls", "comp", "main", "most", block("rows").alias("row"), every("cols").alias("col"))
-        outs = outs.join(self.marks("x_"), F.col("x") == F.col("x_cls"))
-        rest = rest.join(self.marks("y_"), F.col("cls") == F.col("y_cls"))
-        meet = (F.col("band") == F.col("x_band")) & (F.col("row") == F.col("x_row")) & (F.col("col") == F.col("x_col"))
-        once = (F.col("comp") != F.col("x_comp")) & (F.col("main") | (F.col("x") < F.col("cls")))
-        near = self.enough(F.least("most", "x_most", self.most_shared()), F.col("x_n"), F.col("y_n"))
-        return rest.join(outs, meet & once & near).select(F.col("x").alias("a"), F.col("cls").alias("b")).distinct()
+        outs = cut.where("not main").select("*", block("cols").alias("col"), every("rows").alias("row")).drop("rows", "cols", "main")
+        outs = outs.select(*[F.col(c).alias(f"x_{c}") for c in outs.columns])
+        rest = cut.select("*", block("rows").alias("row"), every("cols").alias("col")).drop("rows", "cols")
+        meet = reduce(and_, (F.col(c) == F.col(f"x_{c}") for c in [*key, "row", "col"]))
+        once = (F.col("comp") != F.col("x_comp")) & (F.col("main") | (F.col("x_cls") < F.col("cls")))
+        return rest.join(outs, meet & once & near).select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct()
+
+    def prefixes(self, rows: DataFrame) -> DataFrame:
+        """(c, shingle, left): the shingles of the classes of rows from which a pair may begin to share, rarest first; left counts it and those after it.
+
+        Shingles that one class alone holds stand before all others; they take places and aren't rows.
+        """
+        held = self.sets.select("cls", "n", "items").join(rows.select(F.col("cls").alias("c")).distinct(), F.col("cls") == F.col("c"), "left_semi")
+        each = stored(held.select("cls", "items").mapInArrow(_shingles, "cls long, shingle long"), "shingles")
+        often = each.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select(F.col("shingle").alias("often"), "k")
+        placed = each.join(often, F.col("shingle") == F.col("often")).withColumn("left", F.row_number().over(Window.partitionBy("cls").orderBy(F.col("k").desc(), F.col("shingle").desc())).cast("long"))
+        sizes = rows.select(F.col("cls").alias("c"), "n").distinct()
+        early = placed.join(sizes, F.col("cls") == F.col("c")).where(100 * F.col("left") >= self.percent * F.col("n"))
+        return stored(early.select("c", "shingle", "left"), "prefixes")
+
+    def outsider_pairs(self, alive: DataFrame) -> DataFrame:
+        """(a, b): every outsider with each class of another component in its buckets that it may be linked with."""
+        wide = stored(alive.groupBy("band").agg(F.count("*").alias("of")).where(F.col("of") > FEW).select(F.col("band").alias("wide")), "wide")
+        narrow = alive.join(wide, F.col("band") == F.col("wide"), "left_anti").drop("n")
+        marked = narrow.join(self.marks("").withColumnRenamed("cls", "marked"), F.col("cls") == F.col("marked")).drop("marked")
+        found = self.meeting(marked, ["band"], self.enough(F.least("most", "x_most", self.most_shared("x_", "")), F.col("x_n"), F.col("n")))
+        if not wide.head(1):
+            return found
+        rows = stored(alive.join(wide, F.col("band") == F.col("wide"), "left_semi"), "wide-rows")
+        rows = rows.join(self.prefixes(rows), F.col("cls") == F.col("c")).drop("c")
+        return found.union(self.meeting(rows, ["band", "shingle"], self.enough(F.least("most", "x_most", "left", "x_left"), F.col("x_n"), F.col("n")))).distinct()
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         likely = stored(self.likely(stored(pairs, "pairs")), "likely")
