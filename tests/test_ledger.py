@@ -109,3 +109,14 @@ def test_running_sums_with_many_cuts(spark):
     assert got == {v: sum(c < v for c in cuts) for v in got}
     few = {r["v"]: r["n"] for r in frame.select("v", scores.below(cuts[:3], F.col("v")).alias("n")).collect()}
     assert few == {v: sum(c < v for c in cuts[:3]) for v in few} and frame.select(scores.below([], F.col("v")).alias("n")).agg(F.max("n")).first()[0] == 0
+
+
+def test_active_keys(spark):
+    rows = [
+        ("a", 1, "viewer", None, False), ("a", 2, "admin", None, None), ("b", 1, "viewer", None, False), ("b", 2, "viewer", None, True),
+        ("c", 1, "viewer", None, True), ("c", 3, "analyst", 101, False), ("d", 1, "viewer", 100, False), ("e", 5, "admin", 99, False), ("e", 4, "admin", 500, False), (None, 1, "viewer", 200, False),
+    ]
+    log = spark.createDataFrame(rows + rows[:1], "key_id string, place long, role string, expires long, revoked boolean")
+    got = {tuple(r) for r in L.active_keys(log, F.lit(100)).collect()}
+    assert got == {("a", "admin", None), ("c", "analyst", 101), (None, "viewer", 200)}
+    assert L.active_keys(log.limit(0), F.lit(100)).count() == 0

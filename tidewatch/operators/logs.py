@@ -88,6 +88,15 @@ def access_summary(audit: DataFrame) -> DataFrame:
     return audit.groupBy("key_id", "role", "status").agg(F.count("*").alias("requests"), F.count_if(F.col("status").isin(401, 403)).alias("denied"), F.max("at").alias("last_at"))
 
 
+def active_keys(records: DataFrame, now: Column) -> DataFrame:
+    """The last record (by place) of each key, where it is neither revoked nor expired; a null expiry never comes, one at ``now`` has.
+
+    records: key_id, place, role, expires (micros) and revoked (null: false). Of rows with one place the greatest values count.
+    """
+    last = records.groupBy("key_id").agg(F.max(F.struct("place", "role", "expires", F.coalesce("revoked", F.lit(False)).alias("revoked"))).alias("last"))
+    return last.select("key_id", "last.role", "last.expires", "last.revoked").where(~F.col("revoked") & (F.col("expires").isNull() | (F.col("expires") > now))).drop("revoked")
+
+
 def allowed(audit: DataFrame, matrix: DataFrame) -> DataFrame:
     """audit with permitted: the role's matrix has a prefix of the path for the method; admin may all."""
     hits = audit.join(matrix, (F.col("role") == F.col("m_role")) & (F.col("method") == F.col("m_method")) & F.col("path").startswith(F.col("prefix")), "left_semi").select("request_id").distinct().withColumn("hit", F.lit(True))

@@ -146,6 +146,17 @@ def l6(spark, sf_dir):
     return L.access_summary(audit(spark, sf_dir))
 
 
+@query("l6_active_keys", AUDIT + """, kl AS (SELECT key_id, request_id AS place, role, status = 403 AS revoked, CASE WHEN request_id % 5 <> 0 THEN seen_us + (request_id % 7) * 21600000000 END AS expires FROM au),
+ la AS (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY place DESC) AS back FROM kl)
+ SELECT key_id, role, expires FROM la WHERE back = 1 AND NOT revoked AND (expires IS NULL OR expires > (SELECT max(seen_us) FROM au))""")
+def l6_keys(spark, sf_dir):
+    """Keys in force at the last event, of a log in which each event writes its user's key anew."""
+    rows = audit(spark, sf_dir)
+    expires = F.when(F.col("request_id") % 5 != 0, F.col("at") + F.col("request_id") % 7 * 21_600_000_000)
+    log = rows.select("key_id", F.col("request_id").alias("place"), "role", (F.col("status") == 403).alias("revoked"), expires.alias("expires"))
+    return L.active_keys(log, F.lit(rows.agg(F.max("at")).first()[0]))
+
+
 @query("d31_request_counters", AUDIT + " SELECT status, count(*) AS requests, count(DISTINCT key_id) AS keys FROM au GROUP BY status")
 def d31(spark, sf_dir):
     return audit(spark, sf_dir).groupBy("status").agg(F.count("*").alias("requests"), F.count_distinct("key_id").alias("keys"))
