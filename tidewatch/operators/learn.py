@@ -17,13 +17,17 @@ def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="vector").transform(filled)
 
 
-def fit_baseline(rows: DataFrame, features: list[str], label: str = "label"):
-    """L2 logistic regression with C = 1 and balanced class weights: regParam is 1 / sum of weights."""
+def fit_baseline(rows: DataFrame, features: list[str], label: str = "label", constant: bool = False):
+    """L2 logistic regression with C = 1 and balanced class weights: regParam is 1 / sum of weights.
+
+    With one class the fit has no finite optimum. ``constant`` takes its limit (no weights, an infinite intercept: the class
+    itself is predicted), else it is an error.
+    """
     counts = rows.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p")).first()
     n, p = counts["n"], counts["p"] or 0
-    if not 0 < p < n:
+    if not n or not constant and not 0 < p < n:
         raise ValueError("both classes are needed")
-    weight = F.when(F.col(label), n / (2 * p)).otherwise(n / (2 * (n - p)))
+    weight = F.when(F.col(label), n / (2 * max(p, 1))).otherwise(n / (2 * max(n - p, 1)))
     data = assemble(rows, features).withColumns({"w": weight, "y": F.col(label).cast("double")})
     return LogisticRegression(featuresCol="vector", labelCol="y", weightCol="w", regParam=1 / n, elasticNetParam=0.0, standardization=False, maxIter=200).fit(data)
 
