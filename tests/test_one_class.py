@@ -21,3 +21,9 @@ def test_limit_of_the_fit(spark, label):
     model = M.fit_baseline(rows, ["a", "b"], constant=True)
     assert list(model.coefficients) == [0.0, 0.0]
     assert {r["score"] for r in M.predict(model, rows, ["a", "b"]).collect()} == {float(label)}
+
+
+def test_budgets_without_a_fit(spark):
+    scored = X.scored_folds(states(spark, True), ["a", "b"], [("1", F.col("scenario") < 1, F.col("scenario") == 2)])
+    out = X.label_efficiency(scored, spark.createDataFrame([("1", 20)], "fold string, samples long"), "1")
+    assert out.count() == 0 and {"fold", "samples", "brier", "low", "high", "loss_from_full", "indistinguishable"} <= set(out.columns)

@@ -65,12 +65,12 @@ def label_efficiency(scored: DataFrame, sizes: DataFrame, full: str, draws: int
     each = scored.select("fold", "id", error.alias("error"))
     best = each.where(F.col("fold") == full).select(F.col("id").alias("i"), F.col("error").alias("full_error"))
     pairs = stored(each.join(best, F.col("id") == F.col("i")).select("fold", F.xxhash64("i").alias("id"), "error", "full_error"), "pairs")
-    out = None
+    out = scored.sparkSession.createDataFrame([], "brier double, reference_brier double, low double, high double, fold string")  # no fold has both classes
     for (fold,) in sorted(tuple(r) for r in pairs.select("fold").distinct().collect()):  # a row per budget
         own = pairs.where(F.col("fold") == fold)
         base = own.agg(F.avg("error").alias("brier"), F.avg("full_error").alias("reference_brier"))
         part = base.join(scores.bootstrap(own, F.col("error"), F.col("full_error"), draws).select("low", "high")).withColumn("fold", F.lit(fold))
-        out = part if out is None else out.union(part)
+        out = out.union(part)
     out = out.withColumns({"loss_from_full": F.col("brier") - F.col("reference_brier"), "indistinguishable": (F.col("low") <= 0) & (F.col("high") >= 0)})
     return out.join(sizes, "fold")
 
