@@ -27,3 +27,8 @@ def test_budgets_without_a_fit(spark):
     scored = X.scored_folds(states(spark, True), ["a", "b"], [("1", F.col("scenario") < 1, F.col("scenario") == 2)])
     out = X.label_efficiency(scored, spark.createDataFrame([("1", 20)], "fold string, samples long"), "1")
     assert out.count() == 0 and {"fold", "samples", "brier", "low", "high", "loss_from_full", "indistinguishable"} <= set(out.columns)
+
+
+def test_stages_without_a_fit(spark):
+    out = B.leave_one_stage_out(states(spark, True), ["a", "b"], ["Exfiltration", "Reconnaissance"], 0.05)
+    assert out.count() == 0 and {"fold", "threshold", "detection", "roc_auc"} <= set(out.columns)

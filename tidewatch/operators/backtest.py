@@ -78,9 +78,10 @@ def fitted(rows: DataFrame, features: list[str], label: str = "target") -> Linea
 
 
 def applied(rows: DataFrame, features: list[str], models: dict[str, Linear], parts: dict[str, Column]) -> DataFrame:
-    """rows once for each fold that has a part for them, with fold, part and score: one scan for all models."""
+    """rows once for each fold that has a model and a part for them, with fold, part and score: one scan for all models."""
     columns = values(features)
-    each = [F.when(parts[n].isNotNull(), F.struct(F.lit(n).alias("fold"), parts[n].alias("part"), m.score(columns).alias("score"))) for n, m in models.items()]
+    none = F.lit(None).cast("double")  # folds without a model have no rows, but give the type of part
+    each = [F.when(part.isNotNull() & F.lit(n in models), F.struct(F.lit(n).alias("fold"), part.alias("part"), (models[n].score(columns) if n in models else none).alias("score"))) for n, part in parts.items()]
     kept = [c for c in rows.columns if c not in ("fold", "part", "score")]
     return rows.select(*kept, F.explode(F.array_compact(F.array(*each))).alias("x")).select(*kept, "x.fold", "x.part", "x.score")
 
@@ -154,9 +155,7 @@ def leave_one_stage_out(rows: DataFrame, features: list[str], stages: list[str],
     """
     placed, train, parts = stage_roles(rows, stages)
     models = {s: m for s in stages if (m := fitted(placed.where(train[s]), features, "label")) is not None}
-    if not models:
-        raise ValueError("no stage has both classes in its training rows")
-    scored = applied(placed, features, models, {s: parts[s] for s in models}).select("fold", F.explode("part").alias("part"), "score", F.col("label").alias("truth"))
+    scored = applied(placed, features, models, parts).select("fold", F.explode("part").alias("part"), "score", F.col("label").alias("truth"))
     return cut_report(stored(scored, "stage-scores"), target)
 
 
