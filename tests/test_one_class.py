@@ -32,3 +32,8 @@ def test_budgets_without_a_fit(spark):
 def test_stages_without_a_fit(spark):
     out = B.leave_one_stage_out(states(spark, True), ["a", "b"], ["Exfiltration", "Reconnaissance"], 0.05)
     assert out.count() == 0 and {"fold", "threshold", "detection", "roc_auc"} <= set(out.columns)
+
+
+def test_origins_without_a_fit(spark):
+    out = B.backtest(states(spark, True), ["a", "b"], B.rolling_folds([0, 1, 2]), 3)
+    assert out.count() == 0 and {"fold", "threshold", "forecasts", "max_psi", "drifted"} <= set(out.columns)

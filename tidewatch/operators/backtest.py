@@ -240,9 +240,9 @@ def backtest(states: DataFrame, features: list[str], folds: list[Fold], horizon:
     sample = F.col("target").isNotNull() & (F.col("idx") >= length - 1)
     models = {f.name: m for f in folds if (m := fitted(rows.where(f.train & sample), features)) is not None}
     kept = [f for f in folds if f.name in models]
-    parts = {f.name: F.when(f.test, F.lit("test")).when(f.validation, F.lit("validation")) for f in kept}
+    parts = {f.name: F.when(f.test, F.lit("test")).when(f.validation, F.lit("validation")) for f in folds}
     scored = stored(applied(rows, features, models, parts), "backtest-scores")
-    return judged(scored, sample, horizon).join(drift_by_fold(rows, features, kept), "fold")
+    return judged(scored, sample, horizon).join(drift_by_fold(rows, features, kept or folds), "fold")
 
 
 def judged(scored: DataFrame, sample: Column, horizon: int) -> DataFrame:
