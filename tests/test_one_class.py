@@ -23,6 +23,14 @@ def test_limit_of_the_fit(spark, label):
     assert {r["score"] for r in M.predict(model, rows, ["a", "b"]).collect()} == {float(label)}
 
 
+@pytest.mark.parametrize("label", [True, False])
+def test_limit_as_columns(spark, label):
+    rows = states(spark, label)
+    assert B.fitted(rows, ["a", "b"], "label") is None
+    model = B.fitted(rows, ["a", "b"], "label", constant=True)
+    assert {r["score"] for r in rows.select(model.score(B.values(["a", "b"])).alias("score")).collect()} == {float(label)}
+
+
 def test_budgets_without_a_fit(spark):
     scored = X.scored_folds(states(spark, True), ["a", "b"], [("1", F.col("scenario") < 1, F.col("scenario") == 2)])
     out = X.label_efficiency(scored, spark.createDataFrame([("1", 20)], "fold string, samples long"), "1")

@@ -63,14 +63,14 @@ def with_target(states: DataFrame, horizon: int, keys: list[str] | None = None)
     return states.withColumn("target", F.lead("infiltration", horizon).over(Window.partitionBy(*(keys or ["scenario"])).orderBy("idx")))
 
 
-def fitted(rows: DataFrame, features: list[str], label: str = "target") -> Linear | None:
-    """The baseline classifier of standardised features, in terms of the raw ones; None with one class."""
+def fitted(rows: DataFrame, features: list[str], label: str = "target", constant: bool = False) -> Linear | None:
+    """The baseline classifier of standardised features, in terms of the raw ones; with one class None, or where ``constant`` that class."""
     schema = {r["feature"]: (r["mean"], r["scale"]) for r in replay.standardise(rows, features, F.lit(True)).collect()}  # a row per feature
     if any(m is None for m, _ in schema.values()):
         return None
     z = rows.select(F.col(label).alias("label"), *[((c - schema[f][0]) / schema[f][1]).alias(f) for f, c in zip(features, values(features), strict=True)])
     try:
-        model = learn.fit_baseline(z, features)
+        model = learn.fit_baseline(z, features, constant=constant)
     except ValueError:
         return None
     weights = [float(w) / schema[f][1] for f, w in zip(features, model.coefficients, strict=True)]

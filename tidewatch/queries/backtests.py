@@ -128,7 +128,7 @@ def k38(spark, sf_dir):
     train = rows.where("period = 0")
     model = B.fitted(B.with_target(train, HORIZON).where("target is not null"), FEATURES)
     if model is None:
-        raise ValueError("the first quarter has one class")
+        raise ValueError("the first quarter has no row with a target")
     scored = stored(rows.withColumn("score", model.score(B.values(FEATURES))), "period-scores")
     cuts = stored(validation_cut(scored), "period-cut")
     test = scored.where(F.col("period").isin(*TEST_PERIODS))
