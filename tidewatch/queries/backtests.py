@@ -191,7 +191,7 @@ def k40(spark, sf_dir):
     rows, known = history_map(spark, sf_dir)
     model = B.fitted(rows.where("scenario < 3"), FEATURES, "label")
     if model is None:
-        raise ValueError("the training scenarios have one class")
+        raise ValueError("the training scenarios have no rows")
     long = B.rollout_errors(B.rolled_out(rows.where("scenario >= 3"), FEATURES, known, HORIZON), HORIZON)
     score = model.score([F.col("state")[i] for i in range(len(FEATURES))])
     out = long.withColumn("score", score).groupBy("step").agg(F.avg("m").alias("error"), F.avg("q").alias("persistence"), F.count("*").alias("windows"), F.avg("score").alias("mean_score"), F.count_if(F.col("score") >= 0.5).alias("flagged"))
