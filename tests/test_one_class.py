@@ -45,3 +45,9 @@ def test_stages_without_a_fit(spark):
 def test_origins_without_a_fit(spark):
     out = B.backtest(states(spark, True), ["a", "b"], B.rolling_folds([0, 1, 2]), 3)
     assert out.count() == 0 and {"fold", "threshold", "forecasts", "max_psi", "drifted"} <= set(out.columns)
+
+
+def test_horizons_without_a_fit(spark):
+    rows, names, models = B.horizon_models(states(spark, True), ["a", "b"], 2, 3, F.col("scenario") < 2)
+    out = B.horizon_scores(rows, names, models)
+    assert models == {} and out.count() == 0 and dict(out.dtypes)["score"] == "double" and dict(out.dtypes)["horizon"] == "int"

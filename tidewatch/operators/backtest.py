@@ -278,7 +278,7 @@ def horizon_models(states: DataFrame, features: list[str], length: int, horizons
 def horizon_scores(rows: DataFrame, names: list[str], models: dict[int, Linear]) -> DataFrame:
     """rows once for each horizon with a model: horizon and score, in one scan."""
     every = {str(h): m for h, m in models.items()}
-    out = applied(rows, names, every, dict.fromkeys(every, F.lit("all")))
+    out = applied(rows, names, every, dict.fromkeys(every or ["0"], F.lit("all")))
     return out.withColumn("horizon", F.col("fold").cast("int")).drop("fold", "part")
 
 
