@@ -126,7 +126,7 @@ def k38(spark, sf_dir):
     """Trained on the first quarter, its threshold from the second, tested on each later one: by the decayed classifier and by the rolled-out states."""
     rows = stored(periods(standard(spark, sf_dir)), "periods")
     train = rows.where("period = 0")
-    model = B.fitted(B.with_target(train, HORIZON).where("target is not null"), FEATURES)
+    model = B.fitted(B.with_target(train, HORIZON).where("target is not null"), FEATURES, constant=True)
     if model is None:
         raise ValueError("the first quarter has no row with a target")
     scored = stored(rows.withColumn("score", model.score(B.values(FEATURES))), "period-scores")
@@ -164,7 +164,7 @@ def k4(spark, sf_dir):
 def k5(spark, sf_dir):
     """Timeline of the horizons' models (one of them left out, so decayed), with lead, stage and warnings."""
     rows, names, models = horizon_fit(spark, sf_dir)
-    base = B.fitted(standard(spark, sf_dir).where("scenario < 3 AND label IS NOT NULL"), FEATURES, "label")
+    base = B.fitted(standard(spark, sf_dir).where("scenario < 3 AND label IS NOT NULL"), FEATURES, "label", constant=True)
     models.pop(HORIZONS, None)
     shown = rows.withColumn("has_packets", F.lit(False))
     out = B.forecast_timeline(shown, names, models, base.score(B.values(FEATURES)), HORIZONS, 0.5)
@@ -189,7 +189,7 @@ def k39(spark, sf_dir):
 def k40(spark, sf_dir):
     """The simulated states classified: error and skill, mean probability and flagged windows at each step."""
     rows, known = history_map(spark, sf_dir)
-    model = B.fitted(rows.where("scenario < 3"), FEATURES, "label")
+    model = B.fitted(rows.where("scenario < 3"), FEATURES, "label", constant=True)
     if model is None:
         raise ValueError("the training scenarios have no rows")
     long = B.rollout_errors(B.rolled_out(rows.where("scenario >= 3"), FEATURES, known, HORIZON), HORIZON)
