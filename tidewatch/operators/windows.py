@@ -246,8 +246,11 @@ def states(members: DataFrame, edge_rows: DataFrame) -> DataFrame:
 
 
 def edge_features(edge_rows: DataFrame) -> DataFrame:
-    """Low-byte probe share, greatest fan-out and byte entropy of each window's edges."""
+    """Low-byte probe share, greatest fan-out and byte entropy of each window's edges.
+
+    The entropy takes bytes at six digits, so that equal sums are one value in whatever order they were added.
+    """
     low = edge_rows.groupBy(*KEY).agg(share((F.col("events") > 0) & (F.col("bytes") / F.col("events") < 200.0)).alias("probe_share"), F.count("*").alias("edge_count"))
     fan = edge_rows.groupBy(*KEY, "src").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.max("n").alias("max_fanout"))
-    bits = entropy(edge_rows, F.when(F.col("bytes") > 0, F.col("bytes")), "edge_entropy")
+    bits = entropy(edge_rows, F.when(F.col("bytes") > 0, F.round("bytes", 6)), "edge_entropy")
     return low.join(fan, KEY).join(bits, KEY, "left")

@@ -45,6 +45,11 @@ feed AS (SELECT 'user-' || c_custkey AS indicator, c_mktsegment AS list_type FRO
 hit AS (SELECT scenario, k, count(DISTINCT entity) AS matches, arg_min(list_type, entity) AS first_type FROM en JOIN feed ON entity = indicator GROUP BY scenario, k)"""
 
 
+def exact(sql: str) -> str:
+    """sql with the edges' entropy over bytes at six digits, as edge_features takes it."""
+    return sql.replace("SELECT scenario, k, bytes, count(*) AS n FROM edge", "SELECT scenario, k, round(bytes, 6) AS bytes, count(*) AS n FROM edge")
+
+
 def z_sql(value: str, name: str) -> str:
     v, w = f"coalesce({value}, 0)", "OVER h"
     return f"CASE WHEN count({v}) {w} < 3 THEN 0 WHEN min({v}) {w} = max({v}) {w} THEN CASE WHEN {v} = min({v}) {w} THEN 0 ELSE 6 END ELSE ({v} - avg({v}) {w}) / stddev_pop({v}) {w} END AS {name}"
@@ -133,7 +138,7 @@ def state_query(spark, sf_dir):
     return rounded(state_table(spark, sf_dir).select("scenario", "k", "idx", "event_count", "bytes", "failed_auth", "rst_count", "retransmission", "probe_share", "max_fanout", "edge_entropy"))
 
 
-@query("e2_history_z_scores", f"WITH {SCORED} SELECT scenario, k, idx, round(z_flow, 6) AS z_flow, round(z_total, 6) AS z_total, round(z_bits, 6) AS z_bits FROM z")
+@query("e2_history_z_scores", f"WITH {exact(SCORED)} SELECT scenario, k, idx, round(z_flow, 6) AS z_flow, round(z_total, 6) AS z_total, round(z_bits, 6) AS z_bits FROM z")
 def e2(spark, sf_dir):
     over = D.prior()
     return rounded(state_table(spark, sf_dir).select("scenario", "k", "idx", D.z_score(F.col("flow_count") / SECONDS, over).alias("z_flow"), D.z_score(F.col("bytes"), over).alias("z_total"), D.z_score(F.col("edge_entropy"), over).alias("z_bits")))
