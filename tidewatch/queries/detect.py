@@ -496,7 +496,7 @@ def i13_run_all(spark, sf_dir):
     return rows.unionByName(D.sequence_findings(D.alert_places(rows), moves_table(spark)).drop("transition"))
 
 
-@query("i11_next_technique", f"""WITH {FOUND}, {PLACED}, v AS (SELECT a.scenario, a.k, nxt, sum(p1 / (back + 1)) AS votes FROM a JOIN s USING (scenario, k) JOIN mv ON attack_type = cur GROUP BY ALL)
+@query("i11_next_technique", f"""WITH {exact(FOUND)}, {PLACED}, v AS (SELECT a.scenario, a.k, nxt, sum(p1 / (back + 1)) AS votes FROM a JOIN s USING (scenario, k) JOIN mv ON attack_type = cur GROUP BY ALL)
 SELECT scenario, k, nxt AS next, round(votes / max(votes) OVER (PARTITION BY scenario, k), 6) AS probability FROM v""")
 def i11(spark, sf_dir):
     return rounded(D.next_techniques(D.alert_places(found(spark, sf_dir)), moves_table(spark)))
