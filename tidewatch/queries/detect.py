@@ -240,7 +240,7 @@ for _i, _n in enumerate(D.ALERT_AT, 1):
     detector_query(_i, _n)
 
 
-@query("i13_all_findings", f"WITH {FOUND} SELECT scenario, k, idx, detector, attack_type, technique, probability, severity, confidence, is_alert FROM fd")
+@query("i13_all_findings", f"WITH {exact(FOUND)} SELECT scenario, k, idx, detector, attack_type, technique, probability, severity, confidence, is_alert FROM fd")
 def i13(spark, sf_dir):
     return found(spark, sf_dir)
 
