@@ -273,7 +273,7 @@ SHOWN = [
 ]
 
 
-@query("i13_finding_evidence", f"WITH {SCORED}, {STARTED} " + " UNION ALL ".join(f"SELECT scenario, k, idx, '{d}' AS detector, '{n}' AS name, CAST({v} AS DOUBLE) AS observed FROM ts WHERE {w}" for d, n, v, w in SHOWN))
+@query("i13_finding_evidence", f"WITH {exact(SCORED)}, {STARTED} " + " UNION ALL ".join(f"SELECT scenario, k, idx, '{d}' AS detector, '{n}' AS name, CAST({v} AS DOUBLE) AS observed FROM ts WHERE {w}" for d, n, v, w in SHOWN))
 def i13_evidence(spark, sf_dir):
     return D.evidence(started(spark, sf_dir), SECONDS)
 
