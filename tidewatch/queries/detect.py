@@ -489,7 +489,7 @@ def i11_findings(spark, sf_dir):
     return D.sequence_findings(D.alert_places(found(spark, sf_dir)), moves_table(spark)).select("scenario", "k", "idx", "attack_type", "transition")
 
 
-@query("i13_run_all", f"""WITH {FOUND}, {SEQUENCE} SELECT scenario, k, idx, detector, attack_type, technique, probability, severity, confidence, is_alert FROM fd
+@query("i13_run_all", f"""WITH {exact(FOUND)}, {SEQUENCE} SELECT scenario, k, idx, detector, attack_type, technique, probability, severity, confidence, is_alert FROM fd
 UNION ALL SELECT scenario, k, idx, 'sequence_prediction', attack_type, 'sequence-prediction', 1.0E0, 'critical', 'high', true FROM sq""")
 def i13_run_all(spark, sf_dir):
     rows = stored(found(spark, sf_dir), "findings")
