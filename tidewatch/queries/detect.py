@@ -402,7 +402,7 @@ def j3(spark, sf_dir):
     return C.incidents(chained(spark, sf_dir)).select("scenario", "chain", "types", "risk", "level")
 
 
-@query("j2_finding_risk", f"""WITH {FOUND}, {WORST}, s AS (SELECT scenario, k, detector, least(1, 0.5E0 * probability + 0.3E0 * coalesce(criticality, 0.5E0) + 0.2E0 * {SEV}) AS score FROM fd JOIN wa USING (scenario, k))
+@query("j2_finding_risk", f"""WITH {exact(FOUND)}, {WORST}, s AS (SELECT scenario, k, detector, least(1, 0.5E0 * probability + 0.3E0 * coalesce(criticality, 0.5E0) + 0.2E0 * {SEV}) AS score FROM fd JOIN wa USING (scenario, k))
 SELECT scenario, k, detector, round(score, 6) AS score, {LEVEL.format('score')} AS level FROM s""")
 def j2(spark, sf_dir):
     edges = stored_edges(spark, sf_dir)
