@@ -14,7 +14,7 @@ from ..operators import logs as L
 
 from ..sources import readers as R
 from ..sources.sinks import alert_payloads
-from .detect import FOUND, found, state_table
+from .detect import FOUND, exact, found, state_table
 from .windows import EDGES, edge_table, members, rounded
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -274,7 +274,7 @@ def b11(spark, sf_dir):
     return long.groupBy("scenario", tier(F.col("x.name")).alias("tier")).agg(F.count_distinct("x.name").alias("features"), F.count("*").alias("values"))
 
 
-@query("a22_alert_payloads", f"""WITH {FOUND} SELECT scenario || ':' || k || ':' || detector AS key, '{{"scenario":' || scenario || ',"k":' || k || ',"detector":"' || detector || '","attack_type":"' || attack_type || '","probability":' || probability || ',"severity":"' || severity || '"}}' AS payload FROM fd WHERE is_alert AND severity IN ('high', 'critical')""")
+@query("a22_alert_payloads", f"""WITH {exact(FOUND)} SELECT scenario || ':' || k || ':' || detector AS key, '{{"scenario":' || scenario || ',"k":' || k || ',"detector":"' || detector || '","attack_type":"' || attack_type || '","probability":' || probability || ',"severity":"' || severity || '"}}' AS payload FROM fd WHERE is_alert AND severity IN ('high', 'critical')""")
 def a22(spark, sf_dir):
     return alert_payloads(found(spark, sf_dir)).select("key", "payload")
 
