@@ -13,3 +13,16 @@ SF = "/root/testdata/sf0.001"
 def test_entropy_of_sums_in_any_order(spark):
     edges = spark.createDataFrame([(0, 0, "a", "x", 2, 0.1 + 0.2), (0, 0, "b", "x", 2, 0.3), (0, 1, "a", "x", 2, 0.3), (0, 1, "b", "x", 2, 0.4)], "scenario long, k long, src string, dst string, events long, bytes double")
     assert {r["k"]: r["edge_entropy"] for r in W.edge_features(edges).collect()} == {0: 0.0, 1: 1.0}
+
+
+def test_stage_cuts_without_benign_rows(spark, tmp_path):
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        t = f.removesuffix(".parquet")
+        kept = "* REPLACE ('error' AS event_type, '{\"k\": ' || (5 + event_id // 100 % 2 * 4) || '}' AS props)" if t == "events" else "*"
+        con.execute(f"COPY (SELECT {kept} FROM '{SF}/{f}') TO '{tmp_path}/{f}' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{f}'")
+    df = entry.queries()["k36_stage_cuts"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()['k36_stage_cuts']}) ORDER BY fold").fetchall()
+    got = [tuple(r) for r in df.orderBy("fold").collect()]
+    assert got == want and len(got) > 0 and {r["benign_windows"] for r in df.collect()} == {0} and {r["threshold"] for r in df.collect()} == {0.5}

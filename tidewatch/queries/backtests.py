@@ -85,7 +85,7 @@ cu AS (SELECT fold, coalesce(max(CASE WHEN part = 'calibration' AND r = allowed
 au AS (SELECT fold, (sum(r) FILTER (part = 'held') - count(*) FILTER (part = 'held') * (count(*) FILTER (part = 'held') + 1) / 2E0) / nullif(count(*) FILTER (part = 'held') * count(*) FILTER (part = 'benign'), 0) AS roc_auc FROM (SELECT fold, part, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2E0 AS r FROM pa WHERE part <> 'calibration') GROUP BY fold)
 SELECT fold, count(*) FILTER (part = 'calibration') AS calibration_windows, count(*) FILTER (part = 'benign') AS benign_windows, count(*) FILTER (part = 'held') AS held_windows, round(max(threshold), 6) AS threshold,
  round(avg((p >= threshold)::INT) FILTER (part = 'benign'), 6) AS benign_fpr, round(avg((p >= threshold)::INT) FILTER (part = 'held'), 6) AS detection, round(avg((p >= best)::INT) FILTER (part = 'held'), 6) AS ceiling,
- round(avg(p) FILTER (part = 'held'), 6) AS mean_score, round(max(p) FILTER (part = 'held'), 6) AS max_score, round(max(roc_auc), 6) AS roc_auc FROM pa JOIN cu USING (fold) JOIN au USING (fold) GROUP BY fold"""
+ round(avg(p) FILTER (part = 'held'), 6) AS mean_score, round(max(p) FILTER (part = 'held'), 6) AS max_score, round(max(roc_auc), 6) AS roc_auc FROM (SELECT pa.*, coalesce(cu.threshold, 0.5E0) AS threshold, best, roc_auc FROM pa LEFT JOIN cu USING (fold) LEFT JOIN au USING (fold)) GROUP BY fold"""
 
 
 @query("k36_stage_cuts", K36)
