@@ -42,3 +42,15 @@ def test_flows_share_few_states(spark, tmp_path):
     out = live.drain(live.flow_stream(stream, buckets=3), "flows", str(tmp_path / "c"), (frame.schema, str(tmp_path / "end"))).where("lo <> ''").collect()
     got = sorted((r["lo"], r["start"] // second, r["packets"], r["protocol"]) for r in out)
     assert got == sorted((f"h{k:02d}:9", 1000 + 200 * part, 1 + k % 3, 6) for k in range(50) for part in range(1 + k % 2))
+
+
+def test_paths_come_from_one_table(spark):
+    """The plan is one scan however long the paths are; doubled links count once, a cycle ends a path."""
+    from tidewatch.operators import correlate as C
+
+    nodes = spark.createDataFrame([("b", x) for x in "1234"], "bundle string, id string")
+    links = spark.createDataFrame([("b", "1", "2"), ("b", "1", "2"), ("b", "1", "3"), ("b", "2", "3"), ("b", "3", "4"), ("b", "4", "1")], "bundle string, src string, dst string")
+    out = C.paths(nodes, links, nodes.where("id = '1'"))
+    assert sorted("".join(r["path"]) for r in out.collect()) == ["1234", "134"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Aggregate" not in plan

@@ -140,19 +140,24 @@ def with_fallback(model: DataFrame, prior: DataFrame, observed: DataFrame) -> Da
 
 
 def paths(nodes: DataFrame, links: DataFrame, starts: DataFrame) -> DataFrame:
-    """Every cycle-free path from a start to a leaf, by repeated joins until nothing grows, each step stored: (bundle, path of node ids)."""
-    now = starts.select("bundle", F.col("id").alias("at"), F.array("id").alias("path"))
-    out = None
+    """Every cycle-free path from a start to a leaf, level by level: (bundle, path of node ids).
+
+    A node's links are one row, so a level is one join and no path is grouped; finished paths are appended to one folder, so
+    the plan doesn't grow with the longest path.
+    """
+    spark, kind = starts.sparkSession, starts.schema["bundle"].dataType.simpleString()
+    ahead = stored(links.groupBy("bundle", F.col("src").alias("at")).agg(F.collect_set("dst").alias("to")), "path-links")
+    now = stored(starts.select("bundle", F.array("id").alias("path")).distinct(), "paths")
+    folder = shared_folder(spark, "path-ends")
+    none = F.array().cast("array<string>")
     while True:
-        step = now.join(links.select("bundle", F.col("src").alias("at"), "dst"), ["bundle", "at"], "left")
-        free = F.col("dst").isNotNull() & ~F.array_contains("path", F.col("dst"))
-        grown = step.withColumn("go", F.coalesce(free, F.lit(False)))
-        ends = grown.groupBy("bundle", "at", "path").agg(F.max("go").alias("any")).where("not any").select("bundle", "path")
-        out = ends if out is None else out.union(ends)
-        now = grown.where("go").select("bundle", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
-        now = stored(now, "paths")
+        step = now.withColumn("at", F.element_at("path", -1)).join(ahead, ["bundle", "at"], "left")
+        free = F.filter(F.coalesce("to", none), lambda x: ~F.array_contains("path", x))
+        step = stored(step.select("bundle", "path", free.alias("free")), "path-steps")
+        step.where(F.size("free") == 0).select("bundle", "path").write.mode("append").parquet(folder)
+        now = step.select("bundle", "path", F.explode("free").alias("dst")).select("bundle", F.concat("path", F.array("dst")).alias("path"))
         if not now.head(1):
-            return out
+            return spark.read.schema(f"bundle {kind}, path array<string>").parquet(folder)
 
 
 def start_model(sequences: DataFrame) -> DataFrame:
