@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_operators import SCHEMA, shingles
 from tidewatch.llm import neardup
@@ -80,6 +82,25 @@ def test_pairs_of_a_template(spark):
     assert pairs < 400 * 399 / 2 / 50
 
 
+def test_a_shingle_is_one_row_however_many_buckets(spark, monkeypatch):
+    """Classes that share many buckets meet once a shingle; no pair comes from another bucket, none is lost."""
+    monkeypatch.setattr(neardup, "FEW", 2)
+    rows, met = pages(90, 5, copies=24), []
+    meeting = neardup.Search.meeting
+    monkeypatch.setattr(neardup.Search, "meeting", lambda self, rows, key, near: met.append((key, rows)) or meeting(self, rows, key, near))
+    search = neardup.Search(spark.createDataFrame(rows, SCHEMA), 2, 80)
+    alive = search.reachable(search.mixed(search.members, spark.createDataFrame([], "cls long, comp long")))
+    pairs = {tuple(sorted(r)) for r in search.outsider_pairs(alive).collect()}
+    ((key, wide),) = [x for x in met if "shingle" in x[0]]
+    assert wide.count() == wide.select("cls", "shingle").distinct().count() > 0
+    bands = alive.groupBy("cls").agg(F.collect_set("band").alias("b")).toPandas().set_index("cls")["b"].map(set)
+    assert all(bands[a] & bands[b] for a, b in pairs)
+    sets = {r["cls"]: set(np.frombuffer(r["items"], np.int64)) for r in search.sets.collect()}
+    ids = sorted(bands.index)
+    alike = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if bands[a] & bands[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(alike) >= 10 and alike <= pairs
+
+
 def test_links_of_every_fiftieth_document(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     sets = {r.doc_id: shingles(r.text, 2) for r in docs.select("doc_id", "text").toPandas().itertuples()}
