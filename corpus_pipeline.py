@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tidewatch.llm import decontam, langid, mixing, neardup, sharding
 from tidewatch.llm.common import documents, stored
 
@@ -46,22 +44,18 @@ def mix(spark, docs, sf_dir):
     return mixing.mixed_order(docs)
 
 
-def mixed_places(rows):
-    """rows with __order, their place in the mixed order; columns of any name come back as they were."""
-    names = [c for c in rows.columns if c != "__key"]
-    plain = rows.select(F.col("source"), F.col("__key"), *[F.col(f"`{c}`").alias(f"__kept_{i}") for i, c in enumerate(names)])
-    out = mixing.mix_sources(plain, key=F.col("__key"))
-    return out.select(*[F.col(f"__kept_{i}").alias(c) for i, c in enumerate(names)], "__key", (F.col("slot") * mixing.BLOCK + F.col("place")).alias("__order"))
-
-
 def shard(spark, docs, sf_dir):
-    """The shard and slot of each document; the slots of a shard follow the mixed order, so each shard is mixed too.
+    """The shard and slot of each document; the slots of a shard follow the rows' places in the files, so the mixing stage's order.
 
+    Rows that aren't read from files have no places: they are mixed and stored first.
     A null text counts as an empty one, equal texts share a shard, repeated rows and null ids are kept; columns of output
     names (size, text_crc32, law, shard, slot, grown_shard) are replaced, all others but text come back as they were; an
     empty table gives an empty result.
     """
-    return sharding.shard_documents(docs, arrange=mixed_places)
+    placed = mixing.stored_places(docs, "__place")
+    if placed is None:
+        placed = mixing.stored_places(stored(mix(spark, docs, sf_dir), "mixed"), "__place")
+    return sharding.shard_documents(placed, order_by="__place")
 
 
 STAGES = [("language_id", identify_languages), ("near_dedup", drop_near_duplicates), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]

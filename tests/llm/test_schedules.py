@@ -103,6 +103,25 @@ def test_shard_slots_follow_the_mixed_order(spark):
     assert p.shard(spark, docs.limit(0), None).count() == 0
 
 
+@pytest.mark.parametrize("clash", ["slot", "_metadata"])
+def test_shards_take_the_order_that_the_mixing_stage_stored(spark, clash):
+    """Another order in the files is another order of slots; the mixed one is mix's own."""
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"src{i % 4}", 3) for i in range(1200)], SCHEMA).withColumn(clash, F.lit("mine"))
+    mixed = mixing.mixed_order(docs)
+    for made in (docs.repartitionByRange(12, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")), mixed):
+        path = scratch_path(spark, "arranged")
+        made.write.option("maxRecordsPerFile", 50).parquet(path)
+        rows = [r["doc_id"] for r in made.collect()] if made is not mixed else [r["doc_id"] for r in mixing.mix_sources(docs).orderBy("slot", "place").collect()]
+        place = {d: k for k, d in enumerate(rows)}
+        out = p.shard(spark, spark.read.parquet(path), None).toPandas()
+        assert len(out) == 1200 and (clash in ("slot",) or set(out[clash]) == {"mine"})
+        for _, g in out.groupby("shard"):
+            order = [place[d] for d in g.sort_values("slot")["doc_id"]]
+            assert order == sorted(order) and sorted(g["slot"]) == list(range(len(g)))
+
+
 def test_viterbi_equals_every_path():
     draw = np.random.default_rng(5)
     first = np.array([0, 4, 4, 5, 11])

@@ -12,7 +12,7 @@ therefore bounded by MOST_SOURCES; a corpus with more of them raises, and its ra
 A period has as many slots as the weights add up to; MOST_SLOTS bounds them, and weights are whole numbers from 1 on.
 
 mixed_order() places narrow rows (source and a 64-bit key) and finds the first key of each source in each output part;
-these cuts say for every document which part it goes to, so its text is shuffled once, and is numbered inside the part.
+these cuts say for every document which part it goes to, so its text is shuffled once, and is numbered inside the part. stored_places() gives this order back to whoever reads its files.
 
 Defined results: a null source is a source of its own (its target has the key None), beside the empty one; a null or empty text is placed like any other;
 repeated rows each have a place; null doc_ids are kept; extra columns stay (mix_sources replaces those that bear an output
@@ -26,6 +26,7 @@ import heapq
 from functools import reduce
 from math import gcd
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,6 +169,23 @@ def cuts(docs: DataFrame, blocks: dict[str, int], targets: dict[str, int] | None
     return wide.groupBy(F.col("__s").alias("__cs"), F.col("cell").alias("__cell")).agg(F.array_sort(F.collect_list("cut")).alias("__cut"))
 
 
+def stored_places(docs: DataFrame, name: str) -> DataFrame | None:
+    """docs with the places of its rows in the files it is read from, in the order in which a job wrote them, from 0; None if it isn't read from files.
+
+    The files' counts are a table of one row a file; what is filtered out of docs leaves gaps at most.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        at = docs.select("*", meta["file_path"].alias("__file"), meta["row_index"].alias("__row"))
+    except AnalysisException:
+        return None
+    part = F.regexp_extract("__file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    files = stored(at.groupBy("__file").agg(F.max("__row").alias("__last")), "file-rows")
+    before = F.sum(F.col("__last") + 1).over(Window.orderBy(part, "__file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select(F.col("__file").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
+    return at.join(F.broadcast(files), F.col("__file") == F.col("__of")).withColumn(name, F.col("__before") + F.col("__row")).drop("__file", "__row", "__of", "__before")
+
+
 def mixed_order(docs: DataFrame, targets: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
     """The columns of docs, its rows in the mixed order: part by part, sorted inside. The rows with their text meet one shuffle."""
     blocks = counted(docs, block)

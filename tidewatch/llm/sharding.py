@@ -14,7 +14,7 @@ an empty table gives an empty result. Ties in size fall in the order of a hash o
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 from pyspark.sql import DataFrame
@@ -58,18 +58,16 @@ def lpt_runs(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[in
         yield size, runs
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, arrange: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, order_by: str | None = None) -> DataFrame:
     """docs without text, with size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in a shard) and grown_shard (null).
 
-    arrange: gives the narrow rows (without text, with its key in __key) a column __order from 0, which slots follow;
-    without it they follow a hash.
+    order_by: a column of places from 0, distinct but for equal rows, which slots follow and which isn't returned; without
+    it they follow a hash.
     """
     spark, text = docs.sparkSession, F.coalesce(F.col("text"), F.lit(""))
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    sized = docs.withColumn("__size", F.octet_length(text).cast("long") + OVERHEAD).withColumn("__crc", F.crc32(text)).withColumn("__d", F.md5(text)).withColumn("__key", F.xxhash64("doc_id", F.xxhash64("text")))
+    sized = docs.withColumn("__size", F.octet_length(text).cast("long") + OVERHEAD).withColumn("__crc", F.crc32(text)).withColumn("__d", F.md5(text))
     sized = stored(sized.drop("text", *made).withColumnsRenamed({"__size": "size", "__crc": "text_crc32"}), "shard-sizes")
-    if arrange:
-        sized = stored(arrange(sized), "shard-order")
     groups = stored(sized.groupBy("__d").agg(F.sum("size").alias("__s"), F.count("*").alias("__n")), "shard-groups")
     counts = stored(groups.groupBy("__s").agg(F.count("*").alias("n")), "shard-counts")
     n_sizes, path = counts.count(), scratch_path(spark, "shard-runs")
@@ -90,5 +88,5 @@ def shard_documents(docs: DataFrame, shards: int = 24, arrange: Callable[[DataFr
     out = rest.unionByName(out.where("__lg is not null").withColumn("shard", F.col("__ls")).drop("__lg", "__ls"))
     out = stored(out.withColumn("law", F.lit("bytes")), "shard-rows")
     order = ["doc_id", "__d"]
-    slotted = with_rank(out, ["shard"], order, "slot", order, along=F.col("__order") if arrange else None)
-    return slotted.drop("__d", "__key", "__order").withColumn("grown_shard", F.lit(None).cast("int"))
+    slotted = with_rank(out, ["shard"], order, "slot", order, along=F.col(order_by) if order_by else None)
+    return slotted.drop("__d", *([order_by] if order_by else [])).withColumn("grown_shard", F.lit(None).cast("int"))
