@@ -54,3 +54,21 @@ def test_paths_come_from_one_table(spark):
     assert sorted("".join(r["path"]) for r in out.collect()) == ["1234", "134"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "Aggregate" not in plan
+
+
+def test_ways_of_a_bundle_are_one_table_a_scan(spark, monkeypatch):
+    """A way of up to REACH nodes needs two tables, a longer one two scans more; both are whole."""
+    import json
+
+    from tidewatch.operators import correlate as C
+
+    def chain(n):
+        nodes = [{"id": f"a{i}", "type": "attack-action", "technique_id": f"T{i}", "effect_refs": [f"a{i + 1}"] if i + 1 < n else []} for i in range(n)]
+        return json.dumps({"objects": [{"id": "f", "type": "attack-flow", "start_refs": ["a0"]}, *nodes]})
+
+    names, stored = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: names.append(name) or stored(df, name))
+    for n, tables in ((C.REACH, 2), (2 * C.REACH + 5, 4)):
+        names.clear()
+        out = C.technique_paths(spark.createDataFrame([("b", chain(n))], "bundle string, json string")).collect()
+        assert [r["techniques"] for r in out] == [[f"T{i}" for i in range(n)]] and len(names) == tables

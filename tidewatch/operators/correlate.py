@@ -183,64 +183,57 @@ REFS = ("start_refs", "effect_refs", "on_true_refs", "on_false_refs")
 BUNDLE = "objects array<struct<id: string, type: string, technique_id: string, " + ", ".join(f"{r}: array<string>" for r in REFS) + ">>"
 
 
-def bundle_graph(bundles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (bundle, id, type, technique, leaf) and links (bundle, src, dst) of flow bundles (bundle, json); the root '' leads to the starts.
+#: Nodes that a way passes in one scan of the bundles.
+REACH = 16
+
+
+def bundle_graphs(bundles: DataFrame) -> DataFrame:
+    """(row, bundle, nodes, starts) of flow bundles (bundle, json), a row for each: nodes hold technique, leaf and to; starts and to are places in nodes.
 
     Of objects with one id the last counts. An action or operator leads to its effects, a condition to both branches; a
     reference to an id that isn't there leads nowhere, but its action is no leaf.
     """
-    objects = bundles.select("bundle", F.posexplode(F.from_json("json", BUNDLE)["objects"]).alias("at", "o"))
-    starts = objects.where("o.type = 'attack-flow'").select("bundle", F.lit("").alias("src"), F.explode("o.start_refs").alias("dst"))
-    kept = objects.where("o.id IS NOT NULL").groupBy("bundle", F.col("o.id").alias("id")).agg(F.max_by("o", "at").alias("o"))
     none = F.array().cast("array<string>")
-    effects = F.coalesce("o.effect_refs", none)
-    out = F.when(F.col("o.type") == "attack-condition", F.concat(F.coalesce("o.on_true_refs", none), F.coalesce("o.on_false_refs", none))).when(F.col("o.type").isin("attack-action", "attack-operator"), effects).otherwise(none)
-    leaf = (F.col("o.type") == "attack-action") & (F.size(effects) == 0)
-    nodes = kept.select("bundle", "id", F.col("o.type").alias("type"), F.when(F.col("o.technique_id") != "", F.col("o.technique_id")).alias("technique"), leaf.alias("leaf"), out.alias("to"))
-    nodes = stored(nodes.where(F.col("type").isin("attack-action", "attack-condition", "attack-operator")), "bundle-nodes")
-    links = nodes.select("bundle", F.col("id").alias("src"), F.explode("to").alias("dst")).unionByName(starts)
-    known = nodes.select("bundle", F.col("id").alias("dst"))
-    return nodes.drop("to"), stored(links.join(known, ["bundle", "dst"]).select("bundle", "src", "dst"), "bundle-links")
-
-
-def contracted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(bundle, src, dst, via): links between actions (and from the root) with the conditions and operators passed on the way."""
-    action = nodes.where("type = 'attack-action'").select("bundle", F.col("id").alias("dst"), F.lit(True).alias("action"))
-    between = links.join(nodes.where("type <> 'attack-action'").select("bundle", F.col("id").alias("src")), ["bundle", "src"], "left_semi")
-    first = links.join(between.select("bundle", "src").distinct(), ["bundle", "src"], "left_anti")
-    now = stored(first.withColumn("via", F.array().cast("array<string>")).join(action, ["bundle", "dst"], "left"), "bundle-step")
-    path = shared_folder(nodes.sparkSession, "bundle-edges")
-    while True:
-        now.where("action").select("bundle", "src", "dst", "via").write.mode("append").parquet(path)
-        open_ends = now.where("action IS NULL")
-        if not open_ends.head(1):
-            return nodes.sparkSession.read.schema("bundle " + nodes.schema["bundle"].dataType.simpleString() + ", src string, dst string, via array<string>").parquet(path)
-        steps = between.select("bundle", F.col("src").alias("mid"), F.col("dst").alias("to"))
-        grown = open_ends.select("bundle", "src", F.col("dst").alias("mid"), F.concat("via", F.array("dst")).alias("via")).join(steps, ["bundle", "mid"])
-        grown = grown.where(~F.array_contains("via", F.col("to"))).select("bundle", "src", F.col("to").alias("dst"), "via")
-        now = stored(grown.join(action, ["bundle", "dst"], "left"), "bundle-step")
+    refs = lambda o, *names: F.concat(*[F.coalesce(o[r], none) for r in names])
+    objects = bundles.select("bundle", F.from_json("json", BUNDLE)["objects"].alias("o"))
+    named = F.array_sort(F.transform(F.filter("o", lambda o: o["id"].isNotNull()), lambda o, i: F.struct(o["id"].alias("id"), i.alias("at"), o.alias("o"))))
+    sorted_ = objects.select("bundle", F.flatten(F.transform(F.filter("o", lambda o: o["type"] == "attack-flow"), lambda o: refs(o, "start_refs"))).alias("first"), named.alias("s"))
+    last = F.filter("s", lambda x, i: ~F.get(F.col("s"), i + 1)["id"].eqNullSafe(x["id"]) & x["o"]["type"].isin("attack-action", "attack-condition", "attack-operator"))
+    kept = sorted_.select("bundle", "first", F.transform(last, lambda x: x["o"]).alias("o"))
+    kept = kept.select("bundle", "first", "o", F.transform("o", lambda o: o["id"]).alias("ids"))
+    places = lambda to: F.filter(F.transform(to, lambda x: F.array_position(F.col("ids"), x).cast("int") - 1), lambda i: i >= 0)
+    out = lambda o: F.when(o["type"] == "attack-condition", refs(o, "on_true_refs", "on_false_refs")).otherwise(refs(o, "effect_refs"))
+    action = lambda o: o["type"] == "attack-action"
+    technique = lambda o: F.when(action(o) & (o["technique_id"] != ""), o["technique_id"])
+    leaf = lambda o: action(o) & (F.size(refs(o, "effect_refs")) == 0)
+    nodes = F.transform("o", lambda o: F.struct(technique(o).alias("technique"), leaf(o).alias("leaf"), places(out(o)).alias("to")))
+    graphs = kept.select(F.monotonically_increasing_id().alias("row"), "bundle", nodes.alias("nodes"), places(F.col("first")).alias("starts"))
+    return stored(graphs.where(F.size("starts") > 0), "bundle-graphs")
 
 
 def technique_paths(bundles: DataFrame) -> DataFrame:
     """(bundle, techniques): the techniques on every way from a start to a leaf action that passes no node twice.
 
     Actions without a technique are passed; a way without any technique, or one that ends in a cycle or an open branch,
-    gives nothing. Each level of the search is a table, and finished ways are appended to one folder, so the plan doesn't
-    grow with the longest way.
+    gives nothing. A bundle's nodes stay in its row while its ways pass up to REACH of them, so these steps need no shuffle
+    and no table; a way is a row of node places. Only ways that are longer meet their bundle again, in the next scan, and
+    finished ones are one table a scan.
     """
-    nodes, links = bundle_graph(bundles)
-    edges = stored(contracted(nodes, links), "bundle-contracted")
-    info = nodes.where("type = 'attack-action'").select("bundle", F.col("id").alias("at"), "technique", "leaf")
-    none = F.array().cast("array<string>")
-    now = edges.where("src = ''").select("bundle", F.col("dst").alias("at"), F.concat("via", F.array("dst")).alias("seen"), none.alias("techniques"))
+    graphs = bundle_graphs(bundles)
+    node = F.get(F.col("nodes"), F.element_at("seen", -1))
+    techniques = F.filter(F.transform("seen", lambda i: F.get(F.col("nodes"), i)["technique"]), lambda t: t.isNotNull())
     path, kind = shared_folder(bundles.sparkSession, "bundle-paths"), bundles.schema["bundle"].dataType.simpleString()
+    now = graphs.select("row", "bundle", "nodes", F.explode("starts").alias("i")).select("row", "bundle", "nodes", F.array("i").alias("seen"))
     while True:
-        known = now.join(info, ["bundle", "at"]).withColumn("techniques", F.when(F.col("technique").isNotNull(), F.concat("techniques", F.array("technique"))).otherwise(F.col("techniques")))
-        known = stored(known.drop("technique"), "bundle-level")
-        known.where(F.col("leaf") & (F.size("techniques") > 0)).select("bundle", "techniques").write.mode("append").parquet(path)
-        grown = known.where("NOT leaf").join(edges.select("bundle", F.col("src").alias("at"), "dst", "via"), ["bundle", "at"])
-        free = ~F.array_contains("seen", F.col("dst")) & ~F.arrays_overlap("seen", "via")
-        now = grown.where(free).select("bundle", F.col("dst").alias("at"), F.concat("seen", "via", F.array("dst")).alias("seen"), "techniques")
-        now = stored(now, "bundle-grown")
-        if not now.head(1):
+        for _ in range(REACH - 1):
+            ahead = F.filter(node["to"], lambda i: ~F.array_contains("seen", i))
+            ways = F.when(node["leaf"], F.array(F.lit(-1))).otherwise(ahead)
+            now = now.select("row", "bundle", "nodes", "seen", F.explode(ways).alias("i"))
+            now = now.select("row", "bundle", "nodes", F.when(F.col("i") < 0, F.col("seen")).otherwise(F.concat("seen", F.array("i"))).alias("seen"))
+        ends = now.select("row", "bundle", node["leaf"].alias("leaf"), F.when(node["leaf"], techniques).alias("techniques"), F.when(~node["leaf"], F.col("seen")).alias("seen"))
+        ends = stored(ends.where("NOT leaf OR size(techniques) > 0"), "bundle-ways")
+        ends.where("leaf").select("bundle", "techniques").write.mode("append").parquet(path)
+        longer = ends.where("NOT leaf").select("row", "seen")
+        if not longer.head(1):
             return bundles.sparkSession.read.schema(f"bundle {kind}, techniques array<string>").parquet(path)
+        now = longer.join(graphs.drop("starts"), "row").select("row", "bundle", "nodes", "seen")
